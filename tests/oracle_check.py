@@ -28,6 +28,11 @@ def duck_connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return None
+    try:
+        if not isinstance(v, (list, tuple)) and not hasattr(v, "tolist") and pd.isna(v):
+            return None
+    except (TypeError, ValueError):
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
