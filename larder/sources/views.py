@@ -102,6 +102,8 @@ def oracle_with_views(sql: str) -> str:
         body = VIEW_SQL[v].format(**{t: t for t in _VIEW_SOURCES[v]})
         ctes.append(f"{v} AS ({body}\n)")
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
