@@ -8,7 +8,7 @@ SQL oracle text (:func:`sql_first_match`), so both engines apply one order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -160,12 +160,18 @@ STAFF_PLAN = {"store_info": (10, 5, 3), "other": (10, 5, 0)}
 
 
 # ---------------------------------------------------------------------------
-# Spark expressions
+# Spark expressions. ``*_q`` variants take text that is already lower-cased;
+# the ``with_*`` DataFrame helpers lower it once into a column first, so the
+# dozens of ``contains`` tests share one lower-cased copy of each whole text.
 # ---------------------------------------------------------------------------
 def _lower(text) -> Column:
     return F.lower(F.col(text) if isinstance(text, str) else text)
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def any_contains(q: Column, words: list[str]) -> Column:
     cond = F.lit(False)
     for w in words:
@@ -173,92 +179,168 @@ def any_contains(q: Column, words: list[str]) -> Column:
     return cond
 
 
-def first_match(q: Column, rules: list[tuple[list[str], str]], default=None) -> Column:
-    """Value of the first rule whose keywords occur in ``q`` (ordered CASE)."""
-    out = F.lit(default)
-    for words, value in reversed(rules):
-        out = F.when(any_contains(q, words), F.lit(value)).otherwise(out)
+def first_index(q: Column, rules: list[list[str]]) -> Column:
+    """1-based index of the first rule whose keywords occur in ``q``, else null."""
+    out = F.lit(None).cast("int")
+    for i, words in reversed(list(enumerate(rules, start=1))):
+        out = F.when(any_contains(q, words), F.lit(i)).otherwise(out)
     return out
 
 
-def classify_intent(text) -> Column:
-    """G1: store_info > deal_inquiry > product_search > general."""
-    q = _lower(text)
+def first_match(q: Column, rules: list[tuple[list[str], str]], default=None) -> Column:
+    """Value of the first rule whose keywords occur in ``q`` (ordered CASE on
+    an index, then one array lookup)."""
+    idx = first_index(q, [ws for ws, _ in rules])
+    # guarded: element_at with a null index does not yield null in every mode
+    val = F.when(idx.isNotNull(), F.element_at(F.array(*[F.lit(v) for _, v in rules]), idx))
+    return val if default is None else F.coalesce(val, F.lit(default))
+
+
+def intent_q(q: Column) -> Column:
     return first_match(q, [(STORE_KEYWORDS, "store_info"), (DEAL_KEYWORDS, "deal_inquiry"),
                            (CATEGORY_KEYWORDS, "product_search")], "general")
 
 
+def category_q(q: Column, staff: bool = False) -> Column:
+    m = STAFF_CATEGORY_MAP if staff else CUSTOMER_CATEGORY_MAP
+    return first_match(q, [([k], v) for k, v in m])
+
+
+def deal_type_q(q: Column) -> Column:
+    return first_match(q, DEAL_TYPE_RULES)
+
+
+def classify_intent(text) -> Column:
+    """G1: store_info > deal_inquiry > product_search > general."""
+    return intent_q(_lower(text))
+
+
 def detect_category(text) -> Column:
     """Customer keyword map -> category or null."""
-    return first_match(_lower(text), [([k], v) for k, v in CUSTOMER_CATEGORY_MAP])
+    return category_q(_lower(text))
 
 
 def detect_staff_category(text) -> Column:
     """The shorter staff keyword map."""
-    return first_match(_lower(text), [([k], v) for k, v in STAFF_CATEGORY_MAP])
+    return category_q(_lower(text), staff=True)
 
 
 def detect_deal_type(text) -> Column:
     """Bogo / 'buy one' > weekly > daily / today."""
-    return first_match(_lower(text), DEAL_TYPE_RULES)
-
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return deal_type_q(_lower(text))
+
+
+def with_intent(df: DataFrame, text: str, *, staff_category: bool = False) -> DataFrame:
+    """G1-G3 (+ G6) as columns intent, category, deal_type (, staff_category)."""
+    d = df.withColumn("_q", _lower(text))
+    q = F.col("_q")
+    d = d.withColumn("intent", intent_q(q)).withColumn("category", category_q(q)) \
+        .withColumn("deal_type", deal_type_q(q))
+    if staff_category:
+        d = d.withColumn("staff_category", category_q(q, staff=True))
+    return d.drop("_q")
+
+
+_STAFF_ACTIONS = [a for a, _ in STAFF_RULES] + ["list_brands", "deal_summary", "products_under_price",
+                                                 "list_subcategories"]
+_USES_CATEGORY = ["count_products", "cheapest_products", "most_expensive_products", "store_brand_products",
+                  "list_brands", "products_under_price", "list_subcategories"]
+STAFF_FIELDS = ["type", "action", "category", "brand", "organic_only", "deal_type", "max_price", "limit"]
+
+
+def with_staff_route(df: DataFrame, text: str) -> DataFrame:
+    """G4 + G5 + G6 as columns (type, action, category, brand, organic_only,
+    deal_type, max_price, limit). The count regex is tried first, then the
+    ordered rules; anything else is 'rag'. Staged projections keep each
+    whole text lower-cased once and each rule evaluated once."""
+    d = df.withColumn("_q", _strip(_lower(text)))
+    q = F.col("_q")
+    # (?d): only \n ends a line, as in Python's re
+    d = d.withColumn("_subj", F.when(q.rlike("(?d)" + COUNT_PATTERN),
+                                     _strip(F.regexp_extract(q, "(?d)" + COUNT_PATTERN, 1))))
+    subj = F.col("_subj")
+    rules = [ws for _, ws in STAFF_RULES]
+    idx = first_index(q, rules)
+    n = len(rules)
+    brand_q = q.contains("brand") & any_contains(q, BRAND_QUESTION_WORDS)
+    idx = (F.when(idx.isNotNull(), idx).when(brand_q, F.lit(n + 1))
+           .when(any_contains(q, DEAL_SUMMARY_WORDS), F.lit(n + 2))
+           .when(q.rlike("(?d)" + PRICE_UNDER_PATTERN), F.lit(n + 3))
+           .when(q.contains("subcategor"), F.lit(n + 4)))
+    action = F.when(subj.isNotNull(), F.when(any_contains(subj, COUNT_DEAL_WORDS), F.lit("count_deals"))
+                    .otherwise(F.lit("count_products"))) \
+        .when(idx.isNotNull(), F.element_at(F.array(*[F.lit(a) for a in _STAFF_ACTIONS]), idx))
+    d = d.withColumn("action", action)
+    a = F.col("action")
+    limit = F.lit(None).cast("int")
+    for act, k in ACTION_LIMITS.items():
+        limit = F.when(a == act, F.lit(k)).otherwise(limit)
+    d = (d.withColumn("type", F.when(a.isNull(), F.lit("rag")).otherwise(F.lit("db_query")))
+         .withColumn("category", F.when(a.isin(*_USES_CATEGORY), category_q(q, staff=True)))
+         .withColumn("brand", F.when(a == "count_products", first_match(subj, [([b], b) for b in KNOWN_BRANDS])))
+         .withColumn("organic_only", F.when(a == "count_products", subj.contains("organic")))
+         .withColumn("deal_type", F.when(a == "count_deals", first_match(subj, COUNT_DEAL_TYPE_RULES)))
+         .withColumn("max_price", F.when(a == "products_under_price",
+                                         F.regexp_extract(q, "(?d)" + PRICE_UNDER_PATTERN, 1).cast("double")))
+         .withColumn("limit", limit))
+    return d.drop("_q", "_subj")
 
 
 def classify_staff_query(text) -> Column:
-    """G4 + G5: struct(type, action, category, brand, organic_only, deal_type,
-    max_price, limit). The count regex is tried first, then the ordered rules;
-    anything else is 'rag'."""
+    """G4 as one struct column (convenience form of :func:`with_staff_route`
+    for single expressions; prefer the DataFrame helper on large batches)."""
     q = _strip(_lower(text))
-    # (?d): only \n ends a line, as in Python's re
-    subject = _strip(F.regexp_extract(q, "(?d)" + COUNT_PATTERN, 1))
-    is_count = q.rlike("(?d)" + COUNT_PATTERN)
-    cat = detect_staff_category(q)
-    # Count of deals (with type from the subject) or of products
-    count_deals = any_contains(subject, COUNT_DEAL_WORDS)
-    brand = first_match(subject, [([b], b) for b in KNOWN_BRANDS])
-    price = F.regexp_extract(q, "(?d)" + PRICE_UNDER_PATTERN, 1)
-    brand_q = q.contains("brand") & any_contains(q, BRAND_QUESTION_WORDS)
-
-    action = (F.when(is_count, F.when(count_deals, F.lit("count_deals")).otherwise(F.lit("count_products"))))
-    chain = F.lit(None).cast("string")
-    rules: list[tuple[Column, str]] = [(any_contains(q, ws), a) for a, ws in STAFF_RULES]
-    rules += [(brand_q, "list_brands"), (any_contains(q, DEAL_SUMMARY_WORDS), "deal_summary"),
-              (q.rlike(PRICE_UNDER_PATTERN), "products_under_price"), (q.contains("subcategor"), "list_subcategories")]
-    for cond, a in reversed(rules):
-        chain = F.when(cond, F.lit(a)).otherwise(chain)
-    action = F.coalesce(action, chain)
-    uses_category = action.isin("count_products", "cheapest_products", "most_expensive_products",
-                                "store_brand_products", "list_brands", "products_under_price",
-                                "list_subcategories")
+    subj = F.when(q.rlike("(?d)" + COUNT_PATTERN), _strip(F.regexp_extract(q, "(?d)" + COUNT_PATTERN, 1)))
+    rules = [ws for _, ws in STAFF_RULES]
+    n = len(rules)
+    idx = first_index(q, rules)
+    idx = (F.when(idx.isNotNull(), idx)
+           .when(q.contains("brand") & any_contains(q, BRAND_QUESTION_WORDS), F.lit(n + 1))
+           .when(any_contains(q, DEAL_SUMMARY_WORDS), F.lit(n + 2))
+           .when(q.rlike("(?d)" + PRICE_UNDER_PATTERN), F.lit(n + 3))
+           .when(q.contains("subcategor"), F.lit(n + 4)))
+    a = F.when(subj.isNotNull(), F.when(any_contains(subj, COUNT_DEAL_WORDS), F.lit("count_deals"))
+               .otherwise(F.lit("count_products"))) \
+        .when(idx.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in _STAFF_ACTIONS]), idx))
     limit = F.lit(None).cast("int")
-    for a, n in ACTION_LIMITS.items():
-        limit = F.when(action == a, F.lit(n)).otherwise(limit)
+    for act, k in ACTION_LIMITS.items():
+        limit = F.when(a == act, F.lit(k)).otherwise(limit)
     return F.struct(
-        F.when(action.isNull(), F.lit("rag")).otherwise(F.lit("db_query")).alias("type"),
-        action.alias("action"),
-        F.when(uses_category, cat).alias("category"),
-        F.when(action == "count_products", brand).alias("brand"),
-        F.when(action == "count_products", subject.contains("organic")).alias("organic_only"),
-        F.when(action == "count_deals", first_match(subject, COUNT_DEAL_TYPE_RULES)).alias("deal_type"),
-        F.when(action == "products_under_price", price.cast("double")).alias("max_price"),
-        limit.alias("limit"),
-    )
+        F.when(a.isNull(), F.lit("rag")).otherwise(F.lit("db_query")).alias("type"), a.alias("action"),
+        F.when(a.isin(*_USES_CATEGORY), category_q(q, staff=True)).alias("category"),
+        F.when(a == "count_products", first_match(subj, [([b], b) for b in KNOWN_BRANDS])).alias("brand"),
+        F.when(a == "count_products", subj.contains("organic")).alias("organic_only"),
+        F.when(a == "count_deals", first_match(subj, COUNT_DEAL_TYPE_RULES)).alias("deal_type"),
+        F.when(a == "products_under_price",
+               F.regexp_extract(q, "(?d)" + PRICE_UNDER_PATTERN, 1).cast("double")).alias("max_price"),
+        limit.alias("limit"))
+
+
+def scenario_q(q: Column) -> Column:
+    """G7 on lower-cased, stripped text: struct(name, skip_rag, message) or null."""
+    idx = first_index(q, [ws for _, ws, _, _ in SCENARIOS])
+    names = F.array(*[F.lit(n) for n, _, _, _ in SCENARIOS])
+    skips = F.array(*[F.lit(sk) for _, _, sk, _ in SCENARIOS])
+    msgs = F.array(*[F.lit(m) for _, _, _, m in SCENARIOS])
+    name = F.when(idx.isNotNull(), F.element_at(names, idx))
+    diet = first_match(q, [([k], v) for k, v in DIET_LABELS], DIET_DEFAULT)
+    msg = F.when(name == "dietary", F.replace(F.lit(DIET_MESSAGE), F.lit("{diet}"), diet)) \
+        .when(idx.isNotNull(), F.element_at(msgs, idx))
+    return F.when(idx.isNotNull(), F.struct(name.alias("name"),
+                                            F.when(idx.isNotNull(), F.element_at(skips, idx)).alias("skip_rag"),
+                                            msg.alias("message")))
 
 
 def custom_scenario(text) -> Column:
     """struct(name, skip_rag, message) of the first matching scenario, or null."""
-    q = _strip(_lower(text))
-    diet = first_match(q, [([k], v) for k, v in DIET_LABELS], DIET_DEFAULT)
-    diet_msg = F.replace(F.lit(DIET_MESSAGE), F.lit("{diet}"), diet)
-    out = F.lit(None)
-    for name, words, skip, msg in reversed(SCENARIOS):
-        m = diet_msg if name == "dietary" else F.lit(msg)
-        out = F.when(any_contains(q, words), F.struct(F.lit(name).alias("name"), F.lit(skip).alias("skip_rag"),
-                                                      m.alias("message"))).otherwise(out)
-    return out
+    return scenario_q(_strip(_lower(text)))
+
+
+def with_scenario(df: DataFrame, text: str) -> DataFrame:
+    """G7 as columns scenario, skip_rag, message (text lower-cased once)."""
+    d = df.withColumn("_q", _strip(_lower(text))).withColumn("_s", scenario_q(F.col("_q")))
+    return (d.withColumn("scenario", F.col("_s.name")).withColumn("skip_rag", F.col("_s.skip_rag"))
+            .withColumn("message", F.col("_s.message")).drop("_q", "_s"))
 
 
 def retrieval_plan(intent, audience: str = "customer") -> Column:

@@ -34,6 +34,8 @@ _MODULES = (
     "larder.plans.vector_queries",
     "larder.plans.quality_queries",
     "larder.plans.state_queries",
+    "larder.plans.answer_queries",
+    "larder.plans.source_queries",
 )
 
 
