@@ -96,7 +96,8 @@ def product_search_ranked(prod: DataFrame, cat: DataFrame, *, term: str) -> Data
             .withColumn("name_rank", F.when(F.lower("name").like(pat), 0).otherwise(1)))
 
 
-RANKED_ORDER = [F.asc("name_rank"), F.asc("name"), F.asc("product_id")]
+def ranked_order():
+    return [F.asc("name_rank"), F.asc("name"), F.asc("product_id")]
 
 
 def products_by_slug(prod: DataFrame, cat: DataFrame, *, slug: str) -> DataFrame:

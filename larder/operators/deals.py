@@ -29,12 +29,13 @@ def active_deals(deals: DataFrame, *, as_of: datetime, deal_type: str | None = N
     return d
 
 
-ACTIVE_DEAL_ORDER = [F.asc("end_date"), F.asc("deal_id")]
+def active_deal_order():
+    return [F.asc("end_date"), F.asc("deal_id")]
 
 
 def deals_by_type(deals: DataFrame, *, as_of: datetime, deal_type: str) -> DataFrame:
     """Unpaged list of live deals of one type, by end date."""
-    return active_deals(deals, as_of=as_of, deal_type=deal_type).orderBy(*ACTIVE_DEAL_ORDER)
+    return active_deals(deals, as_of=as_of, deal_type=deal_type).orderBy(*active_deal_order())
 
 
 def deal_view(deals: DataFrame, prod: DataFrame, cat: DataFrame) -> DataFrame:

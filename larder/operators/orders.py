@@ -205,7 +205,8 @@ def orders_of_user(orders: DataFrame, *, user_id) -> DataFrame:
     return orders.filter(F.col("user_id") == F.lit(user_id))
 
 
-USER_ORDER_SORT = [F.desc("created_at"), F.desc("order_id")]
+def user_order_sort():
+    return [F.desc("created_at"), F.desc("order_id")]
 
 
 def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_of: datetime) -> DataFrame:

@@ -84,7 +84,7 @@ def q_product_search_ranked(spark, d):
     """LIKE search, name hits first, page 2 of 40."""
     m = RetailModel(spark, d)
     p = C.product_search_ranked(m.products, m.categories, term="ro")
-    return C.paginate(p, order=C.RANKED_ORDER, page=2, size=40).select(
+    return C.paginate(p, order=C.ranked_order(), page=2, size=40).select(
         "product_id", "name", "name_rank", *_PAGE_COLS)
 
 

@@ -37,7 +37,7 @@ FROM f, t ORDER BY end_date, deal_id LIMIT 25 OFFSET 25""")
 def q_active_deals_page(spark, d):
     """Live deals by end date, page 2 of 25."""
     a = D.active_deals(RetailModel(spark, d).deals, as_of=AS_OF)
-    return paginate(a, order=D.ACTIVE_DEAL_ORDER, page=2, size=25).select(
+    return paginate(a, order=D.active_deal_order(), page=2, size=25).select(
         "deal_id", "deal_type", "end_date", "total_count", "page", "page_size",
         "total_pages", "has_next", "has_previous")
 

@@ -193,7 +193,7 @@ def q_orders_of_user_page(spark, d):
     """The newest orders of one user (the highest user id), first page."""
     o = RetailModel(spark, d).orders
     uid = o.agg(F.max("user_id")).scalar()
-    return paginate(o.filter(F.col("user_id") == uid), order=O.USER_ORDER_SORT, page=1, size=5).select(
+    return paginate(o.filter(F.col("user_id") == uid), order=O.user_order_sort(), page=1, size=5).select(
         "order_id", "created_at", "status", "total", "total_count", "page", "page_size",
         "total_pages", "has_next", "has_previous")
 
