@@ -171,12 +171,14 @@ def vector_top_k(queries: DataFrame, collection: DataFrame, *, k: int, id_col: s
     blocked = qdf.withColumn("_blk", F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(nblk)))
     for b in range(nblk):
         rows = blocked.filter(F.col("_blk") == b).drop("_blk").collect()  # one bounded block
+        if not rows:
+            continue
         qids = [r["query_id"] for r in rows]
         qmat = np.array([r["_qv"] for r in rows], dtype=np.float64)
         qf = [r["_qf"] for r in rows] if query_filter_col else None
         parts.append(_block_top_k(collection, qids, qmat, qf, id_col=id_col, vec_col=vec_col,
                                   filter_col=filter_col, k=k))
-    cand = parts[0]
+    cand = parts[0]  # block 0 always holds a query when n <= block; else some block does
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
