@@ -390,7 +390,8 @@ def staff_answer(questions: DataFrame, prod: DataFrame, cat: DataFrame, deals: D
     totals = (pu.join(F.broadcast(price_counts.withColumnRenamed("category", "pc_cat")),
                       (pu["category"].isNull() | (pu["category"] == F.col("pc_cat"))) & (F.col("price") < pu["max_price"]),
                       "left").groupBy(pu["max_price"], pu["category"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
-    txt = lines.join(totals, ["max_price", "category"]).select(
+    tot = totals.select(F.col("max_price").alias("_mp"), F.col("category").alias("_cat"), "total")
+    txt = lines.join(tot, lines["max_price"].eqNullSafe(tot["_mp"]) & lines["category"].eqNullSafe(tot["_cat"])).select(
         "max_price", "category",
         F.concat_ws("\n", F.concat(F.lit("**"), F.col("total").cast("string"), F.lit(" products under "),
                                    F.format_string("$%.2f", F.col("max_price")), _in_cat(), F.lit(" (showing "),
