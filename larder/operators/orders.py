@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import order_number, plus_minutes
+from larder.session import ensure_checkpoint_dir
 
 # Pricing rules of cart and order totals.
 TAX_RATE = "0.07"
@@ -156,6 +157,10 @@ def create_order(events: DataFrame, prod: DataFrame) -> tuple[DataFrame, DataFra
     an empty cart is rejected. Returns (orders, items, rejects)."""
     reset = F.col("op").isin(*SESSION_RESET_OPS)
     ep = running_count(events, part="session_id", ts="event_ts", tie="event_id", flag=reset, name="epoch")
+    # the epoch-annotated events feed four branches: compute them once and cut
+    # the lineage in the shared checkpoint folder
+    ensure_checkpoint_dir(events.sparkSession)
+    ep = ep.checkpoint(eager=True)
     state = cart_state(ep.filter(~reset), keys=("session_id", "epoch"))
     items = cart_lines(state, prod)
     checkouts = ep.filter(F.col("op") == "checkout").select(

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.operators.parallel import spread
+
 DEFAULT_DIM = 64
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -67,7 +69,7 @@ def embed_texts(df: DataFrame, text_col: str, *, provider: Callable[[list[str]],
     (``on_error='zero'``) or drops its rows (``'skip'``).
     """
     if provider is None:
-        return df.withColumn(out_col, hashed_embedding(text_col, dim))
+        return spread(df).withColumn(out_col, hashed_embedding(text_col, dim))
     if on_error not in ("zero", "skip"):
         raise ValueError("on_error must be 'zero' or 'skip'")
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
@@ -89,7 +91,7 @@ def embed_texts(df: DataFrame, text_col: str, *, provider: Callable[[list[str]],
                     keep.extend([on_error == "zero"] * len(chunk))
             pdf = pdf.assign(**{out_col: out})
             yield pdf[keep] if on_error == "skip" else pdf
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 def _block_top_k(collection: DataFrame, qids: list, qmat: np.ndarray, qfilter: list | None, *,
@@ -137,7 +139,7 @@ def _block_top_k(collection: DataFrame, qids: list, qmat: np.ndarray, qfilter: l
                     rows_s.append(float(best_s[qi, j]))
         yield pd.DataFrame({"query_id": rows_q, id_col: rows_i, "score": rows_s})
 
-    return collection.select(*cols).mapInPandas(run, schema)
+    return spread(collection.select(*cols)).mapInPandas(run, schema)
 
 
 def vector_top_k(queries: DataFrame, collection: DataFrame, *, k: int, id_col: str = "vec_id",
