@@ -258,3 +258,25 @@ def title_case(s: ColumnOrName) -> Column:
 def null_default(c: ColumnOrName, default) -> Column:
     """payload / brand defaults."""
     return F.coalesce(_c(c), F.lit(default))
+
+
+CART_JSON_SCHEMA = "array<struct<ProductId:bigint,Quantity:bigint>>"
+SESSION_JSON_SCHEMA = "struct<messages:array<struct<role:string,content:string,timestamp:string>>,created_at:string>"
+
+
+def cart_to_json(items: ColumnOrName) -> Column:
+    """cart lines (array<struct<product_id, quantity>>) as the stored
+    JSON list ``[{"ProductId":..,"Quantity":..}]``."""
+    return F.to_json(F.transform(_c(items), lambda s: F.struct(s["product_id"].alias("ProductId"),
+                                                               s["quantity"].alias("Quantity"))))
+
+
+def cart_from_json(text: ColumnOrName) -> Column:
+    """stored cart JSON back to array<struct<product_id, quantity>>."""
+    parsed = F.from_json(_c(text), CART_JSON_SCHEMA)
+    return F.transform(parsed, lambda s: F.struct(s["ProductId"].alias("product_id"), s["Quantity"].alias("quantity")))
+
+
+def sku_list_json(skus: ColumnOrName) -> Column:
+    """retrieved product skus stored as a JSON text list."""
+    return F.to_json(_c(skus))

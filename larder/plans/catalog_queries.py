@@ -306,3 +306,55 @@ def q_open_stores(spark, d):
     """Open stores with their nested, day-sorted hours (rows-only)."""
     s = RetailModel(spark, d).stores
     return C.open_stores(s, C.store_hours_expand(s)).select("store_id", "store_number", "hours")
+
+
+@register("products_with_category", """
+SELECT p.product_id, p.name, c.category, c.slug AS category_slug, c.display_order
+FROM products p JOIN categories c ON p.category = c.category""")
+def q_products_with_category(spark, d):
+    """Products with their category row (inner equi join)."""
+    from larder.operators.analytics import products_in_categories
+    m = RetailModel(spark, d)
+    return products_in_categories(m.products, m.categories).select(
+        "product_id", "name", "category", "category_slug", "display_order")
+
+
+@register("category_product_count", """
+SELECT c.category, c.slug, c.display_order, coalesce(n.cnt, 0) AS product_count
+FROM categories c LEFT JOIN (SELECT category, count(*) AS cnt FROM products WHERE is_available GROUP BY category) n
+  ON c.category = n.category
+WHERE c.is_active""")
+def q_category_product_count(spark, d):
+    """Active categories by display order with their available-product
+    count (pre-aggregated, then left-joined; empty categories count 0)."""
+    from larder.operators.analytics import list_categories
+    m = RetailModel(spark, d)
+    return list_categories(m.categories, m.products).select(
+        F.col("name").alias("category"), "slug", "display_order", "product_count")
+
+
+@register("category_by_slug", """
+SELECT category, slug, display_order FROM categories WHERE slug = 'promo' AND is_active""")
+def q_category_by_slug(spark, d):
+    """Category by slug, only when active (an unknown or inactive slug -> empty)."""
+    c = RetailModel(spark, d).categories
+    return c.filter((F.col("slug") == "promo") & F.col("is_active")).select("category", "slug", "display_order")
+
+
+@register("lookup_orders_by_id", """
+SELECT order_id, user_id, status, CAST(total AS DOUBLE) AS total FROM shop_orders
+WHERE order_id IN (SELECT order_id FROM order_items WHERE deal_id IS NOT NULL)""")
+def q_lookup_orders_by_id(spark, d):
+    """B12 batch form for orders: orders looked up by the ids of their deal lines."""
+    m = RetailModel(spark, d)
+    keys = m.order_items.filter(F.col("deal_id").isNotNull())
+    return C.lookup_by_id(m.orders, keys, "order_id").select("order_id", "user_id", "status", "total")
+
+
+@register("lookup_deals_by_id", """
+SELECT deal_id, product_id, deal_type FROM deals WHERE deal_id IN (SELECT deal_id FROM order_items)""")
+def q_lookup_deals_by_id(spark, d):
+    """B12 batch form for deals: deals referenced by order lines."""
+    m = RetailModel(spark, d)
+    return C.lookup_by_id(m.deals, m.order_items.filter(F.col("deal_id").isNotNull()), "deal_id").select(
+        "deal_id", "product_id", "deal_type")

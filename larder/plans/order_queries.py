@@ -243,3 +243,14 @@ def q_product_upsert(spark, d):
     m = RetailModel(spark, d)
     changes = spark.sql(_PRODUCT_CHANGES, part=m.table("part"))
     return O.product_upsert(m.products, changes, m.categories, as_of=AS_OF)
+
+
+@register("cart_json")
+def q_cart_json(spark, d):
+    """every final cart stored as its JSON list and read back (rows-only)."""
+    from larder.functions.text import cart_from_json, cart_to_json
+    st = O.cart_state(RetailModel(spark, d).cart_events)
+    carts = st.groupBy("session_id").agg(
+        F.sort_array(F.collect_list(F.struct("product_id", "quantity"))).alias("items"))  # <= catalogue lines
+    js = carts.select("session_id", cart_to_json("items").alias("cart_json"))
+    return js.select("session_id", "cart_json", F.size(cart_from_json("cart_json")).alias("lines"))
