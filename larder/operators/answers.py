@@ -244,7 +244,9 @@ def staff_answer(questions: DataFrame, prod: DataFrame, cat: DataFrame, deals: D
     cond = ((cp["category"].isNull() | (cp["category"] == per["category"])) &
             (cp["brand"].isNull() | per["lbrand"].contains(cp["brand"])) &
             (~cp["organic_only"] | per["is_organic"]))
-    counts = (cp.join(F.broadcast(per), cond, "left")  # both sides are small aggregates
+    # the parameter side is bounded by the keyword tables; the planner broadcasts
+    # whichever side its measured size allows
+    counts = (cp.join(per, cond, "left")
               .groupBy(cp["category"], cp["brand"], cp["organic_only"])
               .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cnt")))
     desc = F.concat_ws(" ", F.when(F.col("organic_only"), F.lit("organic")),
@@ -387,7 +389,7 @@ def staff_answer(questions: DataFrame, prod: DataFrame, cat: DataFrame, deals: D
             lambda s: s["l"]), "\n").alias("lines"),
         F.count(cheap["_r"]).alias("shown"))
     price_counts = avail.groupBy("category", "price").agg(F.count(F.lit(1)).alias("n"))
-    totals = (pu.join(F.broadcast(price_counts.withColumnRenamed("category", "pc_cat")),
+    totals = (pu.join(price_counts.withColumnRenamed("category", "pc_cat"),
                       (pu["category"].isNull() | (pu["category"] == F.col("pc_cat"))) & (F.col("price") < pu["max_price"]),
                       "left").groupBy(pu["max_price"], pu["category"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
     tot = totals.select(F.col("max_price").alias("_mp"), F.col("category").alias("_cat"), "total")
