@@ -79,10 +79,9 @@ def expiry_resets(events: DataFrame, *, ttl_seconds: int) -> DataFrame:
     """I2 batch form: a cart not written for ``ttl_seconds`` is gone; the
     first event after such a gap sees an empty cart. Emits one synthetic
     'clear' just before that event (same ts, event id - 0.5 ordering)."""
-    w = Window.partitionBy("session_id").orderBy("event_ts", "event_id")
-    prev = F.lag("event_ts").over(w)
-    gap = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
-    marked = events.withColumn("_gap", gap)
+    marked = previous_ts(events, part="session_id", ts="event_ts", tie="event_id", name="_prev")
+    gap = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+    marked = marked.withColumn("_gap", gap)
     clears = (marked.filter(F.col("_gap") > F.lit(ttl_seconds * 1_000_000))
               .select("session_id", "event_ts", (F.col("event_id").cast("double") - 0.5).alias("event_id"),
                       F.lit("clear").alias("op"), F.lit(None).cast("bigint").alias("product_id"),
@@ -92,6 +91,22 @@ def expiry_resets(events: DataFrame, *, ttl_seconds: int) -> DataFrame:
     return base.unionByName(clears)
 
 
+def previous_ts(df: DataFrame, *, part: str, ts: str, tie: str, name: str = "prev_ts",
+                bucket_seconds: int = 3600) -> DataFrame:
+    """Timestamp of the previous row of the same ``part`` (by ts, tie).
+
+    Two levels, like :func:`running_count`: a lag inside each (key, time
+    bucket) and, for a bucket's first row, the last timestamp of the previous
+    non-empty bucket taken from the small per-bucket aggregate."""
+    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
+    d = df.withColumn("_b", b)
+    d = d.withColumn("_lag", F.lag(ts).over(Window.partitionBy(part, "_b").orderBy(ts, tie)))
+    last = (d.groupBy(part, "_b").agg(F.max(ts).alias("_last"))
+            .withColumn("_before", F.lag("_last").over(Window.partitionBy(part).orderBy("_b"))))
+    return (d.join(last.select(part, "_b", "_before"), [part, "_b"], "inner")
+            .withColumn(name, F.coalesce("_lag", "_before")).drop("_b", "_lag", "_before"))
+
+
 def cart_lines(state: DataFrame, prod: DataFrame) -> DataFrame:
     """Cart items joined to products (unknown ids dropped); line total =
     price x quantity (deals do not discount the cart)."""
