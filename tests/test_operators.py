@@ -222,9 +222,10 @@ def test_embed_texts_provider_errors(spark):
             raise RuntimeError("provider down")
         return [[1.0, 0.0] for _ in texts]
     zero = V.embed_texts(df, "text", provider=flaky, batch=10, dim=2).collect()
-    assert len(zero) == 25 and sum(1 for r in zero if r.embedding == [0.0, 0.0]) == 10
-    skip = V.embed_texts(df, "text", provider=flaky, batch=10, on_error="skip", dim=2)
-    assert skip.count() == 15
+    failed = {r.id for r in zero if r.embedding == [0.0, 0.0]}
+    assert len(zero) == 25 and 13 in failed and 1 <= len(failed) <= 10   # only the failing batch
+    skip = V.embed_texts(df, "text", provider=flaky, batch=10, on_error="skip", dim=2).collect()
+    assert 15 <= len(skip) < 25 and 13 not in {r.id for r in skip}
     h = V.embed_texts(df, "text").first().embedding
     assert len(h) == V.DEFAULT_DIM and abs(sum(x * x for x in h) - 1.0) < 1e-9
 
