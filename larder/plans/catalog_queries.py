@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import clock_time, day_name
 from larder.operators import catalog as C
 from larder.plans.registry import register
+from larder.plans.sqlkit import doubles
 from larder.session import AS_OF, AS_OF_SQL
 from larder.sources.views import RetailModel
 
@@ -27,10 +28,10 @@ _AVAILABLE_JOINED = ("SELECT p.* FROM products p JOIN categories c ON p.category
                      "WHERE p.is_available")
 
 
-@register("products_filtered_page", _paged_sql(
+@register("products_filtered_page", doubles(_paged_sql(
     _AVAILABLE_JOINED + " AND p.category = 'PROMO' AND p.brand IS NOT NULL"
     " AND contains(lower(p.brand), 'brand#2')",
-    "price DESC, product_id", "product_id, name, sku, price, brand", 2, 10))
+    "price DESC, product_id", "product_id, name, sku, price, brand", 2, 10), "price"))
 def q_products_filtered_page(spark, d):
     """B1-B4 + E1 (price_desc) + E2 (page 2 of 10)."""
     m = RetailModel(spark, d)
@@ -40,9 +41,9 @@ def q_products_filtered_page(spark, d):
     return page.select("product_id", "name", "sku", "price", "brand", *_PAGE_COLS)
 
 
-@register("products_organic_price_asc", _paged_sql(
+@register("products_organic_price_asc", doubles(_paged_sql(
     _AVAILABLE_JOINED + " AND p.is_organic", "price, product_id",
-    "product_id, name, price", 1, 25))
+    "product_id, name, price", 1, 25), "price"))
 def q_products_organic_price_asc(spark, d):
     m = RetailModel(spark, d)
     p = C.find_products(m.products, m.categories, m.deals, as_of=AS_OF, organic=True)
@@ -50,10 +51,10 @@ def q_products_organic_price_asc(spark, d):
         "product_id", "name", "price", *_PAGE_COLS)
 
 
-@register("products_deals_only", _paged_sql(
+@register("products_deals_only", doubles(_paged_sql(
     _AVAILABLE_JOINED + f""" AND EXISTS (SELECT 1 FROM deals d WHERE d.product_id = p.product_id
       AND d.is_active AND d.end_date > {AS_OF_SQL})""",
-    "name, product_id", "product_id, name, price", 3, 20))
+    "name, product_id", "product_id, name, price", 3, 20), "price"))
 def q_products_deals_only(spark, d):
     """C5 dealsOnly, default (name) sort, page 3."""
     m = RetailModel(spark, d)
@@ -108,9 +109,9 @@ def q_products_by_unknown_slug(spark, d):
     return C.products_by_slug(m.products, m.categories, slug="no-such-slug").select("product_id", "name")
 
 
-@register("lookup_by_id", """
+@register("lookup_by_id", doubles("""
 SELECT product_id, name, sku, price FROM products
-WHERE product_id IN (SELECT product_id FROM order_items WHERE deal_id IS NOT NULL)""")
+WHERE product_id IN (SELECT product_id FROM order_items WHERE deal_id IS NOT NULL)""", "price"))
 def q_lookup_by_id(spark, d):
     """B12 batch form: products looked up by the ids referenced from deal lines."""
     m = RetailModel(spark, d)
@@ -135,7 +136,7 @@ def q_products_without_deal(spark, d):
     return C.products_without_deal(m.products, m.deals, as_of=AS_OF).select("product_id", "sku")
 
 
-@register("product_view_flat", f"""
+@register("product_view_flat", doubles(f"""
 WITH fd AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY end_date, deal_id) AS rn
   FROM deals WHERE is_active AND end_date > {AS_OF_SQL}) WHERE rn = 1)
@@ -146,7 +147,7 @@ SELECT p.product_id, p.name, p.category, p.price, p.sku, p.is_available,
        ELSE 'Today Only: ' || CAST(CAST(fd.discount_percent AS INT) AS VARCHAR) || '% Off' END AS deal_title,
   CAST(fd.discount_percent AS DOUBLE) AS deal_discount_percent,
   strftime(fd.end_date, '%Y-%m-%d %H:%M:%S') AS deal_end_date
-FROM products p JOIN categories c ON p.category = c.category LEFT JOIN fd ON p.product_id = fd.product_id""")
+FROM products p JOIN categories c ON p.category = c.category LEFT JOIN fd ON p.product_id = fd.product_id""", "price"))
 def q_product_view_flat(spark, d):
     """B14 flattened: product with its first live deal's fields (null when none)."""
     m = RetailModel(spark, d)
@@ -171,40 +172,40 @@ FROM products p JOIN categories c ON p.category = c.category
 WHERE p.is_available{cat} ORDER BY p.price {order}, p.product_id LIMIT {k}"""
 
 
-@register("cheapest_products", _price_sql("ASC", None, 5))
+@register("cheapest_products", doubles(_price_sql("ASC", None, 5), "price"))
 def q_cheapest_products(spark, d):
     m = RetailModel(spark, d)
     return C.cheapest_products(m.products, m.categories, k=5)
 
 
-@register("cheapest_in_category", _price_sql("ASC", "ECONOMY", 5))
+@register("cheapest_in_category", doubles(_price_sql("ASC", "ECONOMY", 5), "price"))
 def q_cheapest_in_category(spark, d):
     m = RetailModel(spark, d)
     return C.cheapest_products(m.products, m.categories, category="ECONOMY", k=5)
 
 
-@register("most_expensive_products", _price_sql("DESC", None, 5))
+@register("most_expensive_products", doubles(_price_sql("DESC", None, 5), "price"))
 def q_most_expensive_products(spark, d):
     m = RetailModel(spark, d)
     return C.most_expensive_products(m.products, m.categories, k=5)
 
 
-@register("products_under_price", """
+@register("products_under_price", doubles("""
 WITH f AS (SELECT p.product_id, p.name, p.sku, p.price, p.brand, c.category
   FROM products p JOIN categories c ON p.category = c.category
   WHERE p.is_available AND p.price < 905 AND c.category = 'LARGE')
-SELECT f.*, (SELECT count(*) FROM f) AS total FROM f ORDER BY price, product_id LIMIT 10""")
+SELECT f.*, (SELECT count(*) FROM f) AS total FROM f ORDER BY price, product_id LIMIT 10""", "price"))
 def q_products_under_price(spark, d):
     m = RetailModel(spark, d)
     return C.products_under_price(m.products, m.categories, max_price=905, category="LARGE", k=10)
 
 
-@register("store_brand_products", """
+@register("store_brand_products", doubles("""
 SELECT p.product_id, p.name, p.sku, p.price, p.brand, c.category,
   (SELECT count(*) FROM products WHERE is_available AND is_store_brand) AS total
 FROM products p JOIN categories c ON p.category = c.category
 WHERE p.is_available AND p.is_store_brand AND c.category = 'MEDIUM'
-ORDER BY p.name, p.product_id LIMIT 10""")
+ORDER BY p.name, p.product_id LIMIT 10""", "price"))
 def q_store_brand_products(spark, d):
     m = RetailModel(spark, d)
     return C.store_brand_products(m.products, m.categories, category="MEDIUM", k=10)
@@ -256,11 +257,11 @@ SELECT p_partkey AS seq,
 FROM {part}"""
 
 
-@register("bulk_insert_products", f"""
+@register("bulk_insert_products", doubles(f"""
 WITH inc AS ({_INCOMING_PRODUCTS.format(part='part').replace('AS STRING', 'AS VARCHAR')}),
 m AS (SELECT inc.*, c.category FROM inc JOIN categories c ON inc.category_slug = c.slug),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY seq) AS rn FROM m) WHERE rn = 1)
-SELECT sku, name, category, price FROM f WHERE sku NOT IN (SELECT sku FROM products)""")
+SELECT sku, name, category, price FROM f WHERE sku NOT IN (SELECT sku FROM products)""", "price"))
 def q_bulk_insert_products(spark, d):
     """A4: map slug, drop unknown slugs, first per sku, skip existing skus."""
     m = RetailModel(spark, d)

@@ -60,6 +60,8 @@ def register(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the retail model and the oracles are defined in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return comparable(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

@@ -31,3 +31,10 @@ def as_double(expr: str) -> str:
 def ts_text(expr: str) -> str:
     """Timestamp rendered like :func:`larder.plans.registry.comparable`."""
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+
+
+def doubles(sql: str, *cols: str) -> str:
+    """Wrap an oracle so the named DECIMAL columns come out as DOUBLE, the
+    type :func:`larder.plans.registry.comparable` gives the Spark side."""
+    repl = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({repl}) FROM ({sql.strip()}\n) AS q_"

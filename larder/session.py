@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 # Reference instant for every "now"-dependent operator over the driver tables.
-AS_OF = datetime(2001, 8, 2, 0, 0, 0)
+# (timezone-aware, so the literal means the same instant whatever the process zone)
+AS_OF = datetime(2001, 8, 2, 0, 0, 0, tzinfo=timezone.utc)
 AS_OF_SQL = "TIMESTAMP '2001-08-02 00:00:00'"
 
 _DEFAULT_CONF = {
