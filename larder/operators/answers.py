@@ -20,7 +20,7 @@ from larder.functions.text import deal_title, end_of_day, title_case
 from larder.session import ensure_checkpoint_dir
 
 # Prompts and context layout.
-SYSTEM_PROMPT = """You are a helpful AI shopping assistant for AI Delivery Grocery Shop, a grocery delivery service with 9 store locations in the Lakeland, Florida area.
+SYSTEM_PROMPT_TEMPLATE = """You are a helpful AI shopping assistant for {shop}, a grocery delivery service with 9 store locations in the Lakeland, Florida area.
 
 Your capabilities:
 - Search and recommend products from our catalog of 3,000+ items across 6 categories
@@ -39,7 +39,7 @@ Rules:
 7. Be friendly, concise, and helpful — like a knowledgeable grocery store associate.
 8. When listing multiple products, use a numbered list for clarity."""
 
-STAFF_SYSTEM_PROMPT = """You are an internal AI assistant for AI Delivery Grocery Shop store associates and managers.
+STAFF_SYSTEM_PROMPT_TEMPLATE = """You are an internal AI assistant for {shop} store associates and managers.
 You help staff with:
 - Product lookups (stock, pricing, SKUs, brands)
 - Deal status and performance
@@ -54,6 +54,16 @@ Rules:
 5. For managers: include aggregate data (counts, averages) when relevant.
 6. Format responses for quick scanning — use bullet points and bold for key numbers."""
 
+# The shop's display name is deployment data, passed in by the caller.
+DEFAULT_SHOP = "our grocery shop"
+SYSTEM_PROMPT = SYSTEM_PROMPT_TEMPLATE.replace("{shop}", DEFAULT_SHOP)
+STAFF_SYSTEM_PROMPT = STAFF_SYSTEM_PROMPT_TEMPLATE.replace("{shop}", DEFAULT_SHOP)
+
+
+def system_prompt(shop: str = DEFAULT_SHOP, *, staff: bool = False) -> str:
+    return (STAFF_SYSTEM_PROMPT_TEMPLATE if staff else SYSTEM_PROMPT_TEMPLATE).replace("{shop}", shop)
+
+
 PRODUCTS_HEADING = "=== Available Products ==="
 DEALS_HEADING = "\n=== Current Deals ==="
 STORES_HEADING = "\n=== Store Locations ==="
