@@ -359,3 +359,25 @@ def q_lookup_deals_by_id(spark, d):
     m = RetailModel(spark, d)
     return C.lookup_by_id(m.deals, m.order_items.filter(F.col("deal_id").isNotNull()), "deal_id").select(
         "deal_id", "product_id", "deal_type")
+
+
+# Customer locations around the stores (derived from the customer keys).
+_USER_POINTS = """
+SELECT c_custkey AS point_id,
+  CAST(CAST(27.8 AS DECIMAL(10,7)) + CAST((c_custkey * 13) % 100 AS DECIMAL(5,0)) * CAST(0.0047 AS DECIMAL(6,4)) AS DECIMAL(10,7)) AS lat,
+  CAST(CAST(-82.2 AS DECIMAL(10,7)) + CAST((c_custkey * 29) % 100 AS DECIMAL(5,0)) * CAST(0.0061 AS DECIMAL(6,4)) AS DECIMAL(10,7)) AS lng
+FROM {customer}"""
+
+
+@register("nearest_stores_batch", f"""
+WITH pts AS ({_USER_POINTS.format(customer='customer')}),
+d AS (SELECT pts.point_id, s.store_id,
+  CAST((abs(pts.lat - s.latitude) + abs(pts.lng - s.longitude)) * 10000000 AS BIGINT) AS distance_e7
+  FROM pts, stores s WHERE s.is_open),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_e7, store_id) AS rank FROM d)
+SELECT point_id, store_id, distance_e7, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def q_nearest_stores_batch(spark, d):
+    """E6 batch form: the 3 nearest open stores of every customer location."""
+    m = RetailModel(spark, d)
+    pts = spark.sql(_USER_POINTS, customer=m.table("customer"))
+    return C.nearest_stores_batch(pts, m.stores, k=3)
