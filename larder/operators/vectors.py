@@ -142,6 +142,52 @@ def _block_top_k(collection: DataFrame, qids: list, qmat: np.ndarray, qfilter: l
     return spread(collection.select(*cols)).mapInPandas(run, schema)
 
 
+def _topk_arrays(qm: np.ndarray, qf, m: np.ndarray, ids: np.ndarray, fv, k: int):
+    """Scores of a query block against a row block, best k per query."""
+    norms = np.linalg.norm(m, axis=1)
+    m = m / np.where(norms > 0, norms, 1.0)[:, None]
+    s = qm @ m.T
+    if qf is not None:
+        for qi, f in enumerate(qf):
+            if f is not None:
+                s[qi, fv != f] = -np.inf
+    kk = min(k, s.shape[1])
+    part = np.argpartition(-s, kk - 1, axis=1)[:, :kk] if s.shape[1] > kk else np.tile(np.arange(s.shape[1]), (len(s), 1))
+    return np.take_along_axis(s, part, axis=1), ids[part]
+
+
+def _grid_top_k(qdf: DataFrame, collection: DataFrame, *, n_q: int, n_c: int, dim: int, k: int, id_col: str,
+                vec_col: str, filter_col: str | None, has_filter: bool, cell_bytes: int) -> DataFrame:
+    """Query sets above one broadcast block: hash queries into B blocks and the
+    collection into C chunks (each about ``cell_bytes``), replicate so every
+    (block, chunk) cell meets once, and score each cell in one cogrouped
+    pandas call. Nothing passes through the driver and every group is bounded."""
+    per = 8 * max(dim, 1) + 64
+    nb = max(1, -(-n_q * per // cell_bytes))
+    nc = max(1, -(-n_c * per // cell_bytes))
+    q = (qdf.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
+         .withColumn("_cc", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
+    ccols = [id_col, vec_col] + ([filter_col] if filter_col else [])
+    c = (collection.select(*ccols).withColumn("_cc", F.pmod(F.xxhash64(id_col), F.lit(nc)))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
+    id_type = collection.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query_id", qdf.schema["query_id"].dataType),
+                           T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+
+    def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or cp.empty:
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        qm = np.vstack(qp["_qv"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        m = np.vstack(cp[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        qf = qp["_qf"].tolist() if has_filter else None
+        fv = cp[filter_col].to_numpy() if filter_col else None
+        sc, ids = _topk_arrays(qm, qf, m, cp[id_col].to_numpy(), fv, k)
+        keep = np.isfinite(sc)
+        qids = np.broadcast_to(qp["query_id"].to_numpy()[:, None], sc.shape)
+        return pd.DataFrame({"query_id": qids[keep], id_col: ids[keep], "score": sc[keep]})
+    return q.groupBy("_qb", "_cc").cogroup(c.groupBy("_qb", "_cc")).applyInPandas(cell, schema)
+
+
 def vector_top_k(queries: DataFrame, collection: DataFrame, *, k: int, id_col: str = "vec_id",
                  vec_col: str = "embedding", query_vec_col: str = "embedding",
                  filter_col: str | None = None, query_filter_col: str | None = None,
@@ -150,41 +196,35 @@ def vector_top_k(queries: DataFrame, collection: DataFrame, *, k: int, id_col: s
 
     ``queries``: query_id + vector (+ optional filter value; null = no filter).
     Returns query_id, <id_col>, score (double), rank (1 = best; ties by id).
-    The query block is broadcast only when its measured size is below
-    ``max_block_bytes``; larger query sets are split into blocks of that size.
+    A query set whose measured size fits ``max_block_bytes`` is broadcast and
+    scored in place by every collection partition; a larger one goes through
+    the distributed block grid (:func:`_grid_top_k`).
     """
     qcols = ["query_id", l2_normalize(F.col(query_vec_col)).alias("_qv")]
     if query_filter_col:
         qcols.append(F.col(query_filter_col).alias("_qf"))
     qdf = queries.select(*qcols)
-    dim_bytes = qdf.select(F.max(F.size("_qv")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if not dim_bytes or not dim_bytes["n"]:
-        id_type = collection.schema[id_col].dataType
+    stats = qdf.select(F.max(F.size("_qv")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    id_type = collection.schema[id_col].dataType
+    if not stats or not stats["n"]:
         return collection.sparkSession.createDataFrame(
             [], T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                               T.StructField(id_col, id_type), T.StructField("score", T.DoubleType()),
                               T.StructField("rank", T.IntegerType())]))
-    per_query = 8 * max(int(dim_bytes["d"] or 1), 1) + 64
-    block = max(1, max_block_bytes // per_query)
-    n = int(dim_bytes["n"])
-    parts = []
-    # hash blocks (no global ordering); expected block size is half the bound
-    nblk = 1 if n <= block else (2 * n + block - 1) // block
-    blocked = qdf.withColumn("_blk", F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(nblk)))
-    for b in range(nblk):
-        rows = blocked.filter(F.col("_blk") == b).drop("_blk").collect()  # one bounded block
-        if not rows:
-            continue
+    dim, n = int(stats["d"] or 1), int(stats["n"])
+    if n * (8 * dim + 64) <= max_block_bytes:
+        rows = qdf.collect()                                  # one block, size checked above
         qids = [r["query_id"] for r in rows]
         qmat = np.array([r["_qv"] for r in rows], dtype=np.float64)
         qf = [r["_qf"] for r in rows] if query_filter_col else None
-        parts.append(_block_top_k(collection, qids, qmat, qf, id_col=id_col, vec_col=vec_col,
-                                  filter_col=filter_col, k=k))
-    cand = parts[0]  # block 0 always holds a query when n <= block; else some block does
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        cand = _block_top_k(collection, qids, qmat, qf, id_col=id_col, vec_col=vec_col,
+                            filter_col=filter_col, k=k)
+    else:
+        n_c = collection.agg(F.count(F.lit(1))).first()[0]
+        cand = _grid_top_k(qdf, collection, n_q=n, n_c=n_c, dim=dim, k=k, id_col=id_col, vec_col=vec_col,
+                           filter_col=filter_col, has_filter=bool(query_filter_col), cell_bytes=max_block_bytes)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def category_centroids(collection: DataFrame, *, category_col: str = "category",

@@ -201,9 +201,9 @@ def test_vector_top_k_matches_brute_force(spark):
                                 "vec_id long, embedding array<double>, category string").repartition(5)
     qdf = spark.createDataFrame([(i, v.tolist(), f"c{i % 3}" if i % 2 else None) for i, v in enumerate(qs)],
                                 "query_id long, embedding array<double>, f string")
-    for filtered in (False, True):
+    for filtered, blk in ((False, 600), (True, 600), (False, 1 << 20), (True, 1 << 20)):
         got = V.vector_top_k(qdf, cdf, k=4, filter_col="category" if filtered else None,
-                             query_filter_col="f" if filtered else None, max_block_bytes=600)
+                             query_filter_col="f" if filtered else None, max_block_bytes=blk)
         got = {(r.query_id, r.rank): r.vec_id for r in got.collect()}
         cn = coll / np.linalg.norm(coll, axis=1)[:, None]
         for qi, q in enumerate(qs):
