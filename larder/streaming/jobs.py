@@ -163,3 +163,11 @@ def index_updates_writer(collection_path: str, products: DataFrame, text):
         out = index_incremental(current, changes, products, text=text)
         out.write.mode("overwrite").parquet(f"{collection_path}/v={batch_id + 1}")
     return write
+
+
+def checkpoint_location(spark, name: str) -> str:
+    """Stream checkpoint folder under the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``), so a restarted query resumes its offsets and
+    state after executor or driver loss."""
+    from larder.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
