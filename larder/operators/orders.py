@@ -147,14 +147,17 @@ def order_totals(items: DataFrame) -> DataFrame:
 
 
 def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
-                  bucket_seconds: int = 3600, name: str = "before") -> DataFrame:
+                  bucket_seconds: int = 3600, name: str = "before", bucket: Column | None = None) -> DataFrame:
     """Count of flagged rows strictly before each row within ``part``.
 
-    Two levels so a hot partition key is not one task: per-(key, time bucket)
+    Two levels so a hot partition key is not one task: per-(key, bucket)
     counts are prefix-summed on the small aggregate, then each bucket is
-    scanned on its own (window partitioned by key and bucket).
+    scanned on its own (window partitioned by key and bucket). Buckets are
+    time slices of ``ts``, or ``bucket`` when given (any expression that is
+    non-decreasing in the (ts, tie) order).
     """
-    b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
+    b = bucket if bucket is not None else \
+        F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
     d = df.withColumn("_b", b).withColumn("_f", flag.cast("int"))
     per_bucket = d.groupBy(part, "_b").agg(F.sum("_f").alias("_n"))
     offs = per_bucket.withColumn(
