@@ -359,7 +359,9 @@ def staff_answer(questions: DataFrame, prod: DataFrame, cat: DataFrame, deals: D
     tot = ranked.groupBy("_key").agg(F.count(F.lit(1)).alias("nb"))
     lines = _join_lines(ranked.filter("_r <= 15"), ["_key"], "_r",
                         F.concat(F.lit("- "), F.col("brand"), F.lit(" — "), F.col("n").cast("string"),
-                                 F.lit(" products")), "lines").join(tot, "_key")
+                                 F.lit(" products")), "lines")
+    tot = tot.withColumnRenamed("_key", "_tkey")
+    lines = lines.join(tot, lines["_key"].eqNullSafe(tot["_tkey"])).drop("_tkey")
     more = F.when(F.col("nb") > 15, F.concat(F.lit("  ...and "), (F.col("nb") - 15).cast("string"), F.lit(" more")))
     txt = ps.join(lines, ps["category"].eqNullSafe(lines["_key"]), "left").select(
         "category", F.concat_ws("\n", F.concat(F.lit("**"), F.coalesce("nb", F.lit(0)).cast("string"),

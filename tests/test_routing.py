@@ -162,7 +162,11 @@ def test_staff_answers_on_fixture(spark):
                                   "start_date timestamp, end_date timestamp, is_active boolean")
     qs = spark.createDataFrame([(1, "How many products do we carry?"), (2, "How many organic products are there?"),
                                 (3, "What deals are expiring today?"), (4, "Show products under $3"),
-                                (5, "Give me a deal summary"), (6, "hello there")], "question_id long, text string")
+                                (5, "Give me a deal summary"), (6, "hello there"),
+                                (7, "Show me all categories"), (8, "What are the cheapest fresh products?"),
+                                (9, "What brands do we carry?"), (10, "Show me our private label products"),
+                                (11, "How many weekly deals are there?"), (12, "What subcategories do we have?")],
+                               "question_id long, text string")
     out = {r.question_id: r.answer for r in staff_answer(qs, prod, cat, deals, as_of=as_of).collect()}
     assert out[1] == "We carry **3** total products."
     assert out[2] == "We carry **1** organic products."
@@ -170,3 +174,10 @@ def test_staff_answers_on_fixture(spark):
     assert out[4].startswith("**2 products under $3.00 (showing 2):**\n- Organic Fuji Apple (Nature's Best) — $1.99")
     assert out[5] == "**Active deals: 1 total**\n- DailyDeal: 1 deals, avg 25.0% off"
     assert out[6] is None
+    assert out[7] == "**Categories:**\n- Fresh — 2 products\n- Beverages — 1 products"
+    assert out[8] == ("**Cheapest products in Fresh:**\n- Organic Fuji Apple (Nature's Best) — $1.99/each [FRE-0001]\n"
+                      "- Banana Bundle — $2.49/each [FRE-0002]")
+    assert out[9] == "**2 brands:**\n- Crystal Clear — 1 products\n- Nature's Best — 1 products"
+    assert out[10] == "**Store brand products (1 total, showing 1):**\n- Spring Water — $4.99/each [BEV-0001]"
+    assert out[11] == "We have **0** WeeklyDeal deals right now."
+    assert out[12] == "**Top product tags:**\n- fruit,apple — 1 products"

@@ -126,3 +126,29 @@ def test_index_updates_foreach_batch(spark, scratch):
     out = J.latest_collection(spark, coll)
     ids = sorted(r.vec_id for r in out.collect())
     assert ids == [1]
+
+
+def test_late_events_dropped_in_stream_only(spark, scratch):
+    """Events behind the watermark are dropped by the stream (append mode), the
+    batch twin counts them: the difference is exactly the late rows. Each file
+    arrives in its own availableNow run on the same checkpoint, so the
+    watermark of one trigger applies to the next."""
+    from datetime import datetime, timedelta
+    schema = "event_id long, event_ts timestamp, event_type string, value double"
+    t0 = datetime(2024, 1, 1, 12, 0)
+    on_time = [(i, t0 + timedelta(minutes=10 * i), "click", 1.0) for i in range(12)]      # 12:00 .. 13:50
+    late = [(100, t0 + timedelta(minutes=5), "click", 1.0)]                             # 12:05, arrives later
+    closer = [(200, t0 + timedelta(hours=5), "click", 1.0)]                            # moves the watermark on
+    src, out, ck = (os.path.join(scratch, x) for x in ("stream", "out", "ck"))
+    for i, batch in enumerate([on_time, late, closer]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        q = (J.event_windows(stream, ts="event_ts", window="1 hour", lateness="10 minutes")
+             .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(300)
+    got = {r.window_start: r.events for r in spark.read.parquet(out).collect()}
+    assert got[t0] == 6                      # the 12:05 event came after the watermark passed 13:00
+    batch = spark.createDataFrame(on_time + late + closer, schema)
+    want = batch.filter((F.col("event_ts") >= t0) & (F.col("event_ts") < t0 + timedelta(hours=1))).count()
+    assert want == 7
