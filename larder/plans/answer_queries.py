@@ -104,3 +104,26 @@ def q_staff_answer(spark, d):
     m = RetailModel(spark, d)
     qs = _questions(m).select(F.col("query_id").alias("question_id"), "text")
     return A.staff_answer(qs, m.products, m.categories, m.deals, as_of=AS_OF)
+
+
+@register("index_stores")
+def q_index_stores(spark, d):
+    """H4 (stores): store text -> hashed embedding -> collection rows (rows-only)."""
+    s = _stores(RetailModel(spark, d))
+    docs = s.select(F.col("store_id").alias("vec_id"), "store_number",
+                    store_text("name", "address", "city", "state", "zip_code", "phone", "store_number").alias("text"))
+    return V.embed_texts(docs, "text").select("vec_id", "store_number", "embedding")
+
+
+@register("index_deals")
+def q_index_deals(spark, d):
+    """H4 (deals): deal text (product fields joined, defaults for unknown
+    products) -> hashed embedding, partitioned by deal type (rows-only)."""
+    m = RetailModel(spark, d)
+    dl = (m.deals.join(m.products.select("product_id", F.col("name").alias("product_name"),
+                                         F.col("sku").alias("product_sku"), "category", "price"), "product_id", "left")
+          .withColumn("title", deal_title("deal_type", "discount_percent")))
+    docs = dl.select(F.col("deal_id").alias("vec_id"), "deal_type", "product_sku", deal_text(
+        "title", "deal_type", "product_name", "category", "price",
+        deal_description("deal_type", "discount_percent", F.coalesce("product_name", F.lit("Unknown")))).alias("text"))
+    return V.embed_texts(docs, "text").select("vec_id", "deal_type", "product_sku", "embedding")

@@ -161,3 +161,39 @@ def q_chat_metrics_latency(spark, d):
     """Cumulative latency histogram (seconds) of the event stream."""
     ev = RetailModel(spark, d).table("events")
     return E.latency_histogram(ev, value="value")
+
+
+RETRIEVED_BOUNDS = [0.0, 1.0, 3.0, 5.0, 10.0, 20.0]
+
+
+@register("chat_metrics_retrieved", f"""
+WITH u AS (SELECT {sql_classify_intent('lower(text)')} AS intent,
+  coalesce({__import__('larder.functions.routing', fromlist=['x']).sql_scenario_skip("regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')")}, FALSE) AS skip
+  FROM chat_turns WHERE role = 'user'),
+n AS (SELECT CASE WHEN skip THEN 0 WHEN intent = 'store_info' THEN 8 WHEN intent = 'deal_inquiry' THEN 13 ELSE 13 END AS retrieved FROM u),
+b AS (SELECT unnest(['0.0', '1.0', '3.0', '5.0', '10.0', '20.0', '+Inf']) AS le,
+             unnest([0.0, 1.0, 3.0, 5.0, 10.0, 20.0, 'inf'::DOUBLE]) AS bound)
+SELECT b.le, (SELECT count(*) FROM n WHERE n.retrieved <= b.bound) AS count FROM b""")
+def q_chat_metrics_retrieved(spark, d):
+    """Cumulative histogram of documents retrieved per request (the
+    retrieval plan's products + deals + stores; scenario answers retrieve none)."""
+    from larder.functions import routing as R
+    t = RetailModel(spark, d).chat_turns.filter(F.col("role") == "user").select("text")
+    t = R.with_scenario(R.with_intent(t, "text"), "text")
+    plan = R.retrieval_plan("intent")
+    n = t.select(F.when(F.coalesce("skip_rag", F.lit(False)), F.lit(0))
+                 .otherwise(plan["k_products"] + plan["k_deals"] + plan["k_stores"]).alias("retrieved"))
+    return E.latency_histogram(n, value="retrieved", bounds=RETRIEVED_BOUNDS)
+
+
+@register("chat_metrics_embed_status", """
+SELECT CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda s: length(s) > 0)) > 0
+            THEN 'ok' ELSE 'empty' END AS status, count(*) AS requests
+FROM documents GROUP BY 1""")
+def q_chat_metrics_embed_status(spark, d):
+    """Embedding requests by status over all documents (a text without
+    any word yields a zero vector: status 'empty')."""
+    from larder.operators.vectors import token_buckets
+    docs = RetailModel(spark, d).table("documents")
+    st = F.when(F.size(token_buckets("text")) > 0, F.lit("ok")).otherwise(F.lit("empty"))
+    return docs.groupBy(st.alias("status")).agg(F.count(F.lit(1)).alias("requests"))
