@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.functions.routing import classify_intent, sql_classify_intent
+from larder.functions.routing import classify_intent, sql_classify_intent, sql_scenario_skip
 from larder.operators import evaluation as E
 from larder.plans.registry import register
 from larder.sources.views import RetailModel
@@ -168,7 +168,7 @@ RETRIEVED_BOUNDS = [0.0, 1.0, 3.0, 5.0, 10.0, 20.0]
 
 @register("chat_metrics_retrieved", f"""
 WITH u AS (SELECT {sql_classify_intent('lower(text)')} AS intent,
-  coalesce({__import__('larder.functions.routing', fromlist=['x']).sql_scenario_skip("regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')")}, FALSE) AS skip
+  coalesce({sql_scenario_skip("regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')")}, FALSE) AS skip
   FROM chat_turns WHERE role = 'user'),
 n AS (SELECT CASE WHEN skip THEN 0 WHEN intent = 'store_info' THEN 8 WHEN intent = 'deal_inquiry' THEN 13 ELSE 13 END AS retrieved FROM u),
 b AS (SELECT unnest(['0.0', '1.0', '3.0', '5.0', '10.0', '20.0', '+Inf']) AS le,
