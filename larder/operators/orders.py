@@ -107,11 +107,19 @@ def previous_ts(df: DataFrame, *, part: str, ts: str, tie: str, name: str = "pre
             .withColumn(name, F.coalesce("_lag", "_before")).drop("_b", "_lag", "_before"))
 
 
-def cart_lines(state: DataFrame, prod: DataFrame) -> DataFrame:
+def cart_lines(state: DataFrame, prod: DataFrame, deals: DataFrame | None = None, *,
+               as_of: datetime | None = None) -> DataFrame:
     """Cart items joined to products (unknown ids dropped); line total =
-    price x quantity (deals do not discount the cart)."""
-    return (state.join(prod.select("product_id", "name", "price", "sku"), "product_id", "inner")
-            .withColumn("line_total", (F.col("price") * F.col("quantity")).cast("decimal(18,2)")))
+    price x quantity (deals do not discount the cart). With ``deals`` the
+    first live deal of each product is attached for display (C11)."""
+    lines = (state.join(prod.select("product_id", "name", "price", "sku"), "product_id", "inner")
+             .withColumn("line_total", (F.col("price") * F.col("quantity")).cast("decimal(18,2)")))
+    if deals is not None:
+        from larder.operators.catalog import first_active_deal
+        fd = first_active_deal(deals, as_of=as_of).select("product_id", F.col("deal_id").alias("active_deal_id"),
+                                                          F.col("deal_type").alias("active_deal_type"))
+        lines = lines.join(fd, "product_id", "left")
+    return lines
 
 
 def money_totals(subtotal: Column, empty: Column) -> tuple[Column, Column, Column]:
@@ -123,14 +131,17 @@ def money_totals(subtotal: Column, empty: Column) -> tuple[Column, Column, Colum
     return tax, fee, (subtotal + tax + fee).cast("decimal(18,2)")
 
 
-def cart_totals(lines: DataFrame, sessions: DataFrame, *, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """Per cart: item count, subtotal, tax, fee, total. Sessions with an
-    empty cart get all zeros (including the fee)."""
+def cart_totals(lines: DataFrame, state: DataFrame, sessions: DataFrame, *,
+                keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Per cart: item count, subtotal, tax, fee, total. A cart with no
+    stored lines gets all zeros (fee included); a cart whose lines all point
+    to unknown products still pays the fee on its zero subtotal."""
     keys = list(keys)
     agg = lines.groupBy(*keys).agg(F.sum("quantity").cast("bigint").alias("item_count"),
                                    F.sum("line_total").cast("decimal(18,2)").alias("subtotal"))
-    t = sessions.select(*keys).distinct().join(agg, keys, "left")
-    empty = F.col("item_count").isNull()
+    stored = state.groupBy(*keys).agg(F.count(F.lit(1)).alias("_stored"))
+    t = sessions.select(*keys).distinct().join(stored, keys, "left").join(agg, keys, "left")
+    empty = F.col("_stored").isNull()
     sub = F.coalesce("subtotal", F.lit(0).cast("decimal(18,2)"))
     tax, fee, total = money_totals(sub, empty)
     return t.select(*keys, F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"),

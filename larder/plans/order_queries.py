@@ -73,22 +73,25 @@ def _totals_sql(sub: str, empty: str) -> tuple[str, str, str]:
     return tax, fee, f"({sub} + {tax} + {fee})"
 
 
-_TAX, _FEE, _TOTAL = _totals_sql("coalesce(t.subtotal, 0)", "t.item_count IS NULL")
+_TAX, _FEE, _TOTAL = _totals_sql("coalesce(t.subtotal, 0)", "t.no_lines")
 
 
 @register("cart_totals", "WITH RECURSIVE " + _fold_sql(_CART_SEQ, "session_id") + f""",
 t0 AS (SELECT f.session_id, CAST(sum(f.qty) AS BIGINT) AS item_count, sum(p.price * f.qty) AS subtotal
   FROM final f JOIN products p ON f.product_id = p.product_id GROUP BY f.session_id),
-t AS (SELECT s.session_id, t0.item_count, t0.subtotal FROM (SELECT DISTINCT session_id FROM cart_events) s
-  LEFT JOIN t0 ON s.session_id = t0.session_id)
+st AS (SELECT DISTINCT session_id FROM final),
+t AS (SELECT s.session_id, t0.item_count, t0.subtotal, st.session_id IS NULL AS no_lines
+  FROM (SELECT DISTINCT session_id FROM cart_events) s
+  LEFT JOIN t0 ON s.session_id = t0.session_id LEFT JOIN st ON s.session_id = st.session_id)
 SELECT t.session_id, coalesce(t.item_count, 0) AS item_count, CAST(coalesce(t.subtotal, 0) AS DOUBLE) AS subtotal,
   CAST({_TAX} AS DOUBLE) AS tax, CAST({_FEE} AS DOUBLE) AS delivery_fee, CAST({_TOTAL} AS DOUBLE) AS total
 FROM t""")
 def q_cart_totals(spark, d):
     """C10 + D14: priced cart lines and cart totals per session."""
     m = RetailModel(spark, d)
-    lines = O.cart_lines(O.cart_state(m.cart_events), m.products)
-    return O.cart_totals(lines, m.cart_events)
+    state = O.cart_state(m.cart_events)
+    lines = O.cart_lines(state, m.products, m.deals, as_of=AS_OF)
+    return O.cart_totals(lines, state, m.cart_events)
 
 
 _OT_TAX, _OT_FEE, _OT_TOTAL = _totals_sql("sum(line_total)", "FALSE")

@@ -152,14 +152,19 @@ def test_cart_totals_tax_and_fee(spark, shop):
     _, prod, _ = shop
     small = _cart(spark, [("add", 1, 2), ("add", 2, 1)])           # 2 x 1.99 + 2.49 = 6.47
     lines = O.cart_lines(O.cart_state(small), prod)
-    t = O.cart_totals(lines, small).first()
+    t = O.cart_totals(lines, O.cart_state(small), small).first()
     assert t.subtotal == Decimal("6.47") and t.tax == Decimal("0.45") and t.delivery_fee == Decimal("5.99")
     big = _cart(spark, [("add", 3, 8)])                               # 39.92 >= 35: free delivery
-    t = O.cart_totals(O.cart_lines(O.cart_state(big), prod), big).first()
+    t = O.cart_totals(O.cart_lines(O.cart_state(big), prod), O.cart_state(big), big).first()
     assert t.delivery_fee == Decimal("0.00") and t.tax == Decimal("2.79")
     empty = _cart(spark, [("add", 1, 1), ("clear", None, None)])
-    t = O.cart_totals(O.cart_lines(O.cart_state(empty), prod), empty).first()
+    t = O.cart_totals(O.cart_lines(O.cart_state(empty), prod), O.cart_state(empty), empty).first()
     assert t.item_count == 0 and t.total == Decimal("0.00") and t.delivery_fee == Decimal("0.00")
+    unknown = _cart(spark, [("add", 99, 1)])                          # stored line, unknown product
+    t = O.cart_totals(O.cart_lines(O.cart_state(unknown), prod), O.cart_state(unknown), unknown).first()
+    assert t.item_count == 0 and t.subtotal == Decimal("0.00") and t.delivery_fee == Decimal("5.99")
+    with_deal = O.cart_lines(O.cart_state(small), prod, shop[2], as_of=AS_OF)
+    assert {r.product_id: r.active_deal_type for r in with_deal.collect()} == {1: "DailyDeal", 2: None}
 
 
 def test_tax_rounds_half_even(spark):
