@@ -240,3 +240,45 @@ def test_category_stats_on_fixture(shop):
     r = {x.category: x for x in A.category_stats(prod, cat).collect()}
     assert r["Fresh"].product_count == 3 and r["Fresh"].organic_count == 1
     assert r["Fresh"].avg_price == Decimal("1.99")
+
+
+def test_keyset_page_equals_offset_page(spark):
+    df = spark.range(0, 1000).withColumnRenamed("id", "product_id")
+    offset_page = [r.product_id for r in df.orderBy("product_id").offset(500).limit(20).collect()]
+    keyset = [r.product_id for r in C.keyset_page(df, key="product_id", after=499, size=20).collect()]
+    assert keyset == offset_page
+    desc = [r.product_id for r in C.keyset_page(df, key="product_id", after=500, size=3, descending=True).collect()]
+    assert desc == [499, 498, 497]
+
+
+def test_cart_expiry_matches_fold_with_ttl(spark):
+    rng = np.random.default_rng(11)
+    rows, t = [], AS_OF
+    for i in range(300):
+        t = t + timedelta(hours=float(rng.choice([0.5, 3.0, 30.0], p=[0.6, 0.3, 0.1])))
+        op = ["add", "add", "set", "remove", "clear"][rng.integers(5)]
+        rows.append((i, f"s{rng.integers(3)}", t, op, int(rng.integers(4)),
+                     int(rng.integers(0, 4)) if op == "set" else int(rng.integers(1, 4))))
+    df = spark.createDataFrame(rows, "event_id long, session_id string, event_ts timestamp, op string, "
+                                     "product_id long, quantity int")
+    got = {(r.session_id, r.product_id): r.quantity
+           for r in O.cart_state(O.expiry_resets(df, ttl_seconds=24 * 3600)).collect()}
+    carts, last = {}, {}
+    for _, sid, ts, op, pid, q in rows:
+        if sid in last and (ts - last[sid]).total_seconds() > 24 * 3600:
+            carts[sid] = {}
+        c = carts.setdefault(sid, {})
+        if op == "add":
+            c[pid] = c.get(pid, 0) + q
+        elif op == "set" and pid in c:
+            if q <= 0:
+                del c[pid]
+            else:
+                c[pid] = q
+        elif op == "remove":
+            c.pop(pid, None)
+        elif op == "clear":
+            carts[sid] = {}
+        last[sid] = ts
+    want = {(s, p): q for s, c in carts.items() for p, q in c.items()}
+    assert got == want
