@@ -42,12 +42,16 @@ def token_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
 def _bincount_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def bincount_normalized(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            c = np.bincount(np.asarray(b if b is not None else [], dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt(c @ c)
-            out.append(c / n if n > 0 else c)
-        return pd.Series(out)
+        # one bincount for the whole Arrow batch: cell = row * dim + bucket
+        arrs = [np.asarray(b if b is not None else [], dtype=np.int64) for b in buckets]
+        n = len(arrs)
+        lengths = np.fromiter((len(a) for a in arrs), dtype=np.int64, count=n)
+        flat = np.concatenate(arrs) if n else np.empty(0, dtype=np.int64)
+        cells = np.repeat(np.arange(n, dtype=np.int64) * dim, lengths) + flat
+        c = np.bincount(cells, minlength=n * dim).astype(np.float64).reshape(n, dim)
+        norms = np.sqrt(np.einsum("ij,ij->i", c, c))
+        c = c / np.where(norms > 0, norms, 1.0)[:, None]
+        return pd.Series(list(c))
     return bincount_normalized
 
 
