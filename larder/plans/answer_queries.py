@@ -127,3 +127,13 @@ def q_index_deals(spark, d):
         "title", "deal_type", "product_name", "category", "price",
         deal_description("deal_type", "discount_percent", F.coalesce("product_name", F.lit("Unknown")))).alias("text"))
     return V.embed_texts(docs, "text").select("vec_id", "deal_type", "product_sku", "embedding")
+
+
+@register("persist_messages")
+def q_persist_messages(spark, d):
+    """I5 + F17: message rows persisted for every answered user turn (rows-only)."""
+    from larder.operators.sessions import persist_messages
+    m = RetailModel(spark, d)
+    q, ph, dh, sh = _hits(spark, m)
+    out = A.chat_batch(q.drop("embedding"), m.chat_turns, ph, dh, sh)
+    return persist_messages(out, q)
