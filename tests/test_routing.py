@@ -4,7 +4,7 @@ plain-Python twin that reads the same ordered rule tables."""
 import re
 from datetime import datetime
 
-import pytest
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

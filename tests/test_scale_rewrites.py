@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-import numpy as np
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
