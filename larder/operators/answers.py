@@ -135,7 +135,10 @@ def build_messages(questions: DataFrame, *, prompt: str = SYSTEM_PROMPT, staff_r
         suffix = " You are speaking to a store manager." if staff_role == "manager" else ""
         aug = F.concat(F.lit("Based on the following product data:\n\n"), F.col("context"),
                        F.lit(f"\n\nStaff question ({staff_role}): "), F.col("text"), F.lit(suffix))
-    hist = F.coalesce(F.slice(F.col("history"), -HISTORY_TURNS, HISTORY_TURNS),
+    # last HISTORY_TURNS entries; slice() with a negative start longer than the
+    # array would return an empty array, so the start is computed explicitly
+    h = F.col("history")
+    hist = F.coalesce(F.slice(h, F.greatest(F.lit(1), F.size(h) - (HISTORY_TURNS - 1)), F.lit(HISTORY_TURNS)),
                       F.array().cast("array<struct<role:string,content:string>>"))
     sys_msg = F.array(F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("content")))
     user_msg = F.array(F.struct(F.lit("user").alias("role"), aug.alias("content")))

@@ -86,7 +86,14 @@ def q_chat_batch(spark, d):
     return A.chat_batch(q.drop("embedding"), m.chat_turns, ph, dh, sh)
 
 
-@register("build_messages_staff")
+@register("build_messages_staff", """
+WITH q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, text FROM chat_turns WHERE role = 'user')
+SELECT query_id,
+  CAST(2 + least(10, (SELECT count(*) FROM chat_turns h WHERE h.conv_id = q.conv_id AND h.turn < q.turn)) AS INTEGER)
+    AS message_count,
+  'Based on the following product data:' || chr(10) || chr(10) || 'No relevant products found in our catalog.'
+    || chr(10) || chr(10) || 'Staff question (manager): ' || text || ' You are speaking to a store manager.' AS user_message
+FROM q""")
 def q_build_messages_staff(spark, d):
     """G10 staff variant: staff prompt, manager suffix, last 10 turns of history."""
     m = RetailModel(spark, d)

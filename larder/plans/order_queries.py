@@ -248,7 +248,10 @@ def q_product_upsert(spark, d):
     return O.product_upsert(m.products, changes, m.categories, as_of=AS_OF)
 
 
-@register("cart_json")
+@register("cart_json", "WITH RECURSIVE " + _fold_sql(_CART_SEQ, "session_id") + """
+SELECT session_id, to_json(list(struct_pack(ProductId := product_id, Quantity := qty) ORDER BY product_id, qty))
+  AS cart_json, CAST(count(*) AS INTEGER) AS lines
+FROM final GROUP BY session_id""")
 def q_cart_json(spark, d):
     """every final cart stored as its JSON list and read back (rows-only)."""
     from larder.functions.text import cart_from_json, cart_to_json
@@ -257,3 +260,21 @@ def q_cart_json(spark, d):
         F.sort_array(F.collect_list(F.struct("product_id", "quantity"))).alias("items"))  # <= catalogue lines
     js = carts.select("session_id", cart_to_json("items").alias("cart_json"))
     return js.select("session_id", "cart_json", F.size(cart_from_json("cart_json")).alias("lines"))
+
+
+@register("order_with_items_flat", """
+WITH it AS (SELECT i.order_id, i.product_id, p.name AS product_name, i.quantity, i.line_total
+  FROM order_items i LEFT JOIN products p ON i.product_id = p.product_id),
+g AS (SELECT order_id, count(*) AS n, string_agg(concat_ws(':', product_id, product_name, quantity, line_total), ';'
+  ORDER BY product_id, product_name, quantity, line_total) AS items_text FROM it GROUP BY order_id)
+SELECT o.order_id, o.status, CAST(coalesce(g.n, 0) AS INTEGER) AS item_count, g.items_text
+FROM shop_orders o LEFT JOIN g ON o.order_id = g.order_id""")
+def q_order_with_items_flat(spark, d):
+    """C9 flattened: each order with its sorted item lines rendered as text."""
+    m = RetailModel(spark, d)
+    o = O.order_with_items(m.orders, m.order_items, m.products)
+    text = F.array_join(F.transform("items", lambda i: F.concat_ws(
+        ":", i["product_id"].cast("string"), i["product_name"], i["quantity"].cast("string"),
+        i["line_total"].cast("string"))), ";")
+    return o.select("order_id", "status", F.coalesce(F.size("items"), F.lit(0)).cast("int").alias("item_count"),
+                    F.when(F.col("items").isNotNull(), text).alias("items_text"))

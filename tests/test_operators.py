@@ -300,3 +300,15 @@ def test_hashed_embedding_equals_python_twin(spark):
         n = np.linalg.norm(c)
         want = c / n if n > 0 else c
         assert np.allclose(got[i], want), t
+
+
+def test_build_messages_keeps_last_ten_history_turns(spark):
+    from larder.operators import answers as Ans
+    turns = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(13)],
+                                  "conv_id long, turn long, role string, text string")
+    h = Ans.history_window(turns).withColumn("query_id", F.col("turn")).withColumn("context", F.lit("ctx"))
+    msgs = {r.turn: r.messages for r in Ans.build_messages(h).collect()}
+    assert [m.content for m in msgs[12][1:-1]] == [f"m{t}" for t in range(2, 12)]   # 10 most recent
+    assert [m.content for m in msgs[3][1:-1]] == ["m0", "m1", "m2"]                  # short history kept whole
+    assert msgs[0][0].role == "system" and len(msgs[0]) == 2
+    assert msgs[12][-1].content.endswith("Customer question: m12")
