@@ -12,16 +12,31 @@ from pyspark.sql import functions as F
 from larder.functions.text import slug_pipeline, unit_weight_from_name
 from larder.operators import vectors as V
 from larder.plans.registry import register
+from larder.plans.sqlkit import avg_round
 from larder.session import ensure_checkpoint_dir
 from larder.sources import io
 from larder.sources.views import RetailModel
 
+# category_stats oracle plus the format that was written (Parquet: Delta is not installed)
+ANALYTICS_ORACLE_WITH_FORMAT = f"""
+SELECT c.category, count(*) AS product_count,
+  {avg_round('p.price')} AS avg_price,
+  CAST(min(p.price) AS DOUBLE) AS min_price, CAST(max(p.price) AS DOUBLE) AS max_price,
+  round(stddev_samp(CAST(p.price AS DOUBLE)), 2) AS price_stddev,
+  CAST(sum(CASE WHEN p.is_organic THEN 1 ELSE 0 END) AS BIGINT) AS organic_count,
+  CAST(sum(CASE WHEN p.is_store_brand THEN 1 ELSE 0 END) AS BIGINT) AS store_brand_count,
+  'parquet' AS format
+FROM products p JOIN categories c ON p.category = c.category
+GROUP BY c.category"""
+
 
 def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@register("json_catalog_roundtrip")
+@register("json_catalog_roundtrip", """
+SELECT category, count(*) AS products, round(sum(CAST(price AS DOUBLE)), 2) AS price_sum
+FROM products GROUP BY category""")
 def q_json_catalog_roundtrip(spark, d):
     """A3: products exported as products.json records and read back with the schema."""
     p = RetailModel(spark, d).products
@@ -38,7 +53,7 @@ def q_json_catalog_roundtrip(spark, d):
                                         F.round(F.sum("price"), 2).alias("price_sum"))
 
 
-@register("table_write_roundtrip")
+@register("table_write_roundtrip", ANALYTICS_ORACLE_WITH_FORMAT)
 def q_table_write_roundtrip(spark, d):
     """A2: category statistics written (Delta requested, Parquet fallback) and read back."""
     from larder.operators.analytics import category_stats
@@ -48,7 +63,8 @@ def q_table_write_roundtrip(spark, d):
     return spark.read.format(fmt).load(path).withColumn("format", F.lit(fmt))
 
 
-@register("vector_collection_roundtrip")
+@register("vector_collection_roundtrip", """
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, category FROM vectors WHERE category = 'c1'""")
 def q_vector_collection_roundtrip(spark, d):
     """Vectors written as a category-partitioned collection; a filtered
     read prunes to one partition."""
