@@ -144,3 +144,22 @@ def q_persist_messages(spark, d):
     q, ph, dh, sh = _hits(spark, m)
     out = A.chat_batch(q.drop("embedding"), m.chat_turns, ph, dh, sh)
     return persist_messages(out, q)
+
+
+# Staff questions of the reference's own tests (one per action).
+STAFF_EXAMPLES = [
+    "How many products do we carry?", "How many organic products are there?", "How many BOGO deals are active?",
+    "Total weekly deals?", "What deals are expiring today?", "Show me all categories",
+    "What are the cheapest fresh products?", "Most expensive meat products?", "Show products under $5 in beverages",
+    "What brands do we carry in deli?", "Show me our private label products", "Give me a deal summary",
+    "What subcategories do we have in baby?", "A customer is asking about meal planning suggestions",
+]
+
+
+@register("staff_answer_examples")
+def q_staff_answer_examples(spark, d):
+    """G11 over the whole catalogue: every action handler answers its example
+    question from the full product / deal / category tables (rows-only)."""
+    m = RetailModel(spark, d)
+    qs = spark.createDataFrame(list(enumerate(STAFF_EXAMPLES)), "question_id long, text string")
+    return A.staff_answer(qs, m.products, m.categories, m.deals, as_of=AS_OF)
