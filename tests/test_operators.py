@@ -312,3 +312,50 @@ def test_build_messages_keeps_last_ten_history_turns(spark):
     assert [m.content for m in msgs[3][1:-1]] == ["m0", "m1", "m2"]                  # short history kept whole
     assert msgs[0][0].role == "system" and len(msgs[0]) == 2
     assert msgs[12][-1].content.endswith("Customer question: m12")
+
+
+def _hits(spark):
+    ph = spark.createDataFrame(
+        [(1, r, f"SKU-{r}", f"Product {r}", 4.02 if r == 1 else 1.0, "lb" if r == 1 else "each", "Fresh",
+          r == 1, "Green Acres" if r == 1 else None) for r in range(1, 13)],
+        "query_id long, rank int, sku string, name string, price double, unit string, category string, "
+        "is_organic boolean, brand string")
+    dh = spark.createDataFrame([(1, 1, "30% Off This Week", "Product 1", "WeeklyDeal", 30.0, "SKU-1"),
+                                (1, 2, "Buy One Get One Free", "Product 2", "BOGO", None, "SKU-2")],
+                               "query_id long, rank int, title string, product_name string, deal_type string, "
+                               "discount_percent double, product_sku string")
+    sh = spark.createDataFrame([(1, 1, "Main Street", "1 Main St", "Springfield", "FL", "33801", "(555) 010-0101")],
+                               "query_id long, rank int, name string, address string, city string, state string, "
+                               "zip_code string, phone string")
+    return ph, dh, sh
+
+
+def test_build_context_layout(spark):
+    from larder.operators import answers as Ans
+    ph, dh, sh = _hits(spark)
+    qs = spark.createDataFrame([(1,), (2,)], "query_id long")
+    ctx = {r.query_id: r.context for r in Ans.build_context(qs, ph, dh, sh).collect()}
+    c = ctx[1]
+    assert c.startswith("=== Available Products ===\n- Product 1 | $4.02/lb | Fresh | Organic | Green Acres\n")
+    assert sum(1 for ln in c.split("\n") if ln.startswith("- Product")) == 8            # at most 8 products
+    assert "\n\n=== Current Deals ===\n- 30% Off This Week: Product 1 (WeeklyDeal) — 30% off\n" in c
+    assert "- Buy One Get One Free: Product 2 (BOGO)\n" in c                            # no percent for BOGO
+    assert c.endswith("\n\n=== Store Locations ===\n- Main Street: 1 Main St, Springfield, FL 33801 | Phone: (555) 010-0101")
+    assert ctx[2] == "No relevant products found in our catalog."
+
+
+def test_chat_batch_scenarios_and_refs(spark):
+    from larder.operators import answers as Ans
+    ph, dh, sh = _hits(spark)
+    qs = spark.createDataFrame([(1, 7, 0, "show me fresh fruit"), (2, 8, 0, "track my order please")],
+                               "query_id long, conv_id long, turn long, text string")
+    turns = qs.select("conv_id", "turn", F.lit("user").alias("role"), "text")
+    out = {r.query_id: r for r in Ans.chat_batch(qs, turns, ph, dh, sh).collect()}
+    a = out[1]
+    assert a.intent == "product_search" and a.scenario is None and a.model == "template"
+    assert a.response.startswith("Here is what I found:\n- Product 1 | $4.02/lb")
+    assert [(p.sku, p.deal_type) for p in a.products] == [("SKU-1", "WeeklyDeal"), ("SKU-2", "BOGO"),
+                                                          ("SKU-3", None), ("SKU-4", None), ("SKU-5", None)]
+    b = out[2]
+    assert b.scenario == "order_tracking" and b.model == "custom" and b.products == []
+    assert b.response.startswith("I appreciate your interest in tracking your order!")
