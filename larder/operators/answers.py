@@ -117,10 +117,22 @@ def build_context(queries: DataFrame, product_hits: DataFrame, deal_hits: DataFr
 
 def history_window(turns: DataFrame, *, key: str = "conv_id", n: int = HISTORY_TURNS) -> DataFrame:
     """For every turn, the (role, content) of the up to ``n`` turns before it
-    in its conversation (a bounded sliding window, no self-join)."""
-    w = Window.partitionBy(key).orderBy("turn").rowsBetween(-n, -1)
-    return turns.withColumn("history", F.collect_list(
-        F.struct(F.col("role").alias("role"), F.col("text").alias("content"))).over(w))
+    in its conversation, oldest first.
+
+    No conversation-wide window: positions come from the two-level running
+    count, each turn is copied to the ``n`` positions that follow it (bounded
+    replication), and each position collects at most ``n`` entries."""
+    from larder.operators.orders import running_count
+    pos = running_count(turns, part=key, ts="turn", tie="turn", flag=F.lit(True), name="_pos",
+                        bucket=F.floor(F.col("turn") / F.lit(10_000)))
+    src = pos.select(key, "_pos", F.struct(F.col("role").alias("role"), F.col("text").alias("content")).alias("_m"))
+    fan = src.withColumn("_target", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + n)))
+    hist = (fan.groupBy(key, "_target")
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_m"))).alias("_h"))
+            .select(key, F.col("_target").alias("_pos"), F.transform("_h", lambda e: e["_m"]).alias("history")))
+    empty = F.array().cast("array<struct<role:string,content:string>>")
+    return (pos.join(hist, [key, "_pos"], "left")
+            .withColumn("history", F.coalesce("history", empty)).drop("_pos"))
 
 
 def build_messages(questions: DataFrame, *, prompt: str = SYSTEM_PROMPT, staff_role: str | None = None) -> DataFrame:
