@@ -266,9 +266,13 @@ def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_
     max_suffix = (target.select(F.split_part("sku", F.lit("-"), F.lit(1)).alias("_prefix"),
                                 F.split_part("sku", F.lit("-"), F.lit(2)).cast("bigint").alias("_suf"))
                   .groupBy("_prefix").agg(F.max("_suf").alias("_max")))
-    creates = (j.filter(ins).withColumn("_prefix", prefix)
-               .join(max_suffix, "_prefix", "left")
-               .withColumn("_seq", F.row_number().over(Window.partitionBy("_prefix").orderBy("product_id")))
+    # numbering of the new rows per prefix: two-level running count over
+    # product-id ranges, so a burst of creates in one category is not one task
+    creates = running_count(j.filter(ins).withColumn("_prefix", prefix), part="_prefix", ts="product_id",
+                            tie="product_id", flag=F.lit(True), name="_before",
+                            bucket=F.floor(F.col("product_id") / F.lit(100_000)))
+    creates = (creates.join(max_suffix, "_prefix", "left")
+               .withColumn("_seq", F.col("_before") + 1)
                .withColumn("_new_sku", F.concat("_prefix", F.lit("-"),
                                                 F.lpad((F.coalesce("_max", F.lit(0)) + F.col("_seq")).cast("string"),
                                                        6, "0")))
