@@ -125,7 +125,7 @@ WITH r AS (SELECT product_id, sku, name, md5('11:' || CAST(product_id AS VARCHAR
   ORDER BY h, product_id LIMIT 365),
 n AS (SELECT *, row_number() OVER (ORDER BY h, product_id) AS rank,
   CAST('0x' || substr(h, 9, 8) AS BIGINT) % 1000 AS pick FROM r)
-SELECT product_id, sku AS product_sku, name, rank,
+SELECT product_id, sku AS product_sku, name, CAST(rank AS INTEGER) AS rank,
   CASE WHEN rank <= 200 THEN 'BOGO' WHEN rank <= 350 THEN 'WeeklyDeal' ELSE 'DailyDeal' END AS deal_type,
   CASE WHEN rank <= 200 THEN NULL WHEN rank <= 350 THEN CAST(([20, 25, 30, 35, 40])[pick % 5 + 1] AS DOUBLE)
        ELSE CAST(([25, 30, 35, 40, 45, 50])[pick % 6 + 1] AS DOUBLE) END AS discount_percent,

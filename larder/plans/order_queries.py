@@ -249,8 +249,8 @@ def q_product_upsert(spark, d):
 
 
 @register("cart_json", "WITH RECURSIVE " + _fold_sql(_CART_SEQ, "session_id") + """
-SELECT session_id, to_json(list(struct_pack(ProductId := product_id, Quantity := qty) ORDER BY product_id, qty))
-  AS cart_json, CAST(count(*) AS INTEGER) AS lines
+SELECT session_id, CAST(to_json(list(struct_pack(ProductId := product_id, Quantity := qty) ORDER BY product_id, qty))
+  AS VARCHAR) AS cart_json, CAST(count(*) AS INTEGER) AS lines
 FROM final GROUP BY session_id""")
 def q_cart_json(spark, d):
     """every final cart stored as its JSON list and read back (rows-only)."""

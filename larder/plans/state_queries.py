@@ -24,7 +24,7 @@ def q_chat_session_state(spark, d):
 
 
 @register("history_last_n", """
-SELECT conv_id, turn, role, back FROM (
+SELECT conv_id, turn, role, CAST(back AS INTEGER) AS back FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM chat_turns) WHERE back <= 10""")
 def q_history_last_n(spark, d):
     """I4: the last 10 messages of every conversation."""
