@@ -287,3 +287,18 @@ def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_
                     F.when(dele, F.lit(False)).when(ins, F.lit(True)).otherwise(F.col("is_available"))
                     .alias("is_available"),
                     F.when(upd | dele | ins, F.lit(as_of)).alias("updated_at")))
+
+
+def cart_expiry(events: DataFrame, *, ttl_seconds: int = 24 * 3600) -> DataFrame:
+    """I2 batch form: every session whose cart still holds lines after the
+    replay (with in-stream expiry), its expiry time (last write + TTL; reads
+    do not extend it) and whether it had expired when the event stream ends."""
+    state = cart_state(expiry_resets(events, ttl_seconds=ttl_seconds))
+    lines = state.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"),
+                                            F.sum("quantity").cast("bigint").alias("items"))
+    last = events.groupBy("session_id").agg(F.max("event_ts").alias("last_write"))
+    end = events.agg(F.max("event_ts")).scalar()
+    expires = F.col("last_write").cast("timestamp") + F.make_interval(secs=F.lit(ttl_seconds))
+    return (lines.join(last, "session_id", "inner")
+            .withColumn("expires_at", expires)
+            .withColumn("expired_at_end", expires < end.cast("timestamp")))

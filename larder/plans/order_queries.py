@@ -278,3 +278,15 @@ def q_order_with_items_flat(spark, d):
         i["line_total"].cast("string"))), ";")
     return o.select("order_id", "status", F.coalesce(F.size("items"), F.lit(0)).cast("int").alias("item_count"),
                     F.when(F.col("items").isNotNull(), text).alias("items_text"))
+
+
+@register("cart_expiry", "WITH RECURSIVE " + _fold_sql(_CART_SEQ_TTL, "session_id") + """,
+l AS (SELECT session_id, count(*) AS lines, CAST(sum(qty) AS BIGINT) AS items FROM final GROUP BY session_id),
+w AS (SELECT session_id, max(event_ts) AS last_write FROM cart_events GROUP BY session_id)
+SELECT l.session_id, l.lines, l.items, strftime(w.last_write, '%Y-%m-%d %H:%M:%S') AS last_write,
+  strftime(w.last_write + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS expires_at,
+  w.last_write + INTERVAL 24 HOUR < (SELECT max(event_ts) FROM cart_events) AS expired_at_end
+FROM l JOIN w ON l.session_id = w.session_id""")
+def q_cart_expiry(spark, d):
+    """Live carts with their 24 h expiry and whether the stream end passed it."""
+    return O.cart_expiry(RetailModel(spark, d).cart_events)
