@@ -359,3 +359,18 @@ def test_chat_batch_scenarios_and_refs(spark):
     b = out[2]
     assert b.scenario == "order_tracking" and b.model == "custom" and b.products == []
     assert b.response.startswith("I appreciate your interest in tracking your order!")
+
+
+def test_cart_expiry_report(spark):
+    t = AS_OF
+    ev = spark.createDataFrame([
+        (1, "a", t, "add", 1, 2),                                  # a: last write at t, expires t+24h
+        (2, "b", t + timedelta(hours=10), "add", 2, 1),            # b: emptied later, not reported
+        (3, "b", t + timedelta(hours=11), "remove", 2, None),
+        (4, "c", t + timedelta(hours=30), "add", 3, 4),            # c: last write at t+30h
+    ], "event_id long, session_id string, event_ts timestamp, op string, product_id long, quantity int")
+    out = {r.session_id: r for r in O.cart_expiry(ev).collect()}
+    assert set(out) == {"a", "c"}
+    assert out["a"].items == 2 and out["a"].expired_at_end                # t+24h < t+30h (stream end)
+    assert out["c"].lines == 1 and not out["c"].expired_at_end
+    assert out["a"].expires_at == t + timedelta(hours=24)
