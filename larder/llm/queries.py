@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, rules
+from larder.llm import chat, decontam, line_dedup, quality, rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,26 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op4_quality_classifier")
+def op4(spark, d):
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op6_line_dedup")
+def op6(spark, d):
+    return line_dedup.line_dedup(table(spark, d, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark, d):
+    """Labels are learnt only from rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, d, "documents")
+    fold = "crc32(cast(doc_id as string)) % 5"
+    model = toxicity.train(docs, table(spark, d, "labels"), f"{fold} <> 0")
+    return toxicity.score(docs, model).selectExpr("doc_id", f"{fold} = 0 AS held_out", "score", "predicted",
+                                                  "lang_threshold", "flagged")
+
+
 @query("op5_chat_format", r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
