@@ -101,7 +101,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = b.column(3).to_pylist()
         take: list[int] = []
         cols: list[list] = [[] for _ in names[2:]]
-        for part in X.slices(b.column(2)):
+        for part in X.slices(b.column(2).field("text")):
             lines = Lines(part)
             for i in range(part.n):
                 want = {w["pos"]: w for w in wanted[part.first + i]}
@@ -149,9 +149,8 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     src = docs.select(F.struct("*").alias("row"))
     text = F.col("row.text").cast("string")
     src = src.select(F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(text, F.lit(0)).alias("th"), "row")
-    flat = src.select("id", "th", F.col("row.text").cast("string").alias("text"))
 
-    occ = flat.mapInArrow(_occurrences, "id long, th long, pos int, h1 long, h2 long")
+    occ = src.select("id", "th", text.alias("text")).mapInArrow(_occurrences, "id long, th long, pos int, h1 long, h2 long")
     where = F.struct(F.col("id").isNotNull().alias("known"), "id", "th", "pos")
     # repeated chunks: combined map-side, so a chunk in a third of all documents is one row per task
     rep = S.write_table(occ.groupBy("h1", "h2").agg(F.min(where).alias("lead"), F.max(where).alias("tail"),
@@ -162,11 +161,10 @@ def clean_lines(docs: DataFrame) -> DataFrame:
         "id", "th", "pos", "h1", "h2", where.eqNullSafe(F.col("lead")).alias("first"))
     wanted = found.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "h1", "h2", "first")).alias("wanted"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    distinct = flat.dropDuplicates(["id", "th"])
-    bodies = (distinct.join(wanted, same(distinct, wanted))
-              .select(distinct["id"], distinct["th"], distinct["text"], wanted["wanted"])
+    # both joins with the documents shuffle the same columns, so Spark reuses one exchange
+    bodies = (src.join(wanted, same(src, wanted)).select(src["id"], src["th"], src["row"], wanted["wanted"])
               .mapInArrow(_bodies, "id long, th long, pos int, h1 long, h2 long, first boolean, body binary"))
-    lead = bodies.filter("first").select("h1", "h2", F.col("body").alias("lead_body"))
+    lead = bodies.filter("first").groupBy("h1", "h2").agg(F.first("body").alias("lead_body"))
     gone = (S.salted_join(bodies.filter("not first"), lead, ["h1", "h2"], hot, "th").filter(F.col("body") == F.col("lead_body"))
             .groupBy("id", "th").agg(F.collect_set("pos").alias("drop")))
     out = src.join(gone, same(src, gone), "left").select("row", "drop")
