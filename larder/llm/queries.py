@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, line_dedup, quality, rules, toxicity
+from larder.llm import chat, decontam, line_dedup, quality, rules, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,22 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op2_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+dup AS (SELECT doc_id, i FROM win QUALIFY doc_id > min(doc_id) OVER (PARTITION BY w)),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM dup)),
+spans AS (SELECT doc_id, p, p - lag(p, 1, -9) OVER (PARTITION BY doc_id ORDER BY p) > 1 AS opens FROM gone),
+g AS (SELECT doc_id, list(p) AS ps, count(*) FILTER (WHERE opens) AS n_factors FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ')
+         ELSE coalesce(array_to_string(list_filter(ws, lambda x, k: NOT list_contains(ps, k)), ' '), '') END) AS kept_sha256,
+  CAST(coalesce(n_factors, 0) AS BIGINT) AS n_factors
+FROM d LEFT JOIN g USING (doc_id)""")
+def op2(spark, d):
+    return substring_dedup.substring_dedup(table(spark, d, "documents"))
+
+
 @query("op4_quality_classifier")
 def op4(spark, d):
     return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
