@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, line_dedup, ngram_join, quality, rules, substring_dedup, toxicity
+from larder.llm import chat, decontam, line_dedup, mixing, ngram_join, quality, rules, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   fail_bits = 0 AS kept, fail_bits, n_lines, n_upper FROM f""")
 def op9(spark, d):
     return rules.quality_rules(table(spark, d, "documents"))
+
+
+@query("op10_mixing")
+def op10(spark, d):
+    docs = table(spark, d, "documents")
+    return mixing.mix(docs, mixing.language_domains(docs, table(spark, d, "labels")), mixing.TARGETS)
