@@ -321,8 +321,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """All columns of the documents that are the smallest doc_id of their component.
-    Rows without a doc_id stay unless their class has a named document; of rows
-    of equal doc_id that are linked, all stay."""
+    Rows without a doc_id stay; rows of equal doc_id stay or go together."""
     gone = (link_components(docs).filter(F.coalesce(F.col("component_id") != F.col("id"), F.lit(False)))
             .select(F.col("id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, line_dedup, mixing, ngram_join, quality, rules, substring_dedup, toxicity
+from larder.llm import chat, decontam, line_dedup, mixing, ngram_join, quality, rules, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op1_secret_scan")
+def op1(spark, d):
+    return secret_scan.secret_scan(table(spark, d, "documents"))
+
+
 @query("op2_substring_dedup", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+') AS ws FROM documents),
