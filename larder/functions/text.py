@@ -69,7 +69,7 @@ def sku_generate(slug: ColumnOrName, n: ColumnOrName) -> Column:
     """first three slug letters upper-cased, '-', number padded to 4 digits
     (wider numbers keep all digits); unknown category -> 'GEN'."""
     prefix = F.coalesce(F.upper(F.substring(_c(slug), 1, 3)), F.lit("GEN"))
-    return F.concat(prefix, F.lit("-"), F.format_string("%04d", _c(n).cast("int")))
+    return F.concat(prefix, F.lit("-"), F.format_string("%04d", _c(n).cast("bigint")))
 
 
 def money_format(amount: ColumnOrName) -> Column:

@@ -91,13 +91,16 @@ def deal_conversion(items: DataFrame) -> DataFrame:
 
 def revenue_impact(items: DataFrame, deals: DataFrame) -> DataFrame:
     """D7 (over C3): items left-joined to their deal, grouped by deal type with
-    the no-deal rows as their own (null) group."""
-    joined = items.join(deals.select("deal_id", "deal_type", "discount_percent"),
-                        "deal_id", "left")
+    the no-deal rows as their own (null) group. Items are summed by deal first,
+    so the items without one (most) are a single row of the join."""
+    per_deal = items.groupBy("deal_id").agg(F.count(F.lit(1)).alias("n"), F.count("line_total").alias("priced"),
+                                            F.sum("line_total").alias("total"))
+    joined = per_deal.join(deals.select("deal_id", "deal_type"), "deal_id", "left")
+    mean = F.try_divide(F.sum("total"), F.sum("priced"))  # six digits first, like avg() of DECIMAL(_, 2)
     return (joined.groupBy("deal_type")
-            .agg(F.count(F.lit(1)).alias("items_sold"),
-                 F.round(F.sum("line_total"), 2).alias("total_revenue"),
-                 F.round(F.avg("line_total"), 2).alias("avg_item_revenue"))
+            .agg(F.sum("n").alias("items_sold"),
+                 F.round(F.sum("total"), 2).alias("total_revenue"),
+                 F.round(F.round(mean, 6), 2).alias("avg_item_revenue"))
             .orderBy(F.asc_nulls_first("deal_type")))
 
 

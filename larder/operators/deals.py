@@ -74,7 +74,8 @@ def deal_expire(deals: DataFrame, *, as_of: datetime) -> DataFrame:
     hit = (F.col("deal_type") == "DailyDeal") & (F.col("end_date") < F.lit(as_of)) & F.col("is_active")
     return (deals.withColumn("_hit", hit)
             .withColumn("is_active", F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("is_active")))
-            .withColumn("updated_at", F.when(F.col("_hit"), F.lit(as_of)))
+            .withColumn("updated_at", F.when(F.col("_hit"), F.lit(as_of)).otherwise(
+                F.col("updated_at") if "updated_at" in deals.columns else F.lit(None).cast("timestamp")))
             .drop("_hit"))
 
 
@@ -155,17 +156,14 @@ def deal_upsert(target: DataFrame, changes: DataFrame, *, as_of: datetime) -> Da
     w = Window.partitionBy("deal_id").orderBy(F.desc("change_seq"))
     last = changes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     ch = last.select("deal_id", "op", *[F.col(c).alias(f"_n_{c}") for c in fields])
-    j = target.join(ch, "deal_id", "full_outer")
-    exists = F.col("deal_type").isNotNull()
+    j = target.withColumn("_known", F.lit(True)).join(ch, "deal_id", "full_outer")
+    exists = F.col("_known").isNotNull()
     upd = exists & (F.col("op") == "update")
     dele = exists & (F.col("op") == "delete")
     ins = ~exists & (F.col("op") == "create")
-    cols = []
-    for c in fields:
-        if c == "is_active":
-            v = (F.when(dele, F.lit(False)).when(upd | ins, F.col(f"_n_{c}")).otherwise(F.col(c)))
-        else:
-            v = F.when(upd | ins, F.col(f"_n_{c}")).otherwise(F.col(c))
-        cols.append(v.alias(c))
-    stamp = F.when(upd | dele | ins, F.lit(as_of)).alias("updated_at")
-    return j.filter(exists | ins).select("deal_id", *cols, stamp)
+    new = {c: F.when(upd | ins, F.col(f"_n_{c}")).otherwise(F.col(c)) for c in fields}
+    new["is_active"] = F.when(dele, F.lit(False)).otherwise(new["is_active"])
+    before = F.col("updated_at") if "updated_at" in target.columns else F.lit(None).cast("timestamp")
+    new["updated_at"] = F.when(upd | dele | ins, F.lit(as_of)).otherwise(before)
+    rest = [c for c in target.columns if c not in ("deal_id", *fields, "updated_at")]
+    return j.filter(exists | ins).select("deal_id", *[new[c].alias(c) for c in fields], *rest, new["updated_at"].alias("updated_at"))

@@ -24,17 +24,20 @@ def select_ranks(df: DataFrame, *, key: str, value: str, ranks: DataFrame, bucke
     """
     v = F.col("_v")
     bucket = (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * buckets_per_octave)).cast("long")
-    d = df.select(key, F.col(value).cast("double").alias("_v")).withColumn("_b", bucket)
-    hist = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # equal values are counted first, so a value that most rows share is one row
+    d = (df.select(key, F.col(value).cast("double").alias("_v")).groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+         .withColumn("_b", bucket))
+    hist = d.groupBy(key, "_b").agg(F.sum("_c").alias("_n"))
     w = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.withColumn("_cum", F.sum("_n").over(w)).withColumn("_before", F.col("_cum") - F.col("_n"))
     target = (ranks.join(cum, key, "inner")
               .filter((F.col("_before") < F.col("pos")) & (F.col("pos") <= F.col("_cum")))
               .select(key, "tag", "_b", (F.col("pos") - F.col("_before")).alias("_off")))
     rows = d.join(target.select(key, "_b").distinct(), [key, "_b"], "inner")
-    rw = Window.partitionBy(key, "_b").orderBy("_v")
-    ranked = rows.withColumn("_r", F.row_number().over(rw))
-    return (target.join(ranked, [key, "_b"], "inner").filter(F.col("_r") == F.col("_off"))
+    rw = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_r", F.sum("_c").over(rw))
+    return (target.join(ranked, [key, "_b"], "inner")
+            .filter((F.col("_r") - F.col("_c") < F.col("_off")) & (F.col("_off") <= F.col("_r")))
             .select(key, "tag", F.col("_v").alias("value")))
 
 

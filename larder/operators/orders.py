@@ -180,10 +180,12 @@ def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
             .drop("_b", "_f", "_off"))
 
 
-def create_order(events: DataFrame, prod: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def create_order(events: DataFrame, prod: DataFrame, *, ttl_seconds: int = 24 * 3600) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every checkout turns the cart it sees into an order (status
     Pending, ETA +45 min, totals as D14) and empties the cart; a checkout on
-    an empty cart is rejected. Returns (orders, items, rejects)."""
+    an empty cart, or on one not written for ``ttl_seconds`` (I2), is rejected.
+    Returns (orders, items, rejects)."""
+    events = expiry_resets(events, ttl_seconds=ttl_seconds)
     reset = F.col("op").isin(*SESSION_RESET_OPS)
     ep = running_count(events, part="session_id", ts="event_ts", tie="event_id", flag=reset, name="epoch")
     # the epoch-annotated events feed four branches: compute them once and cut
@@ -193,7 +195,7 @@ def create_order(events: DataFrame, prod: DataFrame) -> tuple[DataFrame, DataFra
     state = cart_state(ep.filter(~reset), keys=("session_id", "epoch"))
     items = cart_lines(state, prod)
     checkouts = ep.filter(F.col("op") == "checkout").select(
-        F.col("event_id").alias("order_id"), "session_id", "epoch", F.col("event_ts").alias("created_at"))
+        F.col("event_id").cast("bigint").alias("order_id"), "session_id", "epoch", F.col("event_ts").alias("created_at"))
     lines = items.join(checkouts, ["session_id", "epoch"], "inner")
     totals = lines.groupBy("order_id").agg(F.sum("quantity").cast("bigint").alias("item_count"),
                                             F.sum("line_total").cast("decimal(18,2)").alias("subtotal"))
@@ -220,7 +222,8 @@ def order_status_apply(orders: DataFrame, events: DataFrame, *, as_of: datetime)
             .select("order_id", F.col("_l.new_status").alias("_new")))
     j = orders.join(last, "order_id", "left")
     changed = F.col("_new").isNotNull() & (F.col("_new") != F.col("status"))
-    return (j.withColumn("updated_at", F.when(changed, F.lit(as_of)))
+    before = F.col("updated_at") if "updated_at" in orders.columns else F.lit(None).cast("timestamp")
+    return (j.withColumn("updated_at", F.when(changed, F.lit(as_of)).otherwise(before))
             .withColumn("status", F.coalesce("_new", "status")).drop("_new"))
 
 
@@ -248,16 +251,19 @@ def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_
 
     Creates get a slug (F1) and a sku: category prefix + the next numbers
     after the highest existing suffix of that prefix (no count+1 collisions).
-    Updates overwrite name / price / brand but keep sku and availability;
-    deletes set is_available = false. The last change per id wins; changes for
-    missing ids (other than creates) are ignored; ``updated_at`` only on
-    touched rows."""
+    Updates overwrite the fields that the feed carries but keep sku and
+    availability; deletes set is_available = false. The last change per id wins;
+    changes for missing ids (other than creates) are ignored. All other columns
+    of the target are kept, and so are slugs and ``updated_at`` of untouched
+    rows (a target without a slug column gets one)."""
     from larder.functions.text import slug_api
     w = Window.partitionBy("product_id").orderBy(F.desc("change_seq"))
     last = changes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    ch = last.select("product_id", "op", *[F.col(c).alias(f"_n_{c}") for c in ("category", "name", "price", "brand")])
-    j = target.join(ch, "product_id", "full_outer")
-    exists = F.col("sku").isNotNull()
+    fields = [c for c in changes.columns if c in target.columns
+              and c not in ("product_id", "sku", "slug", "is_available", "created_at", "updated_at")]
+    ch = last.select("product_id", "op", *[F.col(c).alias(f"_n_{c}") for c in fields])
+    j = target.withColumn("_known", F.lit(True)).join(ch, "product_id", "full_outer")
+    exists = F.col("_known").isNotNull()
     upd = exists & (F.col("op") == "update")
     dele = exists & (F.col("op") == "delete")
     ins = ~exists & (F.col("op") == "create")
@@ -274,19 +280,19 @@ def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_
     creates = (creates.join(max_suffix, "_prefix", "left")
                .withColumn("_seq", F.col("_before") + 1)
                .withColumn("_new_sku", F.concat("_prefix", F.lit("-"),
-                                                F.lpad((F.coalesce("_max", F.lit(0)) + F.col("_seq")).cast("string"),
-                                                       6, "0")))
+                                                F.format_string("%06d", F.coalesce("_max", F.lit(0)) + F.col("_seq"))))
                .select("product_id", "_new_sku"))
     j = j.join(creates, "product_id", "left")
     pick = lambda c: F.when(upd | ins, F.col(f"_n_{c}")).otherwise(F.col(c))
-    return (j.filter(exists | ins)
-            .select("product_id", pick("category").alias("category"), pick("name").alias("name"),
-                    pick("price").alias("price"), pick("brand").alias("brand"),
-                    F.when(ins, F.col("_new_sku")).otherwise(F.col("sku")).alias("sku"),
-                    F.when(ins, slug_api(F.col("_n_name"))).otherwise(slug_api(pick("name"))).alias("slug"),
-                    F.when(dele, F.lit(False)).when(ins, F.lit(True)).otherwise(F.col("is_available"))
-                    .alias("is_available"),
-                    F.when(upd | dele | ins, F.lit(as_of)).alias("updated_at")))
+    new = {c: pick(c) for c in fields}
+    new["sku"] = F.when(ins, F.col("_new_sku")).otherwise(F.col("sku"))
+    new["slug"] = (F.when(upd | ins, slug_api(F.col("_n_name"))).otherwise(F.col("slug")) if "slug" in target.columns
+                   else slug_api(pick("name")))
+    new["is_available"] = F.when(dele, F.lit(False)).when(ins, F.lit(True)).otherwise(F.col("is_available"))
+    before = F.col("updated_at") if "updated_at" in target.columns else F.lit(None).cast("timestamp")
+    new["updated_at"] = F.when(upd | dele | ins, F.lit(as_of)).otherwise(before)
+    cols = [*target.columns, *[c for c in ("slug", "updated_at") if c not in target.columns]]
+    return j.filter(exists | ins).select(*[new.get(c, F.col(c)).alias(c) for c in cols])
 
 
 def cart_expiry(events: DataFrame, *, ttl_seconds: int = 24 * 3600) -> DataFrame:

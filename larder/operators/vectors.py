@@ -1,12 +1,9 @@
 """Embeddings and exact cosine top-k retrieval.
 
-Top-k is exact and never materialises query x item pairs: queries are
-L2-normalised and shipped to every task as a size-checked broadcast block;
-each collection partition scores its Arrow batches against the block with one
-matrix product (``mapInPandas``) and keeps only its best k per query. A final
-shuffle then ranks at most ``partitions x k`` candidates per query. Query sets
-above the broadcast bound are processed block by block (one collection scan
-per block), so no step needs the whole query set in one place.
+Top-k is exact and never materialises query x item pairs: a grid of query
+blocks and collection chunks is scored cell by cell in tiles of bounded size,
+each cell keeps its best k rows per query, and a final shuffle ranks at most
+``chunks x k`` candidates per query. Ties are cut by id.
 """
 
 from __future__ import annotations
@@ -22,6 +19,8 @@ from pyspark.sql import types as T
 from larder.operators.parallel import spread
 
 DEFAULT_DIM = 64
+#: Scores held at a time while a cell is scored (16 MB of doubles).
+TILE_SCORES = 1 << 21
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -64,7 +63,7 @@ def hashed_embedding(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
 
 def embed_texts(df: DataFrame, text_col: str, *, provider: Callable[[list[str]], list[list[float]]] | None = None,
                 batch: int = 10, on_error: str = "zero", dim: int = DEFAULT_DIM,
-                out_col: str = "embedding") -> DataFrame:
+                out_col: str = "embedding", partitions: int | None = None) -> DataFrame:
     """Add an embedding column.
 
     Without ``provider`` the hashed bag-of-words expression is used (no Python).
@@ -73,7 +72,7 @@ def embed_texts(df: DataFrame, text_col: str, *, provider: Callable[[list[str]],
     (``on_error='zero'``) or drops its rows (``'skip'``).
     """
     if provider is None:
-        return spread(df).withColumn(out_col, hashed_embedding(text_col, dim))
+        return spread(df, partitions).withColumn(out_col, hashed_embedding(text_col, dim))
     if on_error not in ("zero", "skip"):
         raise ValueError("on_error must be 'zero' or 'skip'")
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
@@ -95,138 +94,74 @@ def embed_texts(df: DataFrame, text_col: str, *, provider: Callable[[list[str]],
                     keep.extend([on_error == "zero"] * len(chunk))
             pdf = pdf.assign(**{out_col: out})
             yield pdf[keep] if on_error == "skip" else pdf
-    return spread(df).mapInPandas(run, schema)
+    return spread(df, partitions).mapInPandas(run, schema)
 
 
-def _block_top_k(collection: DataFrame, qids: list, qmat: np.ndarray, qfilter: list | None, *,
-                 id_col: str, vec_col: str, filter_col: str | None, k: int) -> DataFrame:
-    spark = collection.sparkSession
-    bc = spark.sparkContext.broadcast((qids, qmat, qfilter))
-    cols = [id_col, vec_col] + ([filter_col] if filter_col else [])
-    id_type = collection.schema[id_col].dataType
-    qid_type = T.LongType() if all(isinstance(q, int) for q in qids) else T.StringType()
-    schema = T.StructType([T.StructField("query_id", qid_type), T.StructField(id_col, id_type),
-                           T.StructField("score", T.DoubleType())])
+def _cell_top_k(qm: np.ndarray, qf, m: np.ndarray, ids: np.ndarray, fv, k: int, digits: int):
+    """Best k rows of a row chunk for each query of a block: (query, row, score).
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, qm, qf = bc.value
-        nq = len(ids)
-        best_s = np.full((nq, 0), -np.inf)
-        best_i = np.empty((nq, 0), dtype=object)
-        for pdf in it:
-            if pdf.empty:
-                continue
-            m = np.vstack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            norms = np.linalg.norm(m, axis=1)
-            m = m / np.where(norms > 0, norms, 1.0)[:, None]
-            s = qm @ m.T                                   # (queries x rows) in this batch only
-            if qf is not None:
-                fv = pdf[filter_col].to_numpy()
-                for qi, f in enumerate(qf):
-                    if f is not None:
-                        s[qi, fv != f] = -np.inf
-            rid = np.broadcast_to(pdf[id_col].to_numpy(dtype=object), s.shape)
-            cs = np.concatenate([best_s, s], axis=1)
-            ci = np.concatenate([best_i, rid], axis=1)
-            if cs.shape[1] > k:
-                part = np.argpartition(-cs, k - 1, axis=1)[:, :k]
-                best_s = np.take_along_axis(cs, part, axis=1)
-                best_i = np.take_along_axis(ci, part, axis=1)
-            else:
-                best_s, best_i = cs, ci
-        rows_q, rows_i, rows_s = [], [], []
-        for qi in range(nq):
-            for j in range(best_s.shape[1]):
-                if np.isfinite(best_s[qi, j]):
-                    rows_q.append(ids[qi])
-                    rows_i.append(best_i[qi, j])
-                    rows_s.append(float(best_s[qi, j]))
-        yield pd.DataFrame({"query_id": rows_q, id_col: rows_i, "score": rows_s})
-
-    return spread(collection.select(*cols)).mapInPandas(run, schema)
-
-
-def _topk_arrays(qm: np.ndarray, qf, m: np.ndarray, ids: np.ndarray, fv, k: int):
-    """Scores of a query block against a row block, best k per query."""
+    Scores are computed in tiles of at most TILE_SCORES. The matrix product only
+    preselects rows within a rounding margin of the k-th best; their scores are
+    then summed in index order and rounded, so a score does not depend on how
+    rows meet in a tile, and equal scores are cut by id."""
     norms = np.linalg.norm(m, axis=1)
     m = m / np.where(norms > 0, norms, 1.0)[:, None]
-    s = qm @ m.T
-    if qf is not None:
-        for qi, f in enumerate(qf):
-            if f is not None:
-                s[qi, fv != f] = -np.inf
-    kk = min(k, s.shape[1])
-    part = np.argpartition(-s, kk - 1, axis=1)[:, :kk] if s.shape[1] > kk else np.tile(np.arange(s.shape[1]), (len(s), 1))
-    return np.take_along_axis(s, part, axis=1), ids[part]
-
-
-def _grid_top_k(qdf: DataFrame, collection: DataFrame, *, n_q: int, n_c: int, dim: int, k: int, id_col: str,
-                vec_col: str, filter_col: str | None, has_filter: bool, cell_bytes: int) -> DataFrame:
-    """Query sets above one broadcast block: hash queries into B blocks and the
-    collection into C chunks (each about ``cell_bytes``), replicate so every
-    (block, chunk) cell meets once, and score each cell in one cogrouped
-    pandas call. Nothing passes through the driver and every group is bounded."""
-    per = 8 * max(dim, 1) + 64
-    nb = max(1, -(-n_q * per // cell_bytes))
-    nc = max(1, -(-n_c * per // cell_bytes))
-    q = (qdf.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
-         .withColumn("_cc", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
-    ccols = [id_col, vec_col] + ([filter_col] if filter_col else [])
-    c = (collection.select(*ccols).withColumn("_cc", F.pmod(F.xxhash64(id_col), F.lit(nc)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
-    id_type = collection.schema[id_col].dataType
-    schema = T.StructType([T.StructField("query_id", qdf.schema["query_id"].dataType),
-                           T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
-
-    def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or cp.empty:
-            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
-        qm = np.vstack(qp["_qv"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        m = np.vstack(cp[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        qf = qp["_qf"].tolist() if has_filter else None
-        fv = cp[filter_col].to_numpy() if filter_col else None
-        sc, ids = _topk_arrays(qm, qf, m, cp[id_col].to_numpy(), fv, k)
-        keep = np.isfinite(sc)
-        qids = np.broadcast_to(qp["query_id"].to_numpy()[:, None], sc.shape)
-        return pd.DataFrame({"query_id": qids[keep], id_col: ids[keep], "score": sc[keep]})
-    return q.groupBy("_qb", "_cc").cogroup(c.groupBy("_qb", "_cc")).applyInPandas(cell, schema)
+    rank = np.unique(ids, return_inverse=True)[1]
+    out_q, out_r, out_s = [], [], []
+    step = max(1, TILE_SCORES // max(1, len(m)))
+    for lo in range(0, len(qm), step):
+        s = qm[lo:lo + step] @ m.T
+        for i, row in enumerate(s, lo):
+            at = np.arange(len(m)) if qf is None or qf[i] is None else np.flatnonzero(fv == qf[i])
+            if len(at) > k:
+                row = row[at]
+                at = at[row >= np.partition(row, len(row) - k)[len(row) - k] - 2 * 10.0 ** -digits]
+            exact = np.round(np.cumsum(m[at] * qm[i], axis=1)[:, -1], digits) + 0.0
+            best = np.lexsort((rank[at], -exact))[:k]
+            out_q.append(np.full(len(best), i))
+            out_r.append(at[best])
+            out_s.append(exact[best])
+    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
 
 
 def vector_top_k(queries: DataFrame, collection: DataFrame, *, k: int, id_col: str = "vec_id",
                  vec_col: str = "embedding", query_vec_col: str = "embedding",
                  filter_col: str | None = None, query_filter_col: str | None = None,
-                 max_block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+                 block_rows: int = 4096, chunk_rows: int = 16384, digits: int = 10) -> DataFrame:
     """Exact cosine top-k of every query over the collection.
 
     ``queries``: query_id + vector (+ optional filter value; null = no filter).
-    Returns query_id, <id_col>, score (double), rank (1 = best; ties by id).
-    A query set whose measured size fits ``max_block_bytes`` is broadcast and
-    scored in place by every collection partition; a larger one goes through
-    the distributed block grid (:func:`_grid_top_k`).
+    Returns query_id, <id_col>, score (double, rounded to ``digits``), rank
+    (1 = best; ties by id). Queries are hashed into blocks and the collection
+    into chunks of about ``block_rows`` and ``chunk_rows``; each (block, chunk)
+    cell is scored in one cogrouped call and keeps k rows per query, so neither
+    side passes through the driver and a task holds one cell. The sizes change
+    the layout only, never the rows.
     """
-    qcols = ["query_id", l2_normalize(F.col(query_vec_col)).alias("_qv")]
-    if query_filter_col:
-        qcols.append(F.col(query_filter_col).alias("_qf"))
-    qdf = queries.select(*qcols)
-    stats = qdf.select(F.max(F.size("_qv")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    id_type = collection.schema[id_col].dataType
-    if not stats or not stats["n"]:
-        return collection.sparkSession.createDataFrame(
-            [], T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
-                              T.StructField(id_col, id_type), T.StructField("score", T.DoubleType()),
-                              T.StructField("rank", T.IntegerType())]))
-    dim, n = int(stats["d"] or 1), int(stats["n"])
-    if n * (8 * dim + 64) <= max_block_bytes:
-        rows = qdf.collect()                                  # one block, size checked above
-        qids = [r["query_id"] for r in rows]
-        qmat = np.array([r["_qv"] for r in rows], dtype=np.float64)
-        qf = [r["_qf"] for r in rows] if query_filter_col else None
-        cand = _block_top_k(collection, qids, qmat, qf, id_col=id_col, vec_col=vec_col,
-                            filter_col=filter_col, k=k)
-    else:
-        n_c = collection.agg(F.count(F.lit(1))).first()[0]
-        cand = _grid_top_k(qdf, collection, n_q=n, n_c=n_c, dim=dim, k=k, id_col=id_col, vec_col=vec_col,
-                           filter_col=filter_col, has_filter=bool(query_filter_col), cell_bytes=max_block_bytes)
+    spark = collection.sparkSession
+    n_q, n_c = queries.count(), collection.count()
+    nb = max(1, -(-n_q // block_rows))
+    nc = max(1, -(-n_c // chunk_rows), min(spark.sparkContext.defaultParallelism, -(-n_c // 1024)))
+    q = queries.select("query_id", l2_normalize(F.col(query_vec_col)).alias("_qv"),
+                       *([F.col(query_filter_col).alias("_qf")] if query_filter_col else []))
+    q = (q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
+         .withColumn("_cc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long")))))
+    c = (collection.select(id_col, vec_col, *([filter_col] if filter_col else []))
+         .withColumn("_cc", F.pmod(F.xxhash64(id_col), F.lit(nc)))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long")))))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField(id_col, collection.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    has_filter = bool(query_filter_col)
+
+    def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or cp.empty:
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        stack = lambda col: np.vstack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        at_q, at_c, score = _cell_top_k(stack(qp["_qv"]), qp["_qf"].tolist() if has_filter else None, stack(cp[vec_col]),
+                                        cp[id_col].to_numpy(), cp[filter_col].to_numpy() if filter_col else None, k, digits)
+        return pd.DataFrame({"query_id": qp["query_id"].to_numpy()[at_q], id_col: cp[id_col].to_numpy()[at_c], "score": score})
+
+    cand = q.groupBy("_qb", "_cc").cogroup(c.groupBy("_qb", "_cc")).applyInPandas(cell, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

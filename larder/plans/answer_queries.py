@@ -21,7 +21,7 @@ from larder.sources.views import RetailModel
 
 def _questions(m: RetailModel):
     return (m.chat_turns.filter(F.col("role") == "user")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text"))
+            .select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "conv_id", "turn", "text"))
 
 
 def _stores(m: RetailModel):
@@ -30,8 +30,8 @@ def _stores(m: RetailModel):
     return (m.stores.join(sup, "store_id").join(nat, "s_nationkey")
             .withColumn("address", F.concat(F.col("store_id").cast("string"), F.lit(" Market St")))
             .withColumn("state", F.lit("FL"))
-            .withColumn("zip_code", F.lpad((F.lit(33800) + F.col("store_id")).cast("string"), 5, "0"))
-            .withColumn("phone", F.concat(F.lit("(863) 555-"), F.lpad(F.col("store_id").cast("string"), 4, "0"))))
+            .withColumn("zip_code", F.format_string("%05d", F.lit(33800) + F.col("store_id")))
+            .withColumn("phone", F.concat(F.lit("(863) 555-"), F.format_string("%04d", "store_id"))))
 
 
 def _hits(spark, m: RetailModel):
@@ -87,7 +87,7 @@ def q_chat_batch(spark, d):
 
 
 @register("build_messages_staff", """
-WITH q AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, text FROM chat_turns WHERE role = 'user')
+WITH q AS (SELECT conv_id || ':' || turn AS query_id, conv_id, turn, text FROM chat_turns WHERE role = 'user')
 SELECT query_id,
   CAST(2 + least(10, (SELECT count(*) FROM chat_turns h WHERE h.conv_id = q.conv_id AND h.turn < q.turn)) AS INTEGER)
     AS message_count,

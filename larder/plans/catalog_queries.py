@@ -252,7 +252,7 @@ _INCOMING_PRODUCTS = """
 SELECT p_partkey AS seq,
   CASE WHEN p_size > 45 THEN 'gone-' || lower(p_type) ELSE lower(p_type) END AS category_slug,
   p_name || ' ' || CAST(p_size AS STRING) AS name,
-  concat(upper(substr(p_type, 1, 3)), '-', lpad(CAST(p_partkey + 1000 AS STRING), 6, '0')) AS sku,
+  concat(upper(substr(p_type, 1, 3)), '-', CASE WHEN length(CAST((p_partkey + 1000) AS STRING)) >= 6 THEN CAST((p_partkey + 1000) AS STRING) ELSE lpad(CAST((p_partkey + 1000) AS STRING), 6, '0') END) AS sku,
   CAST(p_retailprice AS DECIMAL(10,2)) AS price
 FROM {part}"""
 
@@ -270,7 +270,7 @@ def q_bulk_insert_products(spark, d):
 
 
 _INCOMING_DEALS = """
-SELECT p_partkey AS seq, concat(upper(substr(p_type, 1, 3)), '-', lpad(CAST(p_partkey * 2 AS STRING), 6, '0')) AS product_sku,
+SELECT p_partkey AS seq, concat(upper(substr(p_type, 1, 3)), '-', CASE WHEN length(CAST((p_partkey * 2) AS STRING)) >= 6 THEN CAST((p_partkey * 2) AS STRING) ELSE lpad(CAST((p_partkey * 2) AS STRING), 6, '0') END) AS product_sku,
   'WeeklyDeal' AS deal_type, CAST(20 + p_size % 5 * 5 AS DECIMAL(5,2)) AS discount_percent
 FROM {part}"""
 

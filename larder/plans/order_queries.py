@@ -113,9 +113,13 @@ FROM (SELECT DISTINCT session_id, epoch, product_id FROM ep WHERE op IN ('add',
 JOIN ep e ON e.session_id = g.session_id AND e.epoch = g.epoch AND e.product_id = g.product_id
 WHERE e.op IN ('add', 'set', 'remove')"""
 
-_EP = """ep AS (SELECT *, coalesce(sum(CASE WHEN op IN ('clear', 'checkout') THEN 1 ELSE 0 END) OVER (
-  PARTITION BY session_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch
-  FROM cart_events),"""
+# a cart ends after a clear or checkout, and before an event that comes more than 24 h after the session's last one
+_EP = """gaps AS (SELECT *, coalesce(epoch_us(event_ts) - epoch_us(lag(event_ts) OVER (
+    PARTITION BY session_id ORDER BY event_ts, event_id)) > 86400000000, FALSE) AS late FROM cart_events),
+ep AS (SELECT *, coalesce(sum(CASE WHEN op IN ('clear', 'checkout') THEN 1 ELSE 0 END) OVER (
+  PARTITION BY session_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  + sum(late::INT) OVER (PARTITION BY session_id ORDER BY event_ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch
+  FROM gaps),"""
 
 _CO_TAX, _CO_FEE, _CO_TOTAL = _totals_sql("t.subtotal", "FALSE")
 
@@ -227,7 +231,7 @@ j AS (SELECT coalesce(t.product_id, l.product_id) AS product_id, t.sku IS NOT NU
   l.category, l.name, l.price, l.brand FROM products t FULL OUTER JOIN l ON t.product_id = l.product_id),
 mx AS (SELECT split_part(sku, '-', 1) AS prefix, max(CAST(split_part(sku, '-', 2) AS BIGINT)) AS mx FROM products GROUP BY 1),
 cr AS (SELECT j.product_id, upper(substr(lower(j.category), 1, 3)) || '-' ||
-    lpad(CAST(coalesce(mx.mx, 0) + row_number() OVER (PARTITION BY upper(substr(lower(j.category), 1, 3)) ORDER BY j.product_id) AS VARCHAR), 6, '0') AS new_sku
+    printf('%06d', coalesce(mx.mx, 0) + row_number() OVER (PARTITION BY upper(substr(lower(j.category), 1, 3)) ORDER BY j.product_id)) AS new_sku
   FROM j LEFT JOIN mx ON upper(substr(lower(j.category), 1, 3)) = mx.prefix WHERE NOT j.ex AND j.op = 'create'),
 r AS (SELECT j.*, cr.new_sku,
   CASE WHEN (ex AND op = 'update') OR (NOT ex AND op = 'create') THEN name ELSE t_name END AS out_name FROM j LEFT JOIN cr USING (product_id))
@@ -245,7 +249,8 @@ def q_product_upsert(spark, d):
     """I12 + I13 (products): create / update / soft delete with sku and slug rules."""
     m = RetailModel(spark, d)
     changes = spark.sql(_PRODUCT_CHANGES, part=m.table("part"))
-    return O.product_upsert(m.products, changes, m.categories, as_of=AS_OF)
+    out = O.product_upsert(m.products, changes, m.categories, as_of=AS_OF)
+    return out.select("product_id", "category", "name", "price", "brand", "sku", "slug", "is_available", "updated_at")
 
 
 @register("cart_json", "WITH RECURSIVE " + _fold_sql(_CART_SEQ, "session_id") + """

@@ -38,6 +38,21 @@ def q_vector_top_k(spark, d):
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("vector_top_k_ties", """
+WITH v AS (SELECT vec_id, category, list_transform(embedding[1:6], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS e FROM vectors),
+q AS (SELECT category AS query_id, arg_min(e, vec_id) AS qe FROM v GROUP BY category),
+s AS (SELECT q.query_id, v.vec_id, round(list_cosine_similarity(qe, e), 10) AS score FROM q, v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 40""")
+def q_vector_top_k_ties(spark, d):
+    """H2 on vectors of six signs: most scores are equal, so the cut is by id."""
+    v = RetailModel(spark, d).vectors
+    sign = F.transform(F.slice("embedding", 1, 6), lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
+    v = v.select("vec_id", "category", sign.alias("embedding"))
+    q = v.groupBy(F.col("category").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return V.vector_top_k(q, v, k=40).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("filtered_top_k", _topk_sql(5, True))
 def q_filtered_top_k(spark, d):
     """H3: top-5 with a payload equality filter (the query's own category)."""

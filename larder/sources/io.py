@@ -31,7 +31,8 @@ PRODUCT_MESSAGE_SCHEMA = T.StructType([T.StructField("ProductId", T.StringType()
                                        T.StructField("Action", T.StringType())])
 ORDER_MESSAGE_SCHEMA = T.StructType([T.StructField("OrderId", T.StringType()),
                                      T.StructField("NewStatus", T.StringType()),
-                                     T.StructField("UserId", T.StringType())])
+                                     T.StructField("UserId", T.StringType()),
+                                     T.StructField("MessageId", T.StringType())])
 
 
 def jdbc_load(spark: SparkSession, url: str, table: str, *, user: str | None = None,
@@ -79,15 +80,18 @@ def json_catalog_load(spark: SparkSession, path: str, schema: T.StructType, *, m
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
-def queue_source(spark: SparkSession, path: str, schema: T.StructType, *, fmt: str = "json",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Queue messages as a stream of JSON text files (one message per
-    line). The raw text is parsed with ``from_json``; lines that do not parse
-    (null payload) are dropped. A Kafka source gives the same ``value`` column."""
-    r = spark.readStream.format("text")
+def queue_source(spark: SparkSession, path: str | None, schema: T.StructType, *, fmt: str = "json",
+                 max_files_per_trigger: int | None = None, options: dict[str, str] | None = None,
+                 rejects: bool = False) -> DataFrame:
+    """Queue messages as a stream of JSON text files (one message per line),
+    or of another source with a ``value`` column such as Kafka (``fmt="kafka"``,
+    servers and topic in ``options``, no path). The text is parsed with
+    ``from_json``; messages that do not parse, or lack the first field, go to
+    the stream of ``rejects=True`` (their text in ``value``)."""
+    r = spark.readStream.format("text" if fmt == "json" else fmt).options(**(options or {}))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.load(path) if fmt == "json" else spark.readStream.format(fmt).load(path)
-    parsed = raw.select(F.from_json(F.col("value"), schema).alias("m"))
-    first = schema.fields[0].name
-    return parsed.filter(F.col("m").isNotNull() & F.col(f"m.{first}").isNotNull()).select("m.*")
+    raw = (r.load(path) if path else r.load()).select(F.col("value").cast("string").alias("value"))
+    parsed = raw.select("value", F.from_json("value", schema).alias("m"))
+    good = F.col("m").isNotNull() & F.col(f"m.{schema.fields[0].name}").isNotNull()
+    return parsed.filter(~F.coalesce(good, F.lit(False))).select("value") if rejects else parsed.filter(good).select("m.*")

@@ -23,7 +23,7 @@ SELECT p_partkey AS product_id, p_type AS category, p_name AS name,
   concat(p_name, ' by ', p_brand) AS description,
   CASE WHEN p_partkey % 25 = 0 THEN NULL ELSE p_brand END AS brand,
   CAST(p_retailprice AS DECIMAL(10,2)) AS price,
-  concat(upper(substr(p_type, 1, 3)), '-', lpad(CAST(p_partkey AS STRING), 6, '0')) AS sku,
+  concat(upper(substr(p_type, 1, 3)), '-', CASE WHEN length(CAST(p_partkey AS STRING)) >= 6 THEN CAST(p_partkey AS STRING) ELSE lpad(CAST(p_partkey AS STRING), 6, '0') END) AS sku,
   p_partkey % 20 <> 0 AS is_available, p_partkey % 8 = 0 AS is_organic,
   p_brand = 'Brand#1' AS is_store_brand,
   CASE WHEN p_partkey % 30 = 0 THEN NULL
@@ -57,7 +57,7 @@ SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS created_at,
   CAST(o_totalprice AS DECIMAL(12,2)) AS total
 FROM {orders}""",
     "stores": """
-SELECT s_suppkey AS store_id, s_name AS name, concat('1', lpad(CAST(s_suppkey AS STRING), 5, '0')) AS store_number,
+SELECT s_suppkey AS store_id, s_name AS name, concat('1', CASE WHEN length(CAST(s_suppkey AS STRING)) >= 5 THEN CAST(s_suppkey AS STRING) ELSE lpad(CAST(s_suppkey AS STRING), 5, '0') END) AS store_number,
   CAST(CAST(27.8 AS DECIMAL(10,7)) + CAST((s_suppkey * 37) % 100 AS DECIMAL(5,0)) * CAST(0.005 AS DECIMAL(5,3)) AS DECIMAL(10,7)) AS latitude,
   CAST(CAST(-82.2 AS DECIMAL(10,7)) + CAST((s_suppkey * 53) % 100 AS DECIMAL(5,0)) * CAST(0.006 AS DECIMAL(5,3)) AS DECIMAL(10,7)) AS longitude,
   s_suppkey % 10 <> 0 AS is_open

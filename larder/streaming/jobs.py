@@ -125,10 +125,12 @@ def chat_sessions_stream(turns: DataFrame, *, gap: str = CHAT_SESSION_GAP, laten
                     "messages"))
 
 
-def order_notifications(messages: DataFrame, *, lateness: str = "1 hour") -> DataFrame:
-    """Order status messages -> one notification row per (order, status);
-    redelivered duplicates inside the lateness bound are dropped."""
-    m = messages.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["OrderId", "NewStatus"])
+def order_notifications(messages: DataFrame, *, lateness: str = "1 hour", message_id: str = "MessageId") -> DataFrame:
+    """Order status messages -> one notification row per message. Redeliveries
+    (equal message id inside the lateness bound) are dropped; a status that an
+    order takes again is a message of its own. Rows without an id all stay."""
+    m = messages.withWatermark("received_at", lateness).withColumn(
+        "_id", F.coalesce(message_id, F.expr("uuid()"))).dropDuplicatesWithinWatermark(["_id"])
     return m.select("OrderId", "UserId", "NewStatus", "received_at",
                     F.concat(F.lit("Your order is now "), F.col("NewStatus"), F.lit(".")).alias("notification"))
 

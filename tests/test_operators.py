@@ -206,9 +206,9 @@ def test_vector_top_k_matches_brute_force(spark):
                                 "vec_id long, embedding array<double>, category string").repartition(5)
     qdf = spark.createDataFrame([(i, v.tolist(), f"c{i % 3}" if i % 2 else None) for i, v in enumerate(qs)],
                                 "query_id long, embedding array<double>, f string")
-    for filtered, blk in ((False, 600), (True, 600), (False, 1 << 20), (True, 1 << 20)):
+    for filtered, blk in ((False, 3), (True, 3), (False, 4096), (True, 4096)):
         got = V.vector_top_k(qdf, cdf, k=4, filter_col="category" if filtered else None,
-                             query_filter_col="f" if filtered else None, max_block_bytes=blk)
+                             query_filter_col="f" if filtered else None, block_rows=blk, chunk_rows=blk * 20)
         got = {(r.query_id, r.rank): r.vec_id for r in got.collect()}
         cn = coll / np.linalg.norm(coll, axis=1)[:, None]
         for qi, q in enumerate(qs):
@@ -219,6 +219,54 @@ def test_vector_top_k_matches_brute_force(spark):
             assert [got[(qi, r + 1)] for r in range(4)] == [int(b) for b in best]
 
 
+def test_vector_top_k_ties_do_not_depend_on_layout(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 16))
+    rows = [(int(i), base[i % 4].tolist()) for i in rng.permutation(200)]
+    qdf = spark.createDataFrame([(i, (base[i] + 0.01).tolist()) for i in range(4)], "query_id long, embedding array<double>")
+    for parts, blk, chunk, tile in ((1, 4096, 16384, 1 << 21), (3, 2, 64, 100), (16, 1, 10, 7)):
+        monkeypatch.setattr(V, "TILE_SCORES", tile)
+        cdf = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = V.vector_top_k(qdf, cdf, k=5, block_rows=blk, chunk_rows=chunk).collect()
+        assert {(r.query_id, r.rank): r.vec_id for r in got} == {(q, r + 1): q + 4 * r for q in range(4) for r in range(5)}
+
+
+def test_wide_numbers_keep_their_digits(spark):
+    import duckdb
+    from larder.sources.views import VIEW_SQL
+    part = spark.createDataFrame([(k, "STANDARD X", "n", "b", "m", 1, "c", 1.0, "t") for k in (7, 999_999, 1_000_000, 10_000_001)],
+                                 "p_partkey long, p_type string, p_name string, p_brand string, p_mfgr string, p_size int, p_container string, p_retailprice double, p_comment string")
+    got = sorted(r.sku for r in spark.sql(VIEW_SQL["products"], part=part).select("sku").collect())
+    assert got == ["STA-000007", "STA-1000000", "STA-10000001", "STA-999999"]
+    assert duckdb.sql("SELECT printf('%06d', 1000000)").fetchone()[0] == "1000000"
+
+
+def test_upserts_keep_other_columns_and_stamps(spark):
+    from datetime import datetime, timezone
+    from larder.operators import deals as D
+    from larder.operators import orders as O
+    old, now = datetime(2000, 1, 1, tzinfo=timezone.utc), datetime(2001, 8, 2, tzinfo=timezone.utc)
+    t = spark.createDataFrame([(1, "Fresh", "A", 1.0, "x", None, True, old, "note", "kept-slug"), (2, "Fresh", "B", 2.0, "x", "FRE-000002", True, old, "n2", "b")],
+                              "product_id long, category string, name string, price double, brand string, sku string, is_available boolean, updated_at timestamp, description string, slug string")
+    ch = spark.createDataFrame([(2, "update", "Fresh", "B two", 3.0, "y", 1, "new text"), (3, "create", "Fresh", "C", 1.0, "z", 1, None)],
+                               "product_id long, op string, category string, name string, price double, brand string, change_seq int, description string")
+    got = {r.product_id: r for r in O.product_upsert(t, ch, None, as_of=now).collect()}
+    assert got[1].updated_at == got[1].updated_at and got[1].description == "note" and got[1].slug == "kept-slug" and got[1].sku is None
+    assert got[1].updated_at.year < 2001 and got[2].updated_at.year == 2001 and got[2].description == "new text" and got[2].slug == "b-two"
+    assert got[3].sku == "FRE-000003"
+    d = spark.createDataFrame([(1, 1, None, 5.0, old, now, True, "extra", old)], "deal_id long, product_id long, deal_type string, discount_percent double, start_date timestamp, end_date timestamp, is_active boolean, note string, updated_at timestamp")
+    none = spark.createDataFrame([], "deal_id long, product_id long, deal_type string, discount_percent double, start_date timestamp, end_date timestamp, is_active boolean, op string, change_seq int")
+    row = D.deal_upsert(d, none, as_of=now).first()
+    assert row.note == "extra" and row.updated_at.year < 2001
+
+
+def test_ranks_with_one_value_in_most_rows(spark):
+    df = spark.createDataFrame([("s", 5.0)] * 900 + [("s", float(v)) for v in range(100)], "stage string, latency_ms double")
+    r = E.latency_percentiles(df, threshold_ms=100).first()
+    want = sorted([5.0] * 900 + [float(v) for v in range(100)])
+    assert r.p50 == (want[499] + want[500]) / 2 and r.p95 == want[950] and r.p99 == want[990]
+
+
 def test_embed_texts_provider_errors(spark):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(25)], "id long, text string").coalesce(1)
 

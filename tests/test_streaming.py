@@ -76,10 +76,11 @@ def test_event_windows_and_late_data(spark, scratch):
 def test_order_notifications_dedupe(spark, scratch):
     path = os.path.join(scratch, "orders_q")
     os.makedirs(path)
-    msgs = [{"OrderId": "o1", "NewStatus": "Confirmed", "UserId": "u1"},
-            {"OrderId": "o1", "NewStatus": "Confirmed", "UserId": "u1"},   # redelivery
-            {"OrderId": "o1", "NewStatus": "Delivering", "UserId": "u1"},
-            {"OrderId": None, "NewStatus": "Delivered", "UserId": "u2"}]   # null payload key
+    msgs = [{"OrderId": "o1", "NewStatus": "Confirmed", "UserId": "u1", "MessageId": "a"},
+            {"OrderId": "o1", "NewStatus": "Confirmed", "UserId": "u1", "MessageId": "a"},   # redelivery
+            {"OrderId": "o1", "NewStatus": "Delivering", "UserId": "u1", "MessageId": "b"},
+            {"OrderId": "o1", "NewStatus": "Confirmed", "UserId": "u1", "MessageId": "c"},   # taken again
+            {"OrderId": None, "NewStatus": "Delivered", "UserId": "u2", "MessageId": "d"}]   # null payload key
     with open(os.path.join(path, "m1.json"), "w") as f:
         for m in msgs:
             f.write(json.dumps(m) + "\n")
@@ -87,7 +88,9 @@ def test_order_notifications_dedupe(spark, scratch):
     q = io.queue_source(spark, path, io.ORDER_MESSAGE_SCHEMA).withColumn("received_at", F.current_timestamp())
     _run(J.order_notifications(q), "notes")
     rows = sorted((r.OrderId, r.NewStatus) for r in spark.table("notes").collect())
-    assert rows == [("o1", "Confirmed"), ("o1", "Delivering")]
+    assert rows == [("o1", "Confirmed"), ("o1", "Confirmed"), ("o1", "Delivering")]
+    _run(io.queue_source(spark, path, io.ORDER_MESSAGE_SCHEMA, rejects=True), "rejected")
+    assert spark.table("rejected").count() == 2  # the null order and the line that is no JSON
 
 
 def test_chat_sessions_stream(spark, scratch):
