@@ -338,9 +338,15 @@ def custom_scenario(text) -> Column:
 
 def with_scenario(df: DataFrame, text: str) -> DataFrame:
     """G7 as columns scenario, skip_rag, message (text lower-cased once)."""
-    d = df.withColumn("_q", _strip(_lower(text))).withColumn("_s", scenario_q(F.col("_q")))
-    return (d.withColumn("scenario", F.col("_s.name")).withColumn("skip_rag", F.col("_s.skip_rag"))
-            .withColumn("message", F.col("_s.message")).drop("_q", "_s"))
+    d = df.withColumn("_q", _strip(_lower(text)))
+    # the index is a column of its own, so its rule chain is generated once
+    d = d.withColumn("_i", first_index(F.col("_q"), [ws for _, ws, _, _ in SCENARIOS]))
+    at = lambda values: F.when(F.col("_i").isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_i")))
+    d = (d.withColumn("scenario", at([n for n, _, _, _ in SCENARIOS])).withColumn("skip_rag", at([sk for _, _, sk, _ in SCENARIOS]))
+         .withColumn("_m", at([m for _, _, _, m in SCENARIOS])))
+    diet = first_match(F.col("_q"), [([k], v) for k, v in DIET_LABELS], DIET_DEFAULT)
+    return (d.withColumn("message", F.when(F.col("scenario") == "dietary", F.replace(F.lit(DIET_MESSAGE), F.lit("{diet}"), diet))
+                         .otherwise(F.col("_m"))).drop("_q", "_i", "_m"))
 
 
 def retrieval_plan(intent, audience: str = "customer") -> Column:

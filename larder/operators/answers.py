@@ -116,23 +116,27 @@ def build_context(queries: DataFrame, product_hits: DataFrame, deal_hits: DataFr
 
 
 def history_window(turns: DataFrame, *, key: str = "conv_id", n: int = HISTORY_TURNS) -> DataFrame:
-    """For every turn, the (role, content) of the up to ``n`` turns before it
-    in its conversation, oldest first.
+    """For every user or assistant turn, the (role, content) of the up to ``n``
+    turns before it in its session, oldest first. System turns are not stored,
+    and a session that expired (I3) leaves no history.
 
     No conversation-wide window: positions come from the two-level running
     count, each turn is copied to the ``n`` positions that follow it (bounded
     replication), and each position collects at most ``n`` entries."""
     from larder.operators.orders import running_count
-    pos = running_count(turns, part=key, ts="turn", tie="turn", flag=F.lit(True), name="_pos",
+    from larder.operators.sessions import chat_session_state
+    said = chat_session_state(turns.filter(F.col("role").isin("user", "assistant")), key=key)
+    said = said.withColumn("_s", F.concat_ws(":", key, "session_no"))
+    pos = running_count(said, part="_s", ts="turn", tie="turn", flag=F.lit(True), name="_pos",
                         bucket=F.floor(F.col("turn") / F.lit(10_000)))
-    src = pos.select(key, "_pos", F.struct(F.col("role").alias("role"), F.col("text").alias("content")).alias("_m"))
+    src = pos.select("_s", "_pos", F.struct(F.col("role").alias("role"), F.col("text").alias("content")).alias("_m"))
     fan = src.withColumn("_target", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + n)))
-    hist = (fan.groupBy(key, "_target")
+    hist = (fan.groupBy("_s", "_target")
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "_m"))).alias("_h"))
-            .select(key, F.col("_target").alias("_pos"), F.transform("_h", lambda e: e["_m"]).alias("history")))
+            .select("_s", F.col("_target").alias("_pos"), F.transform("_h", lambda e: e["_m"]).alias("history")))
     empty = F.array().cast("array<struct<role:string,content:string>>")
-    return (pos.join(hist, [key, "_pos"], "left")
-            .withColumn("history", F.coalesce("history", empty)).drop("_pos"))
+    return (pos.join(hist, ["_s", "_pos"], "left")
+            .withColumn("history", F.coalesce("history", empty)).drop("_pos", "_s"))
 
 
 def build_messages(questions: DataFrame, *, prompt: str = SYSTEM_PROMPT, staff_role: str | None = None) -> DataFrame:
@@ -199,9 +203,10 @@ def chat_batch(questions: DataFrame, turns: DataFrame, product_hits: DataFrame,
     q = R.with_scenario(questions, "text").withColumn(
         "scenario", F.when(F.col("scenario").isNotNull(),
                            F.struct(F.col("scenario").alias("name"), "skip_rag", "message"))).drop("skip_rag", "message")
-    q = q.withColumn("intent", R.classify_intent("text")).withColumn("plan", R.retrieval_plan("intent"))
     ensure_checkpoint_dir(questions.sparkSession)
-    q = q.checkpoint(eager=True)  # routed once, read by five branches
+    # routed once, read by five branches; in two stages, which keeps each one's generated code small
+    q = q.checkpoint(eager=True)
+    q = q.withColumn("intent", R.classify_intent("text")).withColumn("plan", R.retrieval_plan("intent")).checkpoint(eager=True)
     plan = q.select("query_id", "plan")
     ph = product_hits.join(plan, "query_id").filter(F.col("rank") <= F.col("plan.k_products")).drop("plan")
     dh = deal_hits.join(plan, "query_id").filter(F.col("rank") <= F.col("plan.k_deals")).drop("plan")

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from larder.operators.analytics import products_in_categories
 
 
+#: Distances held at a time by nearest_stores_batch (8 MB).
+CELL_DISTANCES = 1 << 20
+
+
 def active_deal_filter(as_of: datetime) -> Column:
     """A deal is live when flagged active and not yet ended (start not checked)."""
     return F.col("is_active") & (F.col("end_date") > F.lit(as_of))
@@ -276,50 +280,45 @@ def open_stores(stores: DataFrame, hours: DataFrame) -> DataFrame:
             .orderBy("store_number"))
 
 
-def nearest_stores_batch(points: DataFrame, stores: DataFrame, *, k: int,
-                         max_store_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def nearest_stores_batch(points: DataFrame, stores: DataFrame, *, k: int, block_rows: int = 4096,
+                         chunk_rows: int = 4096) -> DataFrame:
     """E6 batch form: the k nearest open stores (|dlat| + |dlng|, store id
     breaks ties) for every point of ``points`` (point_id, lat, lng).
 
-    Stores are the dimension side: their coordinates go to every task as one
-    broadcast after a size check (raises beyond ``max_store_bytes``); points
-    stream through ``mapInPandas`` and each batch keeps only its k best
-    stores per point, so no point x store rows are produced. Coordinates are
-    DECIMAL(10,7) and are compared as exact integers (units of 1e-7)."""
+    Points are hashed into blocks and stores into chunks; each (block, chunk)
+    cell keeps its k best stores per point, and a window over these few ranks
+    them. Neither side passes through the driver and distances are held for
+    CELL_DISTANCES pairs at a time. Coordinates are DECIMAL(10,7) and are compared as
+    exact integers (units of 1e-7)."""
     import numpy as np
     import pandas as pd
     from pyspark.sql import types as T
 
-    open_s = stores.filter(F.col("is_open")).select(
-        "store_id", (F.col("latitude") * 10_000_000).cast("long").alias("_la"),
-        (F.col("longitude") * 10_000_000).cast("long").alias("_lo"))
-    n = open_s.agg(F.count(F.lit(1))).first()[0]
-    if n * 24 > max_store_bytes:
-        raise ValueError(f"{n} open stores exceed the broadcast bound; use a spatial grid join")
-    rows = open_s.orderBy("store_id").collect()                      # bounded, checked above
-    ids = np.array([r.store_id for r in rows], dtype=np.int64)
-    la = np.array([r._la for r in rows], dtype=np.int64)
-    lo = np.array([r._lo for r in rows], dtype=np.int64)
-    bc = points.sparkSession.sparkContext.broadcast((ids, la, lo))
-    kk = min(k, len(ids))
+    e7 = lambda c: F.round(F.col(c).cast("double") * 1e7).cast("long")
+    open_s = stores.filter(F.col("is_open")).select("store_id", e7("latitude").alias("_la"), e7("longitude").alias("_lo"))
+    pts = points.select("point_id", e7("lat").alias("_la"), e7("lng").alias("_lo"))
+    n_p, n_s = pts.count(), open_s.count()
+    nb = max(1, -(-n_p // block_rows))
+    nc = max(1, -(-n_s // chunk_rows))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = pts.withColumn("_b", F.pmod(F.xxhash64("point_id"), F.lit(nb))).withColumn("_c", copies(nc))
+    right = open_s.withColumn("_c", F.pmod(F.xxhash64("store_id"), F.lit(nc))).withColumn("_b", copies(nb))
     schema = T.StructType([T.StructField("point_id", points.schema["point_id"].dataType),
-                           T.StructField("store_id", T.LongType()), T.StructField("distance_e7", T.LongType()),
-                           T.StructField("rank", T.IntegerType())])
-
-    def run(it):
-        sid, sla, slo = bc.value
-        for pdf in it:
-            if pdf.empty or kk == 0:
-                continue
-            pla = np.rint(pdf["lat"].to_numpy(dtype=np.float64) * 1e7).astype(np.int64)
-            plo = np.rint(pdf["lng"].to_numpy(dtype=np.float64) * 1e7).astype(np.int64)
-            d = np.abs(pla[:, None] - sla[None, :]) + np.abs(plo[:, None] - slo[None, :])
-            order = np.lexsort((np.broadcast_to(sid, d.shape), d), axis=1)[:, :kk]  # distance, then store id
-            yield pd.DataFrame({
-                "point_id": np.repeat(pdf["point_id"].to_numpy(), kk),
-                "store_id": sid[order].ravel(),
-                "distance_e7": np.take_along_axis(d, order, axis=1).ravel(),
-                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf))})
-    from larder.operators.parallel import spread
-    return spread(points.select("point_id", F.col("lat").cast("double"), F.col("lng").cast("double"))) \
-        .mapInPandas(run, schema)
+                           T.StructField("store_id", stores.schema["store_id"].dataType), T.StructField("distance_e7", T.LongType())])
+
+    def cell(pp: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+        ss = ss.sort_values("store_id")
+        sid, kk = ss["store_id"].to_numpy(), min(k, len(ss))
+        step = max(1, CELL_DISTANCES // max(1, len(ss)))
+        out = [pd.DataFrame({"point_id": [], "store_id": [], "distance_e7": []})]
+        for i in range(0, len(pp) if kk else 0, step):
+            p = pp.iloc[i:i + step]
+            d = (np.abs(p["_la"].to_numpy()[:, None] - ss["_la"].to_numpy()[None]) +
+                 np.abs(p["_lo"].to_numpy()[:, None] - ss["_lo"].to_numpy()[None]))
+            order = np.argsort(d, axis=1, kind="stable")[:, :kk]  # distance, then store id
+            out.append(pd.DataFrame({"point_id": np.repeat(p["point_id"].to_numpy(), kk), "store_id": sid[order].ravel(),
+                                     "distance_e7": np.take_along_axis(d, order, axis=1).ravel()}))
+        return pd.concat(out[1:] or out)
+    cand = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(cell, schema)
+    w = Window.partitionBy("point_id").orderBy("distance_e7", "store_id")
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

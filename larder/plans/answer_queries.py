@@ -87,10 +87,14 @@ def q_chat_batch(spark, d):
 
 
 @register("build_messages_staff", """
-WITH q AS (SELECT conv_id || ':' || turn AS query_id, conv_id, turn, text FROM chat_turns WHERE role = 'user')
-SELECT query_id,
-  CAST(2 + least(10, (SELECT count(*) FROM chat_turns h WHERE h.conv_id = q.conv_id AND h.turn < q.turn)) AS INTEGER)
-    AS message_count,
+WITH t AS (SELECT *, lag(ts_s) OVER (PARTITION BY conv_id ORDER BY ts_s, turn) AS prev FROM chat_turns WHERE role IN ('user', 'assistant')),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts_s - prev > 7200 THEN 1 ELSE 0 END) OVER (
+  PARTITION BY conv_id ORDER BY ts_s, turn ROWS UNBOUNDED PRECEDING) AS sess FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sess ORDER BY turn) AS pos FROM s),
+q AS (SELECT conv_id || ':' || turn AS query_id, * FROM p WHERE role = 'user')
+SELECT query_id, CAST(2 + least(10, pos - 1) AS INTEGER) AS message_count,
+  coalesce((SELECT string_agg(h.role || ': ' || h.text, chr(10) ORDER BY h.pos) FROM p h
+            WHERE h.conv_id = q.conv_id AND h.sess = q.sess AND h.pos < q.pos AND h.pos >= q.pos - 10), '') AS history,
   'Based on the following product data:' || chr(10) || chr(10) || 'No relevant products found in our catalog.'
     || chr(10) || chr(10) || 'Staff question (manager): ' || text || ' You are speaking to a store manager.' AS user_message
 FROM q""")
@@ -101,7 +105,9 @@ def q_build_messages_staff(spark, d):
     hist = A.history_window(m.chat_turns).select("conv_id", "turn", "history")
     msgs = A.build_messages(q.join(hist, ["conv_id", "turn"], "left"), prompt=A.STAFF_SYSTEM_PROMPT,
                             staff_role="manager")
+    inner = F.slice("messages", F.lit(2), F.size("messages") - 2)
     return msgs.select("query_id", F.size("messages").alias("message_count"),
+                       F.concat_ws("\n", F.transform(inner, lambda x: F.concat_ws(": ", x["role"], x["content"]))).alias("history"),
                        F.element_at("messages", -1)["content"].alias("user_message"))
 
 

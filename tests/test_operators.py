@@ -238,7 +238,7 @@ def test_wide_numbers_keep_their_digits(spark):
                                  "p_partkey long, p_type string, p_name string, p_brand string, p_mfgr string, p_size int, p_container string, p_retailprice double, p_comment string")
     got = sorted(r.sku for r in spark.sql(VIEW_SQL["products"], part=part).select("sku").collect())
     assert got == ["STA-000007", "STA-1000000", "STA-10000001", "STA-999999"]
-    assert duckdb.sql("SELECT printf('%06d', 1000000)").fetchone()[0] == "1000000"
+    assert duckdb.sql("SELECT printf('%06d', 1000000)").fetchall()[0][0] == "1000000"
 
 
 def test_upserts_keep_other_columns_and_stamps(spark):
@@ -352,8 +352,13 @@ def test_hashed_embedding_equals_python_twin(spark):
 
 def test_build_messages_keeps_last_ten_history_turns(spark):
     from larder.operators import answers as Ans
-    turns = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(13)],
-                                  "conv_id long, turn long, role string, text string")
+    turns = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}", 60 * t) for t in range(13)]
+                                  + [(2, 0, "system", "s", 0), (2, 1, "user", "old", 10), (2, 2, "user", "new", 10 + 7201),
+                                     (2, 3, "assistant", "a", 7300), (2, 4, "user", "last", 7400)],
+                                  "conv_id long, turn long, role string, text string, ts_s long")
+    gap = {r.turn: [m.content for m in r.history] for r in Ans.history_window(turns).filter("conv_id = 2").collect()}
+    assert gap == {1: [], 2: [], 3: ["new"], 4: ["new", "a"]}   # an expired session and system turns leave no history
+    turns = turns.filter("conv_id = 1")
     h = Ans.history_window(turns).withColumn("query_id", F.col("turn")).withColumn("context", F.lit("ctx"))
     msgs = {r.turn: r.messages for r in Ans.build_messages(h).collect()}
     assert [m.content for m in msgs[12][1:-1]] == [f"m{t}" for t in range(2, 12)]   # 10 most recent
@@ -397,7 +402,7 @@ def test_chat_batch_scenarios_and_refs(spark):
     ph, dh, sh = _hits(spark)
     qs = spark.createDataFrame([(1, 7, 0, "show me fresh fruit"), (2, 8, 0, "track my order please")],
                                "query_id long, conv_id long, turn long, text string")
-    turns = qs.select("conv_id", "turn", F.lit("user").alias("role"), "text")
+    turns = qs.select("conv_id", "turn", F.lit("user").alias("role"), F.col("turn").alias("ts_s"), "text")
     out = {r.query_id: r for r in Ans.chat_batch(qs, turns, ph, dh, sh).collect()}
     a = out[1]
     assert a.intent == "product_search" and a.scenario is None and a.model == "template"
@@ -422,3 +427,19 @@ def test_cart_expiry_report(spark):
     assert out["a"].items == 2 and out["a"].expired_at_end                # t+24h < t+30h (stream end)
     assert out["c"].lines == 1 and not out["c"].expired_at_end
     assert out["a"].expires_at == t + timedelta(hours=24)
+
+
+def test_nearest_stores_batch_any_layout(spark, monkeypatch):
+    from larder.operators import catalog as C
+    rng = np.random.default_rng(1)
+    st = [(int(i), round(float(a), 1), round(float(b), 1), bool(i % 5)) for i, (a, b) in enumerate(rng.uniform(0, 3, (120, 2)))]
+    stores = spark.createDataFrame(st, "store_id long, latitude double, longitude double, is_open boolean")
+    pts = [(int(i), round(float(a), 1), round(float(b), 1)) for i, (a, b) in enumerate(rng.uniform(0, 3, (40, 2)))]
+    points = spark.createDataFrame(pts, "point_id long, lat double, lng double")
+    want = {(p, r): s for p, a, b in pts for r, (_, s) in enumerate(sorted(
+        (round((abs(a - x) + abs(b - y)) * 1e7), i) for i, x, y, o in st if o)[:4], 1)}
+    for block, chunk, tile in ((4096, 4096, 1 << 20), (7, 9, 5)):
+        monkeypatch.setattr(C, "CELL_DISTANCES", tile)
+        got = C.nearest_stores_batch(points, stores, k=4, block_rows=block, chunk_rows=chunk).collect()
+        assert {(r.point_id, r["rank"]): r.store_id for r in got} == want
+    assert C.nearest_stores_batch(points, stores.filter("false"), k=4).count() == 0

@@ -24,7 +24,25 @@ def test_registry_keys():
     assert set(o) <= set(q)
     assert len(q) >= 100
     import re
-    assert not [k for k in q if "pipeline" in k or re.match(r"op\d+_", k)]
+    from larder.plans.registry import all_queries
+    own = all_queries()
+    assert not [k for k in own if k == "pipeline" or re.match(r"op\d+_", k)]
+    assert set(own) <= set(q)
+
+
+def test_entry_works_without_the_optional_parts(monkeypatch):
+    import sys
+
+    class Blocked:
+        def find_spec(self, name, path=None, target=None):
+            if name == "corpus_pipeline" or name.startswith("larder.llm"):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+    for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("larder.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(sys, "meta_path", [Blocked(), *sys.meta_path])
+    import re
+    assert len(E.queries()) >= 100 and set(E.oracle_sql()) <= set(E.queries())
+    assert not [k for k in E.queries() if k == "pipeline" or re.match(r"op\d+_", k)]
 
 
 ORACLE_NAMES = sorted(E.oracle_sql())
