@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import routing as R
-from larder.functions.text import deal_title, end_of_day, title_case
+from larder.functions.text import deal_title, end_of_day
 from larder.session import ensure_checkpoint_dir
 
 # Prompts and context layout.
@@ -244,226 +244,194 @@ def _in_cat(c: str = "category") -> Column:
     return F.when(F.col(c).isNotNull(), F.concat(F.lit(" in "), F.col(c))).otherwise(F.lit(""))
 
 
-def _join_lines(df: DataFrame, keys: list[str], order: str, line: Column, name: str) -> DataFrame:
-    return (df.groupBy(*keys)
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"),
-                                                                               line.alias("l")))),
-                                          lambda s: s["l"]), "\n").alias(name)))
+ALL = "all"
+
+
+def _cat_key(category: Column) -> Column:
+    return F.when(category.isNull(), F.lit(ALL)).otherwise(F.concat(F.lit("c:"), category))
+
+
+def _per_key(df: DataFrame) -> DataFrame:
+    """Each row under the key of its category and under the key of all categories."""
+    return df.withColumn("_key", F.explode(F.array(_cat_key(F.col("category")), F.lit(ALL))))
+
+
+def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows of each key; Spark cuts to k rows a task before the shuffle."""
+    w = Window.partitionBy("_key").orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+
+
+def _listing(top: DataFrame, keys: list[str], line: Column, data: list[Column]) -> DataFrame:
+    """Lines and data rows of each key in rank order (at most an action's limit)."""
+    s = F.sort_array(F.collect_list(F.struct(F.col("_r").alias("o"), line.alias("l"), F.struct(*data).alias("d"))))
+    return (top.groupBy(*keys).agg(s.alias("_s"))
+            .select(*keys, F.array_join(F.transform("_s", lambda x: x["l"]), "\n").alias("lines"),
+                    F.to_json(F.transform("_s", lambda x: x["d"]), {"ignoreNullFields": "false"}).alias("data"),
+                    F.size("_s").cast("bigint").alias("shown")))
+
+
+def _asked_brands(brands: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lbrand, _b): catalogue brands that contain an asked brand. Both sides are
+    distinct names; they meet on the first three letters of the asked one."""
+    name = F.col("lbrand")
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(name) - (n - 1))
+        return F.when(F.length(name) >= n, F.transform(starts, lambda i: F.substring(name, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+    all_grams = F.array_distinct(F.concat(grams(1), grams(2), grams(3)))
+    g = brands.select("lbrand", F.explode(all_grams).alias("_g"))
+    a = asked.withColumn("_g", F.substring("_b", 1, 3))
+    return g.join(a, "_g").filter(name.contains(F.col("_b"))).select("lbrand", "_b").distinct()
+
+
+def _count_lookup(avail: DataFrame, calls: DataFrame) -> DataFrame:
+    """Totals per category key, organic flag and asked brand."""
+    asked = calls.filter((F.col("action") == "count_products") & (F.col("_brand") != "")).select(F.col("_brand").alias("_b")).distinct()
+    per = avail.groupBy("category", F.lower("brand").alias("lbrand"), "is_organic").agg(F.count(F.lit(1)).alias("n"))
+    names = _asked_brands(per.select("lbrand").filter("lbrand is not null").distinct(), asked)
+    facts = (per.withColumn("_b", F.lit("")).select("category", "is_organic", "n", "_b")
+             .unionByName(per.join(names, "lbrand").select("category", "is_organic", "n", "_b")))
+    flag = F.explode(F.when(F.col("is_organic"), F.array(F.lit("false"), F.lit("true"))).otherwise(F.array(F.lit("false"))))
+    return (_per_key(facts).withColumn("_o", flag).groupBy("_key", "_o", "_b").agg(F.sum("n").alias("total"))
+            .select(F.lit("count_products").alias("action"), "_key", F.concat_ws(":", "_o", "_b").alias("_arg"), "total"))
+
+
+def _under_price_lookup(cheap: DataFrame, avail: DataFrame, calls: DataFrame, line: Column, data: list[Column]) -> DataFrame:
+    """Per asked (category key, limit): total by prefix sums over the sorted prices, and
+    the listed rows from the ten cheapest of the key."""
+    from larder.operators.orders import running_count
+    asks = calls.filter(F.col("action") == "products_under_price").select("_key", "max_price").distinct()
+    prices = _per_key(avail.groupBy("category", "price").agg(F.count(F.lit(1)).alias("n"))).groupBy("_key", "price").agg(F.sum("n").alias("n"))
+    both = (prices.select("_key", F.col("price").cast("double").alias("_p"), F.lit(1).alias("_kind"), "n")
+            .unionByName(asks.select("_key", F.col("max_price").alias("_p"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("n"))))
+    total = (running_count(both, part="_key", ts="_p", tie="_kind", flag=F.col("n"), bucket=F.floor("_p"), name="total")
+             .filter("_kind = 0").select("_key", F.col("_p").alias("max_price"), "total"))
+    hits = asks.join(cheap, "_key").filter(F.col("price").cast("double") < F.col("max_price"))
+    lines = _listing(hits, ["_key", "max_price"], line, data)
+    return (total.join(lines, ["_key", "max_price"], "left")
+            .select(F.lit("products_under_price").alias("action"), "_key", F.col("max_price").cast("string").alias("_arg"),
+                    "total", "shown", "lines", "data"))
 
 
 def staff_answer(questions: DataFrame, prod: DataFrame, cat: DataFrame, deals: DataFrame, *,
                  as_of: datetime) -> DataFrame:
     """Route every staff question (G4) to its action and answer it from
-    the catalogue. Each action's data is aggregated once per distinct
-    parameter value (a bounded set: categories and known brands come from
-    fixed keyword tables) and joined back to its questions; 'rag' questions
-    get a null answer (they need a language model)."""
-    # Every action branch below reads the routed questions: route once and cut
-    # the lineage in the shared checkpoint folder instead of re-deriving the
-    # rule expressions in eleven plans.
+    the catalogue; 'rag' questions get a null answer (they need a language model).
+
+    Texts are routed once into the shared checkpoint folder: the calls are read three
+    times, and the rules inlined into the answer's expressions would outgrow a method."""
     ensure_checkpoint_dir(questions.sparkSession)
-    c = R.with_staff_route(questions.select("question_id", "text"), "text").drop("text").checkpoint(eager=True)
-    pc = prod.join(cat.select("category"), "category", "inner")
-    avail = pc.filter(F.col("is_available"))
+    routed = R.with_staff_route(questions.select("question_id", "text"), "text").drop("text").checkpoint(eager=True)
+    return staff_answer_calls(routed, prod, cat, deals, as_of=as_of)
+
+
+def staff_answer_calls(routed: DataFrame, prod: DataFrame, cat: DataFrame, deals: DataFrame, *,
+                       as_of: datetime) -> DataFrame:
+    """G11 on routed calls (question_id, action, category, brand, organic_only,
+    deal_type, max_price; null where an action takes none): answer text and
+    ``data``, the listed rows as JSON.
+
+    The answers of all actions form one small table keyed by (action, category
+    key, argument), built from catalogue aggregates and top lists; the calls meet
+    it in one equi-join, so they are not split by action. Ties are cut by id or
+    name. ``data`` of list_brands holds the 15 brands that the text lists."""
+    if "unit" not in prod.columns:
+        prod = prod.withColumn("unit", F.lit("each"))
+    act = F.col("action")
+    calls = (routed.withColumn("_key", _cat_key(F.col("category"))).withColumn("_brand", F.coalesce(F.lower("brand"), F.lit(""))))
+    avail = prod.join(cat.select("category"), "category", "inner").filter(F.col("is_available"))
     live = deals.filter(F.col("is_active") & (F.col("end_date") > F.lit(as_of)))
-    answers = []
-
-    # count_products: params (category, brand, organic) -> count
-    cp = c.filter(F.col("action") == "count_products").select("category", "brand", "organic_only").distinct()
-    per = avail.groupBy("category", F.lower("brand").alias("lbrand"), "is_organic").agg(F.count(F.lit(1)).alias("n"))
-    cond = ((cp["category"].isNull() | (cp["category"] == per["category"])) &
-            (cp["brand"].isNull() | per["lbrand"].contains(cp["brand"])) &
-            (~cp["organic_only"] | per["is_organic"]))
-    # the parameter side is bounded by the keyword tables; the planner broadcasts
-    # whichever side its measured size allows
-    counts = (cp.join(per, cond, "left")
-              .groupBy(cp["category"], cp["brand"], cp["organic_only"])
-              .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cnt")))
+    found = []
+
+    def add(action: str, df: DataFrame) -> None:
+        found.append(df.withColumn("action", F.lit(action)))
+
+    priced = F.concat(F.lit(" — "), _money("price"), F.lit("/"), F.col("unit"), F.lit(" ["), F.col("sku"), F.lit("]"))
+    line = F.concat(F.lit("- "), F.col("name"), _brand_part(), priced)
+    data = [F.col(c) for c in ("name", "sku", "price", "unit", "category", "brand")]
+    keyed = _per_key(avail.select("product_id", "is_store_brand", *data))
+    cheap = _top(keyed, 10, F.asc("price"), F.asc("product_id"))
+    add("cheapest_products", _listing(cheap.filter("_r <= 5"), ["_key"], line, data))
+    add("most_expensive_products", _listing(_top(keyed, 5, F.desc("price"), F.asc("product_id")), ["_key"], line, data))
+    add("store_brand_products", _listing(_top(keyed.filter("is_store_brand"), 10, F.asc("name"), F.asc("product_id")), ["_key"],
+                                         F.concat(F.lit("- "), F.col("name"), priced), data))
+    found.append(_under_price_lookup(cheap, avail, calls, line, data))
+    found.append(_count_lookup(avail, calls))
+
+    for action, col in (("list_brands", "brand"), ("list_subcategories", "tags")):
+        n = (_per_key(avail.filter(F.col(col).isNotNull()).groupBy("category", col).agg(F.count(F.lit(1)).alias("n")))
+             .groupBy("_key", col).agg(F.sum("n").alias("product_count")))
+        rows = _listing(_top(n, 15, F.desc("product_count"), F.asc(col)), ["_key"],
+                        F.concat(F.lit("- "), F.col(col), F.lit(" — "), F.col("product_count").cast("string"), F.lit(" products")),
+                        [F.col(col), F.col("product_count")])
+        add(action, rows.join(n.groupBy("_key").agg(F.count(F.lit(1)).alias("total")), "_key"))
+
+    add("count_deals", live.withColumn("_arg", F.explode(F.array(F.lit(""), F.col("deal_type")))).groupBy("_arg")
+        .agg(F.count(F.lit(1)).alias("total")).withColumn("_key", F.lit(ALL)))
+
+    exp = (deals.filter(F.col("is_active") & F.col("end_date").between(F.lit(as_of), end_of_day(F.lit(as_of))))
+           .join(prod.select("product_id", F.col("name").alias("product_name"), "sku"), "product_id")
+           .withColumn("title", deal_title("deal_type", "discount_percent")).withColumn("_key", F.lit(ALL)))
+    add("expiring_deals", _listing(_top(exp, 20, F.asc("end_date"), F.asc("deal_id")), ["_key"],
+                                   F.concat(F.lit("- "), F.col("product_name"), F.lit(" ("), F.col("sku"), F.lit(") — "),
+                                            F.col("title"), F.lit(" ("), F.col("deal_type"), F.lit(")")),
+                                   [F.col(c) for c in ("title", "deal_type", "end_date", "product_name", "sku")]))
+
+    lc = (cat.filter("is_active").join(avail.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category", "left")
+          .withColumn("product_count", F.coalesce("n", F.lit(0))).withColumn("_r", F.struct("display_order", "category")).withColumn("_key", F.lit(ALL)))
+    add("list_categories", _listing(lc, ["_key"], F.concat(F.lit("- "), F.col("category"), F.lit(" — "),
+                                                           F.col("product_count").cast("string"), F.lit(" products")),
+                                    [F.col("category"), F.col("slug"), F.col("product_count")]))
+
+    ds = (live.groupBy("deal_type").agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg("discount_percent"), 1).alias("avg_discount"))
+          .withColumn("_key", F.lit(ALL)).withColumn("_r", F.struct((-F.col("cnt")).alias("c"), "deal_type")))
+    ds_line = F.concat(F.lit("- "), F.col("deal_type"), F.lit(": "), F.col("cnt").cast("string"), F.lit(" deals"),
+                       F.when(F.coalesce(F.col("avg_discount"), F.lit(0)) != 0,
+                              F.concat(F.lit(", avg "), F.col("avg_discount").cast("string"), F.lit("% off"))).otherwise(F.lit("")))
+    add("deal_summary", _listing(ds, ["_key"], ds_line, [F.col(c) for c in ("deal_type", "cnt", "avg_discount")])
+        .join(ds.groupBy("_key").agg(F.sum("cnt").alias("total")), "_key"))
+
+    lookup = found[0]
+    for f in found[1:]:
+        lookup = lookup.unionByName(f, allowMissingColumns=True)
+    lookup = lookup.withColumn("_arg", F.coalesce("_arg", F.lit("")))
+    arg = (F.when(act == "count_products", F.concat_ws(":", F.coalesce("organic_only", F.lit(False)).cast("string"), F.col("_brand")))
+           .when(act == "count_deals", F.coalesce("deal_type", F.lit("")))
+           .when(act == "products_under_price", F.col("max_price").cast("string")).otherwise(F.lit("")))
+    j = calls.withColumn("_arg", F.coalesce(arg, F.lit(""))).join(lookup, ["action", "_key", "_arg"], "left")
+
+    total, shown = (F.coalesce(c, F.lit(0)).cast("string") for c in ("total", "shown"))
+    own = prod.filter(F.col("is_available") & F.col("is_store_brand")).agg(F.count(F.lit(1))).scalar()
     desc = F.concat_ws(" ", F.when(F.col("organic_only"), F.lit("organic")),
                        F.when(F.col("category").isNotNull(), F.concat(F.lit("in "), F.col("category"))),
-                       F.when(F.col("brand").isNotNull(), F.concat(F.lit("from "), F.col("brand"))))
-    desc = F.when(desc == "", F.lit("total")).otherwise(desc)
-    counts = counts.withColumn("answer", F.concat(F.lit("We carry **"), F.col("cnt").cast("string"), F.lit("** "),
-                                                  desc, F.lit(" products.")))
-    answers.append(c.filter(F.col("action") == "count_products")
-                   .join(counts, [c["category"].eqNullSafe(counts["category"]), c["brand"].eqNullSafe(counts["brand"]),
-                                  c["organic_only"].eqNullSafe(counts["organic_only"])], "left")
-                   .select("question_id", "action", "answer"))
-
-    # count_deals: per deal type (null = all live deals)
-    by_type = live.groupBy("deal_type").agg(F.count(F.lit(1)).alias("n"))
-    total_live = live.agg(F.count(F.lit(1))).scalar()
-    cd = c.filter(F.col("action") == "count_deals").join(
-        by_type.withColumnRenamed("deal_type", "dt"), F.col("deal_type") == F.col("dt"), "left")
-    cnt = F.when(F.col("deal_type").isNull(), total_live).otherwise(F.coalesce("n", F.lit(0)))
-    answers.append(cd.select("question_id", "action", F.concat(
-        F.lit("We have **"), cnt.cast("string"), F.lit("** "), F.coalesce("deal_type", F.lit("active")),
-        F.lit(" deals right now.")).alias("answer")))
-
-    # expiring_deals: one list for every such question
-    lo, hi = F.lit(as_of), end_of_day(F.lit(as_of))
-    exp = (deals.filter(F.col("is_active") & F.col("end_date").between(lo, hi))
-           .join(prod.select("product_id", F.col("name").alias("product_name"), "sku"), "product_id")
-           .withColumn("title", deal_title("deal_type", "discount_percent"))
-           .orderBy("end_date", "deal_id").limit(20)
-           .withColumn("_o", F.struct("end_date", "deal_id")))
-    exp_lines = _join_lines(exp.withColumn("_g", F.lit(1)), ["_g"], "_o",
-                            F.concat(F.lit("- "), F.col("product_name"), F.lit(" ("), F.col("sku"), F.lit(") — "),
-                                     F.col("title"), F.lit(" ("), F.col("deal_type"), F.lit(")")), "lines")
-    exp_n = exp.agg(F.count(F.lit(1))).scalar()
-    exp_text = F.when(exp_n == 0, F.lit("No deals expiring today.")).otherwise(
-        F.concat(F.lit("**"), exp_n.cast("string"), F.lit(" deals expiring today:**\n"), exp_lines.select("lines").scalar()))
-    answers.append(c.filter(F.col("action") == "expiring_deals").select("question_id", "action", exp_text.alias("answer")))
-
-    # list_categories
-    counts_c = avail.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    lc = (cat.filter("is_active").join(counts_c, "category", "left").withColumn("_g", F.lit(1)))
-    lc_lines = _join_lines(lc, ["_g"], "display_order",
-                           F.concat(F.lit("- "), F.col("category"), F.lit(" — "),
-                                    F.coalesce("n", F.lit(0)).cast("string"), F.lit(" products")), "lines")
-    answers.append(c.filter(F.col("action") == "list_categories").select(
-        "question_id", "action", F.concat(F.lit("**Categories:**\n"), lc_lines.select("lines").scalar()).alias("answer")))
-
-    # cheapest / most expensive: top 5 per category parameter (null = all)
-    for action, label, desc_order in (("cheapest_products", "cheapest", False),
-                                      ("most_expensive_products", "most expensive", True)):
-        ps = c.filter(F.col("action") == action).select("category").distinct()
-        order = [F.desc("price") if desc_order else F.asc("price"), F.asc("product_id")]
-        per_cat = (avail.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
-                   .filter("_r <= 5").withColumn("_key", F.col("category")))
-        overall = (avail.orderBy(*order).limit(5)
-                   .withColumn("_r", F.row_number().over(Window.orderBy(*order)))  # over 5 rows
-                   .withColumn("_key", F.lit(None).cast("string")))
-        top = per_cat.unionByName(overall)
-        line = F.concat(F.lit("- "), F.col("name"), _brand_part(), F.lit(" — "), _money("price"), F.lit("/each ["),
-                        F.col("sku"), F.lit("]"))
-        lines = _join_lines(top, ["_key"], "_r", line, "lines")
-        head = F.concat(F.lit(f"**{title_case_text(label)} products"), _in_cat(), F.lit(":**"))
-        txt = ps.join(lines, ps["category"].eqNullSafe(lines["_key"]), "left").select(
-            "category", F.concat_ws("\n", head, F.col("lines")).alias("answer"))
-        answers.append(c.filter(F.col("action") == action)
-                       .join(txt, c["category"].eqNullSafe(txt["category"]), "left")
-                       .select("question_id", "action", "answer"))
-
-    # store brand products: by name, 10, total ignores the category
-    sb = avail.filter(F.col("is_store_brand"))
-    sb_total = prod.filter(F.col("is_available") & F.col("is_store_brand")).agg(F.count(F.lit(1))).scalar()
-    ps = c.filter(F.col("action") == "store_brand_products").select("category").distinct()
-    order = [F.asc("name"), F.asc("product_id")]
-    top = (sb.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
-           .filter("_r <= 10").withColumn("_key", F.col("category"))
-           .unionByName(sb.orderBy(*order).limit(10).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-                        .withColumn("_key", F.lit(None).cast("string"))))
-    agg = top.groupBy("_key").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("_r").alias("o"), F.concat(
-            F.lit("- "), F.col("name"), F.lit(" — "), _money("price"), F.lit("/each ["), F.col("sku"),
-            F.lit("]")).alias("l")))), lambda s: s["l"]), "\n").alias("lines"),
-        F.count(F.lit(1)).alias("shown"))
-    txt = ps.join(agg, ps["category"].eqNullSafe(agg["_key"]), "left").select(
-        "category", F.concat_ws("\n", F.concat(F.lit("**Store brand products"), _in_cat(), F.lit(" ("),
-                                                sb_total.cast("string"), F.lit(" total, showing "),
-                                                F.coalesce("shown", F.lit(0)).cast("string"), F.lit("):**")),
-                                F.col("lines")).alias("answer"))
-    answers.append(c.filter(F.col("action") == "store_brand_products")
-                   .join(txt, c["category"].eqNullSafe(txt["category"]), "left")
-                   .select("question_id", "action", "answer"))
-
-    # list_brands: brands by product count, 15 shown, "...and N more"
-    ps = c.filter(F.col("action") == "list_brands").select("category").distinct()
-    bb = avail.filter(F.col("brand").isNotNull())
-    per_b = bb.groupBy("category", "brand").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.col("category"))
-    all_b = (bb.groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("category", F.lit(None).cast("string")).withColumn("_key", F.lit(None).cast("string")))
-    ranked = per_b.unionByName(all_b).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("n"), F.asc("brand"))))
-    tot = ranked.groupBy("_key").agg(F.count(F.lit(1)).alias("nb"))
-    lines = _join_lines(ranked.filter("_r <= 15"), ["_key"], "_r",
-                        F.concat(F.lit("- "), F.col("brand"), F.lit(" — "), F.col("n").cast("string"),
-                                 F.lit(" products")), "lines")
-    tot = tot.withColumnRenamed("_key", "_tkey")
-    lines = lines.join(tot, lines["_key"].eqNullSafe(tot["_tkey"])).drop("_tkey")
-    more = F.when(F.col("nb") > 15, F.concat(F.lit("  ...and "), (F.col("nb") - 15).cast("string"), F.lit(" more")))
-    txt = ps.join(lines, ps["category"].eqNullSafe(lines["_key"]), "left").select(
-        "category", F.concat_ws("\n", F.concat(F.lit("**"), F.coalesce("nb", F.lit(0)).cast("string"),
-                                                F.lit(" brands"), _in_cat(), F.lit(":**")), F.col("lines"), more)
-        .alias("answer"))
-    answers.append(c.filter(F.col("action") == "list_brands")
-                   .join(txt, c["category"].eqNullSafe(txt["category"]), "left")
-                   .select("question_id", "action", "answer"))
-
-    # deal_summary
-    ds = (live.groupBy("deal_type").agg(F.count(F.lit(1)).alias("cnt"),
-                                          F.round(F.avg("discount_percent"), 1).alias("avg"))
-          .withColumn("_g", F.lit(1)))
-    ds_lines = ds.groupBy("_g").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("o"), F.col("deal_type").alias("t"), F.concat(
-            F.lit("- "), F.col("deal_type"), F.lit(": "), F.col("cnt").cast("string"), F.lit(" deals"),
-            F.when(F.coalesce(F.col("avg"), F.lit(0)) != 0,
-                   F.concat(F.lit(", avg "), F.col("avg").cast("string"), F.lit("% off"))).otherwise(F.lit("")))
-            .alias("l")))), lambda s: s["l"]), "\n").alias("lines"), F.sum("cnt").alias("total"))
-    answers.append(c.filter(F.col("action") == "deal_summary").select(
-        "question_id", "action", F.concat(F.lit("**Active deals: "), ds_lines.select("total").scalar().cast("string"),
-                                          F.lit(" total**\n"), ds_lines.select("lines").scalar()).alias("answer")))
-
-    # products_under_price: the 10 cheapest of a category that are under max
-    pu = c.filter(F.col("action") == "products_under_price").select("max_price", "category").distinct()
-    cheap = (avail.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy("price", "product_id")))
-             .filter("_r <= 10").withColumn("_key", F.col("category"))
-             .unionByName(avail.orderBy("price", "product_id").limit(10)
-                          .withColumn("_r", F.row_number().over(Window.orderBy("price", "product_id")))
-                          .withColumn("_key", F.lit(None).cast("string"))))
-    hits = pu.join(cheap, pu["category"].eqNullSafe(cheap["_key"]) & (cheap["price"] < pu["max_price"]), "left")
-    lines = hits.groupBy(pu["max_price"], pu["category"]).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cheap["_r"].isNotNull(), F.struct(
-            cheap["_r"].alias("o"), F.concat(F.lit("- "), cheap["name"], _brand_part(), F.lit(" — "),
-                                             F.format_string("$%.2f", cheap["price"].cast("double")),
-                                             F.lit("/each ["), cheap["sku"], F.lit("]")).alias("l"))))),
-            lambda s: s["l"]), "\n").alias("lines"),
-        F.count(cheap["_r"]).alias("shown"))
-    price_counts = avail.groupBy("category", "price").agg(F.count(F.lit(1)).alias("n"))
-    totals = (pu.join(price_counts.withColumnRenamed("category", "pc_cat"),
-                      (pu["category"].isNull() | (pu["category"] == F.col("pc_cat"))) & (F.col("price") < pu["max_price"]),
-                      "left").groupBy(pu["max_price"], pu["category"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
-    tot = totals.select(F.col("max_price").alias("_mp"), F.col("category").alias("_cat"), "total")
-    txt = lines.join(tot, lines["max_price"].eqNullSafe(tot["_mp"]) & lines["category"].eqNullSafe(tot["_cat"])).select(
-        "max_price", "category",
-        F.concat_ws("\n", F.concat(F.lit("**"), F.col("total").cast("string"), F.lit(" products under "),
-                                   F.format_string("$%.2f", F.col("max_price")), _in_cat(), F.lit(" (showing "),
-                                   F.col("shown").cast("string"), F.lit("):**")),
-                    F.when(F.col("lines") != "", F.col("lines"))).alias("answer"))
-    answers.append(c.filter(F.col("action") == "products_under_price")
-                   .join(txt, [c["max_price"].eqNullSafe(txt["max_price"]), c["category"].eqNullSafe(txt["category"])],
-                         "left").select("question_id", "action", "answer"))
-
-    # list_subcategories: top 15 tag strings
-    ps = c.filter(F.col("action") == "list_subcategories").select("category").distinct()
-    tg = avail.filter(F.col("tags").isNotNull())
-    per_t = tg.groupBy("category", "tags").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.col("category"))
-    all_t = (tg.groupBy("tags").agg(F.count(F.lit(1)).alias("n")).withColumn("category", F.lit(None).cast("string"))
-             .withColumn("_key", F.lit(None).cast("string")))
-    rk = per_t.unionByName(all_t).withColumn("_r", F.row_number().over(
-        Window.partitionBy("_key").orderBy(F.desc("n"), F.asc("tags")))).filter("_r <= 15")
-    lines = _join_lines(rk, ["_key"], "_r", F.concat(F.lit("- "), F.col("tags"), F.lit(" — "),
-                                                     F.col("n").cast("string"), F.lit(" products")), "lines")
-    txt = ps.join(lines, ps["category"].eqNullSafe(lines["_key"]), "left").select(
-        "category", F.concat_ws("\n", F.concat(F.lit("**Top product tags"), _in_cat(), F.lit(":**")),
-                                F.col("lines")).alias("answer"))
-    answers.append(c.filter(F.col("action") == "list_subcategories")
-                   .join(txt, c["category"].eqNullSafe(txt["category"]), "left")
-                   .select("question_id", "action", "answer"))
-
-    answers.append(c.filter(F.col("action").isNull()).select(
-        "question_id", F.lit("rag").alias("action"), F.lit(None).cast("string").alias("answer")))
-    out = answers[0]
-    for a in answers[1:]:
-        out = out.unionByName(a)
-    return out
-
-
-def title_case_text(s: str) -> str:
-    """Python-side twin of :func:`larder.functions.text.title_case` for literals."""
-    return " ".join(w[:1].upper() + w[1:].lower() for w in s.split(" "))
+                       F.when(F.col("_brand") != "", F.concat(F.lit("from "), F.col("brand"))))
+    say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    under = lambda head, *rest: F.concat_ws("\n", head, F.col("lines"), *rest)
+    more = F.when(F.col("total") > 15, say("  ...and ", (F.col("total") - 15).cast("string"), " more"))
+    texts = {
+        "count_products": say("We carry **", total, "** ", F.when(desc == "", F.lit("total")).otherwise(desc), " products."),
+        "count_deals": say("We have **", total, "** ", F.coalesce("deal_type", F.lit("active")), " deals right now."),
+        "expiring_deals": F.when(F.col("shown").isNull(), F.lit("No deals expiring today.")).otherwise(
+            under(say("**", shown, " deals expiring today:**"))),
+        "list_categories": under(F.lit("**Categories:**")),
+        "cheapest_products": under(say("**Cheapest products", _in_cat(), ":**")),
+        "most_expensive_products": under(say("**Most Expensive products", _in_cat(), ":**")),
+        "store_brand_products": under(say("**Store brand products", _in_cat(), " (", own.cast("string"), " total, showing ", shown, "):**")),
+        "list_brands": under(say("**", total, " brands", _in_cat(), ":**"), more),
+        "deal_summary": under(say("**Active deals: ", total, " total**")),
+        "products_under_price": under(say("**", total, " products under ", F.format_string("$%.2f", F.col("max_price")), _in_cat(),
+                                          " (showing ", shown, "):**")),
+        "list_subcategories": under(say("**Top product tags", _in_cat(), ":**")),
+    }
+    answer, rows = F.lit(None).cast("string"), F.coalesce("data", F.lit("[]"))
+    for name, text in texts.items():
+        answer = F.when(act == name, text).otherwise(answer)
+    count = F.to_json(F.array(F.struct(F.coalesce("total", F.lit(0)).alias("count"))))
+    rows = F.when(act.isin("count_products", "count_deals"), count).when(act.isNotNull(), rows)
+    return j.select("question_id", F.coalesce("action", F.lit("rag")).alias("action"), answer.alias("answer"), rows.alias("data"))
 
 
 __all__ = ["build_context", "build_messages", "chat_batch", "generate", "hit_deal_type", "history_window",
-           "staff_answer", "title_case", "SYSTEM_PROMPT", "STAFF_SYSTEM_PROMPT"]
+           "staff_answer", "staff_answer_calls", "SYSTEM_PROMPT", "STAFF_SYSTEM_PROMPT"]

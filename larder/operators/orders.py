@@ -159,7 +159,7 @@ def order_totals(items: DataFrame) -> DataFrame:
 
 def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
                   bucket_seconds: int = 3600, name: str = "before", bucket: Column | None = None) -> DataFrame:
-    """Count of flagged rows strictly before each row within ``part``.
+    """Count of flagged rows (or sum of a whole-number ``flag``) strictly before each row within ``part``.
 
     Two levels so a hot partition key is not one task: per-(key, bucket)
     counts are prefix-summed on the small aggregate, then each bucket is
@@ -169,7 +169,7 @@ def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
     """
     b = bucket if bucket is not None else \
         F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
-    d = df.withColumn("_b", b).withColumn("_f", flag.cast("int"))
+    d = df.withColumn("_b", b).withColumn("_f", flag.cast("bigint"))
     per_bucket = d.groupBy(part, "_b").agg(F.sum("_f").alias("_n"))
     offs = per_bucket.withColumn(
         "_off", F.coalesce(F.sum("_n").over(

@@ -15,7 +15,9 @@ from larder.functions.text import deal_description, deal_text, deal_title, produ
 from larder.operators import answers as A
 from larder.operators import vectors as V
 from larder.plans.registry import register
-from larder.session import AS_OF
+from larder.plans.deal_queries import title_sql
+from larder.plans.sqlkit import avg_round
+from larder.session import AS_OF, AS_OF_SQL
 from larder.sources.views import RetailModel
 
 
@@ -169,3 +171,90 @@ def q_staff_answer_examples(spark, d):
     m = RetailModel(spark, d)
     qs = spark.createDataFrame(list(enumerate(STAFF_EXAMPLES)), "question_id long, text string")
     return A.staff_answer(qs, m.products, m.categories, m.deals, as_of=AS_OF)
+
+
+def _calls_sql(products: str, deals: str) -> str:
+    """Routed staff calls over all categories, brands, deal types and price steps of the
+    catalogue (the same text in both engines)."""
+    none = {"category": "CAST(NULL AS STRING)", "brand": "CAST(NULL AS STRING)", "organic_only": "false",
+            "deal_type": "CAST(NULL AS STRING)", "cap": "CAST(NULL AS BIGINT)"}
+
+    def call(action: str, source: str = "", **cols: str) -> str:
+        return (f"SELECT '{action}' AS action, " + ", ".join(f"{cols.get(c, v)} AS {c}" for c, v in none.items())
+                + (f" FROM {source}" if source else ""))
+    cats = f"(SELECT DISTINCT category FROM {products}) t"
+    parts = [call(a) for a in ("expiring_deals", "list_categories", "deal_summary", "count_deals", "count_products")]
+    for a in ("cheapest_products", "most_expensive_products", "store_brand_products", "list_brands", "list_subcategories"):
+        parts += [call(a), call(a, cats, category="category")]
+    parts += [call("count_products", cats, category="category"), call("count_products", cats, category="category", organic_only="true"),
+              call("count_products", f"(SELECT DISTINCT category, lower(brand) AS b FROM {products} WHERE brand IS NOT NULL) t",
+                   category="category", brand="b"),
+              call("count_products", f"(SELECT DISTINCT substr(lower(brand), 2, 5) AS b FROM {products} WHERE brand IS NOT NULL) t",
+                   brand="b", organic_only="true"),
+              call("count_deals", f"(SELECT DISTINCT deal_type AS dt FROM {deals}) t", deal_type="dt"),
+              call("products_under_price", f"(SELECT DISTINCT CAST(ceil(price / 20) * 20 AS BIGINT) AS c FROM {products}) t", cap="c"),
+              call("products_under_price", f"(SELECT DISTINCT category, CAST(ceil(price / 20) * 20 AS BIGINT) AS c FROM {products}) t",
+                   category="category", cap="c")]
+    body = " UNION ALL ".join(parts)
+    key = "concat_ws(':', action, category, brand, CAST(organic_only AS STRING), deal_type, CAST(cap AS STRING))"
+    return f"SELECT {key} AS question_id, q.*, CAST(cap AS DOUBLE) AS max_price FROM ({body}) q"
+
+
+_UNIT = "CASE WHEN product_id % 3 = 0 THEN 'lb' ELSE 'each' END"
+_IN = "CASE WHEN c.category IS NULL THEN '' ELSE ' in ' || c.category END"
+_OF = "(c.category IS NULL OR a.category = c.category)"
+
+
+def _pick(line: str, order: str, n: int, where: str = "TRUE") -> str:
+    """Lines of the first n available products of a call's category, each after a newline."""
+    return (f"coalesce((SELECT string_agg(chr(10) || {line}, '' ORDER BY {order}) FROM "
+            f"(SELECT * FROM avail a WHERE {_OF} AND {where} ORDER BY {order} LIMIT {n}) s), '')")
+
+
+_PRICED = "' — $' || printf('%.2f', CAST(price AS DOUBLE)) || '/' || unit || ' [' || sku || ']'"
+_LINE = f"'- ' || name || CASE WHEN coalesce(brand, '') <> '' THEN ' (' || brand || ')' ELSE '' END || {_PRICED}"
+
+
+def _grouped(col: str, extra: str = "''") -> str:
+    return (f"(SELECT coalesce(string_agg(chr(10) || '- ' || v || ' — ' || n || ' products', '' ORDER BY n DESC, v) FILTER (r <= 15), '') || {extra} "
+            f"FROM (SELECT {col} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {col}) AS r FROM avail a "
+            f"WHERE {_OF} AND {col} IS NOT NULL GROUP BY {col}) s)")
+
+
+_STAFF_ORACLE = f"""
+WITH calls AS ({_calls_sql("products", "deals")}),
+avail AS (SELECT *, {_UNIT} AS unit FROM products WHERE is_available),
+live AS (SELECT * FROM deals WHERE is_active AND end_date > {AS_OF_SQL}),
+ending AS (SELECT d.*, p.name, p.sku FROM deals d JOIN products p USING (product_id) WHERE d.is_active
+  AND d.end_date BETWEEN {AS_OF_SQL} AND {AS_OF_SQL} + INTERVAL '23 hours 59 minutes 59 seconds' ORDER BY end_date, deal_id LIMIT 20),
+kinds AS (SELECT deal_type, count(*) AS n, {avg_round('discount_percent', digits=1)} AS pct FROM live GROUP BY deal_type),
+answered AS (SELECT question_id, action, CASE action
+ WHEN 'count_products' THEN 'We carry **' || (SELECT count(*) FROM avail a WHERE {_OF} AND (c.brand IS NULL OR contains(lower(a.brand), c.brand))
+   AND (NOT c.organic_only OR a.is_organic)) || '** ' || coalesce(nullif(concat_ws(' ', CASE WHEN c.organic_only THEN 'organic' END,
+   'in ' || c.category, 'from ' || c.brand), ''), 'total') || ' products.'
+ WHEN 'count_deals' THEN 'We have **' || (SELECT count(*) FROM live l WHERE c.deal_type IS NULL OR l.deal_type = c.deal_type) || '** '
+   || coalesce(c.deal_type, 'active') || ' deals right now.'
+ WHEN 'expiring_deals' THEN coalesce((SELECT '**' || count(*) || ' deals expiring today:**' || string_agg(chr(10) || '- ' || name || ' (' || sku
+   || ') — ' || {title_sql()} || ' (' || deal_type || ')', '' ORDER BY end_date, deal_id) FROM ending HAVING count(*) > 0), 'No deals expiring today.')
+ WHEN 'list_categories' THEN '**Categories:**' || (SELECT string_agg(chr(10) || '- ' || category || ' — '
+   || (SELECT count(*) FROM avail a WHERE a.category = k.category) || ' products', '' ORDER BY display_order) FROM categories k WHERE is_active)
+ WHEN 'deal_summary' THEN '**Active deals: ' || (SELECT count(*) FROM live) || ' total**' || (SELECT string_agg(chr(10) || '- ' || deal_type || ': ' || n
+   || ' deals' || CASE WHEN coalesce(pct, 0) <> 0 THEN ', avg ' || pct || '% off' ELSE '' END, '' ORDER BY n DESC, deal_type) FROM kinds)
+ WHEN 'cheapest_products' THEN '**Cheapest products' || {_IN} || ':**' || {_pick(_LINE, 'price, product_id', 5)}
+ WHEN 'most_expensive_products' THEN '**Most Expensive products' || {_IN} || ':**' || {_pick(_LINE, 'price DESC, product_id', 5)}
+ WHEN 'store_brand_products' THEN '**Store brand products' || {_IN} || ' (' || (SELECT count(*) FROM avail WHERE is_store_brand) || ' total, showing '
+   || (SELECT least(10, count(*)) FROM avail a WHERE {_OF} AND is_store_brand) || '):**' || {_pick("'- ' || name || " + _PRICED, 'name, product_id', 10, 'is_store_brand')}
+ WHEN 'products_under_price' THEN '**' || (SELECT count(*) FROM avail a WHERE {_OF} AND a.price < c.cap) || ' products under $' || c.cap || '.00' || {_IN}
+   || ' (showing ' || (SELECT least(10, count(*)) FROM avail a WHERE {_OF} AND a.price < c.cap) || '):**' || {_pick(_LINE, 'price, product_id', 10, 'a.price < c.cap')}
+ WHEN 'list_brands' THEN '**' || (SELECT count(DISTINCT brand) FROM avail a WHERE {_OF}) || ' brands' || {_IN} || ':**' || {_grouped('brand', "CASE WHEN count(*) > 15 THEN chr(10) || '  ...and ' || (count(*) - 15) || ' more' ELSE '' END")}
+ WHEN 'list_subcategories' THEN '**Top product tags' || {_IN} || ':**' || {_grouped('tags')} END AS answer FROM calls c)
+SELECT * FROM answered"""
+
+
+@register("staff_answer_catalog", _STAFF_ORACLE)
+def q_staff_answer_catalog(spark, d):
+    """Every action for every category, brand, deal type and price step of the catalogue."""
+    m = RetailModel(spark, d)
+    calls = spark.sql(_calls_sql("{products}", "{deals}"), products=m.products, deals=m.deals)
+    prod = m.products.withColumn("unit", F.expr(_UNIT))
+    return A.staff_answer_calls(calls, prod, m.categories, m.deals, as_of=AS_OF).select("question_id", "action", "answer")

@@ -2,6 +2,7 @@
 plain-Python twin that reads the same ordered rule tables."""
 
 import re
+import json
 from datetime import datetime
 
 
@@ -167,7 +168,13 @@ def test_staff_answers_on_fixture(spark):
                                 (9, "What brands do we carry?"), (10, "Show me our private label products"),
                                 (11, "How many weekly deals are there?"), (12, "What subcategories do we have?")],
                                "question_id long, text string")
-    out = {r.question_id: r.answer for r in staff_answer(qs, prod, cat, deals, as_of=as_of).collect()}
+    rows = {r.question_id: r for r in staff_answer(qs, prod, cat, deals, as_of=as_of).collect()}
+    out = {k: r.answer for k, r in rows.items()}
+    assert rows[2].data == '[{"count":1}]' and rows[6].data is None
+    assert json.loads(rows[8].data)[1] == {"name": "Banana Bundle", "sku": "FRE-0002", "price": 2.49, "unit": "each",
+                                           "category": "Fresh", "brand": None}
+    assert json.loads(rows[7].data) == [{"category": "Fresh", "slug": "fresh", "product_count": 2},
+                                        {"category": "Beverages", "slug": "beverages", "product_count": 1}]
     assert out[1] == "We carry **3** total products."
     assert out[2] == "We carry **1** organic products."
     assert out[3].startswith("**1 deals expiring today:**\n- Organic Fuji Apple (FRE-0001) — Today Only: 25% Off")
