@@ -32,10 +32,10 @@ def l2_normalize(v: Column) -> Column:
 
 
 def token_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    """Hash bucket (xxhash64 mod dim) of every word of the whole text (JVM side)."""
+    """Hash bucket (CRC-32 mod dim) of every word of the whole text (JVM side)."""
     t = F.col(text) if isinstance(text, str) else text
     tokens = F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda s: F.length(s) > 0)
-    return F.transform(tokens, lambda s: F.pmod(F.xxhash64(s), F.lit(dim)).cast("int"))
+    return F.transform(tokens, lambda s: F.pmod(F.crc32(s), F.lit(dim)).cast("int"))
 
 
 def _bincount_udf(dim: int):

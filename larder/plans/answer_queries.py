@@ -15,8 +15,9 @@ from larder.functions.text import deal_description, deal_text, deal_title, produ
 from larder.operators import answers as A
 from larder.operators import vectors as V
 from larder.plans.registry import register
-from larder.plans.deal_queries import title_sql
-from larder.plans.sqlkit import avg_round
+from larder.plans.deal_queries import DEAL_TEXT_SQL, title_sql
+from larder.plans.sqlkit import avg_round, embedding_ctes, micro, micro_text
+from larder.plans.text_queries import STORE_TEXT_SQL
 from larder.session import AS_OF, AS_OF_SQL
 from larder.sources.views import RetailModel
 
@@ -121,19 +122,23 @@ def q_staff_answer(spark, d):
     return A.staff_answer(qs, m.products, m.categories, m.deals, as_of=AS_OF)
 
 
-@register("index_stores")
+@register("index_stores", f"""WITH docs AS (SELECT store_id AS id, text FROM ({STORE_TEXT_SQL})),
+{embedding_ctes("docs", "e")}
+SELECT id AS vec_id, store_number, {micro()} AS embedding FROM e JOIN stores ON store_id = id""")
 def q_index_stores(spark, d):
-    """H4 (stores): store text -> hashed embedding -> collection rows (rows-only)."""
+    """H4 (stores): store text -> hashed embedding -> collection rows (vectors as text)."""
     s = _stores(RetailModel(spark, d))
     docs = s.select(F.col("store_id").alias("vec_id"), "store_number",
                     store_text("name", "address", "city", "state", "zip_code", "phone", "store_number").alias("text"))
-    return V.embed_texts(docs, "text").select("vec_id", "store_number", "embedding")
+    return V.embed_texts(docs, "text").select("vec_id", "store_number", micro_text("embedding"))
 
 
-@register("index_deals")
+@register("index_deals", f"""WITH docs AS (SELECT deal_id AS id, text FROM ({DEAL_TEXT_SQL})),
+{embedding_ctes("docs", "e")}
+SELECT id AS vec_id, deal_type, sku AS product_sku, {micro()} AS embedding FROM e JOIN deals d ON deal_id = id LEFT JOIN products p ON p.product_id = d.product_id""")
 def q_index_deals(spark, d):
     """H4 (deals): deal text (product fields joined, defaults for unknown
-    products) -> hashed embedding, partitioned by deal type (rows-only)."""
+    products) -> hashed embedding, partitioned by deal type (vectors as text)."""
     m = RetailModel(spark, d)
     dl = (m.deals.join(m.products.select("product_id", F.col("name").alias("product_name"),
                                          F.col("sku").alias("product_sku"), "category", "price"), "product_id", "left")
@@ -141,7 +146,7 @@ def q_index_deals(spark, d):
     docs = dl.select(F.col("deal_id").alias("vec_id"), "deal_type", "product_sku", deal_text(
         "title", "deal_type", "product_name", "category", "price",
         deal_description("deal_type", "discount_percent", F.coalesce("product_name", F.lit("Unknown")))).alias("text"))
-    return V.embed_texts(docs, "text").select("vec_id", "deal_type", "product_sku", "embedding")
+    return V.embed_texts(docs, "text").select("vec_id", "deal_type", "product_sku", micro_text("embedding"))
 
 
 @register("persist_messages")

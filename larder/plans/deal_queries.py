@@ -75,13 +75,16 @@ def q_deal_view(spark, d):
         "deal_id", "deal_type", "discount_percent", "product_name", "product_price", "category")
 
 
-@register("deal_text", f"""
+DEAL_TEXT_SQL = f"""
 SELECT d.deal_id,
   'Deal: ' || {title_sql('d.deal_type', 'd.discount_percent')} || chr(10) || 'Type: ' || d.deal_type || chr(10) ||
   'Product: ' || coalesce(p.name, 'Unknown') || chr(10) || 'Category: ' || coalesce(p.category, 'Unknown') || chr(10) ||
   'Price: ' || printf('$%.2f', coalesce(p.price, 0)) || chr(10) ||
   'Description: ' || {desc_sql('d.deal_type', 'd.discount_percent', 'p.name')} AS text
-FROM deals d LEFT JOIN products p ON d.product_id = p.product_id""")
+FROM deals d LEFT JOIN products p ON d.product_id = p.product_id"""
+
+
+@register("deal_text", DEAL_TEXT_SQL)
 def q_deal_text(spark, d):
     """C13 + F12: deal document text with product defaults."""
     m = RetailModel(spark, d)

@@ -8,6 +8,8 @@ from larder.functions.text import product_text_pipeline
 from larder.operators import vectors as V
 from larder.operators.evaluation import retrieval_quality
 from larder.plans.registry import register
+from larder.plans.sqlkit import embedding_ctes, micro, micro_text
+from larder.plans.text_queries import PRODUCT_TEXT_SQL
 from larder.sources.views import RetailModel
 
 _CENTROIDS_SQL = """
@@ -116,17 +118,25 @@ def _product_doc(p):
                                  "price", "description", "tags", "is_organic", "is_store_brand")
 
 
-@register("index_products")
+_PRODUCT_DOCS = f"docs AS (SELECT product_id AS id, {PRODUCT_TEXT_SQL} AS text FROM products)"
+
+
+@register("index_products", f"""WITH {_PRODUCT_DOCS},
+{embedding_ctes("docs", "e")}
+SELECT id AS vec_id, category, sku, {micro()} AS embedding FROM e JOIN products ON product_id = id""")
 def q_index_products(spark, d):
-    """H4 / H1: product text -> hashed embedding -> collection rows (rows-only)."""
+    """H4 / H1: product text -> hashed embedding -> collection rows (vectors as text)."""
     p = RetailModel(spark, d).products
     docs = p.select(F.col("product_id").alias("vec_id"), "category", "sku", _product_doc(p).alias("text"))
-    return V.embed_texts(docs, "text").select("vec_id", "category", "sku", "embedding")
+    return V.embed_texts(docs, "text").select("vec_id", "category", "sku", micro_text("embedding"))
 
 
-@register("index_incremental")
+@register("index_incremental", f"""WITH {_PRODUCT_DOCS},
+{embedding_ctes("docs", "e")}
+SELECT id AS vec_id, category, {micro()} AS embedding FROM e JOIN products ON product_id = id
+WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 2)""")
 def q_index_incremental(spark, d):
-    """H5: product change messages applied to the product collection (rows-only)."""
+    """H5: product change messages applied to the product collection (vectors as text)."""
     m = RetailModel(spark, d)
     p = m.products
     coll = p.select(F.col("product_id").alias("vec_id"), "category",
@@ -136,4 +146,4 @@ def q_index_incremental(spark, d):
                           F.when(F.col("p_size") <= 2, "delete").when(F.col("p_size") <= 6, "update")
                           .otherwise("keep").alias("action"),
                           F.col("p_size").alias("msg_seq")).filter(F.col("action") != "keep")
-    return V.index_incremental(coll, changes, p, text=_product_doc)
+    return V.index_incremental(coll, changes, p, text=_product_doc).withColumn("embedding", micro_text("embedding"))
