@@ -1,4 +1,4 @@
-"""Registered answer-building queries (G9-G12, C12); rows-only checks.
+"""Registered answer-building queries.
 
 Questions are the user turns of the conversations (whole texts). The three
 collections (products, deals, stores) are embedded with the hashed
@@ -17,7 +17,7 @@ from larder.operators import vectors as V
 from larder.plans.registry import register
 from larder.plans.deal_queries import DEAL_TEXT_SQL, title_sql
 from larder.plans.sqlkit import avg_round, embedding_ctes, micro, micro_text
-from larder.plans.text_queries import STORE_TEXT_SQL
+from larder.plans.text_queries import PRODUCT_TEXT_SQL, STORE_TEXT_SQL, unit_sql
 from larder.session import AS_OF, AS_OF_SQL
 from larder.sources.views import RetailModel
 
@@ -65,7 +65,45 @@ def _hits(spark, m: RetailModel):
     return q, ph, dh, sh
 
 
-@register("build_context")
+def _top_sql(docs: str, k: int, where: str = "TRUE") -> str:
+    """Best k of a collection for each question: score in ten digits, ties by id."""
+    return (f"(SELECT query_id, vec_id, rank FROM (SELECT q.id AS query_id, x.id AS vec_id, row_number() OVER (PARTITION BY q.id "
+            f"ORDER BY round(list_inner_product(q.embedding, x.embedding), 10) DESC, x.id) AS rank "
+            f"FROM (SELECT * FROM eq JOIN questions USING (id)) q, (SELECT * FROM {docs}) x WHERE {where}) WHERE rank <= {k})")
+
+
+_HITS_SQL = f"""questions AS (SELECT conv_id || ':' || turn AS id, text, {R.sql_detect_category("lower(text)")} AS cat,
+  {R.sql_first_match("lower(text)", R.DEAL_TYPE_RULES)} AS kind FROM chat_turns WHERE role = 'user'),
+{embedding_ctes("questions", "eq")},
+pdocs AS (SELECT product_id AS id, {PRODUCT_TEXT_SQL} AS text FROM products),
+{embedding_ctes("pdocs", "ep")},
+live AS (SELECT d.*, p.name, p.sku FROM deals d JOIN products p USING (product_id) WHERE d.is_active AND d.end_date > {AS_OF_SQL}),
+ddocs AS (SELECT deal_id AS id, text FROM ({DEAL_TEXT_SQL}) WHERE deal_id IN (SELECT deal_id FROM live)),
+{embedding_ctes("ddocs", "ed")},
+sdocs AS (SELECT store_id AS id, text FROM ({STORE_TEXT_SQL})),
+{embedding_ctes("sdocs", "es")},
+ph AS {_top_sql("ep JOIN products ON product_id = id", 10, "q.cat IS NULL OR q.cat = x.category")},
+dh AS {_top_sql("ed JOIN live ON deal_id = id", 8, "q.kind IS NULL OR q.kind = x.deal_type")},
+sh AS {_top_sql("es", 5)}"""
+
+_CONTEXT_SQL = f"""
+WITH {_HITS_SQL},
+p AS (SELECT query_id, string_agg('- ' || name || ' | $' || printf('%.2f', CAST(price AS DOUBLE)) || '/' || {unit_sql("name")} || ' | ' || category
+  || CASE WHEN is_organic THEN ' | Organic' ELSE '' END || CASE WHEN coalesce(brand, '') <> '' THEN ' | ' || brand ELSE '' END, chr(10) ORDER BY rank) AS block
+  FROM ph JOIN products ON product_id = vec_id WHERE rank <= 8 GROUP BY query_id),
+d AS (SELECT query_id, string_agg('- ' || {title_sql()} || ': ' || name || ' (' || deal_type || ')'
+  || CASE WHEN coalesce(discount_percent, 0) <> 0 THEN ' — ' || CAST(discount_percent AS INT) || '% off' ELSE '' END, chr(10) ORDER BY rank) AS block
+  FROM dh JOIN live ON deal_id = vec_id WHERE rank <= 5 GROUP BY query_id),
+s AS (SELECT query_id, string_agg('- ' || s_name || ': ' || s_suppkey || ' Market St, ' || n_name || ', FL ' || printf('%05d', 33800 + s_suppkey)
+  || ' | Phone: (863) 555-' || printf('%04d', s_suppkey), chr(10) ORDER BY rank) AS block
+  FROM sh JOIN supplier ON s_suppkey = vec_id JOIN nation ON n_nationkey = s_nationkey WHERE rank <= 3 GROUP BY query_id)
+SELECT id AS query_id, coalesce(nullif(concat_ws(chr(10), '=== Available Products ===' || chr(10) || p.block,
+  chr(10) || '=== Current Deals ===' || chr(10) || d.block, chr(10) || '=== Store Locations ===' || chr(10) || s.block), ''),
+  'No relevant products found in our catalog.') AS context
+FROM questions LEFT JOIN p ON p.query_id = id LEFT JOIN d ON d.query_id = id LEFT JOIN s ON s.query_id = id"""
+
+
+@register("build_context", _CONTEXT_SQL)
 def q_build_context(spark, d):
     """Context block per question from the top product / deal / store hits."""
     m = RetailModel(spark, d)
@@ -73,7 +111,11 @@ def q_build_context(spark, d):
     return A.build_context(q, ph, dh, sh)
 
 
-@register("hit_deal_type")
+@register("hit_deal_type", f"""
+WITH {_HITS_SQL}
+SELECT ph.query_id, CAST(ph.rank AS INTEGER) AS rank, p.sku, (SELECT min_by(live.deal_type, dh.rank) FROM dh JOIN live ON deal_id = dh.vec_id
+  WHERE dh.query_id = ph.query_id AND live.sku = p.sku) AS deal_type
+FROM ph JOIN products p ON p.product_id = ph.vec_id WHERE ph.rank <= 5""")
 def q_hit_deal_type(spark, d):
     """Deal type of the best retrieved deal on each of the first 5 product hits."""
     m = RetailModel(spark, d)

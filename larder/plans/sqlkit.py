@@ -44,9 +44,11 @@ def doubles(sql: str, *cols: str) -> str:
 
 
 def _crc32(word: str) -> str:
-    """CRC-32 of an ASCII string: per byte one xor and eight shifts."""
-    steps = f"flatten(list_transform(string_split({word}, ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1]))"
-    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({steps} AS BIGINT[])), lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) "
+    """CRC-32 of a string's UTF-8 bytes: per byte one xor and eight shifts."""
+    hexes = f"hex(encode({word}))"
+    byte = f"CAST('0x' || substr({hexes}, 2 * i + 1, 2) AS BIGINT)"
+    steps = f"flatten(list_transform(range(0, length({hexes}) // 2), lambda i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) "
             f"WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END), 4294967295)")
 
 
