@@ -238,8 +238,9 @@ def order_with_items(orders: DataFrame, items: DataFrame, prod: DataFrame) -> Da
 
 
 def orders_of_user(orders: DataFrame, *, user_id) -> DataFrame:
-    """One user's orders, newest first (page with ``paginate``)."""
-    return orders.filter(F.col("user_id") == F.lit(user_id))
+    """One user's orders, newest first (page with ``paginate``, then nest the
+    page's lines with :func:`order_with_items`)."""
+    return orders.filter(F.col("user_id") == (user_id if isinstance(user_id, Column) else F.lit(user_id)))
 
 
 def user_order_sort():

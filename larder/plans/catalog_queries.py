@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import clock_time, day_name
 from larder.operators import catalog as C
+from larder.plans.deal_queries import title_sql
 from larder.plans.registry import register
 from larder.plans.sqlkit import doubles
 from larder.session import AS_OF, AS_OF_SQL
@@ -156,12 +157,20 @@ def q_product_view_flat(spark, d):
         "deal_deal_type", "deal_title", "deal_discount_percent", "deal_end_date")
 
 
-@register("product_view")
+@register("product_view", f"""
+WITH fd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY end_date, deal_id) AS rn
+  FROM deals WHERE is_active AND end_date > {AS_OF_SQL}) WHERE rn = 1)
+SELECT p.product_id, p.name, CAST(p.price AS DOUBLE) AS price, CASE WHEN fd.deal_id IS NULL THEN NULL ELSE concat_ws('|', CAST(fd.deal_id AS VARCHAR),
+  fd.deal_type, {title_sql('fd.deal_type', 'fd.discount_percent')}, CAST(fd.discount_percent AS VARCHAR), strftime(fd.end_date, '%Y-%m-%d')) END AS active_deal
+FROM products p LEFT JOIN fd ON p.product_id = fd.product_id""")
 def q_product_view(spark, d):
-    """B14 nested: ``active_deal`` struct or null (rows-only check)."""
+    """B14 nested: ``active_deal`` struct (shown as text) or null."""
     m = RetailModel(spark, d)
+    a = F.col("active_deal")
+    shown = F.when(a.isNotNull(), F.concat_ws("|", a["id"].cast("string"), a["deal_type"], a["title"], a["discount_percent"].cast("string"),
+                                              F.date_format(a["end_date"], "yyyy-MM-dd"))).alias("active_deal")
     return C.product_view(m.products, m.categories, m.deals, as_of=AS_OF).select(
-        "product_id", "name", "price", "active_deal")
+        "product_id", "name", "price", shown)
 
 
 def _price_sql(order: str, category: str | None, k: int) -> str:
@@ -302,11 +311,15 @@ def q_store_hours(spark, d):
                     clock_time("close_minutes").alias("close_time"))
 
 
-@register("open_stores")
+@register("open_stores", """
+SELECT store_id, store_number, (SELECT string_agg(d || ' ' || (['Sunday','Monday','Tuesday','Wednesday','Thursday','Friday','Saturday'])[d + 1]
+  || ' 7:00 AM-10:00 PM', ', ' ORDER BY d) FROM range(7) t(d)) AS hours FROM stores WHERE is_open""")
 def q_open_stores(spark, d):
-    """Open stores with their nested, day-sorted hours (rows-only)."""
+    """Open stores with their nested, day-sorted hours (shown as text)."""
     s = RetailModel(spark, d).stores
-    return C.open_stores(s, C.store_hours_expand(s)).select("store_id", "store_number", "hours")
+    day = lambda h: F.concat(h["day_of_week"].cast("string"), F.lit(" "), h["day"], F.lit(" "), h["open_time"], F.lit("-"), h["close_time"])
+    return C.open_stores(s, C.store_hours_expand(s)).select(
+        "store_id", "store_number", F.array_join(F.transform("hours", day), ", ").alias("hours"))
 
 
 @register("products_with_category", """

@@ -4,6 +4,7 @@ CTE, an independent formulation of the Spark closed form."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larder.operators import orders as O
@@ -189,27 +190,43 @@ def q_order_status_apply(spark, d):
     return O.order_status_apply(m.orders, ev, as_of=AS_OF).select("order_id", "status", "updated_at")
 
 
-@register("orders_of_user_page", """
+_ITEM_SQL = "concat_ws('|', CAST(i.product_id AS VARCHAR), p.name, CAST(i.quantity AS VARCHAR), CAST(i.line_total AS VARCHAR))"
+
+
+def _items_text() -> Column:
+    """Nested item lines as text, one per line."""
+    return F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["product_id"].cast("string"), x["product_name"],
+                                                                  x["quantity"].cast("string"), x["line_total"].cast("string"))), ";").alias("items")
+
+
+@register("orders_of_user_page", f"""
 WITH f AS (SELECT * FROM shop_orders WHERE user_id = (SELECT max(user_id) FROM shop_orders)),
 t AS (SELECT count(*) AS n FROM f)
-SELECT order_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, status, CAST(total AS DOUBLE) AS total,
+SELECT f.order_id, (SELECT string_agg({_ITEM_SQL}, ';' ORDER BY i.product_id, p.name, i.quantity, i.line_total)
+    FROM order_items i LEFT JOIN products p USING (product_id) WHERE i.order_id = f.order_id) AS items,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, status, CAST(total AS DOUBLE) AS total,
   t.n AS total_count, 1 AS page, 5 AS page_size, CAST(ceil(t.n / 5) AS BIGINT) AS total_pages,
   1 < CAST(ceil(t.n / 5) AS BIGINT) AS has_next, FALSE AS has_previous
 FROM f, t ORDER BY created_at DESC, order_id DESC LIMIT 5""")
 def q_orders_of_user_page(spark, d):
-    """The newest orders of one user (the highest user id), first page."""
-    o = RetailModel(spark, d).orders
-    uid = o.agg(F.max("user_id")).scalar()
-    return paginate(o.filter(F.col("user_id") == uid), order=O.user_order_sort(), page=1, size=5).select(
-        "order_id", "created_at", "status", "total", "total_count", "page", "page_size",
+    """The newest orders of one user (the highest user id), first page, with their lines."""
+    m = RetailModel(spark, d)
+    mine = O.orders_of_user(m.orders, user_id=m.orders.agg(F.max("user_id")).scalar())
+    page = paginate(mine, order=O.user_order_sort(), page=1, size=5)
+    return O.order_with_items(page, m.order_items, m.products).select(
+        "order_id", _items_text(), "created_at", "status", "total", "total_count", "page", "page_size",
         "total_pages", "has_next", "has_previous")
 
 
-@register("order_with_items")
+@register("order_with_items", f"""
+SELECT o.order_id, o.status, coalesce(x.items, '') AS items FROM shop_orders o LEFT JOIN (
+  SELECT i.order_id, string_agg({_ITEM_SQL}, ';' ORDER BY i.product_id, p.name, i.quantity, i.line_total) AS items
+  FROM order_items i LEFT JOIN products p USING (product_id) GROUP BY i.order_id) x USING (order_id)""")
 def q_order_with_items(spark, d):
-    """Orders with nested, sorted item lines (rows-only)."""
+    """Orders with nested, sorted item lines (shown as text)."""
     m = RetailModel(spark, d)
-    return O.order_with_items(m.orders, m.order_items, m.products).select("order_id", "status", "items")
+    return O.order_with_items(m.orders, m.order_items, m.products).select(
+        "order_id", "status", F.coalesce(_items_text(), F.lit("")).alias("items"))
 
 
 _PRODUCT_CHANGES = """

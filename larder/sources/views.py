@@ -81,13 +81,22 @@ SELECT vec_id, embedding, concat('c', CAST(label AS STRING)) AS category FROM {e
 SELECT c_custkey AS user_id, concat(lower(replace(c_name, '#', '')), '@example.com') AS email,
   c_name AS display_name, CAST(c_nationkey AS BIGINT) AS preferred_store_id
 FROM {customer}""",
+    "store_details": """
+SELECT s_suppkey AS store_id, concat(CAST(s_suppkey AS STRING), ' Market St') AS address, n_name AS city, 'FL' AS state,
+  CAST(33800 + s_suppkey AS STRING) AS zip_code,
+  concat('(863) 555-', CASE WHEN length(CAST(s_suppkey AS STRING)) >= 4 THEN CAST(s_suppkey AS STRING) ELSE lpad(CAST(s_suppkey AS STRING), 4, '0') END) AS phone
+FROM {supplier} s JOIN {nation} n ON n_nationkey = s_nationkey""",
+    # Half of the chat sessions are anonymous.
+    "chat_sessions": """
+SELECT concat('c', CAST(conv_id AS STRING)) AS session_token, CASE WHEN conv_id % 2 = 0 THEN conv_id + 1 END AS user_id
+FROM (SELECT DISTINCT conv_id FROM {conversations}) t""",
 }
 
 _VIEW_SOURCES = {
     "products": ("part",), "categories": ("part",), "deals": ("part",),
     "order_items": ("lineitem",), "shop_orders": ("orders",), "stores": ("supplier",),
     "cart_events": ("events",), "chat_turns": ("conversations",), "vectors": ("embeddings",),
-    "users": ("customer",),
+    "users": ("customer",), "store_details": ("supplier", "nation"), "chat_sessions": ("conversations",),
 }
 
 

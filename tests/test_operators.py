@@ -442,3 +442,17 @@ def test_nearest_stores_batch_any_layout(spark, monkeypatch):
         got = C.nearest_stores_batch(points, stores, k=4, block_rows=block, chunk_rows=chunk).collect()
         assert {(r.point_id, r["rank"]): r.store_id for r in got} == want
     assert C.nearest_stores_batch(points, stores.filter("false"), k=4).count() == 0
+
+
+def test_foreign_keys_share_one_join(spark):
+    from larder.operators import quality as Q
+    items = spark.createDataFrame([(1, 10)] * 500 + [(2, None), (99, 10), (99, 77), (None, 78)], "order_id long, deal_id long")
+    empty = items.filter("false")
+    orders = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "order_id long, slug string")
+    deals = spark.createDataFrame([(10,)], "deal_id int")
+    rel = [("item_order", "items", "order_id", "orders", "order_id"), ("item_deal", "items", "deal_id", "deals", "deal_id"),
+           ("none_order", "empty", "order_id", "orders", "order_id")]
+    got = {tuple(r) for r in Q.dq_foreign_keys({"items": items, "empty": empty}, {"orders": orders, "deals": deals}, rel).collect()}
+    assert got == {("item_order", "items", 2), ("item_deal", "items", 2), ("none_order", "empty", 0)}
+    numbers = spark.createDataFrame([(0.25,), (0.255,), (1e8,), (None,)], "x double")
+    assert numbers.filter(Q.bad_number("x")).count() == 2
