@@ -12,8 +12,9 @@ needs only aggregates: let R be the last reset (remove, non-positive set, or a
 session-wide clear/checkout) and S the last positive set after R. The product
 is present iff some add follows R; its quantity is S.q (when an add lies
 between R and S, i.e. the set found the item present) plus the adds after
-max(R, S). Each step is a ``groupBy`` with partial aggregation, so a hot
-session is combined map-side instead of landing whole in one task.
+max(R, S). Both steps are a ``groupBy`` with partial aggregation; in the join
+between them the adds of the heaviest (session, product) keys are dealt over
+many tasks, so no hot session lands whole in one.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import order_number, plus_minutes
+from larder.operators.skew import hottest, salted_join
 from larder.session import ensure_checkpoint_dir
 
 # Pricing rules of cart and order totals.
@@ -31,6 +33,9 @@ TAX_RATE = "0.07"
 FREE_DELIVERY_FROM = "35"
 DELIVERY_FEE = "5.99"
 
+#: Time slice of the two-level helpers; one (key, slice) is one window group.
+BUCKET_SECONDS = 60
+
 SESSION_RESET_OPS = ("clear", "checkout")
 
 
@@ -53,13 +58,14 @@ def cart_state(events: DataFrame, *, keys: tuple[str, ...] = ("session_id",)) ->
     per = (e.filter(op.isin("add", "set", "remove")).groupBy(*keys, "product_id")
            .agg(F.max(F.when(prod_reset, F.col("_k"))).alias("_pr"),
                 F.max(F.when((op == "set") & (q > 0),
-                             F.struct(F.col("_k").alias("k"), q.alias("q")))).alias("_ps")))
+                             F.struct(F.col("_k").alias("k"), q.alias("q")))).alias("_ps"),
+                F.count_if(op == "add").alias("_adds")))
     stats = (per.join(sess, keys, "left")
              .withColumn("_r", F.greatest("_pr", "_sr"))
              .withColumn("_s", F.when(_after(F.col("_ps.k"), F.col("_r")), F.col("_ps")))
              .select(*keys, "product_id", "_r", "_s"))
     adds = e.filter(op == "add").select(*keys, "product_id", "_k", "quantity")
-    j = adds.join(stats, [*keys, "product_id"], "inner")
+    j = salted_join(adds, stats, [*keys, "product_id"], hottest(per, [*keys, "product_id"], "_adds"), "_k")
     k = F.col("_k")
     after_r = _after(k, F.col("_r"))
     before_s = F.col("_s").isNotNull() & (k < F.col("_s.k"))
@@ -92,7 +98,7 @@ def expiry_resets(events: DataFrame, *, ttl_seconds: int) -> DataFrame:
 
 
 def previous_ts(df: DataFrame, *, part: str, ts: str, tie: str, name: str = "prev_ts",
-                bucket_seconds: int = 3600) -> DataFrame:
+                bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Timestamp of the previous row of the same ``part`` (by ts, tie).
 
     Two levels, like :func:`running_count`: a lag inside each (key, time
@@ -158,7 +164,7 @@ def order_totals(items: DataFrame) -> DataFrame:
 
 
 def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
-                  bucket_seconds: int = 3600, name: str = "before", bucket: Column | None = None) -> DataFrame:
+                  bucket_seconds: int = BUCKET_SECONDS, name: str = "before", bucket: Column | None = None) -> DataFrame:
     """Count of flagged rows (or sum of a whole-number ``flag``) strictly before each row within ``part``.
 
     Two levels so a hot partition key is not one task: per-(key, bucket)
@@ -180,10 +186,13 @@ def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
             .drop("_b", "_f", "_off"))
 
 
-def create_order(events: DataFrame, prod: DataFrame, *, ttl_seconds: int = 24 * 3600) -> tuple[DataFrame, DataFrame, DataFrame]:
+def create_order(events: DataFrame, prod: DataFrame, *, owners: DataFrame | None = None,
+                 ttl_seconds: int = 24 * 3600) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every checkout turns the cart it sees into an order (status
     Pending, ETA +45 min, totals as D14) and empties the cart; a checkout on
     an empty cart, or on one not written for ``ttl_seconds`` (I2), is rejected.
+    ``owners`` (session_id, user_id, store_id; one row per session) gives the orders
+    their user and store.
     Returns (orders, items, rejects)."""
     events = expiry_resets(events, ttl_seconds=ttl_seconds)
     reset = F.col("op").isin(*SESSION_RESET_OPS)
@@ -206,6 +215,8 @@ def create_order(events: DataFrame, prod: DataFrame, *, ttl_seconds: int = 24 *
                       F.lit("Pending").alias("status"), "item_count", "subtotal",
                       tax.alias("tax"), fee.alias("delivery_fee"), total.alias("total"),
                       plus_minutes("created_at", 45).alias("estimated_delivery")))
+    if owners is not None:
+        orders = orders.join(owners.select("session_id", "user_id", "store_id"), "session_id", "left")
     order_items = lines.select("order_id", "product_id", "quantity",
                                F.col("price").alias("unit_price"), "line_total")
     rejects = (checkouts.join(totals.select("order_id"), "order_id", "left_anti")

@@ -134,13 +134,17 @@ SELECT co.order_id, co.session_id, strftime(co.created_at, '%Y-%m-%d %H:%M:%S')
   'ORD-' || strftime(co.created_at, '%Y%m%d') || '-' || upper(substr(md5(CAST(co.order_id AS VARCHAR)), 1, 4)) AS order_number,
   'Pending' AS status, t.item_count, CAST(t.subtotal AS DOUBLE) AS subtotal,
   CAST({_CO_TAX} AS DOUBLE) AS tax, CAST({_CO_FEE} AS DOUBLE) AS delivery_fee, CAST({_CO_TOTAL} AS DOUBLE) AS total,
-  strftime(co.created_at + INTERVAL 45 MINUTE, '%Y-%m-%d %H:%M:%S') AS estimated_delivery
-FROM co JOIN t ON co.order_id = t.order_id""")
+  strftime(co.created_at + INTERVAL 45 MINUTE, '%Y-%m-%d %H:%M:%S') AS estimated_delivery,
+  u.user_id, u.preferred_store_id AS store_id
+FROM co JOIN t ON co.order_id = t.order_id LEFT JOIN users u ON co.session_id = 's' || u.user_id""")
 def q_create_order(spark, d):
-    """Orders created by checkout events from the cart each one sees."""
+    """Orders created by checkout events from the cart each one sees, with user and store."""
     m = RetailModel(spark, d)
-    orders, _, _ = O.create_order(m.cart_events, m.products)
-    return orders
+    owners = m.users.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "user_id",
+                            F.col("preferred_store_id").alias("store_id"))
+    orders, _, _ = O.create_order(m.cart_events, m.products, owners=owners)
+    return orders.select("order_id", "session_id", "created_at", "order_number", "status", "item_count", "subtotal", "tax",
+                         "delivery_fee", "total", "estimated_delivery", "user_id", "store_id")
 
 
 @register("create_order_rejects", "WITH RECURSIVE " + _EP + _fold_sql(_EPOCH_SEQ, "session_id, epoch") + """,

@@ -56,3 +56,28 @@ def test_select_ranks_equals_sorting(spark, rows):
         assert r.p95 == xs[int(n * 0.95)] and r.p99 == xs[int(n * 0.99)]
         mid = (xs[(n - 1) // 2] + xs[n // 2]) / 2
         assert abs(r.p50 - mid) <= 1e-9 * max(1.0, abs(mid))
+
+
+def test_cart_state_with_one_hot_product_equals_a_fold(spark):
+    import random
+    from larder.operators.orders import cart_state
+    rnd = random.Random(3)
+    rows, carts = [], {}
+    for i in range(4000):
+        s, p = ("hot", 1) if rnd.random() < 0.9 else (f"s{rnd.randrange(20)}", rnd.randrange(4))
+        op = rnd.choices(["add", "set", "remove", "clear"], [90, 6, 2, 2])[0]
+        q = rnd.randrange(0, 4)
+        rows.append((i, s, T0 + timedelta(seconds=i // 3), op, None if op == "clear" else p, q))
+        cart = carts.setdefault(s, {})
+        if op == "add":
+            cart[p] = cart.get(p, 0) + q
+        elif op == "clear":
+            cart.clear()
+        elif op == "remove" or q <= 0:
+            cart.pop(p, None)
+        elif p in cart:
+            cart[p] = q
+    df = spark.createDataFrame(rows, "event_id long, session_id string, event_ts timestamp, op string, product_id long, quantity int")
+    out = cart_state(df)
+    assert {(r.session_id, r.product_id): r.quantity for r in out.collect()} == {(s, p): q for s, c in carts.items() for p, q in c.items()}
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()  # hot keys are dealt over tasks
