@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Allowed enum values and column length limits.
 DEAL_TYPES = ["BOGO", "WeeklyDeal", "DailyDeal"]
@@ -29,28 +30,36 @@ def dq_unique(df: DataFrame, table: str, key: str | Column, rule: str) -> DataFr
         F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), "violations")
 
 
+def _orphans(children: dict[str, DataFrame], parents: dict[str, DataFrame],
+             relations: list[tuple[str, str, str, str, str]], kind: str) -> DataFrame:
+    """(rule, n) of the relations, whose keys are compared as ``kind``."""
+    facts = refs = None
+    for table in dict.fromkeys(c for _, c, _, _, _ in relations):
+        keys = [F.struct(F.lit(r).alias("rule"), F.col(fk).cast(kind).alias("k")) for r, c, fk, _, _ in relations if c == table]
+        n = (children[table].select(F.explode(F.array(*keys)).alias("_k")).select("_k.*").filter(F.col("k").isNotNull())
+             .groupBy("rule", "k").agg(F.count(F.lit(1)).alias("n")))
+        facts = n if facts is None else facts.unionByName(n)
+    for table, pk in dict.fromkeys((p, pk) for _, _, _, p, pk in relations):
+        rules = [F.lit(r) for r, _, _, p, k in relations if (p, k) == (table, pk)]
+        ref = parents[table].select(F.explode(F.array(*rules)).alias("rule"), F.col(pk).cast(kind).alias("k"))
+        refs = ref if refs is None else refs.unionByName(ref)
+    return facts.join(refs, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("n").alias("n"))
+
+
 def dq_foreign_keys(children: dict[str, DataFrame], parents: dict[str, DataFrame],
                     relations: list[tuple[str, str, str, str, str]]) -> DataFrame:
     """K2: child rows whose non-null key has no parent row, per relation
     (rule, child table, fk, parent table, pk).
 
-    Each child is read once: its keys are counted per (rule, key), which also
-    takes the weight off hot keys, and all relations share one join."""
-    facts = refs = None
-    for table, df in children.items():
-        own = [(r, fk) for r, c, fk, _, _ in relations if c == table]
-        keys = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(fk).cast("string").alias("k")) for r, fk in own]))
-        n = (df.select(keys.alias("_k")).select("_k.*").filter(F.col("k").isNotNull())
-             .groupBy("rule", "k").agg(F.count(F.lit(1)).alias("n")))
-        facts = n if facts is None else facts.unionByName(n)
-    for table, df in parents.items():
-        for pk in sorted({pk for _, _, _, p, pk in relations if p == table}):
-            own = [F.lit(r) for r, _, _, p, k in relations if p == table and k == pk]
-            ref = df.select(F.explode(F.array(*own)).alias("rule"), F.col(pk).cast("string").alias("k")).distinct()
-            refs = ref if refs is None else refs.unionByName(ref)
-    orphans = facts.join(refs, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("n").alias("n"))
-    rules = facts.sparkSession.createDataFrame([(r, c) for r, c, *_ in relations], "rule string, table_name string")
-    return rules.join(orphans, "rule", "left").select("rule", "table_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
+    A child's keys are counted per (rule, key) in one read, which also takes the
+    weight off hot keys, and relations share one join: one for whole-number keys
+    and one for the others, compared as text."""
+    whole = [r for r in relations if isinstance(children[r[1]].schema[r[2]].dataType, T.IntegralType)]
+    parts = [(whole, "bigint"), ([r for r in relations if r not in whole], "string")]
+    found = union_all([_orphans(children, parents, rel, kind) for rel, kind in parts if rel])
+    spark = next(iter(children.values())).sparkSession
+    rules = spark.createDataFrame([(r, c) for r, c, *_ in relations], "rule string, table_name string")
+    return rules.join(found, "rule", "left").select("rule", "table_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("violations"))
 
 
 def too_long(col: str, n: int) -> Column:
