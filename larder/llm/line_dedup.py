@@ -1,16 +1,19 @@
-"""Line deduplication by content-defined chunks of lines.
-
-A rolling hash over the hashes of ``ROLL`` neighbouring lines ends a chunk
-where it is divisible by ``DIVISOR`` (chunks hold ``MIN_LINES`` to
-``MAX_LINES`` lines), so an inserted line moves only the borders around it.
-Chunks with at least two lines that hold words are looked up in the whole
-corpus; of equal chunks the first (smallest doc_id, text hash, position) stays
-and the others are removed after a comparison of their bytes.
-
-Work moves as small rows (hash, document, position); chunk bytes are read only
+"""Line deduplication by windows of neighbouring lines.
+
+A window reaches from a line that holds words to the next one that does, with
+the blank lines between them; its hash rolls over the hashes of its lines, and
+every window of every document is looked up in the whole corpus. Of equal
+windows the first (smallest doc_id, text hash, position) stays and the others
+are removed after a comparison of their bytes. Windows overlap by a line, so
+each repeated run of two or more word lines is found and goes from its first
+to its last line, whatever its neighbours are. The first and the last window of
+a document have a second form with the blank lines at the document's edge, so
+an exact copy goes as a whole. A single repeated line stays.
+
+Work moves as small rows (hash, document, position); window bytes are read only
 for hashes that occur twice or more.
 
-Defined results: null and empty texts have no chunk and stay; rows of equal
+Defined results: null and empty texts have no window and stay; rows of equal
 doc_id and equal text are the same document and are treated alike; null
 doc_ids sort first; a document whose words are all removed is dropped by
 :func:`deduplicate_lines`; an empty table gives an empty result; other columns
@@ -30,8 +33,6 @@ from pyspark.sql import types as T
 from larder.llm import skew as S
 from larder.llm import text as X
 
-ROLL, DIVISOR, MIN_LINES, MAX_LINES = 2, 3, 2, 32
-
 _NEWLINE = X.byte_class(separators=b"\n")
 
 
@@ -47,31 +48,32 @@ class Lines:
         self.full = words[self.ends] > words[self.starts]
         self.hashes = X.span_hashes(X._BYTE[part.data], self.starts, self.ends)
 
-    def chunks(self, i: int) -> list[tuple[int, int]]:
-        """Line ranges of row i's chunks."""
-        a, z = int(self.first[i]), int(self.first[i + 1])
-        at = np.arange(a, z)
-        if z - a >= ROLL:
-            at = at[ROLL - 1:]
-            roll = X.span_hashes(self.hashes[a:z], at - ROLL + 1 - a, at + 1 - a)
-            cuts = (at[roll % np.uint64(DIVISOR) == 0] + 1).tolist()
-        else:
-            cuts = []
-        out, lo = [], a
-        for c in [*cuts, z]:
-            while c - lo > MAX_LINES:
-                out.append((lo, lo + MAX_LINES))
-                lo += MAX_LINES
-            if c - lo >= MIN_LINES or (c == z and c > lo):
-                out.append((lo, c))
-                lo = c
-        return out
+        self._windows: tuple[np.ndarray, ...] | None = None
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, position in the row, first line, end line) of all windows, by row and position."""
+        if self._windows is None:
+            at = np.flatnonzero(self.full)
+            row = np.searchsorted(self.first, at, "right") - 1
+            same = np.flatnonzero(row[1:] == row[:-1])
+            row, a, z = row[same], at[same], at[same + 1] + 1
+            edge = np.flatnonzero(row[1:] != row[:-1])
+            head = np.concatenate([[0], edge + 1])[:len(row)]
+            tail = np.concatenate([edge, [len(row) - 1]])[:len(row)]
+            head, tail = head[a[head] > self.first[row[head]]], tail[z[tail] < self.first[row[tail] + 1]]
+            a, z = np.concatenate([a, self.first[row[head]], a[tail]]), np.concatenate([z, z[head], self.first[row[tail] + 1]])
+            row = np.concatenate([row, row[head], row[tail]])
+            order = np.lexsort((z, a, row))
+            row, a, z = row[order], a[order], z[order]
+            pos = np.arange(len(row)) - np.searchsorted(row, row)
+            self._windows = row, pos, a, z
+        return self._windows
 
     def shared_chunks(self, i: int) -> Iterator[tuple[int, int, int]]:
-        """(position, first line, end line) of the chunks that may be removed."""
-        for k, (a, z) in enumerate(self.chunks(i)):
-            if int(self.full[a:z].sum()) >= 2:
-                yield k, a, z
+        """(position, first line, end line) of row i's windows, which may be removed."""
+        row, pos, a, z = self.windows()
+        own = slice(*np.searchsorted(row, [i, i + 1]))
+        yield from zip(pos[own].tolist(), a[own].tolist(), z[own].tolist(), strict=True)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,13 +81,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, pos, h1, h2 = [], [], [], []
         for part in X.slices(b.column(2)):
             lines = Lines(part)
-            spans = [(part.first + i, k, a, z) for i in range(part.n) for k, a, z in lines.shared_chunks(i)]
-            if spans:
-                r, k, a, z = map(np.array, zip(*spans, strict=True))
-                rows.append(r)
-                pos.append(k)
-                h1.append(X.span_hashes(lines.hashes, a, z))
-                h2.append(X.span_hashes(X.mix(lines.hashes + np.uint64(7)), a, z))
+            r, k, a, z = lines.windows()
+            rows.append(r + part.first)
+            pos.append(k)
+            h1.append(X.span_hashes(lines.hashes, a, z))
+            h2.append(X.span_hashes(X.mix(lines.hashes + np.uint64(7)), a, z))
         if rows:
             take = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
@@ -95,7 +95,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted chunks of each document."""
+    """Bytes of the wanted windows of each document."""
     names = ["id", "th", "pos", "h1", "h2", "first", "body"]
     for b in batches:
         wanted = b.column(3).to_pylist()
@@ -103,15 +103,15 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in names[2:]]
         for part in X.slices(b.column(2).field("text")):
             lines = Lines(part)
+            row, _, a, z = lines.windows()
+            own = np.searchsorted(row, np.arange(part.n))
             for i in range(part.n):
-                want = {w["pos"]: w for w in wanted[part.first + i]}
-                for k, a, z in lines.shared_chunks(i):
-                    if k in want:
-                        take.append(part.first + i)
-                        w = want[k]
-                        body = part.data[lines.starts[a]:lines.ends[z - 1]].tobytes()
-                        for c, v in zip(cols, (k, w["h1"], w["h2"], w["first"], body), strict=True):
-                            c.append(v)
+                for w in wanted[part.first + i]:
+                    k = own[i] + w["pos"]
+                    take.append(part.first + i)
+                    body = part.data[lines.starts[a[k]]:lines.ends[z[k] - 1]].tobytes()
+                    for c, v in zip(cols, (w["pos"], w["h1"], w["h2"], w["first"], body), strict=True):
+                        c.append(v)
         if take:
             at = pa.array(take)
             yield pa.RecordBatch.from_arrays(
@@ -128,12 +128,13 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(text):
             lines = Lines(part)
             n_lines[part.first:part.first + part.n] = np.diff(lines.first)
+            row, _, a, z = lines.windows()
+            own = np.searchsorted(row, np.arange(part.n))
             for i in range(part.n):
                 keep = np.ones(lines.first[i + 1] - lines.first[i], bool)
                 if gone := drop[part.first + i]:
-                    chunks = lines.chunks(i)
-                    for k in gone:
-                        keep[chunks[k][0] - lines.first[i]:chunks[k][1] - lines.first[i]] = False
+                    for k in own[i] + np.array(gone):
+                        keep[a[k] - lines.first[i]:z[k] - lines.first[i]] = False
                     at = np.flatnonzero(keep) + lines.first[i]
                     new[part.first + i] = b"\n".join(part.data[lines.starts[j]:lines.ends[j]].tobytes() for j in at).decode()
                     n_removed[part.first + i] = int((~keep).sum())
@@ -152,10 +153,10 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
     occ = src.select("id", "th", text.alias("text")).mapInArrow(_occurrences, "id long, th long, pos int, h1 long, h2 long")
     where = F.struct(F.col("id").isNotNull().alias("known"), "id", "th", "pos")
-    # repeated chunks: combined map-side, so a chunk in a third of all documents is one row per task
+    # repeated windows: combined map-side, so a window in a third of all documents is one row per task
     rep = S.write_table(occ.groupBy("h1", "h2").agg(F.min(where).alias("lead"), F.max(where).alias("tail"),
                                                     F.count(F.lit(1)).alias("n"))
-                        .filter("lead <> tail").select("h1", "h2", "lead", "n"), "repeated-chunks")
+                        .filter("lead <> tail").select("h1", "h2", "lead", "n"), "repeated-windows")
     hot = S.hottest(rep, ["h1", "h2"], "n")
     found = S.salted_join(occ, rep, ["h1", "h2"], hot, "th").select(
         "id", "th", "pos", "h1", "h2", where.eqNullSafe(F.col("lead")).alias("first"))
@@ -175,7 +176,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """All columns of the documents with repeated chunks removed from ``text``
+    """All columns of the documents with repeated windows removed from ``text``
     (``n_chars``, where there is one, is that of the new text). Documents left
     without a word by the removal are dropped."""
     out = clean_lines(docs).filter((F.col("n_removed_lines") == 0) | F.col("has_words"))

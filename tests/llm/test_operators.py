@@ -363,6 +363,38 @@ def test_chunk_borders_resist_shifts():
     assert len(sets[0] & sets[1]) >= len(sets[0]) - 2
 
 
+def test_line_dedup_finds_all_repeated_runs(spark):
+    rnd = random.Random(11)
+    fresh = iter(range(10**6))
+    alone = lambda: f"only line {next(fresh)} of its kind"
+    passages = [[f"passage {p} line {k}" for k in range(n)] for n in (2, 2, 3, 4, 5, 6, 9) for p in [next(fresh)]]
+    passages.append(["with a blank", "", "line inside"])
+    rows = []
+    for i in range(60):
+        ls = [alone() for _ in range(rnd.randrange(0, 3))]
+        for p in rnd.sample(passages, 2):
+            a = rnd.randrange(0, len(p) - 1)
+            ls += p[a:rnd.randrange(a + 2, len(p) + 1)] + [rnd.choice([alone(), "", "a single line that repeats"])]
+        rows.append((i, "\n".join(ls), "en", "s"))
+    seen, want, missed = set(), {}, 0
+    for i, t, *_ in rows:
+        ls, keep, own = t.split("\n"), None, []
+        keep = [True] * len(ls)
+        full = [k for k, x in enumerate(ls) if x.strip()]
+        for a in full:  # every run of two or more word lines, wherever it stands
+            for z in full:
+                if z > a:
+                    own.append((a, z + 1, tuple(ls[a:z + 1])))
+        for a, z, run in sorted(own):
+            if run in seen:
+                keep[a:z] = [False] * (z - a)
+                missed += z - a == 2
+            seen.add(run)
+        want[i] = [ls[k] for k in full if keep[k]]
+    got = {r["row"]["doc_id"]: [x for x in r["clean_text"].split("\n") if x.strip()] for r in line_dedup.clean_lines(make(spark, rows).repartition(3)).collect()}
+    assert got == want and missed > 20
+
+
 # ---- 7 decontamination ---------------------------------------------------------------------
 
 def brute_hits(text, items, width=13):
