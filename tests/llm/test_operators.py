@@ -353,6 +353,23 @@ def test_line_dedup_brute_force(spark, hostile, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_no_exact_copy_survives_the_line_stage(spark):
+    texts = ["\n".join(f"text {n} line {k} has some words" for k in range(n)) for n in range(2, 14)]
+    texts += [f"blank {e!r} a\n{e}\nblank {e!r} b\n{e}\nblank {e!r} c" for e in ("", "  ", "\n\t")]
+    texts += ["\n\nedges 1 a\nedges 1 b\nedges 1 c\n \n", "\nedges 2 a\nedges 2 b", "edges 3 a\nedges 3 b\n", "cr a\r\ncr b\r\ncr c\r\n"]
+    docs = make(spark, [(i + 1000 * c, t, "en", "s") for c in range(3) for i, t in enumerate(texts)]).repartition(3)
+    rows = line_dedup.line_dedup(docs).collect()
+    assert all(r["n_removed_lines"] == (r["n_lines"] if r["doc_id"] >= 1000 else 0) for r in rows)
+    own = docs.select(*P.COLUMNS)
+    sf = spark.read.parquet(f"{SF}/documents.parquet").select(*P.COLUMNS)
+    for src, copies in ((own.filter("doc_id < 1000"), own.filter("doc_id >= 1000")), (sf, sf.withColumn("doc_id", F.col("doc_id") + 10**6))):
+        kept = P.line_deduplication(spark, src.unionByName(copies), SF)
+        ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        several = [r["doc_id"] for r in copies.collect() if sum(bool(x.strip()) for x in (r["text"] or "").split("\n")) > 1]
+        assert len(several) > 20 and not ids & set(several)
+    assert ids >= {r["doc_id"] for r in P.line_deduplication(spark, sf, SF).select("doc_id").collect()}
+
+
 def test_chunk_borders_resist_shifts():
     body = "\n".join(f"paragraph {i} of the same text" for i in range(200))
     parts = [next(X.slices(pa.array([t]))) for t in (body, "a new first line\n" + body)]
