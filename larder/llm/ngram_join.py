@@ -319,9 +319,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return link_components(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """All columns of the documents that are the smallest doc_id of their component.
+def keep_one_of_each(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """All columns of the documents that are the smallest doc_id of their component
+    under shingles of ``width`` words and similarity ``num / den``.
     Rows without a doc_id stay; rows of equal doc_id stay or go together."""
-    gone = (link_components(docs).filter(F.coalesce(F.col("component_id") != F.col("id"), F.lit(False)))
+    gone = (link_components(docs, num, den, width).filter(F.coalesce(F.col("component_id") != F.col("id"), F.lit(False)))
             .select(F.col("id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

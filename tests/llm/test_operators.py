@@ -210,6 +210,18 @@ def test_ngram_join_brute_force(spark, hostile, empty):
     both(rows, df, num=80, den=100, width=5)
 
 
+def test_keep_one_of_each_takes_shingles_and_threshold(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = []
+    for kw in ({}, {"width": 5, "num": 80, "den": 100}):
+        out = ngram_join.keep_one_of_each(docs, **kw)
+        assert out.columns == docs.columns
+        kept.append({r["doc_id"] for r in out.select("doc_id").collect()})
+        assert kept[-1] == {i for i, _, c in brute_components(rows, **kw) if i == c}
+    assert kept[1] < kept[0]
+
+
 def test_t_occurrence_is_exact_for_any_list_split():
     rng = np.random.default_rng(3)
     for trial in range(30):
