@@ -10,9 +10,9 @@ depends on its posteriors alone:
 
     r <- max(0, r - sum_k posterior_k * (total_k - target_k) / unmixed_k)
 
-Posteriors are rounded to ``GRID``-ths that add up to one, so documents of equal
-posteriors share a rate and the steps run over the table of distinct posteriors
-(at most C(GRID + K - 1, K - 1) rows, whatever the corpus) with its token sums.
+Each step is one aggregate over the posteriors of all documents, as they are
+(nothing is rounded or grouped), so the totals that meet the targets are those
+of the posteriors in the result.
 Rates are a fold over the list of residual vectors, so no state is kept
 between steps and a lost executor costs only the step at hand.
 
@@ -37,7 +37,6 @@ from larder.llm import skew as S
 BUCKETS = 4096
 MAX_LABELLED = 8000  # bound of the labelled sample
 EFFECTIVE_WORDS = 25  # a longer text counts as so many words of its mean log-likelihood
-GRID = 20
 MAX_STEPS, TOLERANCE = 200, 1e-6
 
 
@@ -72,17 +71,8 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED
     return domains, [math.log(totals[k] / all_n) for k in domains], S.write_table(lp, "word-weights")
 
 
-def _quantised(p: list[Column]) -> list[Column]:
-    """Posteriors in GRID-ths: rounded down, the rest to the (first) largest."""
-    low = [F.floor(c * GRID).cast("int") for c in p]
-    rest = F.lit(GRID) - sum(low[1:], low[0])
-    top = F.greatest(*p) if len(p) > 1 else p[0]
-    first = F.array_position(F.array(*p), top)
-    return [q + F.when(first == i + 1, rest).otherwise(0) for i, q in enumerate(low)]
-
-
 def posteriors(docs: DataFrame, domains: list[str], priors: list[float], lp: DataFrame | None) -> DataFrame:
-    """doc_id, n_tokens and q0 .. qK (posteriors in GRID-ths), a row per input row."""
+    """doc_id, n_tokens and p0 .. pK (posteriors), a row per input row."""
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = _words(src, "rid", "doc_id")
     ks = range(len(domains))
@@ -98,35 +88,32 @@ def posteriors(docs: DataFrame, domains: list[str], priors: list[float], lp: Dat
     e = [F.exp(F.col(f"z{i}") - top) for i in ks]
     sums = sums.select("doc_id", "n_tokens", *[c.alias(f"e{i}") for i, c in enumerate(e)])
     total = sum((F.col(f"e{i}") for i in ks[1:]), F.col("e0"))
-    sums = sums.select("doc_id", "n_tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in ks])
-    return sums.select("doc_id", "n_tokens", *[c.alias(f"q{i}") for i, c in enumerate(_quantised([F.col(f"p{i}") for i in ks]))])
+    return sums.select("doc_id", "n_tokens", *[(F.col(f"e{i}") / total).alias(f"p{i}") for i in ks])
 
 
 def _rate(n_domains: int, residuals: list[list[float]]) -> Column:
     """The projected gradient steps folded over the residual vectors, from rate 1."""
     if not residuals:
         return F.lit(1.0)
-    q = [F.col(f"q{i}") / float(GRID) for i in range(n_domains)]
+    p = [F.col(f"p{i}") for i in range(n_domains)]
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in residuals])
     return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - functools.reduce(
-        lambda a, i: a + q[i] * g[i], range(1, n_domains), q[0] * g[0])))
+        lambda a, i: a + p[i] * g[i], range(1, n_domains), p[0] * g[0])))
 
 
 def fit(post: DataFrame, n_domains: int, target: list[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Scaled residual vectors of the steps taken."""
-    qs = [f"q{i}" for i in range(n_domains)]
-    groups = S.write_table(post.groupBy(*qs).agg(F.sum("n_tokens").alias("tokens")), "posterior-groups")
-    p = [F.col(q) / float(GRID) for q in qs]
-    total = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    p = [F.col(f"p{i}") for i in range(n_domains)]
+    total = post.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if not total:
         return []
-    share = F.col("tokens") / float(total)
+    share = F.col("n_tokens") / float(total)
     # gaps count relative to the expected totals at rate 1; then the rows of the
     # Hessian sum to one, which bounds its norm, and a step of 1 is safe
-    base = groups.agg(*[F.sum(share * c) for c in p]).first()
+    base = post.agg(*[F.sum(share * c) for c in p]).first()
     residuals: list[list[float]] = []
     for _ in range(max_steps):
-        r = groups.withColumn("r", _rate(n_domains, residuals))
+        r = post.withColumn("r", _rate(n_domains, residuals))
         now = r.agg(*[F.sum(share * F.col("r") * c) for c in p]).first()
         gap = [a - b for a, b in zip(now, target, strict=True)]
         if max(map(abs, gap)) <= tolerance:
@@ -147,11 +134,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
                                                      F.lit(None).cast("array<double>").alias("posterior"))
     post = S.write_table(posteriors(docs, domains, priors, lp), "posteriors")
     residuals = fit(post, len(domains), [budget * w / sum(weight) for w in weight])
-    q = [F.col(f"q{i}") for i in range(len(domains))]
-    best = F.array_position(F.array(*q), F.greatest(*q) if len(q) > 1 else q[0])
+    p = [F.col(f"p{i}") for i in range(len(domains))]
+    best = F.array_position(F.array(*p), F.greatest(*p) if len(p) > 1 else p[0])
     return post.select("doc_id", "n_tokens", _rate(len(domains), residuals).alias("rate"),
                        F.element_at(F.array(*[F.lit(k) for k in domains]), best.cast("int")).alias("domain"),
-                       F.array(*[c / float(GRID) for c in q]).alias("posterior"))
+                       F.array(*p).alias("posterior"))
 
 
 #: token weights of the registered query and of the pipeline

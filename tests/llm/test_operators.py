@@ -528,6 +528,33 @@ def test_mixing_reaches_targets(spark, hostile, empty):
     assert {x["rate"] for x in mixing.mix(hostile, lab.filter("false"), targets).collect()} == {1.0}
 
 
+def test_mixing_targets_hold_for_unrounded_posteriors(spark):
+    rnd = random.Random(12)
+    vocab = {k: [f"{k}{i}" for i in range(40)] for k in ("de", "en", "fr")}
+    rows = []
+    for i in range(300):  # mixed texts: mostly one language, up to a fifth of the words from another
+        own, other = rnd.sample(sorted(vocab), 2)
+        rows.append((i, " ".join(rnd.choice(vocab[own if rnd.random() > 0.2 else other]) for _ in range(rnd.randrange(2, 9))), own, "s"))
+    docs = make(spark, rows)
+    lab = spark.createDataFrame([(i, k) for i, _, k, _ in rows], "doc_id long, domain string")
+    targets = {"de": 0.2, "en": 0.3, "fr": 0.5}
+    domains, priors, lp = mixing.train(docs, lab)
+    weights = {r["bucket"]: [r[f"lp{k}"] for k in range(3)] for r in lp.collect()}
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for ws in vocab.values() for w in ws], "w string")
+              .selectExpr("w", f"int(pmod(xxhash64(w), {mixing.BUCKETS})) AS b").collect()}
+    out = {r["doc_id"]: r for r in mixing.mix(docs, lab, targets).collect()}
+    totals, soft = np.zeros(3), 0
+    for i, t, *_ in rows:
+        ws = t.split()
+        z = np.array(priors) + sum(np.array(weights[bucket[w]]) for w in ws) * min(1.0, mixing.EFFECTIVE_WORDS / len(ws))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(out[i]["posterior"], p, atol=1e-9)
+        totals += out[i]["rate"] * len(ws) * p
+        soft += bool(((p > 1e-4) & (p < 0.05)).any())
+    assert soft > 20 and domains == sorted(targets)
+    assert np.abs(totals / sum(len(t.split()) for _, t, *_ in rows) - [targets[k] for k in domains]).max() < 1e-5
+
+
 def test_mixing_plan_is_native(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     domains, priors, lp = mixing.train(docs, mixing.language_domains(docs, spark.read.parquet(f"{SF}/labels.parquet")))
