@@ -1,13 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by a hash join of blocks and windows.
 
 Reference blocks: in every window of ``window`` words the k-gram of smallest
 hash is the anchor, and neighbouring windows with the same anchor form a block
 (13 to about 20 words), so equal windows always lie in blocks of equal anchor.
-All blocks of the corpus are indexed by anchor. A document is parsed against
-the index: a factor grows by whole blocks while they equal a block of a
-document with a smaller id, and at its borders, where the block differs but
-its anchor is indexed, by single windows looked up in the index of the windows
-of such blocks. Factors of at least ``window`` words are duplicate spans.
+All blocks of the corpus are indexed by anchor. A block equal to a block of a
+document with a smaller id is a duplicate as a whole; where a block differs but
+its anchor is indexed, all its windows are looked up, one by one, in the index
+of the windows of such blocks. This takes the place of a relative Lempel-Ziv
+parse, which would have to meet every document with every block: there is no
+left-to-right factoring, and ``n_factors`` counts the runs of removed words,
+not factors with a source. The removed words are those of all windows that an
+earlier document holds.
 
 One shuffle deals the block hashes by anchor. Anchors that hold a large share
 of all blocks (found in a bounded sample, counted over all documents) do not
