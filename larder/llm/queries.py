@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, line_dedup, mixing, ngram_join, quality, rules, secret_scan, substring_dedup, toxicity
+from larder.llm import chat, decontam, line_dedup, mixing, ngram_join, packing, quality, rules, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,8 @@ def op9(spark, d):
 def op10(spark, d):
     docs = table(spark, d, "documents")
     return mixing.mix(docs, mixing.language_domains(docs, table(spark, d, "labels")), mixing.TARGETS)
+
+
+@query("op11_packing")
+def op11(spark, d):
+    return packing.packed_digests(packing.pack(table(spark, d, "documents")))
