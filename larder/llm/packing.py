@@ -6,9 +6,10 @@ window are windows of their own; the rests go to pools of at most
 A pool is divided by Karmarkar-Karp differencing: every rest starts as a
 partition of its own with one filled window, and the two partitions of the
 largest imbalance are merged, the fullest window of one with the emptiest of
-the other, until one is left. Its windows are near equal. Where the fullest
-passes the capacity, more rests are cut by halving (large pieces leave an
-imbalance that small ones fill), and when all are cut, the window count rises.
+the other, until one is left. Its windows are near equal. An eighth of the rests
+is cut by halving beforehand (large pieces leave an imbalance that small ones
+fill). Where the fullest window passes the capacity, twice as many are cut, and
+when all are, the window count rises.
 
 One pass over the table in its own partitions, nothing is shuffled or
 collected, and a task holds one pool. A window's id is the partition's number
@@ -96,7 +97,7 @@ def divide(sizes: list[int], window: int) -> list[list[tuple[int, int, int]]]:
     """
     total = sum(sizes)
     k = max(1, -(-total // window))
-    share = 0.0
+    share = 1 / 8  # of the rests is cut; large and small items together difference to an even result
     while True:
         items: list[list[tuple[int, int, int]]] = []
         bundle: list[tuple[int, int, int]] = []
@@ -125,7 +126,7 @@ def divide(sizes: list[int], window: int) -> list[list[tuple[int, int, int]]]:
         if max((sum(weight[i] for i in w) for w in windows), default=0) <= window:
             return [[p for i in w for p in items[i]] for w in windows if w]
         if share < 1.0:
-            share = min(1.0, max(1 / 16, 2 * share))
+            share = min(1.0, 2 * share)
         else:
             k += 1
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat, decontam, line_dedup, mixing, ngram_join, packing, quality, rules, secret_scan, substring_dedup, toxicity
+from larder.llm import alignment, chat, decontam, line_dedup, mixing, ngram_join, packing, quality, rules, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,8 @@ def op10(spark, d):
 @query("op11_packing")
 def op11(spark, d):
     return packing.packed_digests(packing.pack(table(spark, d, "documents")))
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark, d):
+    return alignment.cross_tokenizer_alignment(table(spark, d, "documents"))
