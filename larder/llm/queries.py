@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import alignment, chat, decontam, line_dedup, mixing, ngram_join, packing, quality, rules, secret_scan, substring_dedup, toxicity
+from larder.llm import alignment, chat, decontam, line_dedup, mixing, ngram_join, packing, phrases, quality, rules, secret_scan, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,26 @@ def op11(spark, d):
 @query("op13_cross_tokenizer_alignment")
 def op13(spark, d):
     return alignment.cross_tokenizer_alignment(table(spark, d, "documents"))
+
+
+@query("op12_phrase_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m >= 2 AND f >= 100),
+inner_ AS (SELECT DISTINCT c.lang, array_to_string(c.ws[i:i + k - 1], ' ') AS phrase, c.a AS longer
+           FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c)) c),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.longer >= 100 * c.a)),
+cuts AS (SELECT *, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:m], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, gl.f AS l, gr.f AS r, n.n,
+        (1000::HUGEINT * cuts.a::HUGEINT * n.n::HUGEINT) // (gl.f::HUGEINT * gr.f::HUGEINT) AS score
+      FROM cuts JOIN g gl ON gl.lang = cuts.lang AND gl.phrase = lp AND gl.m = k JOIN g gr ON gr.lang = cuts.lang AND gr.phrase = rp AND gr.m = cuts.m - k
+      JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000""")
+def op12(spark, d):
+    return phrases.collocations(table(spark, d, "documents"))
