@@ -17,9 +17,10 @@ Part counts are looked up by composing: a transducer from each candidate to the
 parts of its cuts meets the count transducer, as one join of parts with the
 counted phrases (hot parts salted).
 
-Words seen fewer than ``least`` times are known from a grouped count; windows
-are cut by a bit table of the others' hashes (1 MB at any input size; a wrongly
-set bit costs work, never a row).
+Windows are cut by two bit tables: one of the hashes of words that occur ``least``
+times, one of the hash slots that pairs of neighbouring words reach as often
+(1 MB and 8 MB at any input size). A wrongly set bit costs work, never a row; on
+an input so large that all slots are set, windows end at rare words and pieces.
 
 Defined results: null texts are empty, a null ``lang`` is ``und``; repeated rows
 and rows of equal or null doc_id all count; an empty table gives an empty result;
@@ -44,15 +45,18 @@ from larder.llm import text as X
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-SLOT_BITS = 23
+SLOT_BITS, PAIR_BITS = 23, 26
 #: windows of a shard's transducer
-SHARD = 1 << 21
+SHARD = 1 << 19
+#: slots of word pairs counted together in a task
+PAIRS = 1 << 21
 _ID_BITS = 20
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _WORD = X.byte_class(separators=b" \t" + _SEPARATORS)
 _BREAK = X.byte_class(words=_SEPARATORS)
 _WORDS = "lang string, word string, slot int, n long"
+_PAIR_SLOTS = "slot int, n long"
 _WINDOWS = "lang string, path string, n long"
 
 
@@ -81,6 +85,15 @@ def _slots(words: X.Words, lang: np.ndarray) -> np.ndarray:
     return (X.mix(words.hashes ^ lang) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32)
 
 
+def _pair_slots(words: X.Words, lang: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = words.hashes
+    return (X.mix(X.mix(h[at] + lang[at]) + h[at + 1]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int32)
+
+
+def _has(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _lang_hashes(langs: list[str]) -> np.ndarray:
     return X.mix(np.array([zlib.crc32(x.encode()) for x in langs], np.uint64) + np.uint64(1))
 
@@ -90,7 +103,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = b.column(0).dictionary_encode()
         names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
         salt = _lang_hashes(names)
-        for part in X.slices(b.column(1), SHARD):
+        for part in X.slices(b.column(1), 1 << 20):
             words, _ = _pieces(part)
             if not len(words.starts):
                 continue
@@ -102,6 +115,36 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(_slots(words, salt[own])[at]), pa.array(n.astype(np.int64))], names=["lang", "word", "slot", "n"])
 
 
+def _usable(words: X.Words, piece: np.ndarray, salt: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """First words of pairs inside a piece of which both words may be frequent enough."""
+    use = _has(common, _slots(words, salt))
+    return np.flatnonzero(use[:-1] & use[1:] & (piece[1:] == piece[:-1]))
+
+
+def _count_pairs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.frombuffer(shared.value, np.uint8)
+        held: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+        for b in batches:
+            langs = b.column(0).dictionary_encode()
+            salts = _lang_hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy(zero_copy_only=False)]
+            for part in X.slices(b.column(1)):
+                words, piece = _pieces(part)
+                salt = salts[part.first + words.row]
+                held.append(_pair_slots(words, salt, _usable(words, piece, salt, common)))
+                if sum(map(len, held)) >= PAIRS:
+                    yield batch()
+        if held:
+            yield batch()
+    return run
+
+
 class Shard:
     """Windows of a task, up to ``SHARD`` at a time, as one sorted count transducer."""
 
@@ -145,24 +188,27 @@ class Shard:
 
 def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
+        common, pairs = (np.frombuffer(t, np.uint8) for t in shared.value)
         shard = Shard()
         for b in batches:
             langs = b.column(0).dictionary_encode()
             names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
-            salt = _lang_hashes(names)
+            salts = _lang_hashes(names)
             for part in X.slices(b.column(1)):
                 words, piece = _pieces(part)
-                if not len(words.starts):
-                    continue
                 own = code[part.first + words.row]
-                use = common[_slots(words, salt[own])]
-                # words up to the end of the run of usable words in the piece
-                edge = np.flatnonzero(np.append((piece[1:] != piece[:-1]) | ~use[:-1] | ~use[1:], True)) + 1
-                left = np.minimum(edge[np.searchsorted(edge, np.arange(len(piece)), "right")] - np.arange(len(piece)), LONGEST)
-                start = np.flatnonzero(use & (left >= 2))
+                salt = salts[own]
+                start = _usable(words, piece, salt, common)
+                start = start[_has(pairs, _pair_slots(words, salt, start))]
                 if not len(start):
                     continue
+                # a window goes on as long as each of its words and the next are a usable pair
+                joined = np.zeros(len(piece) + 1, bool)
+                joined[start] = True
+                ends = np.flatnonzero(~joined)
+                left = np.minimum(ends[np.searchsorted(ends, start)] - start + 1, LONGEST)
+                use = joined[:-1].copy()
+                use[start + 1] = True
                 number, shown = _distinct(words)
                 needed = np.zeros(len(shown), bool)
                 needed[number[use]] = True
@@ -170,7 +216,7 @@ def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 for i in np.flatnonzero(needed).tolist():
                     local[i] = shard.word.setdefault(shown[i], len(shard.word)) + 1
                 word = np.append(np.where(use, local[number], 0), np.zeros(LONGEST, np.int32)).astype(np.int32)
-                windows = np.stack([np.where(left[start] > k, word[start + k], 0) for k in range(LONGEST)], axis=1)
+                windows = np.stack([np.where(left > k, word[start + k], 0) for k in range(LONGEST)], axis=1)
                 mine = np.array([shard.lang.setdefault(x, len(shard.lang)) for x in names], np.int32)
                 shard.add(mine[own[start]], windows)
                 if shard.full():
@@ -264,16 +310,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
                          .agg(F.max("slot").alias("slot"), F.sum("n").alias("n")), "word-counts")
 
 
+def _bit_table(slots: DataFrame, bits: int) -> bytes:
+    """Bit table of the column ``slot``, put together from its blocks of 4 KB."""
+    blocks = (slots.groupBy(F.shiftright("slot", 15).alias("block"))
+              .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767).cast("long")).alias("bits")).collect())
+    table = bytearray(1 << (bits - 3))
+    for r in blocks:
+        table[r["block"] << 12:(r["block"] + 1) << 12] = r["bits"]
+    return bytes(table)
+
+
 def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, path (words joined by U+0000, which is escaped inside words) and f of all
     phrases of two to ``LONGEST`` words that occur ``least`` times or more."""
-    bits = (words.filter(F.col("n") >= least).groupBy(F.shiftright("slot", 15).alias("block"))
-            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767).cast("long")).alias("bits")).collect())
-    table = bytearray(1 << (SLOT_BITS - 3))
-    for r in bits:  # at most 256 blocks of 4 KB
-        table[r["block"] << 12:(r["block"] + 1) << 12] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(table))
-    shards = S.write_table(_rows(docs).mapInArrow(_windows(shared), _WINDOWS), "shard-windows")
+    spark, rows = docs.sparkSession, _rows(docs)
+    common = _bit_table(words.filter(F.col("n") >= least), SLOT_BITS)
+    pairs = (rows.mapInArrow(_count_pairs(spark.sparkContext.broadcast(common)), _PAIR_SLOTS)
+             .groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    shared = spark.sparkContext.broadcast((common, _bit_table(pairs, PAIR_BITS)))
+    shards = S.write_table(rows.mapInArrow(_windows(shared), _WINDOWS), "shard-windows")
     ranges = shards.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
     states = ranges.mapInArrow(_union(least), _WINDOWS)
     return S.write_table(states.groupBy("lang", "path").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrase-counts")
