@@ -47,7 +47,7 @@ LEAST = 100
 TOP = 2000
 SLOT_BITS, PAIR_BITS = 23, 26
 #: windows of a shard's transducer
-SHARD = 1 << 19
+SHARD = 1 << 20
 #: slots of word pairs counted together in a task
 PAIRS = 1 << 21
 _ID_BITS = 20
@@ -146,44 +146,55 @@ def _count_pairs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 class Shard:
-    """Windows of a task, up to ``SHARD`` at a time, as one sorted count transducer."""
+    """Count transducer of a task's windows: new windows are united with the counted ones
+    whenever ``SHARD`` windows are held, and all are shipped when that leaves too many."""
 
     def __init__(self) -> None:
         self.word: dict[bytes, int] = {}
         self.lang: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows: list[np.ndarray] = []  # language, then words (0: none)
+        self.counts: list[np.ndarray] = []
         self.n = 0
 
-    def full(self) -> bool:
-        return self.n >= SHARD or len(self.word) >= (1 << _ID_BITS) - SHARD // 8
-
     def add(self, lang: np.ndarray, windows: np.ndarray) -> None:
         self.rows.append(np.column_stack([lang, windows]))
+        self.counts.append(np.ones(len(lang), np.int64))
         self.n += len(lang)
 
-    def close(self) -> pa.RecordBatch:
-        """Distinct windows with their counts, sorted by language and words."""
-        shown = pa.array([w.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") if w.find(b"\x00") >= 0 or w.find(b"\x01") >= 0 else w
-                          for w in self.word], pa.binary())
-        order = pc.sort_indices(shown)
-        rank = np.zeros(len(shown) + 1, np.int64)  # 0 is no word
-        rank[order.to_numpy() + 1] = np.arange(1, len(shown) + 1)
-        rows = np.concatenate(self.rows)
-        w = rank[rows[:, 1:]]
-        head = w[:, 0] << 2 * _ID_BITS | w[:, 1] << _ID_BITS | w[:, 2]
-        tail = rows[:, 0].astype(np.int64) << 2 * _ID_BITS | w[:, 3] << _ID_BITS | w[:, 4]
-        at = np.lexsort((tail, head, rows[:, 0]))
+    def full(self) -> bool:
+        if self.n >= SHARD:
+            self._unite()
+        return self.n > SHARD * 3 // 4 or len(self.word) >= (1 << _ID_BITS) - SHARD // 4
+
+    def _unite(self, rank: np.ndarray | None = None) -> None:
+        """One row per distinct window, sorted by language and words (by number, or by ``rank``)."""
+        rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
+        w = rows if rank is None else np.column_stack([rows[:, 0], rank[rows[:, 1:]]])
+        pack = lambda *cols: np.bitwise_or.reduce([w[:, c].astype(np.int64) << i * _ID_BITS for i, c in enumerate(cols)])
+        head, tail = pack(3, 2, 1), pack(5, 4, 0)
+        at = np.lexsort((pack(5, 4), head, w[:, 0]))
         head, tail = head[at], tail[at]
         lead = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
-        n = np.diff(np.append(lead, len(at)))
-        sorted_words = shown.take(order)
-        w = w[at[lead]]
-        cols = [sorted_words.take(pa.array(w[:, k] - 1, mask=w[:, k] == 0)) for k in range(LONGEST)]
-        path = pc.binary_join_element_wise(*cols, b"\x00", null_handling="skip")
-        langs = pa.array(list(self.lang)).take(pa.array(rows[at[lead], 0]))
-        out = pa.RecordBatch.from_arrays([langs, path.cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "path", "n"])
+        self.rows, self.counts = [rows[at[lead]]], [np.add.reduceat(counts[at], lead)]
+        self.n = len(lead)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """All distinct windows with their counts, sorted by language and words; the shard starts anew."""
+        shown = pa.array([w.replace(b"\x01", b"\x01\x02").replace(b"\x00", b"\x01\x01") if w.find(b"\x00") >= 0 or w.find(b"\x01") >= 0 else w
+                          for w in self.word], pa.binary())
+        order = pc.sort_indices(shown).to_numpy()
+        rank = np.zeros(len(shown) + 1, np.int32)  # 0 is no word
+        rank[order + 1] = np.arange(1, len(shown) + 1)
+        self._unite(rank)
+        langs = pa.array(list(self.lang))
+        rows, counts = self.rows[0], self.counts[0]
         self.__init__()
-        return out
+        for k in range(0, len(rows), 1 << 16):
+            part = rows[k:k + (1 << 16)]
+            cols = [shown.take(pa.array(part[:, c] - 1, mask=part[:, c] == 0)) for c in range(1, LONGEST + 1)]
+            path = pc.binary_join_element_wise(*cols, b"\x00", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(part[:, 0])), path.cast(pa.string()), pa.array(counts[k:k + (1 << 16)])],
+                                             names=["lang", "path", "n"])
 
 
 def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -220,9 +231,9 @@ def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 mine = np.array([shard.lang.setdefault(x, len(shard.lang)) for x in names], np.int32)
                 shard.add(mine[own[start]], windows)
                 if shard.full():
-                    yield shard.close()
+                    yield from shard.close()
         if shard.n:
-            yield shard.close()
+            yield from shard.close()
     return run
 
 
