@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.analytics import products_in_categories
+from larder.operators.skew import hottest, salted_join
+from larder.operators.text_index import matching, write_index
 
 
 #: Distances held at a time by nearest_stores_batch (8 MB).
 CELL_DISTANCES = 1 << 20
+#: Cell sizes of nearest_stores_cells: from the whole extent down to 2^-LEVELS of it.
+LEVELS = 16
 
 
 def active_deal_filter(as_of: datetime) -> Column:
@@ -28,9 +32,12 @@ def active_deal_filter(as_of: datetime) -> Column:
 
 def find_products(prod: DataFrame, cat: DataFrame, deals: DataFrame, *, as_of: datetime,
                   category: str | None = None, brand: str | None = None,
-                  organic: bool | None = None, deals_only: bool | None = None) -> DataFrame:
+                  organic: bool | None = None, deals_only: bool | None = None, index: str | None = None) -> DataFrame:
     """Available products with the optional filters of the list
-    endpoint. ``deals_only`` is an EXISTS on live deals (left-semi join)."""
+    endpoint. ``deals_only`` is an EXISTS on live deals (left-semi join). With
+    ``index`` (see :func:`index_products_text`) the brand is looked up there first."""
+    if brand and index:
+        prod = matching(prod, index, key="product_id", fields=["brand"], term=brand)
     p = products_in_categories(prod, cat).filter(F.col("is_available"))
     if category is not None:
         p = p.filter(F.col("category") == F.lit(category))
@@ -76,11 +83,22 @@ def keyset_page(df: DataFrame, *, key: str, after=None, size: int, descending: b
     return df.orderBy(F.desc(key) if descending else F.asc(key)).limit(size)
 
 
-def product_search(prod: DataFrame, *, term: str) -> DataFrame:
+SEARCH_FIELDS = ["name", "description", "brand", "tags"]
+
+
+def index_products_text(prod: DataFrame, path: str) -> None:
+    """Trigram index of the searched product fields, written once per catalogue version."""
+    write_index(prod, path, key="product_id", fields=SEARCH_FIELDS)
+
+
+def product_search(prod: DataFrame, *, term: str, index: str | None = None) -> DataFrame:
     """Case-insensitive substring over name, description, brand, tags
-    (available only); ordered by name. A blank term is rejected."""
+    (available only); ordered by name. A blank term is rejected. With ``index`` only
+    the index's candidates are read and verified."""
     if term is None or not term.strip():
         raise ValueError("search term is required")
+    if index:
+        return matching(prod, index, key="product_id", fields=SEARCH_FIELDS, term=term).filter(F.col("is_available"))
     q = F.lit(term.lower())
     hit = (F.lower("name").contains(q) | F.lower("description").contains(q) |
            (F.col("brand").isNotNull() & F.lower("brand").contains(q)) |
@@ -88,9 +106,12 @@ def product_search(prod: DataFrame, *, term: str) -> DataFrame:
     return prod.filter(F.col("is_available") & hit)
 
 
-def product_search_ranked(prod: DataFrame, cat: DataFrame, *, term: str) -> DataFrame:
+def product_search_ranked(prod: DataFrame, cat: DataFrame, *, term: str, index: str | None = None) -> DataFrame:
     """LIKE '%term%' over the four text columns (user % and _ stay
-    wildcards); ``name_rank`` 0 for name hits sorts them first."""
+    wildcards); ``name_rank`` 0 for name hits sorts them first. With ``index`` only
+    the index's candidates are read and verified."""
+    if index:
+        prod = matching(prod, index, key="product_id", fields=SEARCH_FIELDS, term=term, like=True)
     pat = f"%{term.lower()}%"
     hit = (F.lower("name").like(pat) | F.lower("description").like(pat) |
            F.lower(F.coalesce("brand", F.lit(""))).like(pat) |
@@ -282,8 +303,9 @@ def open_stores(stores: DataFrame, hours: DataFrame) -> DataFrame:
 
 def nearest_stores_batch(points: DataFrame, stores: DataFrame, *, k: int, block_rows: int = 4096,
                          chunk_rows: int = 4096) -> DataFrame:
-    """E6 batch form: the k nearest open stores (|dlat| + |dlng|, store id
-    breaks ties) for every point of ``points`` (point_id, lat, lng).
+    """E6 batch form for few stores: the k nearest open stores (|dlat| + |dlng|, store id
+    breaks ties) for every point of ``points`` (point_id, lat, lng); all pairs are compared
+    (:func:`nearest_stores_cells` avoids that).
 
     Points are hashed into blocks and stores into chunks; each (block, chunk)
     cell keeps its k best stores per point, and a window over these few ranks
@@ -322,3 +344,65 @@ def nearest_stores_batch(points: DataFrame, stores: DataFrame, *, k: int, block_
     cand = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(cell, schema)
     w = Window.partitionBy("point_id").orderBy("distance_e7", "store_id")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _cells(level, around: bool) -> Column:
+    """Cell (level, x, y) of a row's coordinates, or its 3 x 3 neighbourhood."""
+    x, y = F.expr("shiftright(_la, level)"), F.expr("shiftright(_lo, level)")
+    steps = (-1, 0, 1) if around else (0,)
+    return F.explode(F.array(*[F.struct(level.alias("level"), (x + i).alias("x"), (y + j).alias("y")) for i in steps for j in steps]))
+
+
+def nearest_stores_cells(points: DataFrame, stores: DataFrame, *, k: int) -> DataFrame:
+    """E6 batch form without all pairs: the k nearest open stores (|dlat| + |dlng|, store id
+    breaks ties) for every point of ``points`` (point_id, lat, lng; unique ids).
+
+    Stores lie in square cells of every size, halved LEVELS times from the whole
+    extent. A point starts at the smallest cell whose 3 x 3 neighbourhood holds k
+    stores; the k-th distance found there bounds the answer, so the point widens once
+    to the smallest cells at least that wide, whose neighbourhood holds every store
+    within the bound. Cells are met by two equi-joins (hot cells salted), candidates
+    are cut to k per point before they are shuffled, and no point meets all stores
+    unless they are all within its bound. Coordinates are DECIMAL(10,7), compared as exact
+    integers (units of 1e-7). Points or stores without coordinates are not matched."""
+    from larder.session import ensure_checkpoint_dir
+
+    e7 = lambda c: F.round(F.col(c).cast("double") * 1e7).cast("long")
+    known = F.col("_la").isNotNull() & F.col("_lo").isNotNull()
+    open_s = stores.filter(F.col("is_open")).select("store_id", e7("latitude").alias("_la"), e7("longitude").alias("_lo")).filter(known)
+    pts = points.select("point_id", e7("lat").alias("_la"), e7("lng").alias("_lo")).filter(known)
+    # of stores in one place only the k lowest ids can be answers
+    place = Window.partitionBy("_la", "_lo").orderBy("store_id")
+    open_s = open_s.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= k).drop("_rn")
+    ensure_checkpoint_dir(stores.sparkSession)
+    open_s = open_s.checkpoint(eager=True)
+    box = pts.select("_la", "_lo").unionByName(open_s.select("_la", "_lo")).agg(
+        F.max("_la") - F.min("_la"), F.max("_lo") - F.min("_lo")).first()
+    n, extent = open_s.count(), max(x or 0 for x in box)
+    top = max(1, extent.bit_length() + 1)  # neighbourhoods at this level hold everything
+    levels = list(range(max(0, top - LEVELS), top + 1))
+    want = min(k, n)
+
+    every_level = F.explode(F.array(*[F.lit(x) for x in levels])).alias("level")
+    leveled = open_s.select("*", every_level)
+    cells = leveled.select("store_id", F.col("_la").alias("_sla"), F.col("_lo").alias("_slo"), _cells(F.col("level"), False).alias("c")).select("store_id", "_sla", "_slo", "c.*")
+    count = cells.groupBy("level", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    around = F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    enough = (count.select("level", "n", around.alias("c")).groupBy("level", "c.x", "c.y").agg(F.sum("n").alias("n")).filter(F.col("n") >= want)
+              .select("level", "x", "y"))
+    tried = pts.select("*", every_level).withColumn("x", F.expr("shiftright(_la, level)")).withColumn("y", F.expr("shiftright(_lo, level)"))
+    start = tried.join(enough, ["level", "x", "y"]).groupBy("point_id", "_la", "_lo").agg(F.min("level").alias("level"))
+
+    def meet(p: DataFrame) -> DataFrame:
+        p = p.checkpoint(eager=True)
+        near = p.select("point_id", "_la", "_lo", _cells(F.col("level"), True).alias("c")).select("point_id", "_la", "_lo", "c.*")
+        hot = hottest(near.groupBy("level", "x", "y").agg(F.count(F.lit(1)).alias("uses")), ["level", "x", "y"], "uses")
+        d = F.abs(F.col("_la") - F.col("_sla")) + F.abs(F.col("_lo") - F.col("_slo"))
+        w = Window.partitionBy("point_id").orderBy("distance_e7", "store_id")
+        return (salted_join(near, cells, ["level", "x", "y"], hot, "point_id").select("point_id", "_la", "_lo", "store_id", d.alias("distance_e7"))
+                .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    bound = meet(start).groupBy("point_id", "_la", "_lo").agg(F.max("distance_e7").alias("_d"))
+    # smallest level whose cells are wider than the bound (the next power of two), within the levels
+    wide = F.length(F.regexp_replace(F.bin("_d"), "^0+", ""))
+    second = bound.select("point_id", "_la", "_lo", F.least(F.greatest(wide, F.lit(levels[0])), F.lit(levels[-1])).cast("int").alias("level"))
+    return meet(second).select("point_id", "store_id", "distance_e7", "rank")

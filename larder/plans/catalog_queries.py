@@ -3,6 +3,8 @@ F15, A4, A5, A10)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larder.functions.text import clock_time, day_name
@@ -10,7 +12,7 @@ from larder.operators import catalog as C
 from larder.plans.deal_queries import title_sql
 from larder.plans.registry import register
 from larder.plans.sqlkit import doubles
-from larder.session import AS_OF, AS_OF_SQL
+from larder.session import AS_OF, AS_OF_SQL, ensure_checkpoint_dir
 from larder.sources.views import RetailModel
 
 _PAGE_COLS = ["total_count", "page", "page_size", "total_pages", "has_next", "has_previous"]
@@ -90,6 +92,60 @@ def q_product_search_ranked(spark, d):
         "product_id", "name", "name_rank", *_PAGE_COLS)
 
 
+def _indexed(spark, d):
+    """The model and a trigram index of its whole catalogue, in the shared checkpoint folder."""
+    m = RetailModel(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/product-trigrams-{uuid.uuid4().hex}"
+    C.index_products_text(m.products, path)
+    return m, path
+
+
+_FOUND = """SELECT product_id, name FROM products WHERE is_available AND (contains(lower(name), '{t}')
+  OR contains(lower(description), '{t}') OR (brand IS NOT NULL AND contains(lower(brand), '{t}'))
+  OR (tags IS NOT NULL AND contains(lower(tags), '{t}')))"""
+
+
+@register("product_search_index", _FOUND.format(t="blue") + """
+UNION ALL """ + _FOUND.format(t="brand#13") + """
+UNION ALL """ + _FOUND.format(t="no such words") + """
+UNION ALL """ + _FOUND.format(t="r "))
+def q_product_search_index(spark, d):
+    """B5 over the trigram index, all hits of four terms (one too short for a trigram, one without a hit)."""
+    m, index = _indexed(spark, d)
+    out = None
+    for term in ("Blue", "brand#13", "No such words", "R "):
+        hits = C.product_search(m.products, term=term, index=index).select("product_id", "name")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@register("product_search_ranked_index", """
+SELECT p.product_id, p.name, CASE WHEN lower(p.name) LIKE '%wid%by%and_2%' THEN 0 ELSE 1 END AS name_rank
+FROM products p JOIN categories c ON p.category = c.category
+WHERE p.is_available AND (lower(p.name) LIKE '%wid%by%and_2%' OR lower(p.description) LIKE '%wid%by%and_2%'
+  OR lower(coalesce(p.brand, '')) LIKE '%wid%by%and_2%' OR lower(coalesce(p.tags, '')) LIKE '%wid%by%and_2%')
+UNION ALL
+SELECT p.product_id, p.name, CASE WHEN lower(p.name) LIKE '%d r_d%' THEN 0 ELSE 1 END AS name_rank
+FROM products p JOIN categories c ON p.category = c.category
+WHERE p.is_available AND (lower(p.name) LIKE '%d r_d%' OR lower(p.description) LIKE '%d r_d%'
+  OR lower(coalesce(p.brand, '')) LIKE '%d r_d%' OR lower(coalesce(p.tags, '')) LIKE '%d r_d%')""")
+def q_product_search_ranked_index(spark, d):
+    """B6 over the trigram index, all hits of two patterns with wildcards."""
+    m, index = _indexed(spark, d)
+    hits = [C.product_search_ranked(m.products, m.categories, term=t, index=index).select("product_id", "name", "name_rank")
+            for t in ("wid%by%AND_2", "d r_d")]
+    return hits[0].unionByName(hits[1])
+
+
+@register("products_by_brand_index", doubles(_AVAILABLE_JOINED.replace("p.*", "p.product_id, p.name, p.price, p.brand")
+                                             + " AND p.brand IS NOT NULL AND contains(lower(p.brand), 'and#2')", "price"))
+def q_products_by_brand_index(spark, d):
+    """B3 over the trigram index: all available products whose brand holds the text."""
+    m, index = _indexed(spark, d)
+    p = C.find_products(m.products, m.categories, m.deals, as_of=AS_OF, brand="AND#2", index=index)
+    return p.select("product_id", "name", "price", "brand")
+
+
 @register("products_by_slug", _paged_sql(
     "SELECT p.* FROM products p WHERE p.is_available AND p.category IN "
     "(SELECT category FROM categories WHERE slug = 'standard')",
@@ -393,4 +449,4 @@ def q_nearest_stores_batch(spark, d):
     """E6 batch form: the 3 nearest open stores of every customer location."""
     m = RetailModel(spark, d)
     pts = spark.sql(_USER_POINTS, customer=m.table("customer"))
-    return C.nearest_stores_batch(pts, m.stores, k=3)
+    return C.nearest_stores_cells(pts, m.stores, k=3)
