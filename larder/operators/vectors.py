@@ -1,6 +1,8 @@
 """Embeddings and exact cosine top-k retrieval.
 
-Top-k is exact and never materialises query x item pairs: a grid of query
+Top-k is exact and never materialises query x item pairs. Two forms give the same
+rows: one that leaves out clusters by the triangle inequality (a stored collection,
+:func:`pivot_clusters` and :func:`vector_top_k_pruned`), and a plain one: a grid of query
 blocks and collection chunks is scored cell by cell in tiles of bounded size,
 each cell keeps its best k rows per query, and a final shuffle ranks at most
 ``chunks x k`` candidates per query. Ties are cut by id.
@@ -166,6 +168,132 @@ def vector_top_k(queries: DataFrame, collection: DataFrame, *, k: int, id_col: s
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Most pivots of a pruned search, and the angle added for rounding to its bounds.
+PIVOTS, ANGLE_SLACK = 1024, 1e-6
+
+
+def _unit(col: pd.Series) -> np.ndarray:
+    m = np.vstack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+    n = np.linalg.norm(m, axis=1)
+    return m / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
+
+
+def pivot_clusters(collection: DataFrame, path: str, *, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 256) -> DataFrame:
+    """Write the collection by nearest pivot (``_cl``; -1 for zero vectors) to ``path`` and
+    return the clusters: _cl, pivot, radius (largest angle to the pivot), n.
+
+    Pivots are at most PIVOTS vectors in a pseudo-random order of their ids (a top-k, the
+    same in every run), so their matrix is of bounded size; they are shipped to the tasks.
+    Which vectors they are changes the work of a search, never its rows."""
+    spark = collection.sparkSession
+    first = (collection.select(id_col, F.col(vec_col).alias("v")).filter(F.col("v").isNotNull())
+             .orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(min(pivots, PIVOTS)).collect())
+    matrix = _unit(pd.Series([r["v"] for r in first])) if first else np.zeros((0, 1))
+    matrix = np.unique(matrix[np.linalg.norm(matrix, axis=1) > 0], axis=0)
+    shared = spark.sparkContext.broadcast(matrix)
+    schema = T.StructType(collection.schema.fields + [T.StructField("_cl", T.IntegerType()), T.StructField("_ang", T.DoubleType())])
+
+    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            pdf = pdf[pdf[vec_col].notna()]
+            if len(pdf):
+                m = _unit(pdf[vec_col])
+                zero = np.linalg.norm(m, axis=1) == 0
+                a = np.where(zero[:, None], 0.0, _angles(m, shared.value)) if len(shared.value) else np.zeros((len(m), 1))
+                cl = a.argmin(axis=1)
+                yield pdf.assign(_cl=np.where(zero, -1, cl).astype(np.int32), _ang=a[np.arange(len(m)), cl])
+    collection.mapInPandas(assign, schema).write.mode("overwrite").parquet(path)
+    stats = spark.read.parquet(path).groupBy("_cl").agg(F.max("_ang").alias("radius"), F.count(F.lit(1)).alias("n"))
+    pivot_rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "_cl int, pivot array<double>")
+    return stats.join(pivot_rows, "_cl", "left")
+
+
+def vector_top_k_pruned(queries: DataFrame, clustered: DataFrame, clusters: DataFrame, *, k: int, id_col: str = "vec_id",
+                        vec_col: str = "embedding", query_vec_col: str = "embedding", filter_col: str | None = None,
+                        query_filter_col: str | None = None, block_rows: int = 4096, chunk_rows: int = 16384, digits: int = 10) -> DataFrame:
+    """E7 / H2 / H3 exact cosine top-k (rows as :func:`vector_top_k`) that leaves out clusters.
+
+    No vector of a cluster is nearer to a query than its angle to the pivot less the
+    cluster's radius. A query first visits its clusters in the order of these bounds until
+    they hold k vectors (of its filter value, where it has one); the k-th score found is a
+    floor, and then it visits every other cluster whose bound reaches that floor. A visit
+    is a row; clusters are met by key in chunks and query blocks of bounded size. ``scored`` is the
+    number of vectors in the clusters that the query visited.
+    """
+    from larder.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(clustered.sparkSession)
+    clusters = clusters.checkpoint(eager=True)
+    table = clusters.collect()  # a row per pivot: at most PIVOTS + 1
+    rank = {r["_cl"]: i for i, r in enumerate(table)}
+    shared = clustered.sparkSession.sparkContext.broadcast((
+        np.array([r["pivot"] if r["pivot"] is not None else [] for r in table if r["_cl"] >= 0], dtype=np.float64),
+        np.array([r["_cl"] for r in table if r["_cl"] >= 0], np.int64), np.array([r["radius"] for r in table if r["_cl"] >= 0])))
+    has_filter = bool(query_filter_col)
+    q = queries.select("query_id", F.col(query_vec_col).alias("_qv"), (F.col(query_filter_col) if has_filter else F.lit(None).cast("string")).alias("_qf"))
+    fields = [f for f in q.schema.fields]
+
+    def bounds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, cl, radius = shared.value
+        for pdf in it:
+            pdf = pdf[pdf["_qv"].notna()]
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo:lo + 256]
+                m = _unit(part["_qv"])
+                near = np.maximum(_angles(m, pivots) - radius - ANGLE_SLACK, 0.0) if len(cl) else np.zeros((len(m), 0))
+                near[np.linalg.norm(m, axis=1) == 0] = 0.0  # a zero query scores 0 everywhere
+                both, c = np.cos(near), cl
+                if -1 in rank:  # zero vectors score 0
+                    both, c = np.column_stack([both, np.ones(len(m))]), np.append(cl, -1)
+                yield pd.DataFrame({"query_id": part["query_id"].repeat(len(c)).to_numpy(), "_qf": part["_qf"].repeat(len(c)).to_numpy(),
+                                    "_cl": np.tile(c, len(part)).astype(np.int32), "_bound": both.ravel()})
+    by = {f.name: f for f in fields}
+    every = q.mapInPandas(bounds, T.StructType([by["query_id"], by["_qf"], T.StructField("_cl", T.IntegerType()), T.StructField("_bound", T.DoubleType())]))
+    # vectors of the query's filter value in each cluster
+    if has_filter:
+        held = clustered.groupBy("_cl", F.col(filter_col).alias("_fv")).agg(F.count(F.lit(1)).alias("_held"))
+        some = every.filter("_qf IS NOT NULL").join(held, [every["_cl"] == held["_cl"], every["_qf"] == held["_fv"]]).select(every["*"], "_held")
+        every = some.unionByName(every.filter("_qf IS NULL").join(clusters.select("_cl", F.col("n").alias("_held")), "_cl").select(*some.columns))
+    else:
+        every = every.join(clusters.select("_cl", F.col("n").alias("_held")), "_cl")
+    every = every.join(clusters.select("_cl", "n"), "_cl")
+    order = Window.partitionBy("query_id").orderBy(F.desc("_bound"), "_cl")  # at most PIVOTS + 1 rows a query
+    before = F.coalesce(F.sum("_held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = every.withColumn("_early", before < k).checkpoint(eager=True)
+    schema = T.StructType([by["query_id"], T.StructField(id_col, clustered.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+
+    def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or cp.empty:
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        stack = lambda col: np.vstack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        at_q, at_c, score = _cell_top_k(stack(qp["_qv"]), [x if pd.notna(x) else None for x in qp["_qf"]] if has_filter else None, stack(cp[vec_col]),
+                                        cp[id_col].to_numpy(), cp[filter_col].to_numpy() if filter_col else None, k, digits)
+        return pd.DataFrame({"query_id": qp["query_id"].to_numpy()[at_q], id_col: cp[id_col].to_numpy()[at_c], "score": score})
+
+    def visit(visits: DataFrame) -> DataFrame:
+        # cells of bounded size: a cluster's vectors in chunks, the queries that visit it in blocks
+        size = visits.groupBy("_cl").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nb"), F.ceil(F.max("n") / F.lit(chunk_rows)).alias("_nc"))
+        copies = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+        left = (visits.select("query_id", "_cl").join(size, "_cl").join(q.withColumn("_qv", l2_normalize(F.col("_qv"))), "query_id")
+                .withColumn("_b", F.pmod(F.xxhash64("query_id"), F.col("_nb"))).withColumn("_c", copies("_nc")))
+        right = (clustered.select("_cl", id_col, vec_col, *([filter_col] if filter_col else [])).join(size, "_cl")
+                 .withColumn("_c", F.pmod(F.xxhash64(id_col), F.col("_nc"))).withColumn("_b", copies("_nb")))
+        return (left.select("query_id", "_qv", "_qf", "_cl", "_b", "_c").groupBy("_cl", "_b", "_c")
+                .cogroup(right.drop("_nb", "_nc").groupBy("_cl", "_b", "_c")).applyInPandas(cell, schema))
+
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    best = lambda df: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    early = best(visit(every.filter("_early"))).drop("rank").checkpoint(eager=True)
+    floor = early.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor"))
+    late = every.filter(~F.col("_early")).join(floor, "query_id", "left").filter(
+        F.col("_floor").isNull() | (F.col("_bound") >= F.col("_floor") - F.lit(2 * 10.0 ** -digits))).checkpoint(eager=True)
+    scored = every.filter("_early").select("query_id", "n").unionByName(late.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("scored"))
+    return best(early.unionByName(visit(late))).join(scored, "query_id")
+
+
 def category_centroids(collection: DataFrame, *, category_col: str = "category",
                        vec_col: str = "embedding") -> DataFrame:
     """Mean vector per category (bounded: one row per category, dim values)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larder.functions.text import product_text_pipeline
@@ -10,6 +12,7 @@ from larder.operators.evaluation import retrieval_quality
 from larder.plans.registry import register
 from larder.plans.sqlkit import embedding_ctes, micro, micro_text
 from larder.plans.text_queries import PRODUCT_TEXT_SQL
+from larder.session import ensure_checkpoint_dir
 from larder.sources.views import RetailModel
 
 _CENTROIDS_SQL = """
@@ -40,6 +43,31 @@ def q_vector_top_k(spark, d):
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _stored_clusters(spark, m: RetailModel):
+    """The collection by pivots in the shared checkpoint folder, and its clusters."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vector-clusters-{uuid.uuid4().hex}"
+    clusters = V.pivot_clusters(m.vectors, path)
+    return spark.read.parquet(path), clusters
+
+
+@register("vector_top_k_pruned", _topk_sql(5, False))
+def q_vector_top_k_pruned(spark, d):
+    """H2 / E7 by pivot clusters: the same rows as vector_top_k."""
+    m = RetailModel(spark, d)
+    stored, clusters = _stored_clusters(spark, m)
+    hits = V.vector_top_k_pruned(_centroid_queries(m), stored, clusters, k=5)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register("filtered_top_k_pruned", _topk_sql(5, True))
+def q_filtered_top_k_pruned(spark, d):
+    """H3 by pivot clusters: the same rows as filtered_top_k."""
+    m = RetailModel(spark, d)
+    stored, clusters = _stored_clusters(spark, m)
+    hits = V.vector_top_k_pruned(_centroid_queries(m), stored, clusters, k=5, filter_col="category", query_filter_col="query_filter")
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("vector_top_k_ties", """
 WITH v AS (SELECT vec_id, category, list_transform(embedding[1:6], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS e FROM vectors),
 q AS (SELECT category AS query_id, arg_min(e, vec_id) AS qe FROM v GROUP BY category),

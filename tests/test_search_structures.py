@@ -80,3 +80,26 @@ def test_store_cells_with_few_or_no_stores(spark):
     assert got == [(1, 7, 100_000_000, 1), (2, 7, 100_000_000, 1)]
     assert C.nearest_stores_cells(points, one.filter("false"), k=3).count() == 0
     assert C.nearest_stores_cells(points.filter("false"), one, k=3).count() == 0
+
+
+def test_pruned_top_k_equals_the_plain_form_and_scores_little(spark, tmp_path):
+    from larder.operators import vectors as V
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + 0.02 * rng.normal(size=12)).tolist(), f"c{i % 3}") for i in range(2000)]
+    rows += [(5000 + i, [0.0] * 12, "c0") for i in range(3)] + [(6000 + i, rows[0][1], "c1") for i in range(6)]  # zero vectors, ties
+    coll = spark.createDataFrame(rows, "vec_id long, embedding array<double>, category string").repartition(4)
+    asked = [(i, (centres[i] + 0.02 * rng.normal(size=12)).tolist(), None if i % 2 else f"c{i % 4}") for i in range(12)]
+    asked += [(90, rows[0][1], "c1"), (91, rows[0][1], None), (92, [0.0] * 12, None)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, f string")
+    path = str(tmp_path / "clusters")
+    clusters = V.pivot_clusters(coll, path, pivots=120)
+    stored = spark.read.parquet(path)
+    assert stored.count() == len(rows)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+    for filters in ({}, {"filter_col": "category", "query_filter_col": "f"}):
+        got = V.vector_top_k_pruned(queries, stored, clusters, k=7, block_rows=5, chunk_rows=30, **filters).cache()
+        assert key(got) == key(V.vector_top_k(queries, coll, k=7, **filters))
+        share = {r.query_id: r.scored / len(rows) for r in got.select("query_id", "scored").distinct().collect()}
+        near = [share[q] for q, _, f in asked if q < 90 and (f is None or not filters)]
+        assert sum(near) / len(near) < 0.3
