@@ -271,6 +271,12 @@ def _listing(top: DataFrame, keys: list[str], line: Column, data: list[Column])
                     F.size("_s").cast("bigint").alias("shown")))
 
 
+def _rows_json(order: Column, row: Column) -> Column:
+    """``data`` of a group: its rows as JSON, in order (one row per distinct name of a key)."""
+    s = F.sort_array(F.collect_list(F.struct(order.alias("o"), row.alias("d"))))
+    return F.to_json(F.transform(s, lambda x: x["d"]), {"ignoreNullFields": "false"}).alias("data")
+
+
 def _asked_brands(brands: DataFrame, asked: DataFrame) -> DataFrame:
     """(lbrand, _b): catalogue brands that contain an asked brand. Both sides are
     distinct names; they meet on the first three letters of the asked one."""
@@ -366,7 +372,9 @@ def staff_answer_calls(routed: DataFrame, prod: DataFrame, cat: DataFrame, deals
         rows = _listing(_top(n, 15, F.desc("product_count"), F.asc(col)), ["_key"],
                         F.concat(F.lit("- "), F.col(col), F.lit(" — "), F.col("product_count").cast("string"), F.lit(" products")),
                         [F.col(col), F.col("product_count")])
-        add(action, rows.join(n.groupBy("_key").agg(F.count(F.lit(1)).alias("total")), "_key"))
+        every = n.groupBy("_key").agg(F.count(F.lit(1)).alias("total"), *([_rows_json(F.struct((-F.col("product_count")).alias("o"), F.col(col).alias("t")),
+                                                                                  F.struct(col, "product_count"))] if action == "list_brands" else []))
+        add(action, (rows.drop("data") if action == "list_brands" else rows).join(every, "_key"))  # the text stops at 15 brands, the data does not
 
     add("count_deals", live.withColumn("_arg", F.explode(F.array(F.lit(""), F.col("deal_type")))).groupBy("_arg")
         .agg(F.count(F.lit(1)).alias("total")).withColumn("_key", F.lit(ALL)))

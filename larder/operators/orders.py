@@ -103,14 +103,16 @@ def previous_ts(df: DataFrame, *, part: str, ts: str, tie: str, name: str = "pre
 
     Two levels, like :func:`running_count`: a lag inside each (key, time
     bucket) and, for a bucket's first row, the last timestamp of the previous
-    non-empty bucket taken from the small per-bucket aggregate."""
+    non-empty bucket taken from the small per-bucket aggregate. No row is dropped: a null
+    key is a key of its own, and rows without a time come first in their key."""
     b = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
-    d = df.withColumn("_b", b)
-    d = d.withColumn("_lag", F.lag(ts).over(Window.partitionBy(part, "_b").orderBy(ts, tie)))
-    last = (d.groupBy(part, "_b").agg(F.max(ts).alias("_last"))
-            .withColumn("_before", F.lag("_last").over(Window.partitionBy(part).orderBy("_b"))))
-    return (d.join(last.select(part, "_b", "_before"), [part, "_b"], "inner")
-            .withColumn(name, F.coalesce("_lag", "_before")).drop("_b", "_lag", "_before"))
+    # key and slice as one struct: it is never null itself, so rows of a null key or time meet their kind
+    d = df.withColumn("_pb", F.struct(F.col(part).alias("p"), b.alias("b")))
+    d = d.withColumn("_lag", F.lag(ts).over(Window.partitionBy("_pb").orderBy(ts, tie)))
+    last = (d.groupBy("_pb").agg(F.max(ts).alias("_last"))
+            .withColumn("_before", F.lag("_last").over(Window.partitionBy("_pb.p").orderBy("_pb.b"))))
+    return (d.join(last.select("_pb", "_before"), "_pb", "inner")
+            .withColumn(name, F.coalesce("_lag", "_before")).drop("_pb", "_lag", "_before"))
 
 
 def cart_lines(state: DataFrame, prod: DataFrame, deals: DataFrame | None = None, *,
@@ -171,19 +173,20 @@ def running_count(df: DataFrame, *, part: str, ts: str, tie: str, flag: Column,
     counts are prefix-summed on the small aggregate, then each bucket is
     scanned on its own (window partitioned by key and bucket). Buckets are
     time slices of ``ts``, or ``bucket`` when given (any expression that is
-    non-decreasing in the (ts, tie) order).
+    non-decreasing in the (ts, tie) order). No row is dropped: a null key is a key
+    of its own, and rows without a time come first in their key.
     """
     b = bucket if bucket is not None else \
         F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
-    d = df.withColumn("_b", b).withColumn("_f", flag.cast("bigint"))
-    per_bucket = d.groupBy(part, "_b").agg(F.sum("_f").alias("_n"))
-    offs = per_bucket.withColumn(
+    # key and bucket as one struct: it is never null itself, so rows of a null key or time meet their kind
+    d = df.withColumn("_pb", F.struct(F.col(part).alias("p"), b.alias("b"))).withColumn("_f", flag.cast("bigint"))
+    offs = d.groupBy("_pb").agg(F.sum("_f").alias("_n")).withColumn(
         "_off", F.coalesce(F.sum("_n").over(
-            Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy(part, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(offs.select(part, "_b", "_off"), [part, "_b"], "inner")
+            Window.partitionBy("_pb.p").orderBy("_pb.b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("_pb").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.join(offs.select("_pb", "_off"), "_pb", "inner")
             .withColumn(name, (F.col("_off") + F.coalesce(F.sum("_f").over(w), F.lit(0))).cast("bigint"))
-            .drop("_b", "_f", "_off"))
+            .drop("_pb", "_f", "_off"))
 
 
 def create_order(events: DataFrame, prod: DataFrame, *, owners: DataFrame | None = None,
@@ -258,11 +261,14 @@ def user_order_sort():
     return [F.desc("created_at"), F.desc("order_id")]
 
 
-def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_of: datetime) -> DataFrame:
+def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame | None, *, as_of: datetime) -> DataFrame:
     """I12 (products): create / update / soft delete by product id.
 
-    Creates get a slug (F1) and a sku: category prefix + the next numbers
-    after the highest existing suffix of that prefix (no count+1 collisions).
+    Creates get a slug (F1) and a sku (F3): the first three letters of the category's
+    slug in upper case (``GEN`` where the category is null or unknown, or has no slug) and
+    the next numbers after the highest existing suffix of that prefix (no count+1
+    collisions), of four digits, or of as many as the prefix has already. Without
+    ``cat`` a category's slug is its name in lower case.
     Updates overwrite the fields that the feed carries but keep sku and
     availability; deletes set is_available = false. The last change per id wins;
     changes for missing ids (other than creates) are ignored. All other columns
@@ -280,10 +286,14 @@ def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_
     dele = exists & (F.col("op") == "delete")
     ins = ~exists & (F.col("op") == "create")
     # next sku numbers per prefix for the inserted rows
-    prefix = F.upper(F.substring(F.lower("_n_category"), 1, 3))
+    if cat is None:
+        j = j.withColumn("_cat_slug", F.lower("_n_category"))
+    else:
+        j = j.join(cat.groupBy(F.col("category").alias("_n_category")).agg(F.min("slug").alias("_cat_slug")), "_n_category", "left")
+    prefix = F.coalesce(F.upper(F.substring("_cat_slug", 1, 3)), F.lit("GEN"))
     max_suffix = (target.select(F.split_part("sku", F.lit("-"), F.lit(1)).alias("_prefix"),
-                                F.split_part("sku", F.lit("-"), F.lit(2)).cast("bigint").alias("_suf"))
-                  .groupBy("_prefix").agg(F.max("_suf").alias("_max")))
+                                F.split_part("sku", F.lit("-"), F.lit(2)).alias("_suf"))
+                  .groupBy("_prefix").agg(F.max(F.col("_suf").cast("bigint")).alias("_max"), F.max(F.length("_suf")).alias("_width")))
     # numbering of the new rows per prefix: two-level running count over
     # product-id ranges, so a burst of creates in one category is not one task
     creates = running_count(j.filter(ins).withColumn("_prefix", prefix), part="_prefix", ts="product_id",
@@ -291,9 +301,9 @@ def product_upsert(target: DataFrame, changes: DataFrame, cat: DataFrame, *, as_
                             bucket=F.floor(F.col("product_id") / F.lit(100_000)))
     creates = (creates.join(max_suffix, "_prefix", "left")
                .withColumn("_seq", F.col("_before") + 1)
-               .withColumn("_new_sku", F.concat("_prefix", F.lit("-"),
-                                                F.format_string("%06d", F.coalesce("_max", F.lit(0)) + F.col("_seq"))))
-               .select("product_id", "_new_sku"))
+               .withColumn("_no", (F.coalesce("_max", F.lit(0)) + F.col("_seq")).cast("string"))
+              .withColumn("_new_sku", F.concat("_prefix", F.lit("-"), F.lpad("_no", F.greatest(F.lit(4), "_width", F.length("_no")), F.lit("0"))))
+              .select("product_id", "_new_sku"))
     j = j.join(creates, "product_id", "left")
     pick = lambda c: F.when(upd | ins, F.col(f"_n_{c}")).otherwise(F.col(c))
     new = {c: pick(c) for c in fields}

@@ -298,6 +298,21 @@ answered AS (SELECT question_id, action, CASE action
 SELECT * FROM answered"""
 
 
+@register("staff_brand_rows", """
+WITH a AS (SELECT p.category, p.brand FROM products p JOIN categories c ON c.category = p.category WHERE p.is_available AND p.brand IS NOT NULL),
+n AS (SELECT category, brand, count(*) AS product_count FROM a GROUP BY category, brand
+      UNION ALL SELECT NULL, brand, count(*) FROM a GROUP BY brand)
+SELECT category, brand, product_count FROM n""")
+def q_staff_brand_rows(spark, d):
+    """The data rows of list_brands, over the catalogue and for each category (all of them, the text lists 15)."""
+    m = RetailModel(spark, d)
+    calls = spark.sql("""SELECT coalesce(category, '*') AS question_id, 'list_brands' AS action, category, CAST(NULL AS STRING) AS brand, false AS organic_only,
+        CAST(NULL AS STRING) AS deal_type, CAST(NULL AS DOUBLE) AS max_price FROM (SELECT DISTINCT category FROM {p} UNION ALL SELECT NULL)""", p=m.products)
+    out = A.staff_answer_calls(calls, m.products, m.categories, m.deals, as_of=AS_OF)
+    rows = F.explode(F.from_json("data", "array<struct<brand:string,product_count:bigint>>")).alias("x")
+    return out.select(F.when(F.col("question_id") != "*", F.col("question_id")).alias("category"), rows).select("category", "x.*")
+
+
 @register("staff_answer_catalog", _STAFF_ORACLE)
 def q_staff_answer_catalog(spark, d):
     """Every action for every category, brand, deal type and price step of the catalogue."""

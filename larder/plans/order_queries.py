@@ -240,7 +240,8 @@ FROM {part} WHERE p_size = 4
 UNION ALL
 SELECT p_partkey, 2, 'delete', NULL, NULL, NULL, NULL FROM {part} WHERE p_size = 5
 UNION ALL
-SELECT p_partkey + 1000000, 1, 'create', p_type, concat(p_name, ' & co''s'), CAST(p_retailprice AS DECIMAL(10,2)), p_brand
+SELECT p_partkey + 1000000, 1, 'create', CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'No such' ELSE p_type END,
+  concat(p_name, ' & co''s'), CAST(p_retailprice AS DECIMAL(10,2)), p_brand
 FROM {part} WHERE p_size = 6"""
 
 
@@ -250,10 +251,14 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER
 j AS (SELECT coalesce(t.product_id, l.product_id) AS product_id, t.sku IS NOT NULL AS ex, l.op,
   t.category AS t_category, t.name AS t_name, t.price AS t_price, t.brand AS t_brand, t.sku, t.is_available,
   l.category, l.name, l.price, l.brand FROM products t FULL OUTER JOIN l ON t.product_id = l.product_id),
-mx AS (SELECT split_part(sku, '-', 1) AS prefix, max(CAST(split_part(sku, '-', 2) AS BIGINT)) AS mx FROM products GROUP BY 1),
-cr AS (SELECT j.product_id, upper(substr(lower(j.category), 1, 3)) || '-' ||
-    printf('%06d', coalesce(mx.mx, 0) + row_number() OVER (PARTITION BY upper(substr(lower(j.category), 1, 3)) ORDER BY j.product_id)) AS new_sku
-  FROM j LEFT JOIN mx ON upper(substr(lower(j.category), 1, 3)) = mx.prefix WHERE NOT j.ex AND j.op = 'create'),
+mx AS (SELECT split_part(sku, '-', 1) AS prefix, max(CAST(split_part(sku, '-', 2) AS BIGINT)) AS mx, max(length(split_part(sku, '-', 2))) AS digits
+  FROM products GROUP BY 1),
+made AS (SELECT j.product_id, CASE WHEN k.slug IS NULL THEN 'GEN' ELSE upper(k.slug[1:3]) END AS prefix
+  FROM j LEFT JOIN categories k ON k.category = j.category WHERE NOT j.ex AND j.op = 'create'),
+numbered AS (SELECT product_id, prefix, coalesce((SELECT mx FROM mx WHERE mx.prefix = made.prefix), 0)
+    + row_number() OVER (PARTITION BY prefix ORDER BY product_id) AS no FROM made),
+cr AS (SELECT product_id, prefix || '-' || lpad(CAST(no AS VARCHAR), greatest(4, length(CAST(no AS VARCHAR)),
+    coalesce((SELECT digits FROM mx WHERE mx.prefix = numbered.prefix), 0))::INTEGER, '0') AS new_sku FROM numbered),
 r AS (SELECT j.*, cr.new_sku,
   CASE WHEN (ex AND op = 'update') OR (NOT ex AND op = 'create') THEN name ELSE t_name END AS out_name FROM j LEFT JOIN cr USING (product_id))
 SELECT product_id,

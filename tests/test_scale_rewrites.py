@@ -81,3 +81,17 @@ def test_cart_state_with_one_hot_product_equals_a_fold(spark):
     out = cart_state(df)
     assert {(r.session_id, r.product_id): r.quantity for r in out.collect()} == {(s, p): q for s, c in carts.items() for p, q in c.items()}
     assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()  # hot keys are dealt over tasks
+
+
+def test_null_keys_and_null_times_are_kept(spark):
+    rows = [(1, "a", T0, 1), (2, "a", None, 1), (3, None, T0, 1), (4, None, T0 + timedelta(days=3), 1), (5, None, None, 1),
+            (6, "a", T0 + timedelta(days=9), 1)]
+    df = spark.createDataFrame(rows, "event_id long, part string, event_ts timestamp, f int")
+    got = running_count(df, part="part", ts="event_ts", tie="event_id", flag=F.lit(True))
+    got = previous_ts(got, part="part", ts="event_ts", tie="event_id", name="prev")
+    assert {r.event_id: (r.before, r.prev) for r in got.collect()} == {
+        1: (1, None), 2: (0, None), 6: (2, T0), 3: (1, None), 4: (2, T0), 5: (0, None)}
+    from larder.operators.sessions import chat_session_state
+    turns = spark.createDataFrame([(1, 0, 0), (1, 1, 100), (None, 0, 50), (None, 1, 60), (2, 0, None)], "conv_id long, turn long, ts_s long")
+    out = chat_session_state(turns).collect()
+    assert len(out) == 5 and {(r.conv_id, r.turn): r.session_no for r in out}[(None, 1)] == 1
