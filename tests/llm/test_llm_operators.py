@@ -594,7 +594,7 @@ def test_pipeline_stages(spark):
         if k < 4:
             assert out.columns == docs.columns
         if name == "n-gram Jaccard join":
-            want = {i for i, _, c in brute_components([(i, r["text"]) for i, r in before.items()]) if i == c}
+            want = {i for i, _, c in brute_components([(i, r["text"]) for i, r in before.items()], 80, 100, 5) if i == c}
             assert set(after) == want
         elif name == "benchmark decontamination":
             hits = {i: brute_hits(r["text"], bench) for i, r in before.items()}
