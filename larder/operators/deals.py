@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import deal_description, deal_title, end_of_day, next_day_at
@@ -123,29 +123,80 @@ def deal_assignment(prod: DataFrame, *, as_of: datetime, seed: int,
               .orderBy("_h", "product_id").limit(b + w + d)
               .withColumn("rank", F.row_number().over(Window.orderBy("_h", "product_id"))))
     r = F.col("rank")
-    deal_type = F.when(r <= b, "BOGO").when(r <= b + w, "WeeklyDeal").otherwise("DailyDeal")
+    return _assigned(ranked, r <= b, r <= b + w, as_of, "rank")
+
+
+def _assigned(rows: DataFrame, bogo: Column, weekly: Column, as_of: datetime, *extra: str) -> DataFrame:
+    """Deal rows of assigned products: the first condition that holds gives the type, the rest are daily."""
+    deal_type = F.when(bogo, "BOGO").when(weekly, "WeeklyDeal").otherwise("DailyDeal")
     pick = F.pmod(F.conv(F.substring("_h", 9, 8), 16, 10).cast("bigint"), F.lit(1000))
     weekly_pct = F.element_at(F.array(*[F.lit(x) for x in (20, 25, 30, 35, 40)]),
                               (F.pmod(pick, F.lit(5)) + 1).cast("int"))
     daily_pct = F.element_at(F.array(*[F.lit(x) for x in (25, 30, 35, 40, 45, 50)]),
                              (F.pmod(pick, F.lit(6)) + 1).cast("int"))
-    pct = F.when(r <= b, F.lit(None)).when(r <= b + w, weekly_pct).otherwise(daily_pct)
+    pct = F.when(bogo, F.lit(None)).when(weekly, weekly_pct).otherwise(daily_pct)
     day0 = F.date_trunc("day", F.lit(as_of))
     now = F.lit(as_of)
-    start = (F.when(r <= b, now - F.make_interval(days=F.lit(2)))
-             .when(r <= b + w, now - F.make_interval(days=F.lit(1))).otherwise(day0))
-    end = (F.when(r <= b, now + F.make_interval(days=F.lit(12)))
-           .when(r <= b + w, now + F.make_interval(days=F.lit(6)))
+    start = (F.when(bogo, now - F.make_interval(days=F.lit(2)))
+             .when(weekly, now - F.make_interval(days=F.lit(1))).otherwise(day0))
+    end = (F.when(bogo, now + F.make_interval(days=F.lit(12)))
+           .when(weekly, now + F.make_interval(days=F.lit(6)))
            .otherwise(day0 + F.make_interval(days=F.lit(1))))
-    return (ranked.select("product_id", F.col("sku").alias("product_sku"), "name", "rank",
-                          deal_type.alias("deal_type"), pct.cast("decimal(5,2)").alias("discount_percent"),
-                          start.alias("start_date"), end.alias("end_date"),
-                          F.lit(True).alias("is_active"))
+    return (rows.select("product_id", F.col("sku").alias("product_sku"), "name", *extra,
+                        deal_type.alias("deal_type"), pct.cast("decimal(5,2)").alias("discount_percent"),
+                        start.alias("start_date"), end.alias("end_date"),
+                        F.lit(True).alias("is_active"))
             .withColumn("title", deal_title("deal_type", "discount_percent"))
             .withColumn("buy_quantity", F.when(F.col("deal_type") == "BOGO", F.lit(1)))
             .withColumn("get_quantity", F.when(F.col("deal_type") == "BOGO", F.lit(1))))
 
 
+#: Hash digits (hexadecimal) told apart in one pass of hash_cuts.
+CUT_DIGITS = 4
+
+
+def hash_cuts(rows: DataFrame, ranks: list[int], *, passes: int = 2) -> list[str]:
+    """Hash (column ``_h``, hexadecimal) of the row of each rank in hash order ('' for rank 0).
+
+    Each pass counts the rows by the next CUT_DIGITS digits, only inside the slices that
+    hold a wanted rank: at most 65,536 counts a rank reach the driver, whatever the
+    table's size. After ``passes`` of them a slice holds n / 16^8 different hashes, which
+    are counted one by one. No sort and no global window."""
+    at = {r: ("", r) for r in ranks if r > 0}
+    for depth in [*(CUT_DIGITS * (i + 1) for i in range(passes)), 32]:
+        if not at:
+            break
+        done = len(next(iter(at.values()))[0])
+        inside = rows if not done else rows.filter(F.substring("_h", 1, done).isin(sorted({p for p, _ in at.values()})))
+        counts = sorted(tuple(x) for x in inside.groupBy(F.substring("_h", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for r, (prefix, left) in at.items():
+            last = None
+            for p, n in counts:
+                if p.startswith(prefix):
+                    last = p
+                    if n >= left:
+                        break
+                    left -= n
+            if last is not None:
+                at[r] = (last, left)
+    return [at[r][0] if r > 0 else "" for r in ranks]
+
+
+def deal_assignment_shares(prod: DataFrame, *, as_of: datetime, seed: int,
+                           shares: tuple[int, int, int] = (606, 455, 45)) -> DataFrame:
+    """I8 for catalogues of any size: shares of all products, in ten-thousandths, get
+    BOGO / weekly / daily deals; sizes are rounded down, slices are disjoint and exact to
+    the row. Same hash order, types, percentages and windows as :func:`deal_assignment`.
+    Products are cut by hash values found from histograms, not ranked. Rows of equal
+    product_id share a hash and stay in one slice; null ids take no part."""
+    rows = prod.select("product_id", "sku", "name").filter(F.col("product_id").isNotNull()).withColumn(
+        "_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("product_id").cast("string"))))
+    n = rows.count()
+    b, w, d = (n * x // 10_000 for x in shares)
+    cut_b, cut_w, cut_d = hash_cuts(rows, [b, b + w, b + w + d])
+    return _assigned(rows.filter(F.col("_h") <= cut_d), F.col("_h") <= cut_b, F.col("_h") <= cut_w, as_of)
+
+
 def deal_upsert(target: DataFrame, changes: DataFrame, *, as_of: datetime) -> DataFrame:
     """I12 (deals): apply change rows (op create / update / delete) keyed by
     deal_id. Updates overwrite all given fields, deletes clear the active flag

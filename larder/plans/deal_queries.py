@@ -147,6 +147,23 @@ def q_deal_assignment(spark, d):
     return D.deal_assignment(RetailModel(spark, d).products, as_of=AS_OF, seed=11)
 
 
+@register("deal_assignment_shares", """
+WITH c AS (SELECT count(*) AS n FROM products),
+k AS (SELECT n * 606 // 10000 AS b, n * 455 // 10000 AS w, n * 45 // 10000 AS d FROM c),
+r AS (SELECT product_id, sku, md5('23:' || CAST(product_id AS VARCHAR)) AS h,
+  row_number() OVER (ORDER BY md5('23:' || CAST(product_id AS VARCHAR)), product_id) AS rank FROM products),
+x AS (SELECT r.*, k.*, CAST('0x' || substr(h, 9, 8) AS BIGINT) % 1000 AS pick FROM r, k WHERE rank <= b + w + d)
+SELECT product_id, sku AS product_sku, CASE WHEN rank <= b THEN 'BOGO' WHEN rank <= b + w THEN 'WeeklyDeal' ELSE 'DailyDeal' END AS deal_type,
+  CASE WHEN rank <= b THEN NULL WHEN rank <= b + w THEN CAST(([20, 25, 30, 35, 40])[pick % 5 + 1] AS DOUBLE)
+       ELSE CAST(([25, 30, 35, 40, 45, 50])[pick % 6 + 1] AS DOUBLE) END AS discount_percent,
+  CASE WHEN rank <= b THEN '2001-08-14 00:00:00' WHEN rank <= b + w THEN '2001-08-08 00:00:00' ELSE '2001-08-03 00:00:00' END AS end_date
+FROM x""")
+def q_deal_assignment_shares(spark, d):
+    """I8 by shares of the whole catalogue, cut by hash histograms."""
+    out = D.deal_assignment_shares(RetailModel(spark, d).products, as_of=AS_OF, seed=23)
+    return out.select("product_id", "product_sku", "deal_type", "discount_percent", "end_date")
+
+
 # Change feed derived from part: small sizes update, size 2 deletes, size 3 creates.
 _DEAL_CHANGES = """
 SELECT p_partkey * 10 AS deal_id, 1 AS change_seq, 'update' AS op, p_partkey AS product_id,

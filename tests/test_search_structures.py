@@ -103,3 +103,24 @@ def test_pruned_top_k_equals_the_plain_form_and_scores_little(spark, tmp_path):
         share = {r.query_id: r.scored / len(rows) for r in got.select("query_id", "scored").distinct().collect()}
         near = [share[q] for q, _, f in asked if q < 90 and (f is None or not filters)]
         assert sum(near) / len(near) < 0.3
+
+
+def test_assignment_by_shares_is_exact_to_the_row(spark):
+    from datetime import datetime, timezone
+    from larder.operators import deals as D
+    now = datetime(2001, 8, 2, tzinfo=timezone.utc)
+    prod = lambda n: spark.range(n).select(F.col("id").alias("product_id"), F.lit("s").alias("sku"), F.lit("n").alias("name"))
+    n = 500_000
+    got = D.deal_assignment_shares(prod(n), as_of=now, seed=5, shares=(606, 455, 45))
+    rows = {r.deal_type: (r.n, r.ids) for r in got.groupBy("deal_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("product_id").alias("ids")).collect()}
+    assert rows == {t: (n * x // 10_000,) * 2 for t, x in (("BOGO", 606), ("WeeklyDeal", 455), ("DailyDeal", 45))}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange SinglePartition" not in plan
+    # the same products as the ranked form
+    few = D.deal_assignment_shares(prod(1000), as_of=now, seed=5, shares=(1000, 505, 9))
+    ranked = D.deal_assignment(prod(1000), as_of=now, seed=5, counts=(100, 50, 0))
+    key = lambda df: sorted((r.product_id, r.deal_type, r.title, r.end_date) for r in df.collect())
+    assert key(few) == key(ranked)
+    assert D.deal_assignment_shares(prod(0), as_of=now, seed=5).count() == 0
+    assert D.deal_assignment_shares(prod(10), as_of=now, seed=5).count() == 0
+    assert D.deal_assignment_shares(prod(10), as_of=now, seed=5, shares=(10_000, 0, 0)).count() == 10
