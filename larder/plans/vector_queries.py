@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from larder.functions.text import product_text_pipeline
+from larder.operators import bucket_store as B
 from larder.operators import vectors as V
 from larder.operators.evaluation import retrieval_quality
 from larder.plans.registry import register
@@ -175,3 +176,20 @@ def q_index_incremental(spark, d):
                           .otherwise("keep").alias("action"),
                           F.col("p_size").alias("msg_seq")).filter(F.col("action") != "keep")
     return V.index_incremental(coll, changes, p, text=_product_doc).withColumn("embedding", micro_text("embedding"))
+
+
+@register("bucket_store_upsert", """
+SELECT vec_id, category, CASE WHEN vec_id % 10 = 1 THEN 'changed' ELSE 'stored' END AS state FROM vectors WHERE vec_id % 10 <> 2
+UNION ALL SELECT vec_id + 10000000, category, 'new' FROM vectors WHERE vec_id % 100 = 3""")
+def q_bucket_store_upsert(spark, d):
+    """A7 on a bucketed store: a whole collection is stored, then updates, deletes and new ids are applied to it."""
+    v = RetailModel(spark, d).vectors.select("vec_id", "category")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucket-store-{uuid.uuid4().hex}"
+    B.create_store(v.withColumn("state", F.lit("stored")), path, id_col="vec_id", buckets=16)
+    changes = (v.filter("vec_id % 10 = 1").select("vec_id", "category", F.lit("changed").alias("state"), F.lit(2).alias("seq"), F.lit(False).alias("gone"))
+               .unionByName(v.filter("vec_id % 10 = 1").select("vec_id", "category", F.lit("earlier").alias("state"), F.lit(1).alias("seq"), F.lit(True).alias("gone")))
+               .unionByName(v.filter("vec_id % 10 = 2").select("vec_id", "category", F.lit("x").alias("state"), F.lit(1).alias("seq"), F.lit(True).alias("gone")))
+               .unionByName(v.filter("vec_id % 100 = 3").select((F.col("vec_id") + 10000000).alias("vec_id"), "category", F.lit("new").alias("state"),
+                                                                F.lit(1).alias("seq"), F.lit(False).alias("gone"))))
+    B.upsert_store(spark, path, changes, id_col="vec_id", seq_col="seq", delete_col="gone")
+    return B.read_store(spark, path).select("vec_id", "category", "state")

@@ -167,6 +167,27 @@ def index_updates_writer(collection_path: str, products: DataFrame, text):
     return write
 
 
+def bucket_index_writer(path: str, products: DataFrame, text):
+    """H5 stream sink on a bucketed store (:mod:`larder.operators.bucket_store`, id ``vec_id``): a
+    micro-batch of product messages rewrites the buckets of its products, not the collection.
+    The last message of a product wins, by ``msg_seq`` or, without one, by arrival order; an
+    update of a product that is unknown to ``products`` changes nothing."""
+    from larder.operators.bucket_store import upsert_store
+    from larder.operators.vectors import hashed_embedding
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if "msg_seq" not in batch.columns:
+            batch = batch.withColumn("msg_seq", F.monotonically_increasing_id())
+        last = batch.filter(F.lower("Action").isin("create", "update", "delete")).groupBy(F.col("ProductId").cast("bigint").alias("product_id")).agg(
+            F.max(F.struct("msg_seq", F.lower("Action").alias("action"))).alias("m")).select("product_id", "m.*")
+        fresh = last.filter("action <> 'delete'").select("product_id", "msg_seq").join(products, "product_id")
+        ups = fresh.select(F.col("product_id").alias("vec_id"), "category", hashed_embedding(text(fresh)).alias("embedding"),
+                           "msg_seq", F.lit(False).alias("_gone"))
+        outs = last.filter("action = 'delete'").select(F.col("product_id").alias("vec_id"), "msg_seq", F.lit(True).alias("_gone"))
+        upsert_store(batch.sparkSession, path, ups.unionByName(outs, allowMissingColumns=True), id_col="vec_id", seq_col="msg_seq", delete_col="_gone")
+    return write
+
+
 def checkpoint_location(spark, name: str) -> str:
     """Stream checkpoint folder under the cluster's shared checkpoint folder
     (``spark.checkpoint.dir``), so a restarted query resumes its offsets and
