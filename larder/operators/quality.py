@@ -34,16 +34,17 @@ def _orphans(children: dict[str, DataFrame], parents: dict[str, DataFrame],
              relations: list[tuple[str, str, str, str, str]], kind: str) -> DataFrame:
     """(rule, n) of the relations, whose keys are compared as ``kind``."""
     facts = refs = None
+    parent = {k: i for i, k in enumerate(dict.fromkeys((p, pk) for _, _, _, p, pk in relations))}
     for table in dict.fromkeys(c for _, c, _, _, _ in relations):
-        keys = [F.struct(F.lit(r).alias("rule"), F.col(fk).cast(kind).alias("k")) for r, c, fk, _, _ in relations if c == table]
+        keys = [F.struct(F.lit(r).alias("rule"), F.lit(parent[p, pk]).alias("p"), F.col(fk).cast(kind).alias("k"))
+                for r, c, fk, p, pk in relations if c == table]
         n = (children[table].select(F.explode(F.array(*keys)).alias("_k")).select("_k.*").filter(F.col("k").isNotNull())
-             .groupBy("rule", "k").agg(F.count(F.lit(1)).alias("n")))
+             .groupBy("rule", "p", "k").agg(F.count(F.lit(1)).alias("n")))
         facts = n if facts is None else facts.unionByName(n)
-    for table, pk in dict.fromkeys((p, pk) for _, _, _, p, pk in relations):
-        rules = [F.lit(r) for r, _, _, p, k in relations if (p, k) == (table, pk)]
-        ref = parents[table].select(F.explode(F.array(*rules)).alias("rule"), F.col(pk).cast(kind).alias("k"))
+    for (table, pk), i in parent.items():  # a parent's keys move once, however many relations name it
+        ref = parents[table].select(F.lit(i).alias("p"), F.col(pk).cast(kind).alias("k"))
         refs = ref if refs is None else refs.unionByName(ref)
-    return facts.join(refs, ["rule", "k"], "left_anti").groupBy("rule").agg(F.sum("n").alias("n"))
+    return facts.join(refs, ["p", "k"], "left_anti").groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 def dq_foreign_keys(children: dict[str, DataFrame], parents: dict[str, DataFrame],
