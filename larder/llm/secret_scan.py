@@ -1,21 +1,27 @@
 """Secret scan: candidates filtered by a random forest trained on labelled findings.
 
-Candidates are long runs of token characters that hold a digit. Their features
-are length and character make-up, the likelihood of their character transitions
-and their coverage by dictionary words (both counted over the whole corpus),
-the path of the document (its source) and the words beside them. A random
-forest in numpy, trained on a bounded sample of labelled findings, scores every
-candidate; those under the threshold are false positives.
-
-Defined results: null and empty texts have no candidates; a null source is an
-empty path; a null doc_id stays null; labels without a candidate, and null
-labels, are ignored; a finding labelled twice takes its larger label; repeated
-rows give repeated findings; without labels every candidate is kept with score
-1; other columns are not read. Found values are reported as digests only.
+Candidates are the whole values assigned to a secret-like name, of any length and
+alphabet (quoted: up to the closing quote of the line; else up to white space),
+the places that the caller labels (up to white space), and elsewhere runs of at
+least 12 token characters that hold a digit. A run inside an assigned value is part
+of it; a labelled place that starts another candidate takes that one's end. Their features are length and character make-up, the likelihood of
+their character transitions and their coverage by dictionary words (both counted
+over the whole corpus), the path of the document (its source) and the words
+beside them. A random forest in numpy, trained on a bounded sample of labelled
+findings, scores every candidate; those under the threshold are false positives.
+
+Defined results: null and empty texts have no candidates; a null source, or none,
+is an empty path; a null doc_id stays null and takes no labels; labels on white
+space or outside their text, and null labels, are ignored; a finding labelled twice
+takes its larger label; repeated rows give repeated findings; without labels every
+candidate is kept with score 1; an empty value is no candidate; other columns are
+not read. A letters-only value away from a secret-like name is a candidate only
+where a label names it. Found values are reported as digests only.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,7 +39,9 @@ MAX_FINDINGS = 20000       # bound of the training sample
 TREES, DEPTH, LEAF, SEED = 24, 8, 4, 3
 NEIGHBOURS = 256           # hash buckets of neighbouring words
 _VALUE = re.compile(rb"[A-Za-z0-9+/_.\-]{%d,}" % MIN_LENGTH)
-_ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|auth|credential)\W{0,3}[=:]\s*[\"']?$", re.I)
+#: a value behind a secret-like name: quoted on its line, else up to white space
+_ASSIGNED = re.compile(rb"""(?:token|secret|passw(?:or)?d|api[_-]?key|auth|credential)\W{0,3}[=:][ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"']\S*))""", re.I)
+_TAIL = b",;)]}>\"'"       # closing signs that end an unquoted value
 
 #: character kinds of the transition model: letters without case, digits, other
 _KIND = np.full(256, 36, np.int64)
@@ -75,7 +83,7 @@ class Statistics:
     def coverage(self, value: np.ndarray) -> float:
         """Share of the characters inside dictionary words of the value (lower-cased)."""
         n = len(value)
-        if not len(self.words):
+        if not len(self.words) or n < 4:
             return 0.0
         low = X._LOWER[value]
         starts = np.concatenate([np.arange(n - k + 1) for k in range(4, min(12, n) + 1)])
@@ -107,17 +115,42 @@ def _word_bucket(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.lower().encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % NEIGHBOURS
 
 
-def candidates(part: X.Slice) -> Iterator[tuple[int, int, int]]:
-    """(row, first byte, end byte) of the candidate values of a slice."""
+def assigned_values(part: X.Slice, row: int) -> Iterator[tuple[int, int]]:
+    """(first byte, end byte) of the values behind secret-like names in one row."""
+    lo = int(part.edges[row])
+    for m in _ASSIGNED.finditer(part.row_bytes(row)):
+        a, z = m.span(m.lastindex)
+        if m.lastindex == 3:
+            z = a + (len(m[3].rstrip(_TAIL)) or len(m[3]))
+        yield lo + a, lo + z
+
+
+def candidates(part: X.Slice, places: list[np.ndarray | None] | None = None) -> Iterator[tuple[int, int, int, bool]]:
+    """(row, first byte, end byte, assigned) of the candidate values of a slice.
+
+    ``places``: byte offsets in each row where the caller labelled a finding."""
     w = part.words()
     digits = np.concatenate([[0], np.cumsum(_DIGIT[part.data])])
-    ok = (w.ends - w.starts >= MIN_LENGTH) & (digits[w.ends] > digits[w.starts])
-    row = w.row
-    for i in np.flatnonzero(ok):
-        a, z = int(w.starts[i]), int(w.ends[i])
-        for m in _VALUE.finditer(part.data[a:z].tobytes()):
-            if digits[a + m.end()] > digits[a + m.start()]:
-                yield int(row[i]), a + m.start(), a + m.end()
+    long_words = np.flatnonzero((w.ends - w.starts >= MIN_LENGTH) & (digits[w.ends] > digits[w.starts]))
+    first = np.searchsorted(w.starts[long_words], part.edges)
+    for row in range(part.n):
+        spans = [(a, z, True) for a, z in assigned_values(part, row)]
+        starts, ends = [a for a, _, _ in spans], [z for _, z, _ in spans]
+        for i in long_words[first[row]:first[row + 1]]:
+            a, z = int(w.starts[i]), int(w.ends[i])
+            for m in _VALUE.finditer(part.data[a:z].tobytes()):
+                b, e = a + m.start(), a + m.end()
+                k = bisect.bisect_right(starts, b) - 1
+                if digits[e] > digits[b] and (k < 0 or ends[k] <= b):  # a run never crosses the border of an assigned value
+                    spans.append((b, e, False))
+        if places is not None and places[row] is not None:
+            known = {a for a, _, _ in spans}
+            for b in np.unique(places[row] + part.edges[row]).tolist():
+                k = int(np.searchsorted(w.ends, b, "right"))  # the word that holds the byte
+                if b not in known and k < len(w.ends) and w.starts[k] <= b:
+                    spans.append((b, int(w.ends[k]), False))
+        for a, z, flag in spans:
+            yield row, a, z, flag
 
 
 def features(part: X.Slice, row: int, a: int, z: int, path: str, stats: Statistics) -> list[float]:
@@ -131,7 +164,8 @@ def features(part: X.Slice, row: int, a: int, z: int, path: str, stats: Statisti
     left, right = before.split(), after.split()
     names = [x for x in left if re.search(r"\w", x)]
     return [float(n), float(digit.mean()), float(_UPPER[v].mean()), float(_HEX[v].mean()), len(np.unique(v)) / n,
-            float(stats.logp[k[:-1], k[1:]].mean()), float((digit[1:] != digit[:-1]).mean()), float((~(digit | letter)).mean()),
+            float(stats.logp[k[:-1], k[1:]].mean()) if n > 1 else 0.0, float((digit[1:] != digit[:-1]).mean()) if n > 1 else 0.0,
+            float((~(digit | letter)).mean()),
             stats.coverage(v), float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")),
             float(_word_bucket(names[-1]) if names else -1), float(_word_bucket(right[0]) if right else -1),
             float(_word_bucket(path)), float(path.count("/") + path.count(".")), float(len(path))]
@@ -193,27 +227,43 @@ class Forest:
         return out / max(len(self.trees), 1)
 
 
+#: columns of :func:`features` that tell of the text around a value
+CONTEXT = (9, 10, 11, 12)
+COVERAGE = 8
+
 _ROWS = "doc_id long, char_start long, length int, value_sha256 string, assigned boolean, score double, features array<double>"
 
 
+def _byte_places(part: X.Slice, lead: np.ndarray, labelled: list[list[int] | None]) -> list[np.ndarray | None]:
+    """Byte offsets of the labelled code points of each row (those inside the text)."""
+    out: list[np.ndarray | None] = []
+    for row in range(part.n):
+        at = labelled[part.first + row]
+        if not at:
+            out.append(None)
+            continue
+        a, z = int(part.edges[row]), int(part.edges[row + 1]) - 1
+        points = lead[a] + np.array([x for x in at if x is not None and 0 <= x < int(lead[z] - lead[a])], np.int64)
+        out.append(np.searchsorted(lead, points, "right") - 1 - a)
+    return out
+
+
 def _scan(shared, with_features: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, forest = shared.value
         for b in batches:
             paths = b.column(1).to_pylist()
             doc_ids = b.column(0).to_pylist()
+            labelled = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
             cols: list[list] = [[] for _ in range(5)]
             x: list[list[float]] = []
             for part in X.slices(b.column(2)):
-                lead = None
-                for row, a, z in candidates(part):
-                    if lead is None:
-                        lead = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+                lead = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+                for row, a, z, assigned in candidates(part, _byte_places(part, lead, labelled)):
                     value = part.data[a:z].tobytes()
-                    before = part.data[max(int(part.edges[row]), a - 40):a].tobytes().decode("utf-8", "ignore")
                     i = part.first + row
                     for c, v in zip(cols, (doc_ids[i], int(lead[a] - lead[part.edges[row]]), z - a, hashlib.sha256(value).hexdigest(),
-                                           bool(_ASSIGNED.search(before))), strict=True):
+                                           assigned), strict=True):
                         c.append(v)
                     x.append(features(part, row, a, z, paths[i] or "", stats))
             if x:
@@ -226,21 +276,32 @@ def _scan(shared, with_features: bool):
     return run
 
 
-def scan(docs: DataFrame, stats: Statistics, forest: Forest | None, with_features: bool = False) -> DataFrame:
-    """Every candidate with its place (code points), digest, score and context flag."""
+def scan(docs: DataFrame, stats: Statistics, forest: Forest | None, with_features: bool = False,
+         labelled: DataFrame | None = None) -> DataFrame:
+    """Every candidate with its place (code points), digest, score and context flag. The places
+    (doc_id, char_start) of ``labelled`` are candidates, too; they meet the documents by doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast((stats, forest))
-    return (docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-            .mapInArrow(_scan(shared, with_features), _ROWS))
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.col("text").cast("string").alias("text"))
+    if labelled is not None:
+        places = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("char_start").cast("long").alias("at")).dropna()
+        # a document's labelled places: at most its characters
+        rows = rows.join(places.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "doc_id", "left")
+    return rows.mapInArrow(_scan(shared, with_features), _ROWS)
 
 
 def rule_labels(docs: DataFrame, stats: Statistics) -> DataFrame:
     """Labelled findings by rule, for a corpus that brings none: a value assigned to a
-    name for secrets is one, any other candidate is not."""
-    return scan(docs, stats, None).select("doc_id", "char_start", F.col("assigned").cast("int").alias("label"))
+    name for secrets is one unless dictionary words make up all of it; any other candidate is not."""
+    rows = scan(docs, stats, None, True)
+    return rows.select("doc_id", "char_start", (F.col("assigned") & (F.element_at("features", COVERAGE + 1) < 1.0)).cast("int").alias("label"))
 
 
-def train(docs: DataFrame, labelled: DataFrame, stats: Statistics, max_findings: int = MAX_FINDINGS) -> Forest | None:
-    """Forest from at most about ``max_findings`` labelled findings (doc_id, char_start, label)."""
+def train(docs: DataFrame, labelled: DataFrame, stats: Statistics, max_findings: int = MAX_FINDINGS, context: bool = True) -> Forest | None:
+    """Forest from at most about ``max_findings`` labelled findings (doc_id, char_start, label).
+
+    Without ``context`` no split looks at the text around a value: labels that come from
+    that text would only be repeated."""
     lab = labelled.select("doc_id", "char_start", F.col("label").cast("int").alias("label")).dropna().groupBy("doc_id", "char_start").agg(
         F.max("label").alias("label"))
     n = lab.count()
@@ -249,18 +310,24 @@ def train(docs: DataFrame, labelled: DataFrame, stats: Statistics, max_findings:
     draw = F.pmod(F.xxhash64("doc_id", "char_start"), F.lit(1 << 20)) / float(1 << 20)
     sample = F.broadcast(lab.filter(draw < max_findings / n))  # bounded by max_findings
     ids = F.broadcast(sample.select("doc_id").distinct())
-    rows = (scan(docs.join(ids, "doc_id", "left_semi"), stats, None, True).join(sample, ["doc_id", "char_start"])
+    rows = (scan(docs.join(ids, "doc_id", "left_semi"), stats, None, True, sample).join(sample, ["doc_id", "char_start"])
             .select("doc_id", "char_start", "label", "features").distinct().collect())
     rows.sort(key=lambda r: (r["doc_id"], r["char_start"]))
     y = np.array([r["label"] for r in rows], float)
     if not len(y):
         return None
-    return Forest().fit(np.array([r["features"] for r in rows]), y)
+    x = np.array([r["features"] for r in rows])
+    if not context:
+        x[:, CONTEXT] = 0.0  # a column without a difference is never split
+    return Forest().fit(x, y)
 
 
 def secret_scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, char_start, length, value_sha256, score and ``is_secret`` of every candidate."""
+    """doc_id, char_start, length, value_sha256, score and ``is_secret`` of every candidate.
+
+    With no labelled findings they come by rule from the text around a value, and the
+    forest judges by the value and its path alone."""
     stats = corpus_statistics(docs)
-    forest = train(docs, rule_labels(docs, stats) if labelled is None else labelled, stats)
-    return scan(docs, stats, forest).select("doc_id", "char_start", "length", "value_sha256", "score",
-                                            (F.col("score") >= threshold).alias("is_secret"))
+    forest = train(docs, rule_labels(docs, stats) if labelled is None else labelled, stats, context=labelled is not None)
+    return scan(docs, stats, forest, labelled=labelled).select("doc_id", "char_start", "length", "value_sha256", "score",
+                                                             (F.col("score") >= threshold).alias("is_secret"))

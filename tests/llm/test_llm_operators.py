@@ -105,6 +105,64 @@ def test_secret_scan_learns_labels_and_edges(spark, hostile, empty):
     assert secret_scan.secret_scan(hostile).filter("doc_id in (4, 5, 6)").count() == 0
 
 
+def test_secret_scan_takes_whole_assigned_values_and_labelled_places(spark):
+    values = {1: 'password = "p@ss!word"', 2: "PASSWD: hunter;x,", 3: "api_key='correct horse battery'", 4: "auth = \"öffne dich", 5: "secret: Zq",
+              6: "token = \"\" then", 7: "tokens are nice: yes", 8: "password=\n\nnext line", 9: "nothing here qwertzuiop", 10: "credential: a1b2c3d4e5f6g7h8 end"}
+    docs = make(spark, [(i, t, "en", "s") for i, t in values.items()])
+    found = lambda df: {(r["doc_id"], values[r["doc_id"]].encode()[len(values[r["doc_id"]][:r["char_start"]].encode()):][:r["length"]].decode())
+                        for r in df.collect()}
+    want = {(1, "p@ss!word"), (2, "hunter;x"), (3, "correct horse battery"), (4, "öffne"), (5, "Zq"), (10, "a1b2c3d4e5f6g7h8")}
+    assert found(secret_scan.secret_scan(docs)) == want
+    # labelled places are candidates in any alphabet; blanks, places outside the text, nulls and unknown documents are not
+    labels = spark.createDataFrame([(9, 13, 1), (9, 7, 0), (9, 8, 1), (9, 900, 1), (9, -1, 1), (None, 0, 1), (9, None, 1), (77, 1, 1), (10, 12, 1), (4, 8, 1)],
+                                   "doc_id long, char_start long, label int")
+    assert found(secret_scan.secret_scan(docs, labels)) == want | {(9, "qwertzuiop"), (9, "here")}
+    assert secret_scan.secret_scan(docs.drop("source")).count() == len(want)
+
+
+def secret_rows(rnd, n):
+    """(doc_id, text, value, label): secrets and decoys in the same surroundings; only the value tells them apart."""
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: rnd.choice(["example", "changeme", "required", "placeholder", "disabled", "default", "documents", "settings"])
+    hexed = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
+    secrets = [lambda: "".join(rnd.choice(alnum) for _ in range(rnd.randrange(20, 40))), lambda: "sk_" + "".join(rnd.choice(alnum) for _ in range(24)),
+               lambda: "".join(rnd.choice(alnum + "!@#%") for _ in range(16))]
+    decoys = [word, lambda: f"{word()}-{word()}", lambda: "-".join([hexed(8), hexed(4), hexed(4), hexed(4), hexed(12)]),
+              lambda: f"/usr/share/{word()}/{word()}.conf", lambda: str(rnd.randrange(10 ** 15, 10 ** 16))]
+    names = ["token", "password", "api_key", "secret"]
+    out = []
+    for i in range(n):
+        label = i % 2
+        value = rnd.choice(secrets if label else decoys)()
+        out.append((i, f"{word()} {word()} {rnd.choice(names)} = \"{value}\" {word()} {word()}", value, label))
+    return out
+
+
+def test_secret_scan_held_out_findings_and_decoys(spark):
+    """Precision and recall on held-out findings whose labels no name, sign or neighbour gives away."""
+    rows = secret_rows(random.Random(21), 1200)
+    docs = make(spark, [(i, t, "en", "conf/app") for i, t, _, _ in rows])
+    train = spark.createDataFrame([(i, t.index(v), y) for i, t, v, y in rows if i % 3], "doc_id long, char_start long, label int")
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(docs, train).collect()}
+    held = [(got[i]["is_secret"], bool(y)) for i, t, v, y in rows if i % 3 == 0]
+    assert len(got) == 1200 and all(got[i]["value_sha256"] == hashlib.sha256(v.encode()).hexdigest() for i, _, v, _ in rows)
+    hit = sum(g and y for g, y in held)
+    assert hit / sum(g for g, _ in held) > 0.95 and hit / sum(y for _, y in held) > 0.95
+
+
+def test_rule_labelled_forest_judges_by_the_value(spark):
+    """Labelled by rule, the forest finds the same kind of value away from any name, and refuses words behind one."""
+    rnd = random.Random(5)
+    hexed = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'token = "{hexed()}" then' if i % 2 else f"order {rnd.randrange(10**15, 10**16)} shipped required", "en", "a") for i in range(200)]
+    rows += [(500 + i, f"the value {hexed()} lies bare", "en", "a") for i in range(10)]
+    rows += [(600 + i, "password: required", "en", "a") for i in range(10)]
+    got = {r["doc_id"]: r["is_secret"] for r in secret_scan.secret_scan(make(spark, rows)).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(200))
+    assert not any(got[600 + i] for i in range(10))
+    assert sum(got[500 + i] for i in range(10)) >= 9
+
+
 def test_forest_separates():
     rng = np.random.default_rng(0)
     x = rng.random((600, 5))
