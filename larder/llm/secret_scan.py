@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm import skew as S
 from larder.llm import text as X
 
 MIN_LENGTH = 12
@@ -39,8 +40,11 @@ MAX_FINDINGS = 20000       # bound of the training sample
 TREES, DEPTH, LEAF, SEED = 24, 8, 4, 3
 NEIGHBOURS = 256           # hash buckets of neighbouring words
 _VALUE = re.compile(rb"[A-Za-z0-9+/_.\-]{%d,}" % MIN_LENGTH)
-#: a value behind a secret-like name: quoted on its line, else up to white space
-_ASSIGNED = re.compile(rb"""(?:token|secret|passw(?:or)?d|api[_-]?key|auth|credential)\W{0,3}[=:][ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"']\S*))""", re.I)
+_NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|api[_-]?key|auth|credential)\W{0,3}\Z", re.I)
+_NAME_BYTES = 16            # no name with its signs is longer
+#: a value behind the sign: quoted on its line, else up to white space
+_ASSIGNED = re.compile(rb"""[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"']\S*))""")
+_SIGN = X.byte_class(words=b"=:")
 _TAIL = b",;)]}>\"'"       # closing signs that end an unquoted value
 
 #: character kinds of the transition model: letters without case, digits, other
@@ -115,14 +119,22 @@ def _word_bucket(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.lower().encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % NEIGHBOURS
 
 
-def assigned_values(part: X.Slice, row: int) -> Iterator[tuple[int, int]]:
-    """(first byte, end byte) of the values behind secret-like names in one row."""
-    lo = int(part.edges[row])
-    for m in _ASSIGNED.finditer(part.row_bytes(row)):
-        a, z = m.span(m.lastindex)
-        if m.lastindex == 3:
-            z = a + (len(m[3].rstrip(_TAIL)) or len(m[3]))
-        yield lo + a, lo + z
+def assigned_values(part: X.Slice) -> list[tuple[int, int, int]]:
+    """(row, first byte, end byte) of the values behind secret-like names."""
+    data, out, done = part.data.tobytes(), [], 0
+    signs = np.flatnonzero(_SIGN[part.data])
+    for row, at in zip((np.searchsorted(part.edges, signs, "right") - 1).tolist(), signs.tolist(), strict=True):
+        lo, hi = int(part.edges[row]), int(part.edges[row + 1]) - 1
+        # inside a value found before, or another sign follows
+        if at < done or at + 1 < hi and _SIGN[part.data[at + 1]] or not _NAME.search(data, max(lo, at - _NAME_BYTES), at):
+            continue
+        m = _ASSIGNED.match(data, at + 1, hi)
+        if m:
+            a, done = m.span(m.lastindex)
+            if m.lastindex == 3:
+                done = a + (len(m[3].rstrip(_TAIL)) or len(m[3]))
+            out.append((row, a, done))
+    return out
 
 
 def candidates(part: X.Slice, places: list[np.ndarray | None] | None = None) -> Iterator[tuple[int, int, int, bool]]:
@@ -133,8 +145,11 @@ def candidates(part: X.Slice, places: list[np.ndarray | None] | None = None) ->
     digits = np.concatenate([[0], np.cumsum(_DIGIT[part.data])])
     long_words = np.flatnonzero((w.ends - w.starts >= MIN_LENGTH) & (digits[w.ends] > digits[w.starts]))
     first = np.searchsorted(w.starts[long_words], part.edges)
+    by_row: dict[int, list[tuple[int, int, bool]]] = {}
+    for row, a, z in assigned_values(part):
+        by_row.setdefault(row, []).append((a, z, True))
     for row in range(part.n):
-        spans = [(a, z, True) for a, z in assigned_values(part, row)]
+        spans = by_row.get(row, [])
         starts, ends = [a for a, _, _ in spans], [z for _, z, _ in spans]
         for i in long_words[first[row]:first[row + 1]]:
             a, z = int(w.starts[i]), int(w.ends[i])
@@ -302,8 +317,8 @@ def train(docs: DataFrame, labelled: DataFrame, stats: Statistics, max_findings:
 
     Without ``context`` no split looks at the text around a value: labels that come from
     that text would only be repeated."""
-    lab = labelled.select("doc_id", "char_start", F.col("label").cast("int").alias("label")).dropna().groupBy("doc_id", "char_start").agg(
-        F.max("label").alias("label"))
+    lab = S.write_table(labelled.select("doc_id", "char_start", F.col("label").cast("int").alias("label")).dropna()
+                        .groupBy("doc_id", "char_start").agg(F.max("label").alias("label")), "findings")  # read three times
     n = lab.count()
     if not n:
         return None
