@@ -10,6 +10,7 @@ each cell keeps its best k rows per query, and a final shuffle ranks at most
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -294,6 +295,53 @@ def vector_top_k_pruned(queries: DataFrame, clustered: DataFrame, clusters: Data
     return best(early.unionByName(visit(late))).join(scored, "query_id")
 
 
+def vector_top_k_partitioned(queries: DataFrame, path: str, *, k: int, filter_col: str, query_filter_col: str, id_col: str = "vec_id",
+                             vec_col: str = "embedding", query_vec_col: str = "embedding", block_rows: int = 4096, chunk_rows: int = 16384,
+                             digits: int = 10) -> DataFrame:
+    """H3 exact cosine top-k (rows as :func:`vector_top_k`) over a collection that
+    :func:`vector_collection_write` stored at ``path``, partitioned by ``filter_col``.
+
+    Queries meet the vectors of their own filter value only: cells are blocks and chunks
+    within a value, and dynamic partition pruning by the values asked for keeps the folders of
+    all others unread. Queries without a filter meet the whole collection by the plain form."""
+    from larder.session import ensure_checkpoint_dir
+    spark = queries.sparkSession
+    stored = spark.read.parquet(path)
+    q = queries.select("query_id", l2_normalize(F.col(query_vec_col)).alias("_qv"), F.col(query_filter_col).alias("_v")).filter("_v IS NOT NULL")
+    asked = q.groupBy("_v").agg(F.count(F.lit(1)).alias("_nq"))
+    sizes = f"{ensure_checkpoint_dir(spark).rstrip('/')}/asked-values-{uuid.uuid4().hex}"
+    asked.write.parquet(f"{sizes}/asked")
+    # written tables have a known size, so that the planner can broadcast them where they are small; a filter makes them a pruning side
+    asked = spark.read.parquet(f"{sizes}/asked").filter("_nq > 0")
+    held = stored.select(F.col(filter_col).alias("_v")).join(asked, "_v").groupBy("_v", "_nq").agg(F.count(F.lit(1)).alias("_n"))
+    grid = lambda n, rows: F.ceil(F.col(n) / F.lit(rows)).cast("long")
+    held.select("_v", grid("_nq", block_rows).alias("_nb"), grid("_n", chunk_rows).alias("_nc")).write.parquet(f"{sizes}/grid")
+    layout = spark.read.parquet(f"{sizes}/grid").filter("_nb > 0 AND _nc > 0")
+    copies = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = q.join(layout, "_v").withColumn("_b", F.pmod(F.xxhash64("query_id"), F.col("_nb"))).withColumn("_c", copies("_nc"))
+    right = (stored.select(id_col, vec_col, F.col(filter_col).alias("_v")).join(layout, "_v")
+             .withColumn("_c", F.pmod(F.xxhash64(id_col), F.col("_nc"))).withColumn("_b", copies("_nb")))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField(id_col, stored.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+
+    def cell(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or cp.empty:
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        stack = lambda col: np.vstack(col.map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        at_q, at_c, score = _cell_top_k(stack(qp["_qv"]), None, stack(cp[vec_col]), cp[id_col].to_numpy(), None, k, digits)
+        return pd.DataFrame({"query_id": qp["query_id"].to_numpy()[at_q], id_col: cp[id_col].to_numpy()[at_c], "score": score})
+
+    cand = left.select("query_id", "_qv", "_v", "_b", "_c").groupBy("_v", "_b", "_c").cogroup(
+        right.select(id_col, vec_col, "_v", "_b", "_c").groupBy("_v", "_b", "_c")).applyInPandas(cell, schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    hits = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    free = queries.filter(F.col(query_filter_col).isNull())
+    if not free.take(1):
+        return hits
+    return hits.unionByName(vector_top_k(free, stored, k=k, id_col=id_col, vec_col=vec_col, query_vec_col=query_vec_col,
+                                         block_rows=block_rows, chunk_rows=chunk_rows, digits=digits))
+
+
 def category_centroids(collection: DataFrame, *, category_col: str = "category",
                        vec_col: str = "embedding") -> DataFrame:
     """Mean vector per category (bounded: one row per category, dim values)."""

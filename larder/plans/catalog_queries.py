@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import clock_time, day_name
 from larder.operators import catalog as C
+from larder.operators import page_directory as P
 from larder.plans.deal_queries import title_sql
 from larder.plans.registry import register
 from larder.plans.sqlkit import doubles
@@ -54,6 +55,16 @@ def q_products_organic_price_asc(spark, d):
         "product_id", "name", "price", *_PAGE_COLS)
 
 
+@register("products_page_directory", doubles(_paged_sql(
+    "SELECT * FROM products", "category, price DESC, product_id", "product_id, category, name, price", 14, 12), "price"))
+def q_products_page_directory(spark, d):
+    """E2 by directory: page 14 of the whole catalogue by category, falling price and id, from a sorted copy."""
+    keys = [("category", True), ("price", False), ("product_id", True)]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/product-pages-{uuid.uuid4().hex}"
+    P.write_page_directory(RetailModel(spark, d).products, path, keys, rows_per_part=500)
+    return P.read_page(spark, path, keys, page=14, size=12).select("product_id", "category", "name", "price", *_PAGE_COLS)
+
+
 @register("products_deals_only", doubles(_paged_sql(
     _AVAILABLE_JOINED + f""" AND EXISTS (SELECT 1 FROM deals d WHERE d.product_id = p.product_id
       AND d.is_active AND d.end_date > {AS_OF_SQL})""",

@@ -69,6 +69,16 @@ def q_filtered_top_k_pruned(spark, d):
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("filtered_top_k_partitioned", _topk_sql(5, True).replace("FROM cen, vectors x WHERE", "FROM cen, vectors x WHERE cen.category >= 'c3' AND"))
+def q_filtered_top_k_partitioned(spark, d):
+    """H3 by partition pruning: the collection is stored by category, the queries ask for some of them."""
+    m = RetailModel(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vector-partitions-{uuid.uuid4().hex}"
+    V.vector_collection_write(m.vectors, path, partition_by="category")
+    hits = V.vector_top_k_partitioned(_centroid_queries(m).filter("query_id >= 'c3'"), path, k=5, filter_col="category", query_filter_col="query_filter")
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("vector_top_k_ties", """
 WITH v AS (SELECT vec_id, category, list_transform(embedding[1:6], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS e FROM vectors),
 q AS (SELECT category AS query_id, arg_min(e, vec_id) AS qe FROM v GROUP BY category),
