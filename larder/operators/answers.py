@@ -71,6 +71,7 @@ NO_CONTEXT = "No relevant products found in our catalog."
 CONTEXT_LIMITS = (8, 5, 3)
 HISTORY_TURNS = 10
 REF_PRODUCTS = 5
+STAFF_ROLES = ("associate", "manager")
 
 
 def _num_text(c: Column) -> Column:
@@ -231,6 +232,43 @@ def chat_batch(questions: DataFrame, turns: DataFrame, product_hits: DataFrame,
                       F.size("messages").alias("message_count"))
 
 
+def staff_chat_batch(questions: DataFrame, turns: DataFrame, product_hits: DataFrame, deal_hits: DataFrame, store_hits: DataFrame,
+                     prod: DataFrame, cat: DataFrame, deals: DataFrame, *, as_of: datetime, staff_role: str, generator=None) -> DataFrame:
+    """G12, staff form: the whole staff flow for a batch of questions.
+
+    ``questions``: query_id, conv_id, turn, text. A question that routes to an action (G4) is
+    answered from the catalogue (G11, model ``db_direct``, no products, latency 0). The others
+    get ten products, five deals and, where they ask for a store, three stores, the staff
+    prompt with the role's wording and the history, a generated answer and up to 5 product
+    references. ``prompt`` is the user message sent; ``message_count`` is 0 without one.
+    Roles other than STAFF_ROLES are refused."""
+    role = (staff_role or "").lower()
+    if role not in STAFF_ROLES:
+        raise PermissionError(f"the staff role must be one of {', '.join(STAFF_ROLES)}")
+    ensure_checkpoint_dir(questions.sparkSession)
+    routed = R.with_staff_route(questions.select(F.col("query_id").alias("question_id"), "text"), "text").drop("text").checkpoint(eager=True)
+    known = (staff_answer_calls(routed.filter("type = 'db_query'"), prod, cat, deals, as_of=as_of)
+             .select(F.col("question_id").alias("query_id"), "action", F.col("answer").alias("response")))
+    direct = (questions.join(known, "query_id").withColumn("model", F.lit("db_direct")).withColumn("latency_ms", F.lit(0.0))
+              .withColumn("message_count", F.lit(0)))
+    q = (questions.join(routed.filter("type = 'rag'").select(F.col("question_id").alias("query_id")), "query_id", "left_semi")
+         .withColumn("action", F.lit("rag")).withColumn("intent", R.classify_intent("text"))
+         .withColumn("plan", R.retrieval_plan("intent", audience="staff")).checkpoint(eager=True))
+    ph, dh, sh = (hits.join(q.select("query_id", "plan"), "query_id").filter(F.col("rank") <= F.col(f"plan.{k}")).drop("plan")
+                  for hits, k in ((product_hits, "k_products"), (deal_hits, "k_deals"), (store_hits, "k_stores")))
+    ph, dh = ph.checkpoint(eager=True), dh.checkpoint(eager=True)  # read by the context and by the references
+    hist = history_window(turns).select("conv_id", "turn", "history")
+    full = q.join(build_context(q, ph, dh, sh), "query_id", "left").join(hist, ["conv_id", "turn"], "left")
+    asked = generate(build_messages(full, prompt=STAFF_SYSTEM_PROMPT, staff_role=role), generator)
+    refs = (hit_deal_type(ph, dh)
+            .groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "sku", "name", "price", "category", "deal_type"))).alias("products")))
+    asked = (asked.join(refs, "query_id", "left").withColumn("model", F.lit("template"))
+             .withColumn("prompt", F.element_at("messages", -1)["content"]).withColumn("message_count", F.size("messages")))
+    columns = ["query_id", "conv_id", "turn", "action", "intent", "response", "model", "products", "prompt", "message_count", "latency_ms"]
+    out = asked.unionByName(direct, allowMissingColumns=True)
+    return out.select(*[F.coalesce("products", F.array()).alias(c) if c == "products" else F.col(c) for c in columns])
+
+
 # --------------------------------------------------------------------------- G11
 def _money(c: str) -> Column:
     return F.format_string("$%.2f", F.col(c).cast("double"))
@@ -342,7 +380,7 @@ def staff_answer_calls(routed: DataFrame, prod: DataFrame, cat: DataFrame, deals
     The answers of all actions form one small table keyed by (action, category
     key, argument), built from catalogue aggregates and top lists; the calls meet
     it in one equi-join, so they are not split by action. Ties are cut by id or
-    name. ``data`` of list_brands holds the 15 brands that the text lists."""
+    name. ``data`` of list_brands holds all brands, of which the text lists 15."""
     if "unit" not in prod.columns:
         prod = prod.withColumn("unit", F.lit("each"))
     act = F.col("action")
@@ -442,4 +480,4 @@ def staff_answer_calls(routed: DataFrame, prod: DataFrame, cat: DataFrame, deals
 
 
 __all__ = ["build_context", "build_messages", "chat_batch", "generate", "hit_deal_type", "history_window",
-           "staff_answer", "staff_answer_calls", "SYSTEM_PROMPT", "STAFF_SYSTEM_PROMPT"]
+           "staff_answer", "staff_answer_calls", "staff_chat_batch", "SYSTEM_PROMPT", "STAFF_SYSTEM_PROMPT"]

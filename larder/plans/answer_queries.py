@@ -16,6 +16,7 @@ from larder.operators import answers as A
 from larder.operators import vectors as V
 from larder.plans.registry import register
 from larder.plans.deal_queries import DEAL_TEXT_SQL, title_sql
+from larder.plans.routing_queries import _staff_sql
 from larder.plans.sqlkit import avg_round, embedding_ctes, micro, micro_text
 from larder.plans.text_queries import PRODUCT_TEXT_SQL, STORE_TEXT_SQL, unit_sql
 from larder.session import AS_OF, AS_OF_SQL
@@ -156,6 +157,75 @@ def q_build_messages_staff(spark, d):
                        F.element_at("messages", -1)["content"].alias("user_message"))
 
 
+def _flow_sql(plan: dict[str, tuple[int, int, int]]) -> str:
+    """Context, references and history length of each question under a retrieval plan, written
+    apart from the Spark flow: blocks of lines cut by the smaller of plan and context limit."""
+    cap = lambda i, most: ("CASE qq.intent " + " ".join(f"WHEN '{k}' THEN {min(v[i], most)}" for k, v in plan.items() if k != "other")
+                           + f" ELSE {min(plan['other'][i], most)} END")
+    return f"""{_HITS_SQL},
+qq AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, text, {R.sql_classify_intent("lower(text)")} AS intent FROM chat_turns WHERE role = 'user'),
+p AS (SELECT query_id, string_agg('- ' || name || ' | $' || printf('%.2f', CAST(price AS DOUBLE)) || '/' || {unit_sql("name")} || ' | ' || category
+  || CASE WHEN is_organic THEN ' | Organic' ELSE '' END || CASE WHEN coalesce(brand, '') <> '' THEN ' | ' || brand ELSE '' END, chr(10) ORDER BY rank) AS block
+  FROM ph JOIN qq ON qq.id = query_id JOIN products ON product_id = vec_id WHERE rank <= {cap(0, 8)} GROUP BY query_id),
+d AS (SELECT query_id, string_agg('- ' || {title_sql()} || ': ' || name || ' (' || deal_type || ')'
+  || CASE WHEN coalesce(discount_percent, 0) <> 0 THEN ' — ' || CAST(discount_percent AS INT) || '% off' ELSE '' END, chr(10) ORDER BY rank) AS block
+  FROM dh JOIN qq ON qq.id = query_id JOIN live ON deal_id = vec_id WHERE rank <= {cap(1, 5)} GROUP BY query_id),
+s AS (SELECT query_id, string_agg('- ' || s_name || ': ' || s_suppkey || ' Market St, ' || n_name || ', FL ' || printf('%05d', 33800 + s_suppkey)
+  || ' | Phone: (863) 555-' || printf('%04d', s_suppkey), chr(10) ORDER BY rank) AS block
+  FROM sh JOIN qq ON qq.id = query_id JOIN supplier ON s_suppkey = vec_id JOIN nation ON n_nationkey = s_nationkey WHERE rank <= {cap(2, 3)} GROUP BY query_id),
+refs AS (SELECT ph.query_id, string_agg(p.sku || coalesce(':' || (SELECT min_by(live.deal_type, dh.rank) FROM dh JOIN live ON deal_id = dh.vec_id
+    WHERE dh.query_id = ph.query_id AND live.sku = p.sku AND dh.rank <= {cap(1, 8)}), ''), ',' ORDER BY ph.rank) AS products
+  FROM ph JOIN qq ON qq.id = ph.query_id JOIN products p ON p.product_id = ph.vec_id WHERE ph.rank <= {cap(0, 5)} GROUP BY ph.query_id),
+ctx AS (SELECT qq.*, coalesce(nullif(concat_ws(chr(10), '=== Available Products ===' || chr(10) || p.block,
+    chr(10) || '=== Current Deals ===' || chr(10) || d.block, chr(10) || '=== Store Locations ===' || chr(10) || s.block), ''),
+    'No relevant products found in our catalog.') AS context, coalesce(refs.products, '') AS products
+  FROM qq LEFT JOIN p ON p.query_id = id LEFT JOIN d ON d.query_id = id LEFT JOIN s ON s.query_id = id LEFT JOIN refs ON refs.query_id = id),
+said AS (SELECT *, list_filter(string_split(context, chr(10)), lambda x: starts_with(x, '- ')) AS ls FROM ctx),
+told AS (SELECT *, CASE WHEN len(ls) > 0 THEN 'Here is what I found:' || chr(10) || array_to_string(ls[1:3], chr(10)) ELSE context END AS generated FROM said),
+spoken AS (SELECT *, lag(ts_s) OVER (PARTITION BY conv_id ORDER BY ts_s, turn) AS prev FROM chat_turns WHERE role IN ('user', 'assistant')),
+sess AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts_s - prev > 7200 THEN 1 ELSE 0 END) OVER (
+  PARTITION BY conv_id ORDER BY ts_s, turn ROWS UNBOUNDED PRECEDING) AS no FROM spoken),
+hist AS (SELECT conv_id, turn, CAST(2 + least(10, row_number() OVER (PARTITION BY conv_id, no ORDER BY turn) - 1) AS INTEGER) AS message_count FROM sess)"""
+
+
+def _refs():
+    return F.array_join(F.transform("products", lambda p: F.concat(p["sku"], F.coalesce(F.concat(F.lit(":"), p["deal_type"]), F.lit("")))), ",")
+
+
+@register("chat_batch_flat", f"""
+WITH {_flow_sql(R.CUSTOMER_PLAN)},
+u AS (SELECT *, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS q FROM told),
+k AS (SELECT *, {R.sql_scenario_name("q")} AS scenario, coalesce({R.sql_scenario_skip("q")}, FALSE) AS skip, {R.sql_scenario_message("q")} AS message FROM u)
+SELECT k.id AS query_id, intent, scenario, CASE WHEN skip THEN 'custom' ELSE 'template' END AS model,
+  CASE WHEN skip THEN message ELSE coalesce(message || chr(10) || chr(10), '') || generated END AS response,
+  CASE WHEN skip THEN '' ELSE products END AS products, message_count
+FROM k JOIN hist USING (conv_id, turn)""")
+def q_chat_batch_flat(spark, d):
+    """The customer flow, its product references as one text."""
+    m = RetailModel(spark, d)
+    q, ph, dh, sh = _hits(spark, m)
+    out = A.chat_batch(q.drop("embedding"), m.chat_turns, ph, dh, sh)
+    return out.select("query_id", "intent", "scenario", "model", "response", _refs().alias("products"), "message_count")
+
+
+@register("staff_chat", f"""
+WITH {_flow_sql(R.STAFF_PLAN)},
+route AS (WITH {_staff_sql()})
+SELECT told.id AS query_id, coalesce(action, 'rag') AS action, CASE WHEN action IS NULL THEN intent END AS intent,
+  CASE WHEN action IS NULL THEN 'template' ELSE 'db_direct' END AS model, CASE WHEN action IS NULL THEN generated END AS generated,
+  CASE WHEN action IS NULL THEN md5('Based on the following product data:' || chr(10) || chr(10) || context || chr(10) || chr(10)
+    || 'Staff question (manager): ' || text || ' You are speaking to a store manager.') END AS prompt_md5,
+  CASE WHEN action IS NULL THEN products ELSE '' END AS products, CASE WHEN action IS NULL THEN message_count ELSE 0 END AS message_count
+FROM told JOIN hist USING (conv_id, turn) JOIN route USING (conv_id, turn)""")
+def q_staff_chat(spark, d):
+    """G12, staff form, asked by a manager (the texts of catalogue answers are staff_answer_catalog's)."""
+    m = RetailModel(spark, d)
+    q, ph, dh, sh = _hits(spark, m)
+    out = A.staff_chat_batch(q.drop("embedding"), m.chat_turns, ph, dh, sh, m.products, m.categories, m.deals, as_of=AS_OF, staff_role="Manager")
+    return out.select("query_id", "action", "intent", "model", F.when(F.col("action") == "rag", F.col("response")).alias("generated"),
+                      F.md5("prompt").alias("prompt_md5"), _refs().alias("products"), "message_count")
+
+
 @register("staff_answer")
 def q_staff_answer(spark, d):
     """Every user turn routed as a staff question and answered from the catalogue."""
