@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,44 +102,47 @@ def _rate(n_domains: int, residuals: list[list[float]]) -> Column:
         lambda a, i: a + p[i] * g[i], range(1, n_domains), p[0] * g[0])))
 
 
-def fit(post: DataFrame, n_domains: int, target: list[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Scaled residual vectors of the steps taken."""
+def fit(post: DataFrame, n_domains: int, target: list[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], float]:
+    """Scaled residual vectors of the steps taken, and the largest gap to a target that is left."""
     p = [F.col(f"p{i}") for i in range(n_domains)]
     total = post.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if not total:
-        return []
+        return [], max(target, default=0.0)
     share = F.col("n_tokens") / float(total)
     # gaps count relative to the expected totals at rate 1; then the rows of the
     # Hessian sum to one, which bounds its norm, and a step of 1 is safe
     base = post.agg(*[F.sum(share * c) for c in p]).first()
     residuals: list[list[float]] = []
-    for _ in range(max_steps):
+    while True:
         r = post.withColumn("r", _rate(n_domains, residuals))
         now = r.agg(*[F.sum(share * F.col("r") * c) for c in p]).first()
         gap = [a - b for a, b in zip(now, target, strict=True)]
-        if max(map(abs, gap)) <= tolerance:
-            break
+        left = max(map(abs, gap))
+        if left <= tolerance or len(residuals) >= max_steps:
+            return residuals, left
         residuals.append([g / b if b else 0.0 for g, b in zip(gap, base, strict=True)])
-    return residuals
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0,
-        max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_tokens, rate, domain (most probable) and posterior (in the order of
-    the sorted domains). ``targets`` are weights of the expected token totals;
+        max_labelled: int = MAX_LABELLED, max_steps: int = MAX_STEPS) -> DataFrame:
+    """doc_id, n_tokens, rate, domain (most probable), posterior (in the order of
+    the sorted domains) and max_gap, the largest gap to a target that the fit left, in units
+    of the corpus (null without targets); one above TOLERANCE is also warned of. ``targets`` are weights of the expected token totals;
     ``budget`` is the wanted total in units of the corpus."""
     domains, priors, lp = train(docs, labelled, max_labelled)
     weight = [max(0.0, float(targets.get(k, 0.0))) for k in domains]
     if not sum(weight):
         return posteriors(docs, [], [], None).select("doc_id", "n_tokens", F.lit(1.0).alias("rate"), F.lit(None).cast("string").alias("domain"),
-                                                     F.lit(None).cast("array<double>").alias("posterior"))
+                                                     F.lit(None).cast("array<double>").alias("posterior"), F.lit(None).cast("double").alias("max_gap"))
     post = S.write_table(posteriors(docs, domains, priors, lp), "posteriors")
-    residuals = fit(post, len(domains), [budget * w / sum(weight) for w in weight])
+    residuals, gap = fit(post, len(domains), [budget * w / sum(weight) for w in weight], max_steps)
+    if gap > TOLERANCE:
+        warnings.warn(f"mixing: {len(residuals)} steps left a gap of {gap:.3g} of the corpus to the targets", RuntimeWarning, stacklevel=2)
     p = [F.col(f"p{i}") for i in range(len(domains))]
     best = F.array_position(F.array(*p), F.greatest(*p) if len(p) > 1 else p[0])
     return post.select("doc_id", "n_tokens", _rate(len(domains), residuals).alias("rate"),
                        F.element_at(F.array(*[F.lit(k) for k in domains]), best.cast("int")).alias("domain"),
-                       F.array(*p).alias("posterior"))
+                       F.array(*p).alias("posterior"), F.lit(gap).alias("max_gap"))
 
 
 #: token weights of the registered query and of the pipeline

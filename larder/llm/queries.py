@@ -141,6 +141,20 @@ def op9(spark, d):
     return rules.quality_rules(table(spark, d, "documents"))
 
 
+_RULE_ROWS = ", ".join(f"('{v}', '{r}', {rules.mask_of((r,))}, {rules.mask_of(names)})" for v, names in rules.POLICIES.items() for r in names)
+
+
+@query("quality_rule_ablation", f"""
+WITH q AS ({ORACLES["op9_quality_rules"]}),
+r(policy, rule, bit, mask) AS (VALUES {_RULE_ROWS})
+SELECT policy, rule, count(*) FILTER ((fail_bits & bit) <> 0) AS n_failed, count(*) FILTER ((fail_bits & mask) = bit) AS n_only_this,
+  count(*) FILTER ((fail_bits & mask) = 0) AS n_kept, count(*) FILTER ((fail_bits & mask) IN (0, bit)) AS n_kept_without
+FROM q, r GROUP BY policy, rule""")
+def quality_rule_ablation(spark, d):
+    """Operator 9's ledger under every policy version: what each rule costs, by bitwise aggregation."""
+    return rules.ablations(rules.ledger(table(spark, d, "documents")))
+
+
 @query("op10_mixing")
 def op10(spark, d):
     docs = table(spark, d, "documents")

@@ -13,6 +13,7 @@ rows; an empty table gives an empty ledger; columns other than ``doc_id`` and
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm import skew as S
 from larder.llm import text as X
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -114,10 +116,25 @@ def ablation(led: DataFrame, version: str, policies: dict[str, tuple[str, ...]]
              rules: dict[str, str] = RULES) -> DataFrame:
     """Per rule of a policy: documents it fails, documents that only it drops,
     and documents kept with the policy and without this rule. One aggregate
-    over the distinct failure masks."""
+    over the distinct failure masks; no rows without documents."""
+    return _ablate(mask_counts(led), version, policies, rules)
+
+
+def mask_counts(led: DataFrame) -> DataFrame:
+    """Documents of each failure mask: at most 2 to the number of rules rows."""
+    return led.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ablations(led: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES, rules: dict[str, str] = RULES) -> DataFrame:
+    """:func:`ablation` of every policy version, with ``policy``, over one reading of the ledger."""
+    counts = S.write_table(mask_counts(led), "failure-masks")
+    parts = [_ablate(counts, version, policies, rules).withColumn("policy", F.lit(version)) for version in policies]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _ablate(counts: DataFrame, version: str, policies: dict[str, tuple[str, ...]], rules: dict[str, str]) -> DataFrame:
     names, mask = policies[version], mask_of(policies[version], rules)
-    seen = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long"))
-    per_mask = led.groupBy(seen.alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    per_mask = counts.select(F.col("fail_bits").alias("bits"), F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")).alias("m"), "n")
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(mask_of((r,), rules)).cast("long").alias("bit"))
                                for r in names])).alias("r")
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))

@@ -550,6 +550,14 @@ def test_rules_ledger(spark, hostile, empty):
         assert rows[name]["n_kept_without"] == rules.apply_policy(led, "x", without).filter("kept").count()
         assert rows[name]["n_failed"] == led.filter(F.col("fail_bits").bitwiseAND(F.lit(1 << k).cast("long")) != 0).count()
     assert rules.quality_rules(empty).count() == 0
+    both = {(r["policy"], r["rule"]): r for r in rules.ablations(led).collect()}
+    assert set(both) == {(v, r) for v, names in rules.POLICIES.items() for r in names}
+    masks = [r["fail_bits"] for r in led.select("fail_bits").collect()]
+    for (version, name), r in both.items():
+        mask, bit = rules.mask_of(rules.POLICIES[version]), rules.mask_of((name,))
+        assert (r["n_failed"], r["n_only_this"]) == (sum(m & bit > 0 for m in masks), sum(m & mask == bit for m in masks))
+        assert (r["n_kept"], r["n_kept_without"]) == (sum(m & mask == 0 for m in masks), sum(m & mask in (0, bit) for m in masks))
+    assert rules.ablations(rules.ledger(empty)).count() == 0
 
 
 # ---- 10 mixing -----------------------------------------------------------------------------
@@ -581,6 +589,11 @@ def test_mixing_reaches_targets(spark, hostile, empty):
             break
         r = np.maximum(0, r - p @ (gap / unmixed))
     assert np.allclose(r, [x["rate"] for x in out], atol=1e-6)
+    assert all(x["max_gap"] <= mixing.TOLERANCE for x in out)
+    with pytest.warns(RuntimeWarning, match="0 steps left a gap"):
+        short = mixing.mix(docs, lab, targets, max_steps=0).collect()
+    left = [sum(x["rate"] * x["n_tokens"] * x["posterior"][k] for x in short) / total - targets[name] for k, name in enumerate(names)]
+    assert abs(short[0]["max_gap"] - max(map(abs, left))) < 1e-9 and short[0]["max_gap"] > mixing.TOLERANCE
     assert mixing.mix(hostile, lab, targets).count() == hostile.count()
     assert mixing.mix(empty, lab, targets).count() == 0
     assert {x["rate"] for x in mixing.mix(hostile, lab.filter("false"), targets).collect()} == {1.0}
