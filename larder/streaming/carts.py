@@ -9,7 +9,8 @@ session at once: frames are read one by one, slices come from the state store on
 by one (twice), and memory holds a few numbers per product. Cart lines live in a
 second map state, one entry per product, of which only changed ones are written.
 
-A cart without a write for ``CART_TTL_MS`` is emptied by its own timer.
+A cart without a write for ``CART_TTL_MS`` is emptied by its own timer, at the end
+of the slice in which the TTL runs out: no write within the TTL waits any more then.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ _EVENTS = "events array<struct<ms: bigint, id: bigint, op: string, q: bigint>>"
 _FIRST = (-1 << 62, -1 << 62)
 
 
+def expiry(last_write: int) -> int:
+    """End of the slice in which the TTL of a cart runs out."""
+    return ((last_write + CART_TTL_MS) // SLICE_MS + 1) * SLICE_MS
+
+
 class Replay:
     """Closed form of one session's due events, fed in any order, in two passes."""
 
@@ -147,10 +153,10 @@ class Carts(StatefulProcessor):
                 self.waiting.removeKey(at)
             last_write, seq = replay.last_write, seq + 1
             self.meta.update((last_write, seq))
-            if last_write + CART_TTL_MS + 1 > now:
-                self.handle.registerTimer(last_write + CART_TTL_MS + 1)
+            if expiry(last_write) > now:
+                self.handle.registerTimer(expiry(last_write))
             yield self._snapshot(key[0], seq, last_write, False)
-        if last_write is not None and last_write + CART_TTL_MS < now:
+        if last_write is not None and expiry(last_write) <= now:
             self.lines.clear()
             self.meta.update((last_write, seq + 1))
             yield self._snapshot(key[0], seq + 1, last_write, True)

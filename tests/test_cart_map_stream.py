@@ -124,3 +124,22 @@ def test_one_session_with_null_fields(spark, scratch, map_state):
     snapshots = [r for r in spark.table("one_session").collect() if r.session_id == "s" and not r.expired]
     want, _ = sequential([(int((ts - t).total_seconds() * 1000), i, op, p, q) for i, s, ts, op, p, q in rows if s == "s"])
     assert {r.product_id: r.quantity for r in snapshots if r.snapshot_seq == max(x.snapshot_seq for x in snapshots)} == want
+
+
+def test_a_write_in_the_slice_where_the_ttl_ends_keeps_the_cart(spark, scratch, map_state):
+    from datetime import datetime, timedelta
+    t = datetime(2024, 1, 1)
+    at = lambda h, s: t + timedelta(hours=h, seconds=s)
+    # the watermark of the first file (24 h 40 s) lies behind the TTL of x (24 h 30 s), but before the end of the slice that holds its second write
+    files = [[(1, "x", at(0, 30), "add", 1, 1), (2, "x", at(24, 20), "add", 1, 1), (3, "y", at(25, 40), "add", 2, 1)],
+             [(4, "y", at(26, 0), "add", 2, 1)]]
+    src = os.path.join(scratch, "in")
+    for i, part in enumerate(files):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    C.cart_map_stream(stream).writeStream.format("memory").queryName("ttl_slice").option(
+        "checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start().awaitTermination(300)
+    got = [r for r in spark.table("ttl_slice").collect() if r.session_id == "x"]
+    assert not any(r.expired for r in got)
+    last = max(got, key=lambda r: r.snapshot_seq)
+    assert (last.product_id, last.quantity) == (1, 2)
