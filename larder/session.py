@@ -50,11 +50,17 @@ def get_session(master: str | None = None, app: str = "larder",
     return spark
 
 
+#: Applications that have the package already.
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, so that functions defined in it can be
-    loaded there (Spark distributes the archive; a local session needs none)."""
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    """Send this package to the Python workers, once per application, so that functions defined
+    in it can be loaded there whatever their working folder is (Spark distributes the archive)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
         return
+    _SHIPPED.add(app)
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="larder-package-"), "larder.zip")
     with zipfile.ZipFile(archive, "w") as z:

@@ -52,3 +52,25 @@ ORACLE_NAMES = sorted(E.oracle_sql())
 def test_oracle_parity(spark, name):
     res = check(spark, SF_SMALL, [name], verbose=False)[name]
     assert res.startswith("PASS"), res
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """A script elsewhere that only extends its own sys.path: the workers get the package from the entry."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+print("ROWS", entry.queries()["vector_top_k"](spark, "/root/testdata/sf0.001").count())
+print("ROWS", len(entry.queries()["vector_top_k"](spark, "/root/testdata/sf0.001").collect()))
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("ROWS") == 2
