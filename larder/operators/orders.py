@@ -84,12 +84,18 @@ def cart_state(events: DataFrame, *, keys: tuple[str, ...] = ("session_id",)) ->
 def expiry_resets(events: DataFrame, *, ttl_seconds: int) -> DataFrame:
     """I2 batch form: a cart not written for ``ttl_seconds`` is gone; the
     first event after such a gap sees an empty cart. Emits one synthetic
-    'clear' just before that event (same ts, event id - 0.5 ordering)."""
-    marked = previous_ts(events, part="session_id", ts="event_ts", tie="event_id", name="_prev")
-    gap = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
-    marked = marked.withColumn("_gap", gap)
-    clears = (marked.filter(F.col("_gap") > F.lit(ttl_seconds * 1_000_000))
-              .select("session_id", "event_ts", (F.col("event_id").cast("double") - 0.5).alias("event_id"),
+    'clear' just before that event (same ts, event id - 0.5 ordering). Gaps come from
+    one row per session and slice; the events themselves are not shuffled."""
+    us = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    # inside a slice no gap passes the TTL, so gaps lie between a slice's first event and the last one before it
+    width = max(1, min(BUCKET_SECONDS, ttl_seconds) * 1_000_000)
+    slices = (events.groupBy("session_id", F.floor(us / F.lit(width)).alias("_b"))
+              .agg(F.min(F.struct("event_ts", "event_id")).alias("_first"), F.max("event_ts").alias("_last"))
+              .withColumn("_prev", F.lag("_last").over(Window.partitionBy("session_id").orderBy("_b"))))
+    gap = F.unix_micros(F.col("_first.event_ts").cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+    clears = (slices.filter(gap > F.lit(ttl_seconds * 1_000_000))
+              .select("session_id", F.col("_first.event_ts").alias("event_ts"),
+                      (F.col("_first.event_id").cast("double") - 0.5).alias("event_id"),
                       F.lit("clear").alias("op"), F.lit(None).cast("bigint").alias("product_id"),
                       F.lit(None).cast("int").alias("quantity")))
     base = events.select("session_id", "event_ts", F.col("event_id").cast("double").alias("event_id"),

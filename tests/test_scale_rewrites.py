@@ -95,3 +95,24 @@ def test_null_keys_and_null_times_are_kept(spark):
     turns = spark.createDataFrame([(1, 0, 0), (1, 1, 100), (None, 0, 50), (None, 1, 60), (2, 0, None)], "conv_id long, turn long, ts_s long")
     out = chat_session_state(turns).collect()
     assert len(out) == 5 and {(r.conv_id, r.turn): r.session_no for r in out}[(None, 1)] == 1
+
+
+def test_expiry_resets_equal_a_scan_of_sorted_events(spark):
+    """Gaps from one row per session and slice, against every neighbouring pair of events."""
+    import random
+    from datetime import datetime, timedelta
+    from larder.operators.orders import expiry_resets
+    rnd = random.Random(5)
+    t = datetime(2024, 1, 1)
+    rows = [(i, rnd.choice(["a", "b", None]), t + timedelta(seconds=rnd.choice([rnd.randrange(200), rnd.randrange(40000)]), microseconds=rnd.choice([0, 1])),
+             rnd.choice(["add", "checkout"]), 1, 1) for i in range(300)] + [(900, "a", None, "add", 1, 1), (901, "z", t, "add", 1, 1)]
+    ev = spark.createDataFrame(rows, "event_id long, session_id string, event_ts timestamp, op string, product_id long, quantity int")
+    for ttl in (0, 1, 7, 60, 61, 600):
+        want = []
+        for s in {r[1] for r in rows}:
+            own = sorted((r[2], r[0]) for r in rows if r[1] == s and r[2] is not None)
+            want += [(s or "", ts, i - 0.5) for (prev, _), (ts, i) in zip(own, own[1:]) if (ts - prev).total_seconds() > ttl]
+        out = expiry_resets(ev, ttl_seconds=ttl)
+        clears = [(r.session_id or "", r.event_ts, r.event_id) for r in out.filter("op = 'clear'").collect()]
+        assert sorted(clears) == sorted(want) and want
+        assert out.count() == len(rows) + len(want)
