@@ -23,27 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents whose P(grade >= 1) is under one half go."""
+    """Operator 4: documents whose P(grade >= 1) is under one half go. Null and empty texts have no
+    features and are judged by the thresholds alone; repeated rows stay or go together; a document graded
+    more than once takes its lowest grade; without graded rows nothing goes."""
     return quality.keep_accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: chunks of lines that an earlier document holds go; so do documents left without words."""
+    """Operator 6: runs of lines that an earlier document holds go; so do documents that this leaves without
+    words. Null and empty texts stay; of equal runs the first by (doc_id, null first; text hash; position)
+    stays; rows of equal doc_id and text are one document and are treated alike."""
     return line_dedup.deduplicate_lines(docs.select(*COLUMNS))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3, with its contract's shingles and threshold: one document of each group stays."""
+    """Operator 3, with its contract's shingles and threshold: of each group the smallest doc_id stays.
+    Null and empty texts are alone and stay; rows of equal doc_id stay or go together; rows without a
+    doc_id stay."""
     return ngram_join.keep_one_of_each(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents whose benchmark passages reach the coverage limit go."""
+    """Operator 7: documents whose benchmark passages reach the coverage limit go. Null and empty texts
+    have no hits and stay; repeated rows stay or go together; an empty benchmark removes nothing."""
     return decontam.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: a rate for each document, so that the languages reach their token weights."""
+    """Operator 10: a rate for each document, so that the languages reach their token weights. Null and
+    empty texts have no tokens and the prior as posterior; a document labelled twice takes its smallest
+    domain; repeated rows give repeated rows; without a usable domain every rate is 1."""
     return mixing.mix(docs, mixing.language_domains(docs, table(spark, sf_dir, "labels")), mixing.TARGETS)
 
 
