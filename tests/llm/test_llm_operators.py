@@ -366,6 +366,39 @@ def test_toxicity(spark, hostile, empty):
     assert {r["score"] for r in toxicity.score(hostile, None).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    n = 9000  # four documents to a word
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.floor(F.col("id") / 4).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    fit = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) != 0)
+    words = fit.groupBy("text").count().filter(f"count >= {toxicity.MIN_DOCS}").count()
+    assert abs(len(toxicity.train(docs, labels, epochs=0).vocab) - words) <= 5  # words may share a bucket
+    # shards of a few documents: still learnt, and the same model however the rows lie
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 150)
+    _, df, lab = labelled_corpus(spark)
+    condition = "crc32(cast(doc_id as string)) % 5 <> 0"
+    one, two = (toxicity.train(x, lab, condition) for x in (df, df.repartition(7)))
+    assert np.array_equal(one.E, two.E) and np.array_equal(one.u, two.u) and one.thresholds == two.thresholds
+    held = toxicity.score(df, one).filter("crc32(cast(doc_id as string)) % 5 = 0").collect()
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held]) > 0.95
+
+
+def test_toxicity_thresholds_are_the_best_of_all_rows(spark):
+    rnd = random.Random(3)
+    rows = [(int(rnd.random() < 0.3), lang, rnd.randrange(200) / 200) for lang in ("", "de", "en") for _ in range(400)]
+    rows += [(0, "few", 0.1)] * 5 + [(1, "few", 0.2)]
+    got = toxicity.thresholds(spark.createDataFrame(rows, "label int, lang string, score double"))
+    assert set(got) == {"", "de", "en"}  # one positive is too few
+
+    def f1(part, cut):
+        said = [y for y, _, s in part if s >= cut]
+        return 2 * sum(said) / (len(said) + sum(y for y, _, _ in part))
+    for lang, cut in got.items():
+        part = [r for r in rows if r[1] == lang or lang == ""]
+        assert abs(f1(part, cut) - max(f1(part, s) for _, _, s in part)) < 1e-12
+    assert toxicity.thresholds(spark.createDataFrame([(0, "", 0.2)], "label int, lang string, score double")) == {"": 0.5}
+
+
 # ---- 5 chat --------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
