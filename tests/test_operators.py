@@ -231,6 +231,30 @@ def test_vector_top_k_ties_do_not_depend_on_layout(spark, monkeypatch):
         assert {(r.query_id, r.rank): r.vec_id for r in got} == {(q, r + 1): q + 4 * r for q in range(4) for r in range(5)}
 
 
+def test_cell_top_k_sums_few_of_many_tied_rows(monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 2, (5, 16)).astype(float)[rng.integers(0, 5, 9000)]  # thousands of ties at any place
+    v[::7] += rng.integers(0, 3, (len(v[::7]), 16))
+    q = rng.integers(0, 3, (20, 16)).astype(float)
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    ids, kinds = rng.permutation(9000).astype(str).astype(object), np.array(["a", "b", "c"], object)[rng.integers(0, 3, 9000)]
+    asked = [None, "a", "b", "none"] * 5
+    summed = []
+    cumsum = np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda x, axis=None: (summed.append(len(x)) if axis == 1 else None, cumsum(x, axis=axis))[1])
+    for tile in (V.TILE_SCORES, 20_000):
+        monkeypatch.setattr(V, "TILE_SCORES", tile)
+        at, row, score = V._cell_top_k(q, asked, v.copy(), ids, kinds, 6, 10)
+        unit = v / np.where(np.linalg.norm(v, axis=1) > 0, np.linalg.norm(v, axis=1), 1)[:, None]
+        for i, f in enumerate(asked):
+            exact = np.round(cumsum(unit * q[i], axis=1)[:, -1], 10)
+            ok = [j for j in range(9000) if f is None or kinds[j] == f]
+            best = sorted(ok, key=lambda j: (-exact[j], ids[j]))[:6]
+            got = sorted(((-s, ids[r], r) for a, r, s in zip(at, row, score) if a == i))
+            assert [(r, -s) for s, _, r in got] == [(j, exact[j]) for j in best]
+    assert sum(summed) < 9000  # of 20 queries times thousands of equal scores
+
+
 def test_wide_numbers_keep_their_digits(spark):
     import duckdb
     from larder.sources.views import VIEW_SQL
