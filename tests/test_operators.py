@@ -255,6 +255,43 @@ def test_cell_top_k_sums_few_of_many_tied_rows(monkeypatch):
     assert sum(summed) < 9000  # of 20 queries times thousands of equal scores
 
 
+def test_cell_top_k_single_precision_only_leaves_out(monkeypatch):
+    rng = np.random.default_rng(11)
+    v = rng.integers(0, 4, (6000, 24)).astype(float)
+    v[1::3] = v[::3] * rng.integers(1, 5, (2000, 1))  # equal directions
+    v[2::3] = v[::3] + 1e-8 * rng.random((2000, 24))  # scores that single precision cannot tell apart
+    q = rng.integers(0, 3, (64, 24)) * (rng.random((64, 24)) < 0.5).astype(float)
+    q[0], q[1] = 0, np.eye(24)[3]  # all rows tied; very many tied
+    q /= np.where(np.linalg.norm(q, axis=1) > 0, np.linalg.norm(q, axis=1), 1)[:, None]
+    ids = rng.permutation(6000)
+    wide = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: (wide.append(len(a[1])), einsum(*a))[1])
+    at, row, score = V._cell_top_k(q, None, v.copy(), ids, None, 5, 10)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for i in range(64):
+        exact = np.round(np.cumsum(unit * q[i], axis=1)[:, -1], 10) + 0.0
+        best = np.lexsort((ids, -exact))[:5]
+        got = sorted((-s, ids[r]) for a, r, s in zip(at, row, score) if a == i)
+        assert got == [(-exact[j], ids[j]) for j in best]
+    assert 0 < sum(wide) < 64 * 6000 / 20  # the scores computed in double
+
+
+def test_questions_are_embedded_once(spark, tmp_path):
+    from larder.plans.answer_queries import _hits
+    from larder.sources.views import RetailModel
+    spark.createDataFrame([(1, 0, "user", "any BOGO deals on ring or bolt?"), (1, 1, "assistant", "yes"), (2, 0, "user", None)],
+                          "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(9 * i, f"hot {w}", "Brand#2", "SMALL", i, 5.0 + i) for i, w in enumerate(("ring", "bolt", "gear"))],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "Supplier#1", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "LAKELAND")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    q, ph, dh, sh = _hits(spark, RetailModel(spark, str(tmp_path)))
+    assert "ArrowEvalPython" not in q._jdf.queryExecution().executedPlan().toString()
+    assert {r.query_id: r["count"] for r in ph.groupBy("query_id").count().collect()} == {"1:0": 3, "2:0": 3}
+    assert {r.query_id: r["count"] for r in sh.groupBy("query_id").count().collect()} == {"1:0": 1, "2:0": 1}
+
+
 def test_wide_numbers_keep_their_digits(spark):
     import duckdb
     from larder.sources.views import VIEW_SQL
