@@ -2,6 +2,7 @@
 2 categories, 4 products with one soft-deleted, one live and one expired
 deal, one store), plus brute-force checks of the scale-oriented rewrites."""
 
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -292,6 +293,57 @@ def test_questions_are_embedded_once(spark, tmp_path):
     assert {r.query_id: r["count"] for r in sh.groupBy("query_id").count().collect()} == {"1:0": 1, "2:0": 1}
 
 
+def _chat_tables(spark, d):
+    said = ["where is your store?", "any bogo deals on ring?", "what is ring?", "track my order", "how many products do you have?", None]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)] + [(7, None, "user", "track my order"), (7, None, "user", "store hours?")],
+                          "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(9 * i, f"hot {w}", "Brand#2", "SMALL", i, 5.0 + i) for i, w in enumerate(("ring", "bolt", "gear"))],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{d}/part.parquet")
+    spark.createDataFrame([(1, "Supplier#1", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(0, "LAKELAND")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
+
+
+def test_collections_are_searched_for_the_questions_that_take_hits(spark, tmp_path, monkeypatch):
+    from larder.operators import answers as Ans
+    from larder.plans import answer_queries as AQ
+    from larder.sources.views import RetailModel
+    _chat_tables(spark, str(tmp_path))
+    m = RetailModel(spark, str(tmp_path))
+    asked, splits = [], []
+    search = AQ.V.vector_top_k
+
+    def spy(q, coll, **kw):
+        asked.append({r.query_id for r in q.select("query_id").collect()})
+        splits.append(coll.rdd.getNumPartitions())
+        return search(q, coll, **kw)
+    monkeypatch.setattr(AQ.V, "vector_top_k", spy)
+    rows = lambda df: sorted(map(str, df.collect()))
+    every = AQ._hits(spark, m)
+    assert all(x == {"0:0", "1:0", "2:0", "3:0", "4:0", "5:0", "7"} for x in asked)
+    assert splits[0] >= spark.sparkContext.defaultParallelism  # one file of products, embedded by all cores
+    for audience, flow in (("customer", lambda q, *h: Ans.chat_batch(q.drop("embedding"), m.chat_turns, *h)),
+                           ("staff", lambda q, *h: Ans.staff_chat_batch(q.drop("embedding"), m.chat_turns, *h, m.products, m.categories, m.deals,
+                                                                        as_of=AQ.AS_OF, staff_role="manager"))):
+        asked.clear()
+        hits = AQ._hits(spark, m, audience)
+        products, _, stores = asked
+        assert stores == {"0:0", "7"}
+        assert ("3:0" if audience == "customer" else "4:0") not in products and {"0:0", "1:0", "2:0", "5:0", "7"} <= products
+        assert rows(flow(*hits)) == rows(flow(*every))
+
+
+def test_l2_normalize_sums_the_norm_once_a_row(spark):
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0, None],), ([0.1, 0.2, 0.3],)]
+    out = spark.createDataFrame(rows, "v array<double>").select(V.l2_normalize(F.col("v")).alias("u"))
+    n = float(np.sqrt(0.1 * 0.1 + 0.2 * 0.2 + 0.3 * 0.3))
+    assert [r.u for r in out.collect()] == [[0.6, 0.8], [0.0, 0.0], None, [1.0, None], [0.1 / n, 0.2 / n, 0.3 / n]]
+    big = spark.range(1500, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+    began = time.time()
+    big.select(F.sum(F.element_at(V.l2_normalize(F.col("v")), 1))).collect()
+    assert time.time() - began < 8  # elements squared: over 20 s
+
+
+
 def test_wide_numbers_keep_their_digits(spark):
     import duckdb
     from larder.sources.views import VIEW_SQL
