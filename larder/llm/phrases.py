@@ -2,7 +2,7 @@ r"""Phrase collocations by weighted acyclic automata over word sequences.
 
 Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\x0A-\x0D]`` and those
 into words ``[^\x20\x09]+``. At every word a window of up to five words starts;
-it ends with its piece, or in front of a word that is too rare for any phrase.
+it ends with its piece, or in front of a word with which it is too rare for any phrase.
 The windows of a shard, sorted and counted, are a count transducer whose states
 are prefixes: a state's weight, the number of windows that pass it, is the
 number of occurrences of that phrase. Shards ship their transducers as sorted
@@ -17,9 +17,9 @@ Part counts are looked up by composing: a transducer from each candidate to the
 parts of its cuts meets the count transducer, as one join of parts with the
 counted phrases (hot parts salted).
 
-Windows are cut by two bit tables: one of the hashes of words that occur ``least``
-times, one of the hash slots that pairs of neighbouring words reach as often
-(1 MB and 8 MB at any input size). A wrongly set bit costs work, never a row; on
+Windows are cut by three bit tables: one of the hashes of words that occur ``least``
+times, two of the hash slots that pairs and triples of neighbouring words reach as often
+(1 MB and twice 8 MB at any input size). A wrongly set bit costs work, never a row; on
 an input so large that all slots are set, windows end at rare words and pieces.
 
 Defined results: null texts are empty, a null ``lang`` is ``und``; repeated rows
@@ -48,7 +48,7 @@ TOP = 2000
 SLOT_BITS, PAIR_BITS = 23, 26
 #: windows of a shard's transducer
 SHARD = 1 << 20
-#: slots of word pairs counted together in a task
+#: slots of word pairs or triples counted together in a task
 PAIRS = 1 << 21
 _ID_BITS = 20
 
@@ -56,7 +56,7 @@ _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _WORD = X.byte_class(separators=b" \t" + _SEPARATORS)
 _BREAK = X.byte_class(words=_SEPARATORS)
 _WORDS = "lang string, word string, slot int, n long"
-_PAIR_SLOTS = "slot int, n long"
+_SLOT_COUNTS = "slot int, n long"
 _WINDOWS = "lang string, path string, n long"
 
 
@@ -90,6 +90,11 @@ def _pair_slots(words: X.Words, lang: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (X.mix(X.mix(h[at] + lang[at]) + h[at + 1]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int32)
 
 
+def _triple_slots(words: X.Words, lang: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = words.hashes
+    return (X.mix(X.mix(X.mix(h[at] + lang[at]) + h[at + 1]) + h[at + 2]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int32)
+
+
 def _has(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -121,9 +126,16 @@ def _usable(words: X.Words, piece: np.ndarray, salt: np.ndarray, common: np.ndar
     return np.flatnonzero(use[:-1] & use[1:] & (piece[1:] == piece[:-1]))
 
 
-def _count_pairs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairs(words: X.Words, piece: np.ndarray, salt: np.ndarray, common: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """First words of pairs that may be frequent enough."""
+    start = _usable(words, piece, salt, common)
+    return start[_has(pairs, _pair_slots(words, salt, start))]
+
+
+def _count_slots(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the slots of pairs of words; with a table of pairs, of the triples of which both pairs are in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.frombuffer(shared.value, np.uint8)
+        common, *pairs = (np.frombuffer(t, np.uint8) for t in shared.value)
         held: list[np.ndarray] = []
 
         def batch() -> pa.RecordBatch:
@@ -137,7 +149,11 @@ def _count_pairs(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for part in X.slices(b.column(1)):
                 words, piece = _pieces(part)
                 salt = salts[part.first + words.row]
-                held.append(_pair_slots(words, salt, _usable(words, piece, salt, common)))
+                if pairs:
+                    start = _pairs(words, piece, salt, common, *pairs)
+                    held.append(_triple_slots(words, salt, start[:-1][np.diff(start) == 1]))
+                else:
+                    held.append(_pair_slots(words, salt, _usable(words, piece, salt, common)))
                 if sum(map(len, held)) >= PAIRS:
                     yield batch()
         if held:
@@ -199,7 +215,7 @@ class Shard:
 
 def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, pairs = (np.frombuffer(t, np.uint8) for t in shared.value)
+        common, pairs, triples = (np.frombuffer(t, np.uint8) for t in shared.value)
         shard = Shard()
         for b in batches:
             langs = b.column(0).dictionary_encode()
@@ -209,17 +225,18 @@ def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 words, piece = _pieces(part)
                 own = code[part.first + words.row]
                 salt = salts[own]
-                start = _usable(words, piece, salt, common)
-                start = start[_has(pairs, _pair_slots(words, salt, start))]
+                start = _pairs(words, piece, salt, common, pairs)
                 if not len(start):
                     continue
-                # a window goes on as long as each of its words and the next are a usable pair
+                # a window goes on as long as each three neighbouring words of it are a usable triple
+                first = start[:-1][np.diff(start) == 1]
+                first = first[_has(triples, _triple_slots(words, salt, first))]
                 joined = np.zeros(len(piece) + 1, bool)
-                joined[start] = True
+                joined[first] = True
                 ends = np.flatnonzero(~joined)
-                left = np.minimum(ends[np.searchsorted(ends, start)] - start + 1, LONGEST)
-                use = joined[:-1].copy()
-                use[start + 1] = True
+                left = np.minimum(ends[np.searchsorted(ends, start)] - start + 2, LONGEST)
+                use = np.zeros(len(piece), bool)
+                use[start] = use[start + 1] = True
                 number, shown = _distinct(words)
                 needed = np.zeros(len(shown), bool)
                 needed[number[use]] = True
@@ -336,9 +353,12 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     phrases of two to ``LONGEST`` words that occur ``least`` times or more."""
     spark, rows = docs.sparkSession, _rows(docs)
     common = _bit_table(words.filter(F.col("n") >= least), SLOT_BITS)
-    pairs = (rows.mapInArrow(_count_pairs(spark.sparkContext.broadcast(common)), _PAIR_SLOTS)
-             .groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    shared = spark.sparkContext.broadcast((common, _bit_table(pairs, PAIR_BITS)))
+    tables = [common]
+    for _ in ("pairs", "triples"):
+        slots = (rows.mapInArrow(_count_slots(spark.sparkContext.broadcast(tuple(tables))), _SLOT_COUNTS)
+                 .groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+        tables.append(_bit_table(slots, PAIR_BITS))
+    shared = spark.sparkContext.broadcast(tuple(tables))
     shards = S.write_table(rows.mapInArrow(_windows(shared), _WINDOWS), "shard-windows")
     ranges = shards.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
     states = ranges.mapInArrow(_union(least), _WINDOWS)

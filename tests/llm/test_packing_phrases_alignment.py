@@ -186,6 +186,23 @@ def test_collocations_on_control_characters_ties_and_empty_tables(spark, empty):
     assert phrases.collocations(empty).count() == 0
 
 
+def test_windows_end_at_rare_triples_of_frequent_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(400)) + " . a b c d e f a b c d e f", "en") for i in range(60)]
+    written = {}
+    write = phrases.S.write_table
+
+    def spy(df, name):
+        written[name] = write(df, name)
+        return written[name]
+    monkeypatch.setattr(phrases.S, "write_table", spy)
+    got = sorted(map(tuple, phrases.collocations(make(spark, rows).coalesce(1), 30).collect()))
+    assert got == brute_phrases(rows, 30, 2000) and any(len(r[2].split()) == 5 for r in got)
+    # every pair occurs about 60 times and hardly a triple 30 times: nearly all of the 24,000 windows are one of 400 pairs
+    assert written["shard-windows"].count() < 600
+
+
 def test_union_closes_states_at_range_ends():
     import pyarrow as pa
     paths = ["a\x00b", "a\x00b\x00c", "a\x00b\x00c", "a\x00d", "b\x00a\x00a\x00a\x00a", "b\x00a\x00c"]
