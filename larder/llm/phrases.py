@@ -17,11 +17,16 @@ Part counts are looked up by composing: a transducer from each candidate to the
 parts of its cuts meets the count transducer, as one join of parts with the
 counted phrases (hot parts salted).
 
-Windows are cut by three bit tables: one of the hashes of words that occur ``least``
-times, two of the hash slots that pairs and triples of neighbouring words reach as often
-(1 MB and twice 8 MB at any input size). A wrongly set bit costs work, never a row; on
+Windows are cut by four bit tables: one of the hashes of words that occur ``least``
+times, three of the hash slots that two, three and four neighbouring words reach as often
+(1 MB and three times 8 MB at any input size). A wrongly set bit costs work, never a row; on
 an input so large that all slots are set, windows end at rare words and pieces.
 
+A frequent window is in nearly every shard, so the rows shipped are about the shards times
+the frequent windows, and both would grow with the input if each split of it were a shard.
+So a core's splits go through one task, which ships when ``SHARD`` says so or at its end:
+the rows grow with the frequent windows alone, the memory stays that of one shard.
+
 Defined results: null texts are empty, a null ``lang`` is ``und``; repeated rows
 and rows of equal or null doc_id all count; an empty table gives an empty result;
 phrases of equal score and count rank by their UTF-8 bytes; other columns are
@@ -48,7 +53,9 @@ TOP = 2000
 SLOT_BITS, PAIR_BITS = 23, 26
 #: windows of a shard's transducer
 SHARD = 1 << 20
-#: slots of word pairs or triples counted together in a task
+#: longest run of words with a bit table of its own
+LEVELS = 4
+#: slots of runs of words counted together in a task
 PAIRS = 1 << 21
 _ID_BITS = 20
 
@@ -85,14 +92,13 @@ def _slots(words: X.Words, lang: np.ndarray) -> np.ndarray:
     return (X.mix(words.hashes ^ lang) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32)
 
 
-def _pair_slots(words: X.Words, lang: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _run_slots(words: X.Words, lang: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Slots of the runs of ``size`` words that start at ``at``."""
     h = words.hashes
-    return (X.mix(X.mix(h[at] + lang[at]) + h[at + 1]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int32)
-
-
-def _triple_slots(words: X.Words, lang: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = words.hashes
-    return (X.mix(X.mix(X.mix(h[at] + lang[at]) + h[at + 1]) + h[at + 2]) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int32)
+    x = h[at] + lang[at]
+    for k in range(1, size):
+        x = X.mix(x) + h[at + k]
+    return (X.mix(x) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int32)
 
 
 def _has(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -126,16 +132,21 @@ def _usable(words: X.Words, piece: np.ndarray, salt: np.ndarray, common: np.ndar
     return np.flatnonzero(use[:-1] & use[1:] & (piece[1:] == piece[:-1]))
 
 
-def _pairs(words: X.Words, piece: np.ndarray, salt: np.ndarray, common: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """First words of pairs that may be frequent enough."""
-    start = _usable(words, piece, salt, common)
-    return start[_has(pairs, _pair_slots(words, salt, start))]
+def _runs(words: X.Words, piece: np.ndarray, salt: np.ndarray, common: np.ndarray, tables: list[np.ndarray]) -> list[np.ndarray]:
+    """First words of the runs of two, three ... words that may be frequent enough by the
+    tables of these sizes; last, of those a word longer whose both parts may be."""
+    found, start = [], _usable(words, piece, salt, common)
+    for size, table in enumerate(tables, 2):
+        start = start[_has(table, _run_slots(words, salt, start, size))]
+        found.append(start)
+        start = start[:-1][np.diff(start) == 1]
+    return [*found, start]
 
 
 def _count_slots(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the slots of pairs of words; with a table of pairs, of the triples of which both pairs are in it."""
+    """Counts of the slots of pairs of words; with tables, of runs a word longer than the last table's of which both parts are in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, *pairs = (np.frombuffer(t, np.uint8) for t in shared.value)
+        common, *tables = (np.frombuffer(t, np.uint8) for t in shared.value)
         held: list[np.ndarray] = []
 
         def batch() -> pa.RecordBatch:
@@ -149,11 +160,7 @@ def _count_slots(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for part in X.slices(b.column(1)):
                 words, piece = _pieces(part)
                 salt = salts[part.first + words.row]
-                if pairs:
-                    start = _pairs(words, piece, salt, common, *pairs)
-                    held.append(_triple_slots(words, salt, start[:-1][np.diff(start) == 1]))
-                else:
-                    held.append(_pair_slots(words, salt, _usable(words, piece, salt, common)))
+                held.append(_run_slots(words, salt, _runs(words, piece, salt, common, tables)[-1], len(tables) + 2))
                 if sum(map(len, held)) >= PAIRS:
                     yield batch()
         if held:
@@ -163,14 +170,15 @@ def _count_slots(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 class Shard:
     """Count transducer of a task's windows: new windows are united with the counted ones
-    whenever ``SHARD`` windows are held, and all are shipped when that leaves too many."""
+    when they are as many (at a quarter of ``SHARD`` first, at ``SHARD`` at the latest), and
+    all are shipped when that leaves too many."""
 
     def __init__(self) -> None:
         self.word: dict[bytes, int] = {}
         self.lang: dict[str, int] = {}
         self.rows: list[np.ndarray] = []  # language, then words (0: none)
         self.counts: list[np.ndarray] = []
-        self.n = 0
+        self.n = self.united = 0
 
     def add(self, lang: np.ndarray, windows: np.ndarray) -> None:
         self.rows.append(np.column_stack([lang, windows]))
@@ -178,9 +186,10 @@ class Shard:
         self.n += len(lang)
 
     def full(self) -> bool:
-        if self.n >= SHARD:
+        if self.n >= min(SHARD, max(SHARD // 4, 2 * self.united)):
             self._unite()
-        return self.n > SHARD * 3 // 4 or len(self.word) >= (1 << _ID_BITS) - SHARD // 4
+            self.united = self.n
+        return self.united > SHARD * 3 // 4 or len(self.word) >= (1 << _ID_BITS) - SHARD // 4
 
     def _unite(self, rank: np.ndarray | None = None) -> None:
         """One row per distinct window, sorted by language and words (by number, or by ``rank``)."""
@@ -215,7 +224,7 @@ class Shard:
 
 def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, pairs, triples = (np.frombuffer(t, np.uint8) for t in shared.value)
+        common, *tables = (np.frombuffer(t, np.uint8) for t in shared.value)
         shard = Shard()
         for b in batches:
             langs = b.column(0).dictionary_encode()
@@ -225,16 +234,19 @@ def _windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 words, piece = _pieces(part)
                 own = code[part.first + words.row]
                 salt = salts[own]
-                start = _pairs(words, piece, salt, common, pairs)
+                runs = _runs(words, piece, salt, common, tables)[:-1]
+                start = runs[0]
                 if not len(start):
                     continue
-                # a window goes on as long as each three neighbouring words of it are a usable triple
-                first = start[:-1][np.diff(start) == 1]
-                first = first[_has(triples, _triple_slots(words, salt, first))]
+                # a window goes on as long as each run of neighbouring words of it is usable
+                size = np.zeros(len(piece), np.int64)
+                for k, first in enumerate(runs, 2):
+                    size[first] = k
                 joined = np.zeros(len(piece) + 1, bool)
-                joined[first] = True
+                joined[runs[-1]] = True
                 ends = np.flatnonzero(~joined)
-                left = np.minimum(ends[np.searchsorted(ends, start)] - start + 2, LONGEST)
+                size[runs[-1]] += ends[np.searchsorted(ends, runs[-1])] - runs[-1] - 1
+                left = np.minimum(size[start], LONGEST)
                 use = np.zeros(len(piece), bool)
                 use[start] = use[start + 1] = True
                 number, shown = _distinct(words)
@@ -354,12 +366,13 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     spark, rows = docs.sparkSession, _rows(docs)
     common = _bit_table(words.filter(F.col("n") >= least), SLOT_BITS)
     tables = [common]
-    for _ in ("pairs", "triples"):
+    while len(tables) < LEVELS:
         slots = (rows.mapInArrow(_count_slots(spark.sparkContext.broadcast(tuple(tables))), _SLOT_COUNTS)
                  .groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
         tables.append(_bit_table(slots, PAIR_BITS))
     shared = spark.sparkContext.broadcast(tuple(tables))
-    shards = S.write_table(rows.mapInArrow(_windows(shared), _WINDOWS), "shard-windows")
+    cores = spark.sparkContext.defaultParallelism
+    shards = S.write_table(rows.coalesce(cores).mapInArrow(_windows(shared), _WINDOWS), "shard-windows")
     ranges = shards.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
     states = ranges.mapInArrow(_union(least), _WINDOWS)
     return S.write_table(states.groupBy("lang", "path").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrase-counts")

@@ -203,6 +203,55 @@ def test_windows_end_at_rare_triples_of_frequent_pairs(spark, monkeypatch):
     assert written["shard-windows"].count() < 600
 
 
+def written_windows(monkeypatch):
+    written = {}
+    write = phrases.S.write_table
+
+    def spy(df, name):
+        written[name] = write(df, name)
+        return written[name]
+    monkeypatch.setattr(phrases.S, "write_table", spy)
+    return lambda: written["shard-windows"].count()
+
+
+def test_shipped_windows_do_not_grow_with_the_splits(spark, monkeypatch):
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(300)), "en") for i in range(192)]
+    count = written_windows(monkeypatch)
+    cores = spark.sparkContext.defaultParallelism
+    docs = make(spark, rows).repartition(12 * cores)
+    got = sorted(map(tuple, phrases.collocations(docs, 100).collect()))
+    assert got == brute_phrases(rows, 100, 2000) and got
+    # 144 pairs occur about 400 times, triples about 33 times: a task ships each pair once, not once a split
+    assert count() <= 144 * cores
+
+
+def test_a_shard_ships_distinct_windows_not_held_ones(monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD", 1000)
+    shard, rnd = phrases.Shard(), np.random.default_rng(3)
+    shard.word, shard.lang = {b"%02d" % i: i for i in range(20)}, {"en": 0}
+    want = Counter()
+    for _ in range(40):  # 12,000 windows, 400 distinct ones
+        pairs = rnd.integers(1, 21, (300, 2)).astype(np.int32)
+        want.update("%02d\x00%02d" % (a - 1, b - 1) for a, b in pairs.tolist())
+        shard.add(np.zeros(300, np.int32), np.column_stack([pairs, np.zeros((300, 3), np.int32)]))
+        assert not shard.full() and shard.n < 1300
+    rows = [r for b in shard.close() for r in b.to_pylist()]
+    assert [(r["path"], r["n"]) for r in rows] == sorted(want.items())
+
+
+def test_windows_end_at_rare_quadruples_of_frequent_triples(spark, monkeypatch):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(7)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(400)) + " . a b c d e f a b c d e f", "en") for i in range(60)]
+    count = written_windows(monkeypatch)
+    got = sorted(map(tuple, phrases.collocations(make(spark, rows).coalesce(1), 45).collect()))
+    assert got == brute_phrases(rows, 45, 2000) and any(len(r[2].split()) == 5 for r in got)
+    # a triple occurs about 70 times, a quadruple about 10 times: the windows are the 49 pairs, 343 triples and few more
+    assert count() < 700
+
+
 def test_union_closes_states_at_range_ends():
     import pyarrow as pa
     paths = ["a\x00b", "a\x00b\x00c", "a\x00b\x00c", "a\x00d", "b\x00a\x00a\x00a\x00a", "b\x00a\x00c"]
