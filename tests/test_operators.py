@@ -277,6 +277,67 @@ def test_cell_top_k_single_precision_only_leaves_out(monkeypatch):
     assert 0 < sum(wide) < 64 * 6000 / 20  # the scores computed in double
 
 
+def test_a_stream_of_rows_sums_few_scores_in_double(monkeypatch):
+    rng = np.random.default_rng(13)
+    v, q = rng.random((16384, 24)), rng.random((50, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    wide = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: (wide.append(len(a[1])), einsum(*a))[1])
+    at, row, score = V._cell_top_k(q, None, v.copy(), np.arange(16384), None, 10, 10)
+    assert sum(wide) < 50 * 45  # 94 a query where a few rows were read first and the steps grew
+    for i in range(50):
+        exact = np.round(v @ q[i], 10)
+        best = np.lexsort((np.arange(16384), -exact))[:10]
+        assert [r for _, r in sorted((-s, r) for a, r, s in zip(at, row, score) if a == i)] == list(best)
+
+
+def test_best_rows_of_a_stream_hold_for_any_batches_tiles_and_depths(monkeypatch):
+    rng = np.random.default_rng(17)
+    v = rng.integers(0, 3, (3000, 12)).astype(float)  # many ties
+    v[:40] = 0
+    v /= np.where(np.linalg.norm(v, axis=1) > 0, np.linalg.norm(v, axis=1), 1)[:, None]
+    q = np.vstack([np.zeros((1, 12)), rng.integers(0, 3, (9, 12))]).astype(float)
+    q /= np.where(np.linalg.norm(q, axis=1) > 0, np.linalg.norm(q, axis=1), 1)[:, None]
+    kinds, asked = np.array(["a", "b", None], object)[rng.integers(0, 3, 3000)], [None, "a", "b", "none", None] * 2
+    for k, tile, step, batch, cut in ((1, 1 << 20, 1024, 8192, 3000), (7, 300, 100, 500, 900), (400, 50, 64, 64, 1000), (5000, 1 << 12, 1024, 8192, 1700)):
+        for name, value in (("TILE_SCORES", tile), ("STEP_ROWS", step), ("BATCH_ROWS", batch)):
+            monkeypatch.setattr(V, name, value)
+        best = V._Best(q, asked, k, 10)
+        for lo in range(0, 3000, cut):
+            best.add(v[lo:lo + cut], kinds[lo:lo + cut])
+        at, row, score = best.rows()
+        for i, f in enumerate(asked):
+            exact = np.round(np.cumsum(v * q[i], axis=1)[:, -1], 10) + 0.0
+            want = sorted((-exact[j], j) for j in range(3000) if f is None or kinds[j] == f)[:k]
+            assert sorted((-s, r) for a, r, s in zip(at, row, score) if a == i) == want
+
+
+def test_vector_top_k_meets_every_row_in_cells_of_small_batches(spark):
+    rng = np.random.default_rng(19)
+    base = rng.integers(0, 3, (900, 8)).astype(float)
+    ids, kinds = [f"v{i % 880:04d}" for i in range(900)], [None if i % 7 == 0 else f"c{i % 3}" for i in range(900)]  # ids that come twice
+    coll = spark.createDataFrame(list(zip(ids, base.tolist(), kinds)), "vec_id string, embedding array<double>, category string").repartition(3)
+    asks = [(f"q{i % 18}", rng.integers(0, 3, 8).astype(float).tolist(), None if i % 4 == 0 else f"c{i % 4}") for i in range(20)]  # queries, too
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=-1, keepdims=True) > 0, np.linalg.norm(m, axis=-1, keepdims=True), 1)
+    want = {}
+    for name, e, f in asks:
+        s = np.round(np.cumsum(unit(base) * unit(np.array(e)), axis=1)[:, -1], 10) + 0.0
+        want.setdefault(name, []).extend(sorted((-s[j], ids[j]) for j in range(900) if f is None or kinds[j] == f)[:6])
+    want = sorted((q, r + 1, i, -s) for q, hits in want.items() for r, (s, i) in enumerate(sorted(hits)[:6]))
+    queries = spark.createDataFrame(asks, "query_id string, embedding array<double>, f string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        for block, chunk in ((4, 100), (7, 5000), (5000, 64)):
+            got = V.vector_top_k(queries, coll, k=6, filter_col="category", query_filter_col="f", block_rows=block, chunk_rows=chunk)
+            assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+        empty = coll.filter("vec_id = 'none'")
+        assert V.vector_top_k(queries, empty, k=6).count() == 0 and V.vector_top_k(queries.filter("f = 'none'"), coll, k=6).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_questions_are_embedded_once(spark, tmp_path):
     from larder.plans.answer_queries import _hits
     from larder.sources.views import RetailModel
